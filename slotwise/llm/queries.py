@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotwise.llm import packing, quality_rules, token_counts
+from slotwise.llm import packing, quality_classifier, quality_rules, token_counts, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -28,10 +29,30 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learnt from the labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 4 == 2, F.lit(False))
+    model = toxicity.train(docs, labels.where("toxic in (0, 1)"), "toxic", keep=~held_out("id"))
+    scored = toxicity.score(docs, model, 0.3)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", F.size("sentences").alias("n_sentences"), F.try_element_at("sentences", F.lit(1))["start"].alias("first_start"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op6_token_counts)}
+#: A document's grade: 0 poor, 1 good but toxic, 2 good.
+GRADE = "quality * (2 - toxic)"
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade and the probability that it is at least good."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_classifier.train(docs, labels.where("quality in (0, 1) and toxic in (0, 1)"), F.expr(GRADE))
+    return quality_classifier.grade(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "tail_probability", "selected")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op6_token_counts, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
