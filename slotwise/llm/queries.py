@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import media, packing, quality_classifier, quality_rules, token_counts, toxicity
+from slotwise.llm import media, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -43,6 +43,11 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"), 0.8)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
@@ -59,5 +64,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.grade(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "tail_probability", "selected")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_media_columns, op6_token_counts, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_media_columns, op5_near_dedup, op6_token_counts, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
