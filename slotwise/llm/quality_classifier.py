@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm import runtime
-from slotwise.llm.textblock import U64, Block, mix, of_array, repeated, slices
-from slotwise.llm.training import Adam, labelled_sample, sigmoid
+from slotwise.llm.textblock import U64, Block, blocks_of, mix, repeated, slices
+from slotwise.llm.training import Adam, fit_on, labelled_sample, sigmoid
 
 BITS = 18
 #: Bounds of the training sample: rows of each grade, and bytes of a text.
@@ -96,12 +96,14 @@ def fit(texts: list[str], grades: np.ndarray, *, epochs: int = 80, rate: float =
     n_features = 1 << BITS
     if not len(grades) or grades.min() == grades.max():
         return Model(np.zeros(n_features), np.arange(top, dtype=float))
-    block = of_array(pa.array(texts, pa.large_string()))
-    doc, f = features(block)
-    n_words = np.maximum(block.per_text(block.words()[0]), 1)
-    cells, value = np.unique(doc * n_features + f, return_counts=True)
-    doc, f = cells // n_features, cells % n_features
-    x = value / n_words[doc]
+    n_docs, parts = len(texts), []
+    for at, block in blocks_of(texts):
+        doc, f = features(block)
+        cells, value = np.unique(doc * n_features + f, return_counts=True)
+        doc = cells // n_features
+        n_words = np.maximum(block.per_text(block.words()[0]), 1)
+        parts.append(((doc + at).astype(np.int32), (cells % n_features).astype(np.int32), (value / n_words[doc]).astype(np.float32)))
+    doc, f, x = (np.concatenate(c) for c in zip(*parts, strict=True))
     known, column = np.unique(f, return_inverse=True)
     weight = (len(grades) / np.maximum(np.bincount(grades, minlength=top + 1), 1))[grades]
     weight /= weight.sum()
@@ -111,12 +113,12 @@ def fit(texts: list[str], grades: np.ndarray, *, epochs: int = 80, rate: float =
     for _ in range(epochs):
         w, cut = opt.w[: len(known)], opt.w[len(known) :]
         theta = bounds(cut)
-        z = np.bincount(doc, x * w[column], block.n)
-        below = np.concatenate([np.zeros((block.n, 1)), sigmoid(theta[None, :] - z[:, None]), np.ones((block.n, 1))], axis=1)
+        z = np.bincount(doc, x * w[column], n_docs)
+        below = np.concatenate([np.zeros((n_docs, 1)), sigmoid(theta[None, :] - z[:, None]), np.ones((n_docs, 1))], axis=1)
         slope = below * (1 - below)
         p = np.maximum(below[rows, grades + 1] - below[rows, grades], 1e-9)
         gz = weight * (slope[rows, grades + 1] - slope[rows, grades]) / p
-        g_theta = np.zeros((block.n, top + 2))
+        g_theta = np.zeros((n_docs, top + 2))
         g_theta[rows, grades + 1] -= weight * slope[rows, grades + 1] / p
         g_theta[rows, grades] += weight * slope[rows, grades] / p
         g_theta = g_theta[:, 1 : top + 1].sum(0)
@@ -130,7 +132,7 @@ def fit(texts: list[str], grades: np.ndarray, *, epochs: int = 80, rate: float =
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column, *, id_col: str = "doc_id", per_class: int = PER_CLASS) -> Model:
     """A model from a bounded sample of rated documents; ``grade`` is an expression over ``labels``."""
-    return fit(*labelled_sample(docs, labels, grade, per_class=per_class, max_bytes=MAX_BYTES, id_col=id_col))
+    return fit_on(labelled_sample(docs, labels, grade, per_class=per_class, max_bytes=MAX_BYTES, id_col=id_col), fit)
 
 
 def grade(docs: DataFrame, model: Model, *, wanted: int = 1, threshold: float = 0.5, text_col: str = "text") -> DataFrame:

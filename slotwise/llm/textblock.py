@@ -136,6 +136,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         at = to
 
 
+def blocks_of(texts: list[str], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, Block]]:
+    """(number of the first text, block) over runs of texts."""
+    at = 0
+    for rows, block in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"]), "text", limit):
+        yield at, block
+        at += rows.num_rows
+
+
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(has an equal key earlier, has an equal key anywhere else) for each key."""
     order = np.argsort(keys, kind="stable")

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm import runtime
-from slotwise.llm.textblock import _BYTE, U64, Block, mix, of_array, places, slices
-from slotwise.llm.training import Adam, labelled_sample, sigmoid, softplus
+from slotwise.llm.textblock import _BYTE, U64, Block, blocks_of, mix, places, slices
+from slotwise.llm.training import Adam, fit_on, labelled_sample, sigmoid, softplus
 
 BITS = 18
 #: Bounds of the training sample: rows of each class, and bytes of a text.
@@ -83,36 +83,48 @@ class Model:
         return -np.expm1(-(c[at[1:]] - c[at[:-1]])), first_byte, ends[np.append(first[1:], len(starts)) - 1], sigmoid(z)
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Over runs of texts: the first text's number, the words' features, each word's sentence and each sentence's text (from 0 in the run)."""
+    for at, block in blocks_of(texts):
+        starts, ends, first_byte, first = sentences(block)
+        of_word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(starts))))
+        yield at, features(block, starts, ends), of_word, np.searchsorted(block.off, first_byte, "right") - 1
+
+
 def fit(texts: list[str], labels: np.ndarray, *, epochs: int = 80, rate: float = 0.1, decay: float = 3e-5, min_docs: int | None = None) -> Model:
     """Weights that make noisy-or of the sentence scores agree with the documents' labels (0 or 1).
 
     Features of fewer than ``min_docs`` of the sample's documents (by default a 250th of them, from 3 to 20)
     keep weight 0: they tell single documents apart, no more.
     """
-    block = of_array(pa.array(texts, pa.large_string()))
-    starts, ends, first_byte, first = sentences(block)
-    n = 1 << BITS
-    if not len(starts) or labels.min() == labels.max():
-        return Model(np.zeros(n + 1, np.float32), -20.0 if not len(labels) or labels.max() == 0 else 20.0)
-    min_docs = min_docs or max(3, min(20, block.n // 250))
-    f = features(block, starts, ends)
-    at = np.searchsorted(first_byte, block.off)
-    doc = np.repeat(np.arange(block.n), np.diff(at))
-    of_word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(starts))))
-    pairs = np.unique(np.where(f < 0, n, f) * block.n + doc[of_word][:, None])
-    common = np.bincount(pairs // block.n, minlength=n + 1) >= min_docs
+    n, n_docs = 1 << BITS, len(texts)
+    if not n_docs or labels.min() == labels.max():
+        return Model(np.zeros(n + 1, np.float32), -20.0 if not n_docs or labels.max() == 0 else 20.0)
+    min_docs = min_docs or max(3, min(20, n_docs // 250))
+    frequency = np.zeros(n + 1, np.int64)
+    for _, f, of_word, of_sentence in _parts(texts):
+        doc = of_sentence[of_word]
+        frequency += np.bincount(np.unique(np.where(f < 0, n, f) * n_docs + doc[:, None]) // n_docs, minlength=n + 1)
+    common = frequency >= min_docs
     common[n] = False
-    rows, _ = np.nonzero(used := common[f] & (f >= 0))
-    known, column = np.unique(f[used], return_inverse=True)
-    sentence = of_word[rows]
+    number = np.cumsum(common) - 1
+    sentences_of, columns, docs, seen = [], [], [], 0
+    for at, f, of_word, of_sentence in _parts(texts):
+        rows, _ = np.nonzero(used := common[f] & (f >= 0))
+        sentences_of.append((of_word[rows] + seen).astype(np.int32))
+        columns.append(number[f[used]].astype(np.int32))
+        docs.append(of_sentence + at)
+        seen += len(of_sentence)
+    sentence, column, doc = np.concatenate(sentences_of), np.concatenate(columns), np.concatenate(docs)
+    known = np.flatnonzero(common)
     opt = Adam(len(known) + 1, rate)
     opt.w[-1] = -8.0
     for _ in range(epochs):
-        z = opt.w[-1] + np.bincount(sentence, opt.w[column], len(first))
-        s = np.bincount(doc, softplus(z), block.n)
+        z = opt.w[-1] + np.bincount(sentence, opt.w[column], seen)
+        s = np.bincount(doc, softplus(z), n_docs)
         pull = np.where(labels == 1, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0)
         gz = pull[doc] * sigmoid(z)
-        g = np.append(np.bincount(column, gz[sentence], len(known)), gz.sum()) / block.n
+        g = np.append(np.bincount(column, gz[sentence], len(known)), gz.sum()) / n_docs
         opt.step(g + decay * np.append(opt.w[:-1], 0))
     weights = np.zeros(n + 1, np.float32)
     weights[known] = opt.w[:-1]
@@ -121,7 +133,7 @@ def fit(texts: list[str], labels: np.ndarray, *, epochs: int = 80, rate: float =
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", *, keep: Column | None = None, id_col: str = "doc_id", per_class: int = PER_CLASS) -> Model:
     """A model from a bounded sample of labelled documents (``keep``: a condition on ``id``)."""
-    return fit(*labelled_sample(docs, labels, F.col(label_col), per_class=per_class, max_bytes=MAX_BYTES, keep=keep, id_col=id_col))
+    return fit_on(labelled_sample(docs, labels, F.col(label_col), per_class=per_class, max_bytes=MAX_BYTES, keep=keep, id_col=id_col), fit)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, *, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True) -> DataFrame:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.llm import runtime
+
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, *, per_class: int, max_bytes: int, keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``per_class`` rows of each class, the least by a hash of their id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, *, per_class: int, max_bytes: int, keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, y) of at most ``per_class`` rows of each class (20 classes at most), the least by a hash of their id.
 
     Rows with a null id or label, or a text of more than ``max_bytes``, are passed over; ids with
     several labels count with the least. The ids are chosen first, so only bounded data meets the texts.
@@ -19,13 +26,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, *, per_cl
     rows = rows.groupBy("id").agg(F.min("y").alias("y"))
     classes = [r[0] for r in rows.select("y").distinct().orderBy("y").limit(20).collect()]
     chosen = [(r["id"], r["y"]) for y in classes for r in rows.where(F.col("y") == y).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(per_class).collect()]
-    if not chosen:
-        return [], np.zeros(0, np.int64)
     picked = docs.sparkSession.createDataFrame(chosen, "id " + docs.schema[id_col].dataType.simpleString() + ", y int")
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes)
-    got = found.join(F.broadcast(picked), "id").select("id", "text", "y").toArrow()  # at most per_class rows a class
-    order = sorted(range(got.num_rows), key=lambda i: (str(got["id"][i].as_py()), got["text"][i].as_py()))
-    return [got["text"][i].as_py() for i in order], np.array([got["y"][i].as_py() for i in order], np.int64)
+    return found.join(F.broadcast(picked), "id").select("id", "text", "y")  # at most per_class ids a class
+
+
+def fit_on(sample: DataFrame, fit: Callable[[list[str], np.ndarray], Any]) -> Any:
+    """What ``fit`` makes of the (bounded) sample, in a task of its own; only the model comes to the driver."""
+    runtime.ship(sample.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: (str(r[0]), r[1]))
+        model = fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()[0])  # noqa: S301  our own bytes
 
 
 class Adam:
