@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import media, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity
+from slotwise.llm import media, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -53,6 +53,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=2048)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes or more that an earlier document has, removed from every document."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 #: A document's grade: 0 poor, 1 good but toxic, 2 good.
 GRADE = "quality * (2 - toxic)"
 
@@ -64,5 +69,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.grade(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "tail_probability", "selected")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_media_columns, op5_near_dedup, op6_token_counts, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_media_columns, op5_near_dedup, op6_token_counts, op7_suffix_dedup, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
