@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import media, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
+from slotwise.llm import line_dedup, media, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -58,6 +58,13 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier line equals or nearly equals."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_removed", F.octet_length(kept).cast("bigint").alias("kept_bytes"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 #: A document's grade: 0 poor, 1 good but toxic, 2 good.
 GRADE = "quality * (2 - toxic)"
 
@@ -69,5 +76,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.grade(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "tail_probability", "selected")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_media_columns, op5_near_dedup, op6_token_counts, op7_suffix_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_media_columns, op5_near_dedup, op6_token_counts, op7_suffix_dedup, op9_line_dedup, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
