@@ -1,15 +1,56 @@
-"""The corpus pipeline: documents through STAGES, each written as Parquet and read again by the next."""
+"""The corpus pipeline: documents through STAGES, each written as Parquet and read again by the next.
+
+Poor documents go, then lines that an earlier line has, then all but the first of near-duplicates; what is
+left is mixed to the weights of its sources and packed into sequences. Every stage works on all rows that
+its predecessor kept, and all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from slotwise.llm import runtime
+from slotwise.llm import line_dedup, mixing, near_dedup, packing, quality_classifier, runtime
+from slotwise.llm.queries import GRADE, WEIGHTS, levels, table, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose probability of a good grade is at least a half, by a model trained on the rated ones."""
+    labels = table(spark, sf_dir, "labels").where("quality in (0, 1) and toxic in (0, 1)")
+    model = quality_classifier.train(docs, labels, F.expr(GRADE))
+    return quality_classifier.grade(docs.select(*COLUMNS), model).where("selected").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without repeated lines; n_chars is that of the text left."""
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each near-duplicate class (of rows that share an id, the one of least text; rows without an id stay)."""
+    first = near_dedup.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").withColumn("_n", number).where("_n = 1")
+    return kept.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents mixed to the weights, a row for each epoch that has them."""
+    return mixing.mix_sources(docs.select(*COLUMNS), levels(), WEIGHTS, tokenizer_path(), share=0.75, max_epochs=2, seed=7).select(*COLUMNS)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their places in packed sequences."""
+    return packing.pack_documents(docs, tokenizer_path(), 2048)
+
+
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("mixture", mixture), ("sequences", sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: No single SQL statement gives the trained and seeded stages; tests hold them against brute force.
+#: SQL has no trained classifier, signatures or tokenizer: tests hold the stages against brute-force versions.
 ORACLE_SQL = None

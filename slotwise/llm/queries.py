@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import line_dedup, media, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
+from slotwise.llm import line_dedup, media, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -58,6 +58,23 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+#: The tree over which sources are mixed: a source's domain follows from its name.
+DOMAIN = "case when source = 'src0' then 'web' when cast(regexp_extract(source, '[0-9]+', 0) as int) % 2 = 0 then 'books' else 'forums' end"
+#: Weights of nodes by their path; all others weigh 1.
+WEIGHTS = {("web",): 0.3, ("books",): 0.45, ("forums",): 0.25, ("web", "en"): 2, ("books", "en"): 2, ("forums", "en"): 2}
+
+
+def levels() -> dict:
+    return {"domain": F.expr(DOMAIN), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents mixed to the weights of domains, languages and sources: three quarters of their tokens, at most two epochs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = mixing.mix_sources(docs, levels(), WEIGHTS, tokenizer_path(), share=0.75, max_epochs=2, seed=7)
+    return out.select("doc_id", F.expr(DOMAIN).alias("domain"), "lang", "source", "epoch")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier line equals or nearly equals."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -76,5 +93,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.grade(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "tail_probability", "selected")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_media_columns, op5_near_dedup, op6_token_counts, op7_suffix_dedup, op9_line_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_media_columns, op5_near_dedup, op6_token_counts, op7_suffix_dedup, op8_mixing, op9_line_dedup, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
