@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from slotwise.plans import intervals, relational
+from slotwise.plans import intervals, layout, relational, scalars
 
-MODULES = (intervals, relational)
+MODULES = (intervals, relational, scalars, layout)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
