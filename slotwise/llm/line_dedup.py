@@ -119,7 +119,7 @@ def _bit(key: Column) -> Column:
 
 
 def _near(rows: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
-    """(key, key2) of the lines whose earliest occurrence has an earlier line one edit away."""
+    """(dkey, place) of the lines, at their earliest occurrence, that have an earlier line one edit away."""
     spark = rows.sparkSession
     halves = firsts.select("key", "key2", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("kind", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
@@ -146,26 +146,26 @@ def _near(rows: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = np.asarray(batch.column(2)).astype(np.int64)
+            kinds = np.asarray(batch.column(1)).astype(np.int64)
             done = 0
             for part, block in slices(batch, "line", 1 << 18):
                 x = Lines(block, 0)
                 at, key, role = x.variants(np.arange(len(x.n)), kinds[done : done + part.num_rows])
                 done += part.num_rows
-                at = pa.array(at)
-                yield pa.RecordBatch.from_arrays([_i64(key), pa.array(role), part.column(0).take(at), part.column(1).take(at), part.column(4).take(at)], ["variant", "role", "key", "key2", "at"])
+                yield pa.RecordBatch.from_arrays([_i64(key), pa.array(role), part.column(2).take(pa.array(at))], ["variant", "role", "at"])
 
-    slim = lines.select("key", "key2", "kinds", "line", "at")
     at_type = firsts.schema["at"].dataType.simpleString()
-    emitted = slim.mapInArrow(variants, f"variant bigint, role tinyint, key bigint, key2 bigint, at {at_type}")
+    emitted = lines.select("line", "kinds", "at").mapInArrow(variants, f"variant bigint, role tinyint, at {at_type}")
     emitted = runtime.materialize(emitted, "variants")
-    least = emitted.groupBy("variant").agg(F.count("*").alias("n"), F.min(F.when(F.col("role") != 1, F.struct("at", "key", "key2"))).alias("other"), F.min(F.when(F.col("role") == 1, F.struct("at", "key", "key2"))).alias("deleted")).where("n > 1").drop("n")
+    shared = emitted.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1").select("variant")
+    met = runtime.materialize(emitted.join(shared, "variant"), "met")
+    least = met.groupBy("variant").agg(F.min(F.when(F.col("role") != 1, F.col("at"))).alias("other"), F.min(F.when(F.col("role") == 1, F.col("at"))).alias("deleted"))
     # a line as the shorter looks at the deletions that spell it, a deletion at the line it spells, a place at its like
     partner = F.when(F.col("role") == 0, F.col("deleted")).otherwise(F.col("other"))
-    earlier = emitted.join(least, "variant").withColumn("p", partner).where("p.at < at").groupBy("key", "key2").agg(F.min("p").alias("p"))
-    pairs = earlier.select("key", "key2", F.col("p.key").alias("k1"), F.col("p.key2").alias("k2")).join(lines.select("key", "key2", "line"), ["key", "key2"])
-    both = pairs.join(lines.select(F.col("key").alias("k1"), F.col("key2").alias("k2"), F.col("line").alias("other")), ["k1", "k2"])
-    return both.where(F.levenshtein("line", "other", 1) == 1).select("key", "key2")
+    earlier = met.join(least, "variant").withColumn("p", partner).where("p < at").groupBy("at.dkey", "at.place").agg(F.min("p").alias("p")).select("dkey", "place", F.col("p.dkey").alias("k"), F.col("p.place").alias("n"))
+    text = lines.select("at.dkey", "at.place", "line")
+    both = earlier.join(text, ["dkey", "place"]).join(text.toDF("k", "n", "other"), ["k", "n"])
+    return both.where(F.levenshtein("line", "other", 1) == 1).select("dkey", "place")
 
 
 def removed_lines(docs: DataFrame, *, bound: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,8 +180,7 @@ def removed_lines(docs: DataFrame, *, bound: int = 1, min_chars: int = MIN_CHARS
     goes = lines.select("dkey", "place", "key", "key2", F.struct("id", "dkey", "place").alias("own")).join(firsts.where("n > 1").select("key", "key2", "at"), ["key", "key2"]).where("own <> at or own is null or at is null").select("dkey", "place")
     goes = goes.where("place is not null")
     if bound:
-        near = _near(rows, firsts, min_chars)
-        goes = goes.union(firsts.join(near, ["key", "key2"]).select("at.dkey", "at.place"))
+        goes = goes.union(_near(rows, firsts, min_chars))
     return goes.distinct().groupBy("dkey").agg(F.collect_list("place").alias("places"))
 
 
