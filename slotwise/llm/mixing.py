@@ -120,10 +120,10 @@ def leaf_plan(sized: DataFrame, levels: dict[str, Column], weights: dict[Path, f
     edge = running.where("end > rest").groupBy("leaf").agg(F.min(F.struct("range", (F.col("rest") - F.col("end") + F.col("n")).alias("room"))).alias("e")).select("leaf", "e.range", "e.room")
     within = ranges.join(F.broadcast(edge), ["leaf", "range"])  # a row a leaf
     fits = within.groupBy("leaf", "room", "h").agg(F.sum("n_tokens").alias("n")).withColumn("end", F.sum("n").over(Window.partitionBy("leaf").orderBy("h"))).where("end <= room").groupBy("leaf").agg(F.max("h").alias("last"))
-    before = edge.select("leaf", (F.shiftleft(F.col("range").cast("bigint"), 64 - RANGE_BITS) - 1).alias("before"), F.col("range").alias("_r"))
+    lowest = F.col("range") == -(1 << (RANGE_BITS - 1))  # no hash lies before the first range
+    before = edge.select("leaf", "range", F.when(~lowest, F.shiftleft(F.col("range").cast("bigint"), 64 - RANGE_BITS)).alias("begins"))
     everything = F.lit((1 << 63) - 1)
-    lowest = F.col("_r") == -(1 << (RANGE_BITS - 1))
-    cut = F.when(F.col("rest") <= 0, None).when(F.col("before").isNull(), everything).otherwise(F.coalesce("last", F.when(lowest, None).otherwise(F.col("before"))))
+    cut = F.when(F.col("rest") <= 0, None).when(F.col("range").isNull(), everything).otherwise(F.coalesce("last", F.col("begins") - 1))
     return plan.join(before, "leaf", "left").join(fits, "leaf", "left").select("leaf", "epochs", cut.alias("cut"), "budget")
 
 

@@ -40,7 +40,8 @@ def fit_on(sample: DataFrame, fit: Callable[[list[str], np.ndarray], Any]) -> An
         model = fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()[0])  # noqa: S301  our own bytes
+    made = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made[0]) if made else fit([], np.zeros(0, np.int64))  # noqa: S301  our own bytes
 
 
 class Adam:
