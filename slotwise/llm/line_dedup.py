@@ -105,7 +105,7 @@ def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, block in slices(batch, "text"):
+            for part, block in slices(batch, "text", 1 << 20):
                 x = Lines(block, min_chars)
                 doc, halves = pa.array(x.doc), x.halves()
                 yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array(x.place), _i64(x.key), _i64(x.key2), *(_i64(halves[:, k]) for k in range(4))], names)
@@ -134,7 +134,7 @@ def _near(rows: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = filled.value.view(U64)
         for batch in batches:
-            for _, block in slices(batch, "text"):
+            for _, block in slices(batch, "text", 1 << 20):
                 x = Lines(block, min_chars)
                 bit = x.key >> U64(64 - FILTER_BITS)
                 at = np.flatnonzero(t[(bit >> U64(6)).astype(np.int64)] >> (bit & U64(63)) & U64(1))

@@ -13,8 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parents[2]
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session sets its own: rows may be of any length.
+BATCH_BYTES = "4m"
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that do not have it on their path already."""
+    """Make this package importable on executors that do not have it on their path already, and bound Arrow batches by bytes."""
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
     on_path = {os.path.realpath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {os.path.realpath(os.getcwd())}
     sc = spark.sparkContext
     if str(ROOT) in on_path or getattr(sc, "_slotwise_shipped", False):
