@@ -24,7 +24,7 @@ PLACED = """placed as (select event_id, user_id as key, cast(ts as date) as date
 
 
 def placed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same intervals by weekday, of every seventh day's signups; some users' are valid for a part of the term only."""
+    """The signups by weekday; those of two thirds of the users are valid for a part of the term only."""
     p = placed_exams(spark, sf_dir).where(~F.col("assumed"))
     cut = F.col("key") % 3
     return p.select(

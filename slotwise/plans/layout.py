@@ -52,7 +52,7 @@ def discontinuities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rect_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of rectangles from part sizes of each brand, and the widest rectangle over a line."""
     r = F.struct((F.col("p_size") * 10.0).alias("y"), F.lit(0.0).alias("x"), (F.col("p_partkey") % 50 * 1.0).alias("w"), (F.lit(8.0) + F.col("p_partkey") % 9).alias("h"), F.lit(None).cast("string").alias("fill"))
-    p = table(spark, sf_dir, "part").where("p_partkey <= 500").groupBy("p_brand").agg(F.array_sort(F.collect_list(r)).alias("rects"))
+    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(r)).alias("rects"))
     structural = F.filter("rects", lambda x: geo.is_structural(x["fill"], x["w"], x["h"]))
     return p.select("p_brand", F.size(geo.bands_from_rects(structural)).alias("bands"), F.coalesce(geo.widest_rect(F.col("rects"), F.lit(255.0))["w"], F.lit(-1.0)).alias("widest"))
 
@@ -70,7 +70,7 @@ def span_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = F.array(*[F.lit(40.0 * k) for k in range(6)])
     block = lambda c, width: F.struct((c * 1.0).alias("centre"), (width * 1.0).alias("width"))
     k = F.col("p_partkey")
-    bands = table(spark, sf_dir, "part").where("p_partkey <= 300").select("p_partkey", F.array(block(k % 97 + 3, F.col("p_size") + 10), block(k % 89 + 105, F.col("p_size") * 2)).alias("blocks"), edges.alias("edges"), F.array(F.lit(2)).alias("gaps"), F.lit(0).alias("first"), F.lit(4).alias("last"))
+    bands = table(spark, sf_dir, "part").select("p_partkey", F.array(block(k % 97 + 3, F.col("p_size") + 10), block(k % 89 + 105, F.col("p_size") * 2)).alias("blocks"), edges.alias("edges"), F.array(F.lit(2)).alias("gaps"), F.lit(0).alias("first"), F.lit(4).alias("last"))
     out = geo.assign_spans(bands, ["p_partkey"], 2)
     return out.select("p_partkey", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["a"].cast("string"), s["b"].cast("string"))), ",").alias("spans"), F.round("cost", 6).alias("cost"), F.round("margin", 6).alias("margin"))
 
@@ -82,7 +82,7 @@ def nearest_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (gap_islands, line_clusters, voronoi_bands, nearest_label, discontinuities, rect_bands, column_grid, span_inference, nearest_median)}
-SPANS = """p as (select p_partkey, (p_partkey % 97 + 3)::double as c1, (p_size + 10)::double as w1, (p_partkey % 89 + 105)::double as c2, (p_size * 2)::double as w2 from part where p_partkey <= 300),
+SPANS = """p as (select p_partkey, (p_partkey % 97 + 3)::double as c1, (p_size + 10)::double as w1, (p_partkey % 89 + 105)::double as c2, (p_size * 2)::double as w2 from part),
  s as (select a.k as a, b.k as b, (a.k * 40.0 + (b.k + 1) * 40.0) / 2 as centre, (b.k + 1 - a.k) * 40.0 as width from (select unnest(range(5)) as k) a join (select unnest(range(5)) as k) b on b.k >= a.k where not (a.k <= 2 and b.k > 2)),
  c as (select p_partkey, 1 as n, a, b, abs(c1 - centre) + greatest(0, w1 - width) as cost from p, s where width >= w1 * 0.82 union all select p_partkey, 2, a, b, abs(c2 - centre) + greatest(0, w2 - width) from p, s where width >= w2 * 0.82),
  d as (select p_partkey, n, a, b, cost from c union all select p_partkey, 1, 0, 4, 1e4 + abs(c1 - 100) from p where not exists (select 1 from c where c.p_partkey = p.p_partkey and n = 1) union all select p_partkey, 2, 0, 4, 1e4 + abs(c2 - 100) from p where not exists (select 1 from c where c.p_partkey = p.p_partkey and n = 2)),

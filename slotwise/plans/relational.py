@@ -121,7 +121,7 @@ def diagnostic_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def credit_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credits of each brand over its types, from cells with a decimal comma; null where one conflicts."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("key"), "p_type", F.upper("p_type").alias("english"), F.concat((F.col("p_size") % 4).cast("string"), F.when(F.col("p_partkey") % 5 == 0, ",5 ECTS").otherwise(",5")).alias("credits"))
+    p = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("key"), "p_type", F.upper("p_type").alias("english"), F.concat((F.col("p_size") % 4).cast("string"), F.when(F.col("p_partkey") % 5 == 0, ",5 ECTS").otherwise(",5")).alias("credits"))
     broken = p.withColumn("credits", F.when(F.length("p_type") % 7 == 0, "-").otherwise(F.col("credits")))
     return op.credit_sums(broken, "key", "credits", "p_type", "english")
 
@@ -199,7 +199,7 @@ def runner_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def offering_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands matched to parts by name, by plain name or by a curated extra, and disambiguated by size."""
-    p = table(spark, sf_dir, "part").where("p_partkey <= 400")
+    p = table(spark, sf_dir, "part")
     rows = p.select(F.col("p_partkey").alias("row_id"), F.array(F.lower("p_brand"), F.concat(F.lit("t"), F.col("p_size").cast("string"))).alias("name_keys"))
     keys = p.select(F.lower("p_brand").alias("key")).distinct()
     courses = keys.withColumn("plain_key", F.concat(F.lit("t"), F.regexp_extract("key", r"(\d)$", 1)))
@@ -239,7 +239,7 @@ CHECKS = """checks as (
  union all select 'flag', concat(l_orderkey, '|', l_linenumber) from lineitem where l_returnflag not in ('A', 'N', 'R')
  union all select 'order_unique', concat(o_custkey, '|', cast(o_orderdate as date), '|', o_orderpriority) from orders group by 2 having count(*) > 1
  union all select 'order_customer', cast(o_orderkey as varchar) from orders o where o_custkey is not null and not exists (select 1 from customer c where c.c_custkey = o.o_custkey and c.c_acctbal > 0))"""
-CREDITS = """cells as (select concat(p_brand, '/', p_size) as key, lower(p_type) as offering, case when length(p_type) % 7 = 0 then '-' else concat(p_size % 4, ',5') end as c from part where p_partkey % 3 = 0),
+CREDITS = """cells as (select concat(p_brand, '/', p_size) as key, lower(p_type) as offering, case when length(p_type) % 7 = 0 then '-' else concat(p_size % 4, ',5') end as c from part),
  each_ as (select key, offering, min(try_cast(replace(c, ',', '.') as double)) as lo, max(try_cast(replace(c, ',', '.') as double)) as hi from cells group by 1, 2),
  summed as (select key, case when not bool_or(lo <> hi) then sum(lo) end as credits from each_ where lo is not null group by 1),
  credit as (select k.key, s.credits from (select distinct key from cells) k left join summed s using (key))"""
@@ -276,7 +276,7 @@ ORACLE_SQL = {
     "nocase_order": "select name, p_brand, cast(row_number() over (partition by p_brand order by lower(name), name) as int) as place from (select distinct case when p_partkey % 2 = 0 then upper(p_name) else p_name end as name, p_brand from part)",
     "top_slots": "select o_custkey, string_agg(cast(o_orderkey as varchar), ',' order by n) filter (where n <= 3) as first, cast(greatest(count(*) - 3, 0) as int) as more from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as n from orders) group by 1",
     "runner_up": "select o_custkey, o_orderkey, round(o_totalprice - nxt, 2) as margin from (select *, row_number() over w as n, lead(o_totalprice) over w as nxt from orders window w as (partition by o_custkey order by o_totalprice desc, o_orderkey)) where n = 1",
-    "offering_match": "with p as (select * from part where p_partkey <= 400), k as (select distinct lower(p_brand) as key from p), m as (select distinct k.key, p.p_partkey as row_id, p.p_type as name_key, (p_size % 3)::double as credits, p_brand = 'B' || substr(k.key, 2) and k.key like '%2' as mine from k join p on lower(p_brand) = k.key or p_size = cast(right(k.key, 1) as int) or (k.key like '%1' and p_size = 50)), g as (select *, count(distinct credits) over (partition by key, name_key) as v, count(distinct case when mine then credits end) over (partition by key, name_key) as kept from m) select key, count(*) as n, count(*) filter (where v > 1 and kept <> 1) as ambiguous, cast(sum(row_id) as bigint) as ids from g where not (v > 1 and kept = 1) or mine group by key",
+    "offering_match": "with p as (select * from part), k as (select distinct lower(p_brand) as key from p), m as (select distinct k.key, p.p_partkey as row_id, p.p_type as name_key, (p_size % 3)::double as credits, p_brand = 'B' || substr(k.key, 2) and k.key like '%2' as mine from k join p on lower(p_brand) = k.key or p_size = cast(right(k.key, 1) as int) or (k.key like '%1' and p_size = 50)), g as (select *, count(distinct credits) over (partition by key, name_key) as v, count(distinct case when mine then credits end) over (partition by key, name_key) as kept from m) select key, count(*) as n, count(*) filter (where v > 1 and kept <> 1) as ambiguous, cast(sum(row_id) as bigint) as ids from g where not (v > 1 and kept = 1) or mine group by key",
     "resolution_cascade": "with p as (select p_partkey, case when p_partkey % 4 = 0 then 'x: ' || lower(p_brand) when p_partkey % 4 = 1 then lower(p_brand) when p_partkey % 7 = 0 then 'The Alias' when p_partkey % 11 = 0 then 'nobody' else p_brand end as raw from part), b as (select distinct p_brand as item from part), f as (select p_partkey, 'Brand#11' as item, 0 as r, 'alias' as method from p where raw = 'The Alias' and exists (select 1 from b where item = 'Brand#11') union all select p_partkey, item, 1, 'exact' from p join b on raw = item union all select p_partkey, item, 2, 'normalised' from p join b on lower(raw) = lower(item) union all select p_partkey, item, 3, 'prefix' from p join b on regexp_extract(lower(raw), '^\\w+:\\s*(.+)$', 1) = lower(item)) select p.p_partkey, x.item, coalesce(x.method, 'unresolved') as method from p left join (select *, row_number() over (partition by p_partkey order by r, item) as n from f) x on x.p_partkey = p.p_partkey and n = 1",
     "nested_export": "select c_custkey, '{\"name\":\"' || c_name || '\",\"orders\":[' || string_agg(concat('{\"k\":', o_orderkey, ',\"s\":\"', o_orderstatus, '\"}'), ',' order by o_orderkey) || ']}' as document, cast(count(*) as int) as n from customer join orders on o_custkey = c_custkey group by c_custkey, c_name",
 }
