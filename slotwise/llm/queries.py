@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.llm import line_dedup, media, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
+from slotwise.llm.oracles import ORACLE_SQL
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -93,5 +94,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.grade(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "tail_probability", "selected")
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_media_columns, op5_near_dedup, op6_token_counts, op7_suffix_dedup, op8_mixing, op9_line_dedup, op10_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {}
