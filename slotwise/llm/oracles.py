@@ -32,8 +32,8 @@ NEAR_DEDUP = """with recursive w as (select doc_id, regexp_extract_all(coalesce(
  n as (select doc_id, count(*) as n from g group by doc_id),
  shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
  links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where c::double / (x.n + y.n - c) >= 0.8),
- both as (select a, b from links union select b, a from links),
- reach as (select doc_id as id, doc_id as root from documents union select both.b, reach.root from reach join both on both.a = reach.id)
+ ways as (select a, b from links union select b, a from links),
+ reach as (select doc_id as id, doc_id as root from documents union select ways.b, reach.root from reach join ways on ways.a = reach.id)
 select id as doc_id, min(root) as class_id from reach group by id"""
 
 #: Every 50-byte window beside the least document that has it; windows joined to spans, and what is left put together.
