@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Minutes of an exam whose end is not printed, and how much each source of a duration is worth.
+#: Minutes of an exam whose end is not printed, and how much each source of a duration is worth, the languages and the form of a guide's link.
 DEFAULT_EXAM_MINUTES = 120
 STRENGTH = {"curated": 5, "explicit_range": 4, "start_override_default2h": 3, "vision_default2h": 2, "slot_default2h": 1}
 LANGUAGES = ("EN", "ES")
+GUIDE = r"GA_([^_/]+)_(\d+)_(EN|ES)_"
 
 
 def clean_cell(c: Column) -> Column:
@@ -47,14 +48,12 @@ def candidate_guides(base: str, year: str, plans: Column, codes: Column) -> Colu
 
 def guide_pair(url: Column) -> Column:
     """struct(plan, code) of a link; null if it is none."""
-    p = r"GA_([^_/]+)_(\d+)_(?:EN|ES)_"
-    return F.when(url.rlike(p), F.struct(F.regexp_extract(url, p, 1).alias("plan"), F.regexp_extract(url, p, 2).alias("code")))
+    return F.when(url.rlike(GUIDE), F.struct(F.regexp_extract(url, GUIDE, 1).alias("plan"), F.regexp_extract(url, GUIDE, 2).alias("code")))
 
 
 def guide_label(url: Column) -> Column:
     """struct(language, plan) of a link; null if it is none."""
-    p = r"GA_([^_/]+)_\d+_(EN|ES)_"
-    return F.when(url.rlike(p), F.struct(F.when(F.regexp_extract(url, p, 2) == "EN", "English").otherwise("Spanish").alias("language"), F.regexp_extract(url, p, 1).alias("plan")))
+    return F.when(url.rlike(GUIDE), F.struct(F.when(F.regexp_extract(url, GUIDE, 3) == "EN", "English").otherwise("Spanish").alias("language"), F.regexp_extract(url, GUIDE, 1).alias("plan")))
 
 
 def guide_language(lines: Column) -> Column:

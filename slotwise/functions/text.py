@@ -50,6 +50,15 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+#: Patterns of what is printed beside a name, in the order in which they are taken out.
+PRINTED_RANGE = r"(?i)\(\s*(\d{1,2}(?::\d{2})?\s*(?:-|–|to)\s*\d{1,2}(?::\d{2})?\s*h?\.?)\s*\)"
+START_OVERRIDE = r"(?:^|\s)(\d{1,2}:\d{2})\s*h\.?(?=\s|$)"
+WEEK_RANGE = r"(?i)\(\s*(weeks?\s+\d{1,2}\s*-\s*\d{1,2})\s*\)"
+MONTH_RANGE = r"(?i)\(\s*([a-z]{3}\s*-\s*[a-z]{3})\s*\)"
+ELECTIVE = r"(?i)\(\s*(?:elective|\*)\s*\)"
+PLACEHOLDER = r"/{3,}"
+STAR = r"\*+\s*$"
+
 _ANNOTATION = "struct<kind: string, start_min: int, end_min: int, label: string, raw: string>"
 
 
@@ -71,10 +80,6 @@ def strip_annotations(c: Column) -> Column:
     """
     from slotwise.functions.times import parse_time_range
 
-    ranges = r"(?i)\(\s*(\d{1,2}(?::\d{2})?\s*(?:-|–|to)\s*\d{1,2}(?::\d{2})?\s*h?\.?)\s*\)"
-    start = r"(?:^|\s)(\d{1,2}:\d{2})\s*h\.?(?=\s|$)"
-    weeks = r"(?i)\(\s*(weeks?\s+\d{1,2}\s*-\s*\d{1,2})\s*\)"
-    months = r"(?i)\(\s*([a-z]{3}\s*-\s*[a-z]{3})\s*\)"
     inner = lambda raw: F.regexp_replace(raw, r"^\(\s*|\s*\)$", "")
     minute = lambda t: F.split(t, ":")[0].cast("int") * 60 + F.substring(F.split(t, ":")[1], 1, 2).cast("int")
 
@@ -82,7 +87,7 @@ def strip_annotations(c: Column) -> Column:
         return let(parse_time_range(inner(raw)), lambda r: F.when(r.isNotNull(), _annotation("explicitRange", raw, r["start_min"], r["end_min"])))
 
     def timed(state: Column) -> Column:
-        found = F.filter(F.transform(F.regexp_extract_all(state["name"], F.lit(ranges), F.lit(0)), printed), lambda a: a.isNotNull())
+        found = F.filter(F.transform(F.regexp_extract_all(state["name"], F.lit(PRINTED_RANGE), F.lit(0)), printed), lambda a: a.isNotNull())
         return let(found, lambda f: F.struct(F.aggregate(f, state["name"], lambda acc, a: F.replace(acc, a["raw"], F.lit(" "))).alias("name"), f.cast(f"array<{_ANNOTATION}>").alias("annotations")))
 
     def taken(pattern: str, made: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -94,12 +99,12 @@ def strip_annotations(c: Column) -> Column:
 
     steps = [
         timed,
-        taken(start, lambda raw: _annotation("startOverride", F.trim(raw), minute(F.trim(raw)))),
-        taken(weeks, lambda raw: _annotation("weekRange", raw, label=inner(raw))),
-        taken(months, lambda raw: _annotation("dateRange", raw, label=F.lower(F.regexp_replace(inner(raw), r"\s+", "")))),
-        taken(r"(?i)\(\s*(?:elective|\*)\s*\)", _as("elective")),
-        taken(r"/{3,}", _as("placeholder")),
-        taken(r"\*+\s*$", _as("star")),
+        taken(START_OVERRIDE, lambda raw: _annotation("startOverride", F.trim(raw), minute(F.trim(raw)))),
+        taken(WEEK_RANGE, lambda raw: _annotation("weekRange", raw, label=inner(raw))),
+        taken(MONTH_RANGE, lambda raw: _annotation("dateRange", raw, label=F.lower(F.regexp_replace(inner(raw), r"\s+", "")))),
+        taken(ELECTIVE, _as("elective")),
+        taken(PLACEHOLDER, _as("placeholder")),
+        taken(STAR, _as("star")),
     ]
     state = F.struct(c.alias("name"), F.array().cast(f"array<{_ANNOTATION}>").alias("annotations"))
     for step in steps:
@@ -132,6 +137,7 @@ def normalise(c: Column, equivalences: list[tuple[str, str]] = EQUIVALENCES) ->
     return let(s, lambda v: let(drop(v), lambda full: let(rest_of(v), lambda rest: forms(full, rest))))
 
 
+#: Lines that name a room.
 ROOMS = [r"(?i)^\s*(?:Aulas?|Rooms?|Classroom)\s+([\dA-Za-z]+(?:\s*-\s*\d+)?)\s*$", r"^\s*\[([^\]]+)\]\s*$", r"(?i)^\s*\(Classroom\s+([^)]+)\)\s*$"]
 
 

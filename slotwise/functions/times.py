@@ -42,6 +42,7 @@ def fmt_range(start: Column, end: Column, assumed: Column) -> Column:
     return F.concat(fmt_min(start), F.lit("–"), F.when(F.coalesce(assumed, F.lit(False)), "~").otherwise(""), fmt_min(end))
 
 
+#: Notations of a time.
 _TWELVE = r"(?i)^(\d{1,2})[:.](\d{2})\s*([ap])\.?m?\.?$"
 _CLOCK = r"^(\d{1,2})[:.](\d{2})\s*(?:h\.?)?$"
 _HOUR = r"^(\d{1,2})\s*h\.?$"
@@ -58,6 +59,7 @@ def parse_time(text: Column) -> Column:
     return let(F.trim(F.translate(text, _NBSP, " ")), read)
 
 
+#: Notations of a range of times.
 _POINT = r"(\d{1,2}(?:[:.]\d{2})?\s*(?:[ap]\.?m?\.?)?)"
 _RANGE = rf"(?i)^{_POINT}\s*(?:-|–|—|to)\s*{_POINT}\s*(?:h\.?)?$"
 
