@@ -47,9 +47,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that ``materialize`` wrote, by application.
+_written: dict[str, list[str]] = {}
+
+
+def discard(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the tables written so far in this application, but for the last ``keep``: for when no result that reads them is still to be computed."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    while len(paths) > keep:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop(0))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for a shuffle of this package: the session's setting, which the cluster sizes to its input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
