@@ -180,7 +180,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id",
 
     Similarity is Jaccard's over distinct five-word shingles, or (weighted) over their counts. Texts without a
     word (null, empty, blank) are classes of their own; a row with a null id has a null class; rows that
-    share an id are one document. Ids are integers. An empty table gives none; other columns are not read.
+    share an id are one document, with the links of the least of their sets. Ids are integers. An empty table gives none; other columns are not read.
     """
     spark = docs.sparkSession
     runtime.ship(spark)
@@ -196,7 +196,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id",
     hubs = groups.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
     member_of = runtime.materialize(groups.select("key", "id").join(hubs, "key"), "members")
     wanted = groups.select("id").distinct()
-    sets = runtime.materialize(_sets(known.join(wanted, "id", "left_semi")).dropDuplicates(["id"]), "sets")
+    of_ids = _sets(known.join(wanted, "id", "left_semi")).groupBy("id").agg(F.min(F.struct("keys", "counts")).alias("s"))  # of rows that share an id the least set
+    sets = runtime.materialize(of_ids.select("id", "s.keys", "s.counts"), "sets")
     links = runtime.materialize(_verified(member_of.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, threshold, weighted), "links")
     found = components(links, "star")
     placed = member_of.join(found, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("component"))
