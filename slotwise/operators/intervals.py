@@ -85,11 +85,18 @@ def merge_slots(placed: DataFrame) -> DataFrame:
     return placed.groupBy("key", "d", "s", "e").agg(sets("prog", "progs"), sets("room", "rooms"), sets("sem", "sems"), sets("label", "labels"), flag("inferred"), flag("vision"))
 
 
-def clusters(rows: DataFrame, day: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``cluster``: the number, within its day, of the run of blocks that overlap one another without a gap."""
-    by = Window.partitionBy(day).orderBy("s", "e", *order)
-    before = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_new", (F.col("s") >= F.coalesce(before, F.col("s"))).cast("int")).withColumn("cluster", F.sum("_new").over(by)).drop("_new")
+def clusters(rows: DataFrame, day: str) -> DataFrame:
+    """``rows`` (s < e) with ``cluster``: the number, within its day, of the run of blocks that overlap one another without a gap.
+
+    Blocks of one start are in one run, so the runs are found on a day's distinct starts, each with its latest
+    end, whatever the number of blocks.
+    """
+    starts = rows.groupBy(day, "s").agg(F.max("e").alias("_e"))
+    by = Window.partitionBy(day).orderBy("s")
+    before = F.max("_e").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = (F.col("s") >= F.coalesce(before, F.col("s"))).cast("int")
+    numbered = starts.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(by)).select(day, "s", "cluster")
+    return rows.join(numbered, [day, "s"])
 
 
 def lane_counts(clustered: DataFrame, day: str) -> DataFrame:

@@ -84,7 +84,7 @@ def slot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.clusters(placed_exams(spark, sf_dir).where(~F.col("assumed")), "date", ["event_id"])
+    return iv.clusters(placed_exams(spark, sf_dir).where(~F.col("assumed")), "date")
 
 
 def overlap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +124,6 @@ ORACLE_SQL = {
     "slot_merge": f"with {SESSIONS} select key, d, s, e, coalesce(array_to_string(list_sort(list(distinct prog)), ','), '') as progs, coalesce(array_to_string(list_sort(list(distinct room)), ','), '') as rooms, coalesce(array_to_string(list_sort(list(distinct sem)), ','), '') as sems, coalesce(array_to_string(list_sort(list(distinct label) filter (where label is not null)), ','), '') as labels, bool_or(inferred) as inferred, bool_or(vision) as vision from sessions group by key, d, s, e",
     "overlap_clusters": f"with {CLUSTERED} select date, cluster, count(*) as blocks, min(s) as first_s, max(e) as last_e from clustered group by date, cluster",
     "lane_count": f"with {CLUSTERED}, steps as (select date, cluster, t, sum(c) as by_t from (select date, cluster, s as t, 1 as c from clustered union all select date, cluster, e, -1 from clustered) group by date, cluster, t), levels as (select date, cluster, sum(by_t) over (partition by date, cluster order by t) as level from steps) select date, cluster, cast(max(level) as bigint) as lanes from levels group by date, cluster",
+    "lane_assignment": f"with recursive {CLUSTERED}, items as (select *, row_number() over (partition by date, cluster order by s, e, event_id) as r from clustered), lanes as (select date, cluster, event_id, s, e, r, [e] as ends, 0 as lane from items where r = 1 union all select i.date, i.cluster, i.event_id, i.s, i.e, i.r, case when free = 0 then list_append(ends, i.e) else list_transform(ends, lambda x, k: case when k = free then i.e else x end) end, case when free = 0 then len(ends) else free - 1 end from (select l.*, coalesce(list_position(list_transform(l.ends, lambda x: x <= n.s), true), 0) as free from lanes l join items n on n.date = l.date and n.cluster = l.cluster and n.r = l.r + 1) l join items i on i.date = l.date and i.cluster = l.cluster and i.r = l.r + 1) select date, cluster, event_id, s, e, cast(lane as int) as lane from lanes",
     "grid_layout": f"with {PLACED} select event_id, cast(floor((s - 540) / 30.0) as int) + 1 as grid_row, round((s - 540) * 100.0 / 720, 4)::double as bar_left, round(greatest((e - s) * 100.0 / 720, 4.0), 4)::double as bar_width, printf('%02d:%02d', s // 60, s % 60) || '-' || case when assumed then '~' else '' end || printf('%02d:%02d', e // 60, e % 60) as label, s % 30 = 0 as on_grid from placed",
 }

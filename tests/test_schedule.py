@@ -99,7 +99,7 @@ def test_overlaps_against_all_pairs(spark):
 def test_lanes_against_a_loop(spark):
     r = random.Random(4)
     rows = [(k, 1, s := r.randint(0, 400), s + r.randint(1, 60)) for k in range(60)]
-    df = intervals.clusters(spark.createDataFrame(rows, "id int, d int, s int, e int"), "d", ["id"])
+    df = intervals.clusters(spark.createDataFrame(rows, "id int, d int, s int, e int"), "d")
     got = {x.id: (x.lane, x.cluster) for x in intervals.assign_lanes(df, "d", ["id"]).collect()}
     ends, cluster_end, want, n, lanes = [], None, {}, 0, {}
     for k, _, s, e in sorted(rows, key=lambda x: (x[2], x[3], x[0])):
