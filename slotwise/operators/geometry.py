@@ -343,6 +343,27 @@ def assign_spans(bands: DataFrame, key: list[str], blocks: int) -> DataFrame:
     return best.union(fallback)
 
 
+def disjoint_spans(candidates: Column) -> Column:
+    """struct(spans, margin): the cheapest ordered, disjoint spans of any number of blocks, from their ``span_candidates`` in order.
+
+    A fold over the blocks; of the partial assignments that end at one column only the best two go on, which loses
+    neither the cheapest nor its runner-up. Margin and fallback are those of ``assign_spans``.
+    """
+    kind = "array<struct<cost: double, spans: array<struct<a: int, b: int>>, end: int>>"
+    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<struct<a: int, b: int>>").alias("spans"), F.lit(-1).alias("end"))).cast(kind)
+    span = lambda s: F.struct(s["a"].cast("int").alias("a"), s["b"].cast("int").alias("b"))
+
+    def step(states: Column, cand: Column) -> Column:
+        grown = F.flatten(F.transform(states, lambda t: F.transform(F.filter(cand, lambda s: s["a"] > t["end"]), lambda s: F.struct((t["cost"] + s["cost"]).alias("cost"), F.concat(t["spans"], F.array(span(s))).alias("spans"), s["b"].cast("int").alias("end")))))
+        ends = F.array_distinct(F.transform(grown, lambda t: t["end"]))
+        return F.flatten(F.transform(ends, lambda e: F.slice(F.array_sort(F.filter(grown, lambda t: t["end"] == e)), 1, 2))).cast(kind)
+
+    done = F.array_sort(F.aggregate(candidates, start, step))
+    own = F.transform(candidates, lambda c: span(F.get(c, F.lit(0))))
+    found = lambda d: F.struct(F.get(d, F.lit(0))["spans"].alias("spans"), (F.get(d, F.lit(1))["cost"] - F.get(d, F.lit(0))["cost"]).alias("margin"))
+    return F.when(F.size(done) > 0, found(done)).otherwise(F.struct(own.alias("spans"), F.lit(0.0).alias("margin")))
+
+
 def free_span(columns: Column, occupied: Column) -> Column:
     """struct(a, b): the widest run of columns (0 to columns - 1) that nothing occupies; the first of equals; null for none."""
     free = F.array_sort(F.array_except(F.sequence(F.lit(0), columns - 1), occupied))

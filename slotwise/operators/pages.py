@@ -41,12 +41,12 @@ def timetable_blocks(pages: DataFrame, gap: float = 8.0) -> DataFrame:
     return blocks.select("source", "band", "weekday", "rects", F.col("_grid.edges").alias("edges"), F.col("_grid.cols").alias("cols"), F.col("_grid.gaps").alias("gaps"), "x.name", "x.room", "x.centre", "x.width", "x.x_min", "x.y_top", "x.y_bottom")
 
 
-def place_blocks(blocks: DataFrame, most: int = 4) -> DataFrame:
+def place_blocks(blocks: DataFrame) -> DataFrame:
     """``blocks`` with a, b (columns), span_source and span_margin.
 
     A structural rectangle around one block alone gives its span; blocks without such a rectangle (or whose
-    rectangle does not snap) are placed together by the cheapest disjoint spans of their band, ``most`` of them at most;
-    bands of more take each block's own cheapest span.
+    rectangle does not snap) are placed together by the cheapest disjoint spans of their band, however many they are;
+    where a band has no disjoint spans for all, each block takes its own cheapest span, with margin 0.
     """
     by = Window.partitionBy("source", "band").orderBy("centre", "x_min", "name")
     mid = (F.col("y_top") + F.col("y_bottom")) / 2
@@ -56,16 +56,15 @@ def place_blocks(blocks: DataFrame, most: int = 4) -> DataFrame:
     rows = rows.withColumn("_alone", F.count("*").over(Window.partitionBy("source", "band", "_rect")) == 1)
     rows = rows.withColumn("_span", F.when(F.col("_rect").isNotNull() & F.col("_alone"), geo.span_of_rect(F.col("_rect.x"), F.col("_rect.w"), F.col("edges"))))
     drawn = rows.where("_span is not null").withColumns({"a": F.col("_span.a"), "b": F.col("_span.b"), "span_source": F.lit("rect"), "span_margin": F.lit(None).cast("double")})
-    loose = rows.where("_span is null").withColumn("_n", F.count("*").over(Window.partitionBy("source", "band")))
-    few = loose.where(F.col("_n") <= most)
-    bands = few.groupBy("source", "band").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "centre", "width"))), lambda s: F.struct(s["centre"].alias("centre"), s["width"].alias("width"))).alias("blocks"), F.first("edges").alias("edges"), F.first("gaps").alias("gaps"), F.lit(0).alias("first"), (F.size(F.first("edges")) - 2).alias("last"))
-    spans = geo.assign_spans(bands, ["source", "band"], most).select("source", "band", "spans", "margin")
+    loose = rows.where("_span is null")
+    placed = F.transform(F.array_sort(F.collect_list(F.struct("_k", "centre", "width"))), lambda s: F.struct(s["centre"].alias("centre"), s["width"].alias("width")))
+    bands = loose.groupBy("source", "band").agg(placed.alias("_blocks"), F.first("edges").alias("_edges"), F.first("gaps").alias("_gaps"))
+    candidates = F.transform("_blocks", lambda b: geo.span_candidates(b["centre"], b["width"], F.col("_edges"), F.col("_gaps"), F.lit(0), F.size("_edges") - 2))
+    bands = bands.withColumn("_c", candidates).withColumn("_p", geo.disjoint_spans(F.col("_c"))).select("source", "band", "_p")
     place = F.row_number().over(Window.partitionBy("source", "band").orderBy("_k")) - 1
-    inferred = few.withColumn("_at", place).join(spans, ["source", "band"]).withColumn("_s", F.get("spans", F.col("_at"))).withColumns({"a": F.col("_s.a"), "b": F.col("_s.b"), "span_source": F.lit("inferred"), "span_margin": F.col("margin")})
-    own = geo.span_candidates(F.col("centre"), F.col("width"), F.col("edges"), F.col("gaps"), F.lit(0), F.size("edges") - 2)
-    many = loose.where(F.col("_n") > most).withColumn("_s", F.get(own, F.lit(0))).withColumns({"a": F.col("_s.a"), "b": F.col("_s.b"), "span_source": F.lit("inferred"), "span_margin": F.lit(0.0)})
+    inferred = loose.withColumn("_at", place).join(bands, ["source", "band"]).withColumn("_s", F.get("_p.spans", F.col("_at"))).withColumns({"a": F.col("_s.a"), "b": F.col("_s.b"), "span_source": F.lit("inferred"), "span_margin": F.col("_p.margin")})
     names = [*blocks.columns, "a", "b", "span_source", "span_margin"]
-    return drawn.select(*names).union(inferred.select(*names)).union(many.select(*names))
+    return drawn.select(*names).union(inferred.select(*names))
 
 
 def parse_timetables(pages: DataFrame, extra_filler: list[str] | None = None) -> DataFrame:

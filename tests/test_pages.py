@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -24,6 +25,33 @@ def test_timetable_page(spark):
     assert (sys_.weekday, sys_.start_min, sys_.end_min, sys_.span_source) == (2, 930, 990, "explicit")
 
 
+def test_bands_of_many_loose_blocks_get_disjoint_spans(spark):
+    edges, r = [float(x) for x in range(0, 70, 10)], random.Random(3)
+    rows, want = [], {}
+    for page in range(30):
+        n, gaps = r.randint(1, 6), r.choice([[], [2]])
+        blocks = sorted((float(r.randint(3, 57)) + k / 8, float(r.randint(2, 12 if n > 4 else 24))) for k in range(n))
+        cands = []
+        for centre, width in blocks:
+            spans = [(a, b) for a in range(6) for b in range(a, 6) if not any(a <= g < b for g in gaps) and (b + 1 - a) * 10 >= width * 0.82]
+            cands.append(sorted((abs(centre - (a + b + 1) * 5) + max(0.0, width - (b + 1 - a) * 10), a, b) for a, b in spans))
+        ways = sorted(disjoint(cands))
+        want[str(page)] = (ways[0][1], round(ways[1][0] - ways[0][0], 6) if len(ways) > 1 else None) if ways else ([c[0][1:] for c in cands], 0.0)
+        rows += [(str(page), 0, f"n{k}", centre, width, centre, 0.0, 1.0, [], edges, gaps) for k, (centre, width) in enumerate(blocks)]
+    df = spark.createDataFrame(rows, f"source string, band int, name string, centre double, width double, x_min double, y_top double, y_bottom double, rects {RECT}, edges array<double>, gaps array<int>")
+    got = {}
+    for x in sorted(pages.place_blocks(df).collect(), key=lambda x: x.centre):
+        got.setdefault(x.source, ([], x.span_margin if x.span_margin is None else round(x.span_margin, 6)))[0].append((x.a, x.b))
+    assert got == want
+    assert sum(len(s) > 4 and m != 0.0 for s, m in got.values()) > 3
+
+
+def disjoint(cands, end=-1):
+    if not cands:
+        return [(0.0, [])]
+    return [(c + cost, [(a, b), *rest]) for c, a, b in cands[0] if a > end for cost, rest in disjoint(cands[1:], b)]
+
+
 def test_exam_page(spark):
     runs = [
         (200.0, 120.0, 60.0, "MONDAY 11"), (200.0, 220.0, 60.0, "TUESDAY 12"), (150.0, 10.0, 60.0, "9:00 - 12:00"), (100.0, 10.0, 60.0, "15:00 - 18:00"),
