@@ -1,7 +1,7 @@
 """Near-duplicate classes: DartMinHash signatures, banded joining, exact verification.
 
 1. Texts become sets of five-word shingles (a text of fewer words is one shingle). Equal sets are one class
-   from the start; each goes on through its least document.
+   from the start; each goes on through its least document. Equal texts without a word are one class too.
 2. Signatures of ``K`` darts are cut into bands; documents that share a band's key form a group. In each
    group the document with the most partners over all its groups is the hub, and every member is
    compared with the hub on the whole sets: pairs grow with the members, not with their square.
@@ -57,13 +57,22 @@ def shingles(block: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray,
 
 
 def _sketch(docs: DataFrame, weighted: bool) -> DataFrame:
-    """id, two fingerprints of the shingle set, and the band keys; texts without words are left out."""
+    """id, two fingerprints of the shingle set, and the band keys; a text without words has those of its bytes and no band, a null text no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, block in slices(batch, "text", 1 << 20):
                 of, key, count = shingles(block)
                 present = np.unique(of)
+                blank = np.setdiff1d(np.flatnonzero(np.asarray(rows.column("text").is_valid())), present)
+                if len(blank):
+                    start, end = block.off[blank], block.off[blank + 1]
+                    own = np.zeros(len(blank), U64)
+                    own[end > start] = block.hashes(start[end > start], end[end > start])
+                    with np.errstate(over="ignore"):
+                        prints = [mix(own + U64(s)).view(np.int64) for s in (1, 2)]
+                    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(blank) + 1), pa.int32()), pa.array([], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(blank)), pa.array(prints[0]), pa.array(prints[1]), none], ["id", "f1", "f2", "bands"])
                 if not len(present):
                     continue
                 with np.errstate(over="ignore"):
@@ -178,8 +187,8 @@ def _crossed(groups: DataFrame, sets: DataFrame, threshold: float, weighted: boo
 def classes(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
     """doc_id and class_id (the least doc_id of its near-duplicate class) for each row of ``docs``.
 
-    Similarity is Jaccard's over distinct five-word shingles, or (weighted) over their counts. Texts without a
-    word (null, empty, blank) are classes of their own; a row with a null id has a null class; rows that
+    Similarity is Jaccard's over distinct five-word shingles, or (weighted) over their counts. Of texts without
+    a word, equal ones (empty or blank) are one class, null ones classes of their own; a row with a null id has a null class; rows that
     share an id are one document, with the links of the least of their sets. Ids are integers. An empty table gives none; other columns are not read.
     """
     spark = docs.sparkSession
@@ -187,6 +196,10 @@ def classes(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id",
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
     known = rows.where("id is not null")
     sketch = runtime.materialize(_sketch(known, weighted), "sketch")
+    blank = sketch.where("size(bands) = 0").join(sketch.where("size(bands) > 0").select("id"), "id", "left_anti")  # an id with words is no blank document
+    blank = runtime.materialize(blank.groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("f")).select("id", "f.f1", "f.f2"), "blank")
+    alike = blank.join(blank.groupBy("f1", "f2").agg(F.min("id").alias("head")), ["f1", "f2"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    sketch = sketch.where("size(bands) > 0")
     first = sketch.groupBy("f1", "f2").agg(F.min("id").alias("head"), F.min(F.struct("id", "bands"))["bands"].alias("bands"))
     heads = runtime.materialize(first, "heads")
     keyed = heads.select(F.col("head").alias("id"), F.explode("bands").alias("key"))
@@ -204,6 +217,6 @@ def classes(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id",
     homes = placed.where("id = hub").select("key", F.col("component").alias("home"))
     more = _crossed(placed.select("key", "id", "component").join(homes, "key"), sets, threshold, weighted)
     same = sketch.join(heads.select("f1", "f2", "head"), ["f1", "f2"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
-    every = components(links.union(runtime.materialize(more, "more").select("a", "b")).union(same.where("a <> b")), "classes")
+    every = components(links.union(runtime.materialize(more, "more").select("a", "b")).union(same.union(alike).where("a <> b")), "classes")
     out = rows.select("id").join(every, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("class_id"))

@@ -63,6 +63,12 @@ def test_classes_against_brute_force(spark, weighted):
     assert got == brute(docs, weighted)
 
 
+def test_equal_blank_texts_are_one_class(spark):
+    docs = [(k, "") for k in range(4)] + [(4, " \n"), (5, " \n"), (6, None), (7, None), (8, "word"), (9, "word"), (9, ""), (10, "")]
+    got = {x.doc_id: x.class_id for x in classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 8, 10: 0}
+
+
 def test_odd_documents(odd_docs, no_docs):
     rows = classes(odd_docs).collect()
     assert len(rows) == odd_docs.count()
