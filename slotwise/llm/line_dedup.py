@@ -1,7 +1,8 @@
 """Line deduplication within one edit, by a deletion-neighbourhood join.
 
 A line goes if an earlier line (by document id, then place) equals it or is one edit (insertion, deletion or
-substitution of a character) away, judged on the input. Lines under ``MIN_CHARS`` characters stay.
+substitution of a character) away, judged on the input. Lines under ``MIN_CHARS`` characters stay; with
+``exact_all`` they go too where an earlier line equals them, but for lines without a word.
 
 1. Equal lines meet by a 128-bit hash; only the earliest of each goes on.
 2. Two lines one edit apart agree in their first or in their second half. Lines whose halves (four keys a
@@ -32,9 +33,9 @@ FILTER_BITS = 24
 
 
 class Lines:
-    """The lines of a block that are long enough: bytes, place, text number, characters, hashes."""
+    """The lines of a block that are long enough (or, with ``words``, have a word): bytes, place, text number, characters, hashes."""
 
-    def __init__(self, block: Block, min_chars: int):
+    def __init__(self, block: Block, min_chars: int, words: bool = False):
         self.block = block
         ls, le = block.lines()
         doc = np.searchsorted(block.off, ls, "right") - 1
@@ -46,7 +47,11 @@ class Lines:
         place = np.arange(len(ls)) - np.searchsorted(doc, doc)
         self.chars_at = np.flatnonzero((block.buf & 0xC0) != 0x80)
         first, last = np.searchsorted(self.chars_at, ls), np.searchsorted(self.chars_at, le)
-        at = np.flatnonzero((last - first >= min_chars) & (le > ls))
+        counts = last - first >= min_chars
+        if words:
+            start = block.words()[0]
+            counts |= np.searchsorted(start, le) > np.searchsorted(start, ls)
+        at = np.flatnonzero(counts & (le > ls))
         self.start, self.end, self.doc, self.place = ls[at], le[at], doc[at], place[at]
         self.first, self.n = first[at], (last - first)[at]
         self.total = np.bincount(doc, minlength=block.n)
@@ -96,19 +101,19 @@ class Lines:
         return np.concatenate(lines).astype(np.int64), np.concatenate(keys), np.concatenate(roles)
 
 
-def _i64(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+def _i64(x: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64), mask=null)
 
 
-def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
-    """dkey, id, place, key, key2 and the four half keys of every line that counts."""
+def _lines(rows: DataFrame, min_chars: int, exact_all: bool) -> DataFrame:
+    """dkey, id, place, key, key2 and the four half keys of every line that counts; the half keys of a line under ``min_chars`` are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, block in slices(batch, "text", 1 << 20):
-                x = Lines(block, min_chars)
-                doc, halves = pa.array(x.doc), x.halves()
-                yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array(x.place), _i64(x.key), _i64(x.key2), *(_i64(halves[:, k]) for k in range(4))], names)
+                x = Lines(block, min_chars, exact_all)
+                doc, halves, short = pa.array(x.doc), x.halves(), x.n < min_chars
+                yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array(x.place), _i64(x.key), _i64(x.key2), *(_i64(halves[:, k], short) for k in range(4))], names)
 
     names = ["id", "dkey", "place", "key", "key2", "h0", "h1", "h2", "h3"]
     return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
@@ -121,7 +126,7 @@ def _bit(key: Column) -> Column:
 def _near(rows: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     """(dkey, place) of the lines, at their earliest occurrence, that have an earlier line one edit away."""
     spark = rows.sparkSession
-    halves = firsts.select("key", "key2", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("kind", "half"))
+    halves = firsts.select("key", "key2", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("kind", "half")).where("half is not null")
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     kinds = halves.join(shared, "half").groupBy("key", "key2").agg(F.expr("bit_or(shiftleft(1, kind))").alias("kinds"))
     able = runtime.materialize(firsts.select("key", "key2", "at").join(kinds, ["key", "key2"]), "able")
@@ -168,13 +173,13 @@ def _near(rows: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     return both.where(F.levenshtein("line", "other", 1) == 1).select("dkey", "place")
 
 
-def removed_lines(docs: DataFrame, *, bound: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, *, bound: int = 1, min_chars: int = MIN_CHARS, exact_all: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(dkey, places): for each document that loses lines, the places (from 0) of those; dkey is ``document_key``."""
     if bound not in (0, 1):
         raise ValueError("the edit bound is 0 or 1")
     runtime.ship(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), document_key(docs[id_col], docs[text_col]).alias("dkey"), docs[text_col].cast("string").alias("text"))
-    lines = runtime.materialize(_lines(rows, min_chars), "lines")
+    lines = runtime.materialize(_lines(rows, min_chars, exact_all), "lines")
     halves = [F.min(h).alias(h) for h in ("h0", "h1", "h2", "h3")]
     firsts = runtime.materialize(lines.groupBy("key", "key2").agg(F.min(F.struct("id", "dkey", "place")).alias("at"), F.count("*").alias("n"), *halves), "firsts")
     goes = lines.select("dkey", "place", "key", "key2", F.struct("id", "dkey", "place").alias("own")).join(firsts.where("n > 1").select("key", "key2", "at"), ["key", "key2"]).where("own <> at or own is null or at is null").select("dkey", "place")
@@ -189,17 +194,18 @@ def document_key(id_col: Column, text_col: Column) -> Column:
     return F.xxhash64(id_col.cast("bigint"), text_col.cast("string"))
 
 
-def dedup_lines(docs: DataFrame, *, bound: int = 1, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, bound: int = 1, min_chars: int = MIN_CHARS, exact_all: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated lines gone from ``text_col``, and n_lines and n_removed beside its own columns.
 
     All rows and columns stay (those two names and ``_dkey``, ``_places`` must be free). A removed line goes with
     its line feed. Null texts stay null, with no line; a text that loses every line is empty. A null id comes
     before every other. Of equal documents (id and text) the lines are removed alike. An empty table stays so.
+    With ``exact_all`` equal lines of any length go, if they have a word; ``min_chars`` is then for the edits only.
     """
     names = [*docs.columns, "n_lines", "n_removed"]
     if len({n.lower() for n in [*names, "_dkey", "_places"]}) < len(names) + 2:
         raise ValueError("the input has repeated column names, or one of the result's")
-    gone = removed_lines(docs, bound=bound, min_chars=min_chars, id_col=id_col, text_col=text_col).withColumnsRenamed({"dkey": "_dkey", "places": "_places"})
+    gone = removed_lines(docs, bound=bound, min_chars=min_chars, exact_all=exact_all, id_col=id_col, text_col=text_col).withColumnsRenamed({"dkey": "_dkey", "places": "_places"})
     both = docs.withColumn("_dkey", document_key(docs[id_col], docs[text_col])).join(gone, "_dkey", "left").select(*[f"`{c}`" for c in docs.columns], "_places")
     text_at = docs.columns.index(text_col)
 

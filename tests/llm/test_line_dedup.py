@@ -52,6 +52,14 @@ def test_against_brute_force(spark, seed, bound):
     assert got == brute(docs, bound)
 
 
+def test_short_lines_go_where_all_exact_repeats_do(spark):
+    docs = [(1, "Les.\n\n  \na line of some length\nfifteen letters"), (2, "Les.\n\n  \na line of some lengths\nfifteen letterz\nx"), (3, "x\nLes"), (4, "x\nLes.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in dedup_lines(df, exact_all=True).collect()}
+    assert got == {1: docs[0][1], 2: "\n  \nfifteen letterz\nx", 3: "Les", 4: ""}
+    assert {x.doc_id: x.n_removed for x in dedup_lines(df).collect()} == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 def test_odd_documents(odd_docs, no_docs):
     rows = dedup_lines(odd_docs).collect()
     assert len(rows) == odd_docs.count() and rows[0].asDict().keys() >= {"score", "n_lines", "n_removed"}
