@@ -147,8 +147,11 @@ def _block_links(members_a: list[dict], members_b: list[dict], threshold: float,
         size.append(np.array([len(m["keys"]) // 8 for m in x], np.float32))
     shared = grid[0] @ grid[1].T
     like = shared / np.maximum(size[0][:, None] + size[1][None, :] - shared, 1)
-    # counts can lower or raise the weighted similarity: then every pair that shares much is looked at in full
-    for i, j in zip(*np.nonzero(like >= (threshold if not weighted else threshold / 2)), strict=True):
+    if weighted:  # whatever the sets are like, no pair is more similar than its smaller total weight over the larger
+        total = [np.array([np.frombuffer(m["counts"], np.int64).sum() for m in x], float) for x in (members_a, members_b)]
+        bound = np.minimum(total[0][:, None], total[1][None, :]) / np.maximum(np.maximum(total[0][:, None], total[1][None, :]), 1)
+        like = np.where(shared > 0, bound, 0)
+    for i, j in zip(*np.nonzero(like >= threshold), strict=True):
         a, b = members_a[i], members_b[j]
         if a["component"] == b["component"]:
             continue

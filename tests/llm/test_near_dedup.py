@@ -6,7 +6,7 @@ import pytest
 
 from slotwise.llm.components import components
 from slotwise.llm.dart_minhash import signatures
-from slotwise.llm.near_dedup import classes
+from slotwise.llm.near_dedup import _block_links, classes
 from slotwise.llm.textblock import U64, mix
 
 from .conftest import prose
@@ -69,6 +69,12 @@ def test_equal_blank_texts_are_one_class(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 8, 10: 0}
 
 
+def test_weighted_links_between_unlike_sets():
+    member = lambda k, own: {"id": k, "component": k, "keys": np.array([1, *own], U64).tobytes(), "counts": np.array([1000] + [1] * len(own), np.int64).tobytes()}
+    assert list(_block_links([member(1, range(10, 40))], [member(2, range(50, 80))], 0.8, True)) == [(1, 2)]
+    assert list(_block_links([member(1, range(10, 40))], [member(2, range(50, 80))], 0.8, False)) == []
+
+
 def test_odd_documents(odd_docs, no_docs):
     rows = classes(odd_docs).collect()
     assert len(rows) == odd_docs.count()
