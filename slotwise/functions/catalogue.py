@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slotwise.functions.binding import strip
+
 #: Minutes of an exam whose end is not printed, and how much each source of a duration is worth, the languages and the form of a guide's link.
 DEFAULT_EXAM_MINUTES = 120
 STRENGTH = {"curated": 5, "explicit_range": 4, "start_override_default2h": 3, "vision_default2h": 2, "slot_default2h": 1}
@@ -14,18 +16,18 @@ GUIDE = r"GA_([^_/]+)_(\d+)_(EN|ES)_"
 
 def clean_cell(c: Column) -> Column:
     """A trimmed cell; missing and broken ones are empty."""
-    t = F.trim(F.coalesce(c, F.lit("")))
+    t = strip(F.coalesce(c, F.lit("")))
     return F.when(t == "#REF!", "").otherwise(t)
 
 
 def credit_value(c: Column) -> Column:
     """The number at the start of a cell with a decimal comma; null if there is none."""
-    digits = F.regexp_extract(F.regexp_replace(c, ",", "."), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+    digits = F.regexp_extract(strip(F.replace(c, F.lit(","), F.lit("."))), r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
     return F.nullif(digits, F.lit("")).try_cast("double")
 
 
 def _cells(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), strip), lambda x: x != "")
 
 
 def plan_code_pairs(plans: Column, codes: Column) -> Column:

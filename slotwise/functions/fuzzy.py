@@ -49,7 +49,10 @@ def score(a: Column, b: Column) -> Column:
         total = lambda p: WEIGHTS["lev"] * p["lev"] + WEIGHTS["token_set"] * p["token_set"] + WEIGHTS["containment"] * p["containment"] + WEIGHTS["prefix"] * p["prefix"]
         return let(parts, lambda p: F.struct(total(p).alias("total"), *[p[k].alias(k) for k in WEIGHTS]))
 
-    return let(a, lambda x: let(b, lambda y: let(F.array_distinct(x["tokens"]), lambda tx: let(F.array_distinct(y["tokens"]), lambda ty: let(shared_tokens(tx, ty), lambda n: made(x, y, tx, ty, n))))))
+    def both(x: Column, y: Column) -> Column:
+        return let(F.array_distinct(x["tokens"]), lambda tx: let(F.array_distinct(y["tokens"]), lambda ty: let(shared_tokens(tx, ty), lambda n: made(x, y, tx, ty, n))))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: both(p["a"], p["b"]))
 
 
 def outcome(total: Column, margin: Column, containment: Column) -> Column:
@@ -63,11 +66,27 @@ def outcome(total: Column, margin: Column, containment: Column) -> Column:
     )
 
 
+def token_keys(tokens: Column) -> Column:
+    """Keys by which tokens that ``tokens_equal`` holds equal meet: the token, and of one of five letters or more the token without each letter."""
+    short = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda k: F.concat(F.substring(t, F.lit(1), k - 1), F.substring(t, k + 1, F.length(t))))
+    keys = F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), F.when(F.length(t) >= FUZZY_TOKEN, short(t)).otherwise(F.array().cast("array<string>")))))
+    return F.array_distinct(keys)
+
+
+def candidates(targets: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs of a target (target, a) and an item (item, b) that share a token or nearly (by ``token_keys``), each once; a and b are normalised names.
+
+    Names that share none score below every bound of ``outcome``: all but the edit distance is nothing then. Names without a token meet nobody.
+    """
+    t = targets.select("target", "a", F.explode(token_keys(F.col("a.tokens"))).alias("_key"))
+    i = items.select("item", "b", F.explode(token_keys(F.col("b.tokens"))).alias("_key"))
+    return t.join(i, "_key").dropDuplicates(["target", "item"]).drop("_key")
+
+
 def best_match(scored: DataFrame, target: str, item: str, order: str) -> DataFrame:
     """Of scored pairs (target, item, score, order): for each target the best item, its runner-up, margin and outcome.
 
-    Equal totals fall to the lesser ``order``. The pairs come from a join within a block (a programme), so a
-    target's pool is bounded by its block.
+    Equal totals fall to the lesser ``order``. The pairs come from ``candidates``, or from a join within a programme.
     """
     by = Window.partitionBy(target).orderBy(F.col("score.total").desc(), F.col(order))
     ranked = scored.withColumn("rank", F.row_number().over(by)).withColumn("next_total", F.lead("score.total").over(by)).withColumn("runner_up", F.lead(item).over(by)).where("rank = 1")

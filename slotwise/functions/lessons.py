@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from slotwise.functions.binding import spaced, strip
+
 DAY_START, DAY_END, STEP, NAME_MAX, ROOM_MAX = 540, 1260, 30, 60, 20
 LESSON = "struct<id: string, name: string, day: int, start: int, end: int, room: string>"
 
@@ -32,12 +34,12 @@ def decode(value: Column) -> Column:
 
     Ids tell the entry's place, dropped ones counted.
     """
-    number = lambda x: F.when(x.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(x).try_cast("int"))
+    number = lambda x: F.when(x.rlike(spaced(r"^\s*[+-]?\d+\s*$")), strip(x).try_cast("int"))
 
     def one(part: Column, k: Column) -> Column:
         f = F.split(part, r"\|")
         at = lambda n: F.get(f, F.lit(n))
-        name, room = F.trim(_decode(at(0))), F.trim(_decode(at(4)))
+        name, room = strip(_decode(at(0))), strip(_decode(at(4)))
         day, start, end = number(at(1)), number(at(2)), number(at(3))
         good = (part != "") & (F.size(f) == 5) & (name != "") & room.isNotNull() & day.between(1, 5) & (start >= DAY_START) & (end <= DAY_END) & (start < end) & (start % STEP == 0) & (end % STEP == 0)
         made = F.struct(F.concat(F.lit("shared-"), k.cast("string")).alias("id"), F.substring(name, 1, NAME_MAX).alias("name"), day.alias("day"), start.alias("start"), end.alias("end"), F.when(room != "", F.substring(room, 1, ROOM_MAX)).alias("room"))

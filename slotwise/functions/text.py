@@ -5,10 +5,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from slotwise.functions.binding import let
+from slotwise.functions.binding import let, spaced, strip
 
 #: Words that do not tell names apart, prefixes that a name may carry, spellings taken as one.
 STOPWORDS = ["de", "del", "la", "el", "y", "en", "los", "las", "of", "the", "and", "for", "in", "to", "a"]
@@ -17,47 +18,54 @@ EQUIVALENCES = [("e health", "ehealth"), ("e mail", "email")]
 FILLER = [r"actividades\s+de\s+evaluaci[oó]n", r"uso\s+extraordinario", r"to\s+be\s+used\s+sporadically", r"complementary\s*/?\s*(?:and\s+)?evaluation\s+activities", r"complementary\s+activities", r"^\s*[/\s]*$"]
 
 
-def _single(form: str, last: int) -> tuple[str, str]:
-    """Characters up to ``last`` that a normal form (without marks) turns into one other, and those."""
+def _bases(last: int) -> tuple[str, str]:
+    """Characters up to ``last`` whose canonical decomposition is one base letter and marks, and those letters."""
     pairs = []
     for k in range(0xA0, last):
-        c = chr(k)
-        n = "".join(x for x in unicodedata.normalize(form, c) if unicodedata.category(x) != "Mn")
-        if len(n) == 1 and n != c and not 0xD800 <= k < 0xE000:
-            pairs.append((c, n))
+        n = "".join(x for x in unicodedata.normalize("NFD", chr(k)) if unicodedata.category(x) != "Mn")
+        if len(n) == 1 and n != chr(k) and not 0xD800 <= k < 0xE000:
+            pairs.append((chr(k), n))
     return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
 
 
-_ACCENTS = _single("NFD", 0x250)
-_COMPATIBLE = _single("NFKC", 0x10000)
-_LIGATURES = [(chr(k), unicodedata.normalize("NFKC", chr(k))) for k in range(0xFB00, 0xFB07)]
+_ACCENTS = _bases(0x10000)
 
 
 def deaccent(c: Column) -> Column:
-    """Without accents: Latin letters with marks become their base, loose marks go."""
+    """Without accents: letters with marks become their base, loose marks go."""
     return F.regexp_replace(F.translate(c, *_ACCENTS), r"\p{Mn}", "")
 
 
+def _normalised_to(form: str) -> Callable[[Column], Column]:
+    @F.pandas_udf("string")
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t), na_action="ignore")
+
+    return normal
+
+
 def compatible(c: Column) -> Column:
-    """Full-width, styled and ligature forms as their plain characters (the compatibility forms of one character, and the Latin ligatures)."""
-    c = F.translate(c, *_COMPATIBLE)
-    for ligature, plain in _LIGATURES:
-        c = F.replace(c, F.lit(ligature), F.lit(plain))
-    return c
+    """Full-width, styled, ligature and composite forms as their plain characters (NFKC). No built-in does this; not for use inside a lambda."""
+    return _normalised_to("NFKC")(c)
+
+
+def composed(c: Column) -> Column:
+    """Letters and their marks as one character where there is one (NFC), as paths are compared. Not for use inside a lambda."""
+    return _normalised_to("NFC")(c)
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, spaced(r"\s+"), " "))
 
 
 #: Patterns of what is printed beside a name, in the order in which they are taken out.
-PRINTED_RANGE = r"(?i)\(\s*(\d{1,2}(?::\d{2})?\s*(?:-|–|to)\s*\d{1,2}(?::\d{2})?\s*h?\.?)\s*\)"
-START_OVERRIDE = r"(?:^|\s)(\d{1,2}:\d{2})\s*h\.?(?=\s|$)"
-WEEK_RANGE = r"(?i)\(\s*(weeks?\s+\d{1,2}\s*-\s*\d{1,2})\s*\)"
-MONTH_RANGE = r"(?i)\(\s*([a-z]{3}\s*-\s*[a-z]{3})\s*\)"
-ELECTIVE = r"(?i)\(\s*(?:elective|\*)\s*\)"
+PRINTED_RANGE = spaced(r"(?i)\(\s*(\d{1,2}(?::\d{2})?\s*(?:-|–|to)\s*\d{1,2}(?::\d{2})?\s*h?\.?)\s*\)")
+START_OVERRIDE = spaced(r"(?:^|\s)(\d{1,2}:\d{2})\s*h\.?(?=\s|$)")
+WEEK_RANGE = spaced(r"(?i)\(\s*(weeks?\s+\d{1,2}\s*-\s*\d{1,2})\s*\)")
+MONTH_RANGE = spaced(r"(?i)\(\s*([a-z]{3}\s*-\s*[a-z]{3})\s*\)")
+ELECTIVE = spaced(r"(?i)\(\s*(?:elective|\*)\s*\)")
 PLACEHOLDER = r"/{3,}"
-STAR = r"\*+\s*$"
+STAR = spaced(r"\*+\s*$")
 
 _ANNOTATION = "struct<kind: string, start_min: int, end_min: int, label: string, raw: string>"
 
@@ -69,7 +77,7 @@ def _annotation(kind: str, raw: Column, start: Column | None = None, end: Column
 
 def _as(kind: str) -> Callable[[Column], Column]:
     """A match as an annotation of a kind that has no value."""
-    return lambda raw: _annotation(kind, F.trim(raw) if kind == "star" else raw)
+    return lambda raw: _annotation(kind, strip(raw) if kind == "star" else raw)
 
 
 def strip_annotations(c: Column) -> Column:
@@ -80,7 +88,7 @@ def strip_annotations(c: Column) -> Column:
     """
     from slotwise.functions.times import parse_time_range
 
-    inner = lambda raw: F.regexp_replace(raw, r"^\(\s*|\s*\)$", "")
+    inner = lambda raw: F.regexp_replace(raw, spaced(r"^\(\s*|\s*\)$"), "")
     minute = lambda t: F.split(t, ":")[0].cast("int") * 60 + F.substring(F.split(t, ":")[1], 1, 2).cast("int")
 
     def printed(raw: Column) -> Column:
@@ -99,9 +107,9 @@ def strip_annotations(c: Column) -> Column:
 
     steps = [
         timed,
-        taken(START_OVERRIDE, lambda raw: _annotation("startOverride", F.trim(raw), minute(F.trim(raw)))),
+        taken(START_OVERRIDE, lambda raw: _annotation("startOverride", strip(raw), minute(strip(raw)))),
         taken(WEEK_RANGE, lambda raw: _annotation("weekRange", raw, label=inner(raw))),
-        taken(MONTH_RANGE, lambda raw: _annotation("dateRange", raw, label=F.lower(F.regexp_replace(inner(raw), r"\s+", "")))),
+        taken(MONTH_RANGE, lambda raw: _annotation("dateRange", raw, label=F.lower(F.regexp_replace(inner(raw), spaced(r"\s+"), "")))),
         taken(ELECTIVE, _as("elective")),
         taken(PLACEHOLDER, _as("placeholder")),
         taken(STAR, _as("star")),
@@ -119,7 +127,7 @@ def normalise(c: Column, equivalences: list[tuple[str, str]] = EQUIVALENCES) ->
     spellings as one (by substring). ``tokens``: its words without stopwords. ``key``: with hyphens. ``candidates``:
     the form without a known prefix before a colon, where there is one.
     """
-    drop = lambda t: collapse(F.regexp_replace(t, r"[^\p{L}\p{N}\s]", " "))
+    drop = lambda t: collapse(F.regexp_replace(t, spaced(r"[^\p{L}\p{N}\s]"), " "))
 
     def forms(full: Column, rest: Column) -> Column:
         tokens = F.filter(F.split(full, " "), lambda t: (t != "") & ~t.isin(STOPWORDS))
@@ -127,7 +135,7 @@ def normalise(c: Column, equivalences: list[tuple[str, str]] = EQUIVALENCES) ->
         return F.struct(full.alias("full"), tokens.alias("tokens"), F.replace(full, F.lit(" "), F.lit("-")).alias("key"), candidates.alias("candidates"))
 
     def rest_of(s: Column) -> Column:
-        return drop(F.coalesce(*[F.nullif(F.regexp_extract(s, rf"^{p}\s*:\s*(.+)$", 1), F.lit("")) for p in PREFIXES]))
+        return drop(F.coalesce(*[F.nullif(F.regexp_extract(s, spaced(rf"^{p}\s*:\s*(.+)$"), 1), F.lit("")) for p in PREFIXES]))
 
     s = F.translate(F.translate(compatible(c), "–—‐‑‒", "-----"), "‘’", "''")
     s = deaccent(F.lower(strip_annotations(s)["name"]))
@@ -143,7 +151,7 @@ ROOMS = [r"(?i)^\s*(?:Aulas?|Rooms?|Classroom)\s+([\dA-Za-z]+(?:\s*-\s*\d+)?)\s*
 
 def room_of(line: Column) -> Column:
     """The room that a whole line names; null if it names none."""
-    return F.regexp_replace(F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in ROOMS]), r"\s+", "")
+    return F.regexp_replace(F.coalesce(*[F.nullif(F.regexp_extract(line, spaced(p), 1), F.lit("")) for p in ROOMS]), spaced(r"\s+"), "")
 
 
 def extract_room(lines: Column) -> Column:
@@ -168,8 +176,8 @@ def assemble_name(lines: Column) -> Column:
 
 def classify_block(name: Column, extra: list[str] | None = None) -> Column:
     """``filler`` for blank names and those of the filler patterns, else ``course``."""
-    filler = name.rlike("(?i)" + "|".join(FILLER + (extra or [])))
-    return F.when((F.trim(name) == "") | filler, "filler").otherwise("course")
+    filler = name.rlike(spaced("(?i)" + "|".join(FILLER + (extra or []))))
+    return F.when((strip(name) == "") | filler, "filler").otherwise("course")
 
 
 def slug(path: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from slotwise.functions.binding import let
+from slotwise.functions.binding import let, spaced, strip
 from slotwise.functions.text import deaccent
 
 GRANULARITY = 30
@@ -43,9 +43,9 @@ def fmt_range(start: Column, end: Column, assumed: Column) -> Column:
 
 
 #: Notations of a time.
-_TWELVE = r"(?i)^(\d{1,2})[:.](\d{2})\s*([ap])\.?m?\.?$"
-_CLOCK = r"^(\d{1,2})[:.](\d{2})\s*(?:h\.?)?$"
-_HOUR = r"^(\d{1,2})\s*h\.?$"
+_TWELVE = spaced(r"(?i)^(\d{1,2})[:.](\d{2})\s*([ap])\.?m?\.?$")
+_CLOCK = spaced(r"^(\d{1,2})[:.](\d{2})\s*(?:h\.?)?$")
+_HOUR = spaced(r"^(\d{1,2})\s*h\.?$")
 
 
 def parse_time(text: Column) -> Column:
@@ -56,12 +56,12 @@ def parse_time(text: Column) -> Column:
         half = number(s, _TWELVE, 1) % 12 + F.when(F.lower(_group(s, _TWELVE, 3)) == "p", 12).otherwise(0)
         return F.when(s.rlike(_TWELVE), to_min(half, number(s, _TWELVE, 2))).when(s.rlike(_CLOCK), to_min(number(s, _CLOCK, 1), number(s, _CLOCK, 2))).when(s.rlike(_HOUR), number(s, _HOUR, 1) * 60)
 
-    return let(F.trim(F.translate(text, _NBSP, " ")), read)
+    return let(strip(text), read)
 
 
 #: Notations of a range of times.
 _POINT = r"(\d{1,2}(?:[:.]\d{2})?\s*(?:[ap]\.?m?\.?)?)"
-_RANGE = rf"(?i)^{_POINT}\s*(?:-|–|—|to)\s*{_POINT}\s*(?:h\.?)?$"
+_RANGE = spaced(rf"(?i)^{_POINT}\s*(?:-|–|—|to)\s*{_POINT}\s*(?:h\.?)?$")
 
 
 def parse_time_range(text: Column) -> Column:
@@ -71,13 +71,13 @@ def parse_time_range(text: Column) -> Column:
         points = F.transform(F.array(_group(s, _RANGE, 1), _group(s, _RANGE, 2)), lambda p: F.coalesce(parse_time(p), parse_time(F.concat(p, F.lit(":00")))))
         return let(points, lambda p: F.when(F.get(p, F.lit(1)) > F.get(p, F.lit(0)), F.struct(F.get(p, F.lit(0)).alias("start_min"), F.get(p, F.lit(1)).alias("end_min"))))
 
-    return let(F.trim(F.translate(text, _NBSP, " ")), read)
+    return let(strip(text), read)
 
 
 def parse_time_input(text: Column) -> Column:
     """Minutes of a typed HH:MM, with hours to 23 and minutes to 59."""
     p = r"^(\d{1,2}):(\d{2})$"
-    h, m = (_group(F.trim(text), p, k).cast("int") for k in (1, 2))
+    h, m = (_group(strip(text), p, k).cast("int") for k in (1, 2))
     return F.when((h <= 23) & (m <= 59), to_min(h, m))
 
 
@@ -93,7 +93,7 @@ def assert_granularity(minutes: Column, where: Column) -> Column:
 
 def parse_weekday(text: Column) -> Column:
     """1 (Monday) to 5, from a Spanish or English name; null otherwise."""
-    return _lookup(WEEKDAYS, F.regexp_replace(deaccent(F.lower(F.trim(text))), "[^a-z]", ""))
+    return _lookup(WEEKDAYS, F.regexp_replace(deaccent(F.lower(strip(text))), "[^a-z]", ""))
 
 
 def weekday_of(date: Column) -> Column:
@@ -103,8 +103,8 @@ def weekday_of(date: Column) -> Column:
 
 def parse_exam_date(text: Column, month: int = EXAM_MONTH, year: int = EXAM_YEAR) -> Column:
     """The date of ``12-January`` or of ``MONDAY 12``; a weekday that the date does not have gives null."""
-    s = F.trim(F.translate(text, _NBSP, " "))
-    day_first, name_first = r"^(\d{1,2})\s*[-\s]\s*([A-Za-z]+)$", r"^([A-Za-zÀ-ÿ]+)\s+(\d{1,2})$"
+    s = strip(text)
+    day_first, name_first = spaced(r"^(\d{1,2})\s*[-\s]\s*([A-Za-z]+)$"), spaced(r"^([A-Za-zÀ-ÿ]+)\s+(\d{1,2})$")
     date = lambda m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", F.lit(year), m, d), "yyyy-MM-dd")
     named = date(_lookup(MONTHS, F.lower(_group(s, day_first, 2))), _group(s, day_first, 1).cast("int"))
     checked = date(F.lit(month), _group(s, name_first, 2).cast("int"))
@@ -113,8 +113,8 @@ def parse_exam_date(text: Column, month: int = EXAM_MONTH, year: int = EXAM_YEAR
 
 def resolve_validity(label: Column) -> Column:
     """struct(from, to) of ``Weeks 1-7`` (of the term, no later than its end) or ``sep-oct``; null otherwise."""
-    s = F.lower(F.trim(label))
-    weeks, months = r"^weeks?\s+(\d{1,2})\s*-\s*(\d{1,2})$", r"^([a-z]{3})\s*-\s*([a-z]{3})$"
+    s = F.lower(strip(label))
+    weeks, months = spaced(r"^weeks?\s+(\d{1,2})\s*-\s*(\d{1,2})$"), spaced(r"^([a-z]{3})\s*-\s*([a-z]{3})$")
     start = F.lit(TERM_START).cast("date")
     a, b = (_group(s, weeks, k).cast("int") for k in (1, 2))
     first, last = (_lookup(VALIDITY_MONTHS, _group(s, months, k)).cast("date") for k in (1, 2))

@@ -3,41 +3,52 @@
 An overlap join meets on the day and on a time bucket, not on the day alone: each interval enters the
 buckets that it touches, and a pair counts in the bucket in which the later one starts, so once. A day that
 a large part of all rows share is thus spread over its buckets and each row meets only its neighbourhood.
+
+Where only existence or numbers are asked, rows are first reduced to slots, the distinct (day, start, end and
+what else matters) with their numbers and their least and greatest key. Slots are few, whatever the rows:
+they meet one another, and each row then looks up its slot. A row meets another key's exactly if the least or
+the greatest key that its slot meets is not its own.
 """
 
 from __future__ import annotations
 
+from bisect import insort
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions.times import ranges_overlap
 
-BUCKET = 30
+BUCKET, SALTS = 30, 16
 
 
 def _named(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
 
 
-def overlap_pairs(rows: DataFrame, day: str, order: list[str], keep: Column | None = None, bucket: int = BUCKET) -> DataFrame:
+def overlap_pairs(rows: DataFrame, day: str, order: list[str], keep: Column | None = None, bucket: int = BUCKET, salts: int = 1) -> DataFrame:
     """Pairs (a_*, b_*) of rows of one ``day`` that overlap half-open on (s, e), a before b by (s, *order).
 
     ``order`` makes ties definite: it must tell rows apart. ``keep`` is a condition over both sides. Empty
-    intervals (e <= s) overlap none. Rows with a null day or bound match none.
+    intervals (e <= s) overlap none. Rows with a null day or bound match none. Where days are few (weekdays), ``salts``
+    deals the one side of each bucket to as many parts, and the other to each of them.
     """
     first = F.floor(F.col("s") / bucket)
-    spread = rows.where("s < e").withColumn("_bucket", F.explode(F.sequence(first, F.floor((F.col("e") - 1) / bucket))))
-    starts = rows.where("s < e").withColumn("_bucket", first)
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    spread = rows.where("s < e").withColumn("_salt", salt).withColumn("_bucket", F.explode(F.sequence(first, F.floor((F.col("e") - 1) / bucket))))
+    starts = rows.where("s < e").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))).withColumn("_bucket", first)
     a, b = _named(spread, "a"), _named(starts, "b")
     earlier = F.struct("a_s", *[f"a_{c}" for c in order]) < F.struct("b_s", *[f"b_{c}" for c in order])
-    on = (F.col(f"a_{day}") == F.col(f"b_{day}")) & (F.col("a__bucket") == F.col("b__bucket")) & earlier & (F.col("b_s") < F.col("a_e"))
-    return a.join(b, on if keep is None else on & keep).drop("a__bucket", "b__bucket")
+    on = (F.col(f"a_{day}") == F.col(f"b_{day}")) & (F.col("a__bucket") == F.col("b__bucket")) & (F.col("a__salt") == F.col("b__salt")) & earlier & (F.col("b_s") < F.col("a_e"))
+    return a.join(b, on if keep is None else on & keep).drop("a__bucket", "b__bucket", "a__salt", "b__salt")
 
 
 def session_collisions(placed: DataFrame, order: list[str]) -> DataFrame:
     """Weekly sessions (key, d, s, e, v_from, v_to) of different keys that overlap on a weekday (1-5) while both are valid."""
     valid = ranges_overlap(F.col("a_v_from"), F.col("a_v_to"), F.col("b_v_from"), F.col("b_v_to"))
-    return overlap_pairs(placed.where(F.col("d").between(1, 5)), "d", order, (F.col("a_key") != F.col("b_key")) & valid)
+    return overlap_pairs(placed.where(F.col("d").between(1, 5)), "d", order, (F.col("a_key") != F.col("b_key")) & valid, salts=SALTS)
 
 
 def severity(a_s: Column, a_e: Column, a_assumed: Column, b_s: Column, b_e: Column, b_assumed: Column) -> Column:
@@ -54,13 +65,35 @@ def exam_collisions(placed: DataFrame, order: list[str]) -> DataFrame:
     return pairs.withColumn("severity", severity(*side("a"), *side("b")))
 
 
-def colliding_keys(*collisions: DataFrame) -> DataFrame:
-    """Every key that is a side of a collision of any kind."""
-    sides = [c.select(F.explode(F.array("a_key", "b_key")).alias("key")) for c in collisions]
-    out = sides[0]
-    for s in sides[1:]:
-        out = out.union(s)
-    return out.distinct()
+def _slots(rows: DataFrame, day: str, more: list[str]) -> DataFrame:
+    return rows.where("s < e").groupBy(day, "s", "e", *more).agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"))
+
+
+def _spread(slots: DataFrame, side: str) -> DataFrame:
+    return _named(slots.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("s") / BUCKET), F.floor((F.col("e") - 1) / BUCKET)))), side)
+
+
+def met(rows: DataFrame, placed: DataFrame, day: str, more: list[str], kinds: dict[str, Column]) -> DataFrame:
+    """``rows`` that overlap a row of another key in ``placed`` on one day, each once, with a flag for every kind of overlap.
+
+    ``more`` are columns of both beside (key, day, s, e) that ``kinds``, conditions over a_* (of rows) and b_*, refer to.
+    A row of which every flag is false is left out. Rows with a null key, day or bound meet none.
+    """
+    a, b = _spread(_slots(rows, day, more), "a"), _spread(_slots(placed, day, more), "b")
+    on = (F.col(f"a_{day}") == F.col(f"b_{day}")) & (F.col("a__bucket") == F.col("b__bucket")) & (F.col("a_s") < F.col("b_e")) & (F.col("b_s") < F.col("a_e"))
+    own = [day, "s", "e", *more]
+    bounds = [f(F.when(when, F.col(f"b_{c}"))).alias(f"_{kind}_{c}") for kind, when in kinds.items() for f, c in ((F.min, "lo"), (F.max, "hi"))]
+    reach = a.join(b, on).groupBy(*[F.col(f"a_{c}").alias(f"_{c}") for c in own]).agg(*bounds).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = F.col("_salt") == F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")  # many rows may share a slot
+    for c in own:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    flag = lambda kind: F.coalesce((F.col(f"_{kind}_lo") != F.col("key")) | (F.col(f"_{kind}_hi") != F.col("key")), F.lit(False)).alias(kind)
+    out = rows.join(reach, same).select(*rows.columns, *[flag(k) for k in kinds])
+    return out.where(" or ".join(kinds))
+
+
+def _valid() -> Column:
+    return ranges_overlap(F.col("a_v_from"), F.col("a_v_to"), F.col("b_v_from"), F.col("b_v_to"))
 
 
 def blocking_keys(candidates: DataFrame, placed: DataFrame, day: str, valid: bool = False) -> DataFrame:
@@ -68,21 +101,56 @@ def blocking_keys(candidates: DataFrame, placed: DataFrame, day: str, valid: boo
 
     A candidate's rows only meet rows of other keys. An empty plan blocks nothing.
     """
-    first = F.floor(F.col("s") / BUCKET)
-    buckets = F.explode(F.sequence(first, F.floor((F.col("e") - 1) / BUCKET)))
-    c = _named(candidates.where("s < e").withColumn("_bucket", buckets), "c")
-    p = _named(placed.where("s < e").withColumn("_bucket", buckets), "p")
-    on = (F.col(f"c_{day}") == F.col(f"p_{day}")) & (F.col("c__bucket") == F.col("p__bucket")) & (F.col("c_s") < F.col("p_e")) & (F.col("p_s") < F.col("c_e")) & (F.col("c_key") != F.col("p_key"))
-    if valid:
-        on &= ranges_overlap(F.col("c_v_from"), F.col("c_v_to"), F.col("p_v_from"), F.col("p_v_to"))
-    return c.join(p, on, "left_semi").select(F.col("c_key").alias("key")).distinct()
-
-
-def merge_slots(placed: DataFrame) -> DataFrame:
-    """Rows (key, d, s, e, prog, room, sem, label, inferred, vision) with equal (key, d, s, e) as one, their values as sorted sets."""
-    sets = lambda c, n: F.array_sort(F.collect_set(c)).alias(n)
+    more = ["v_from", "v_to"] if valid else []
+    return met(candidates, placed, day, more, {"blocked": _valid() if valid else F.lit(True)}).select("key").distinct()
+
+
+def colliding_keys(sessions: DataFrame, exams: DataFrame) -> DataFrame:
+    """Every key that is a side of a collision: of weekly sessions (1-5) while both are valid, or of dated exams."""
+    weekly = sessions.where(F.col("d").between(1, 5))
+    return blocking_keys(weekly, weekly, "d", valid=True).union(blocking_keys(exams, exams, "date")).distinct()
+
+
+def _grade() -> Column:
+    return severity(*[F.col(f"{x}_{c}") for x in "ab" for c in ("s", "e", "assumed")])
+
+
+def worst_severity(placed: DataFrame) -> DataFrame:
+    """The dated exams (key, date, s, e, assumed) that collide, with ``worst``: certain outweighs possible."""
+    found = met(placed, placed, "date", ["assumed"], {"certain": _grade() == "certain", "any": F.lit(True)})
+    return found.withColumn("worst", F.when(F.col("certain"), "certain").otherwise("possible")).drop("certain", "any")
+
+
+def collision_counts(placed: DataFrame) -> DataFrame:
+    """(date, certain, possible): how many pairs of dated exams of different keys overlap: all pairs less those of one key, by slots."""
+
+    def counted(by: list[str], sign: int) -> DataFrame:
+        slots = placed.where("s < e").groupBy(*by, "s", "e", "assumed").agg(F.count("*").alias("n"))
+        a, b = _named(slots, "a"), _named(slots, "b")
+        place = lambda x: F.struct(*[f"{x}_{c}" for c in ("s", "e", "assumed")])
+        on = (place("a") <= place("b")) & (F.col("b_s") < F.col("a_e"))
+        for c in by:
+            on &= F.col(f"a_{c}") == F.col(f"b_{c}")
+        pairs = F.when(place("a") == place("b"), F.expr("a_n * (a_n - 1) div 2")).otherwise(F.col("a_n") * F.col("b_n"))
+        return a.join(b, on).select(F.col("a_date").alias("date"), _grade().alias("severity"), (pairs * sign).alias("n"))
+
+    both = counted(["date"], 1).union(counted(["date", "key"], -1))
+    sums = [F.coalesce(F.sum(F.when(F.col("severity") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("certain", "possible")]
+    return both.groupBy("date").agg(*sums).where("certain + possible > 0")
+
+
+def merge_slots(placed: DataFrame, order: list[str]) -> DataFrame:
+    """Rows (key, d, s, e, prog, room, sem, label, inferred, vision) with equal (key, d, s, e) as one.
+
+    Their values are sets, each value at its first place by ``order``; nulls are left out. What is collected is
+    a slot's distinct values, found before by an aggregation of their own.
+    """
+    slot, kinds = ["key", "d", "s", "e"], {"prog": "progs", "room": "rooms", "sem": "sems", "label": "labels"}
     flag = lambda c: F.bool_or(F.coalesce(c, F.lit(False))).alias(c)
-    return placed.groupBy("key", "d", "s", "e").agg(sets("prog", "progs"), sets("room", "rooms"), sets("sem", "sems"), sets("label", "labels"), flag("inferred"), flag("vision"))
+    values = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(c).cast("string").alias("value")) for c, n in kinds.items()])
+    firsts = placed.select(*slot, "inferred", "vision", F.struct(*order).alias("place"), F.inline(values)).groupBy(*slot, "kind", "value").agg(F.min("place").alias("place"), flag("inferred"), flag("vision"))
+    listed = lambda n: F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == n) & F.col("value").isNotNull(), F.struct("place", "value")))), lambda x: x["value"]).alias(n)
+    return firsts.groupBy(*slot).agg(*[listed(n) for n in kinds.values()], flag("inferred"), flag("vision"))
 
 
 def clusters(rows: DataFrame, day: str) -> DataFrame:
@@ -107,25 +175,54 @@ def lane_counts(clustered: DataFrame, day: str) -> DataFrame:
     return summed.withColumn("level", level).groupBy(day, "cluster").agg(F.max("level").alias("lanes"))
 
 
+def _lane_plan(slots: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(s, e, first rank, first lane, number) for slots (s, e, number of blocks) in order: each block takes the lowest lane whose last block has ended.
+
+    Lanes are dealt with in runs of neighbours, so the work grows with the slots and not with the blocks.
+    """
+    free: list[tuple[int, int]] = []  # runs of lanes (from, to), in order
+    busy: list[tuple[int, int, int]] = []  # (end, from, to)
+    lanes, out = 0, []
+    for s, e, n in slots:
+        while busy and busy[0][0] <= s:
+            _, a, b = heappop(busy)
+            insort(free, (a, b))
+        done = 0
+        while done < n:
+            if free:
+                a, b = free.pop(0)
+                take = min(n - done, b - a)
+                if take < b - a:
+                    free.insert(0, (a + take, b))
+            else:
+                a, take = lanes, n - done
+                lanes += take
+            out.append((s, e, done, a, take))
+            heappush(busy, (e, a, a + take))
+            done += take
+    return out
+
+
 def assign_lanes(clustered: DataFrame, day: str, order: list[str]) -> DataFrame:
-    """(day, cluster, *order, s, e, lane): each block in the first lane whose last block has ended by its start.
+    """(day, cluster, *order, s, e, lane): each block in the first lane whose last block has ended by its start, in order of (s, e, *order).
 
-    A fold over each cluster in order of (s, e, *order). A cluster is a stretch of one day without a gap.
+    Blocks of one slot (s, e) fare alike, so lanes are planned for the slots of a cluster and their numbers;
+    each block finds its lane by its rank in its slot.
     """
-    item = F.struct("s", "e", *order)
-    one = F.struct(F.col("s"), F.col("e"), *[F.col(c) for c in order], F.lit(0).alias("lane"))
-    schema = clustered.select(one.alias("x")).schema["x"].dataType.simpleString()
-    zero = F.struct(F.array().cast("array<int>").alias("ends"), F.array().cast(f"array<{schema}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        free = F.array_position(F.transform(acc["ends"], lambda end: end <= x["s"]), True).cast("int")  # from 1; 0: none
-        ends = F.when(free == 0, F.concat(acc["ends"], F.array(x["e"]))).otherwise(F.transform(acc["ends"], lambda end, k: F.when(k == free - 1, x["e"]).otherwise(end)))
-        lane = F.when(free == 0, F.size(acc["ends"])).otherwise(free - 1)
-        made = F.struct(x["s"].alias("s"), x["e"].alias("e"), *[x[c].alias(c) for c in order], lane.alias("lane"))
-        return F.struct(ends.alias("ends"), F.concat(acc["out"], F.array(made)).alias("out"))
-
-    folded = clustered.groupBy(day, "cluster").agg(F.array_sort(F.collect_list(item)).alias("items")).select(day, "cluster", F.explode(F.aggregate("items", zero, step)["out"]).alias("x"))
-    return folded.select(day, "cluster", "x.*")
+    slots = clustered.groupBy(day, "cluster", "s", "e").agg(F.count("*").alias("n"))
+    kind = {c: slots.schema[c].dataType.simpleString() for c in (day, "cluster")}
+    names = ["s", "e", "rank", "lane", "n"]
+
+    def plan(key: tuple, t: pa.Table) -> pa.Table:
+        rows = _lane_plan(sorted(zip(*(t.column(c).to_pylist() for c in ("s", "e", "n")), strict=True)))
+        own = [pa.array([v.as_py()] * len(rows), v.type) for v in key]
+        return pa.table([*own, *(pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True))], names=[day, "cluster", *names])
+
+    planned = slots.groupBy(day, "cluster").applyInArrow(plan, ", ".join(f"`{c}` {k}" for c, k in kind.items()) + ", " + ", ".join(f"{c} bigint" for c in names))
+    runs = planned.select(F.col(day).alias("_day"), F.col("cluster").alias("_cluster"), F.col("s").alias("_s"), F.col("e").alias("_e"), "rank", "lane", "n")
+    ranked = clustered.withColumn("_rank", F.row_number().over(Window.partitionBy(day, "cluster", "s", "e").orderBy(*order)) - 1)
+    on = (F.col(day) == F.col("_day")) & (F.col("cluster") == F.col("_cluster")) & (F.col("s") == F.col("_s")) & (F.col("e") == F.col("_e")) & (F.col("_rank") >= F.col("rank")) & (F.col("_rank") < F.col("rank") + F.col("n"))
+    return ranked.join(runs, on).select(day, "cluster", "s", "e", *order, (F.col("lane") + F.col("_rank") - F.col("rank")).cast("int").alias("lane"))
 
 
 def grid_row(minute: Column, start: int = 540, step: int = 30) -> Column:

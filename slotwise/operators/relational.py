@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,15 +48,20 @@ def first_value(value: str | Column, *order: str) -> Column:
     return F.min_by(value, F.struct(*order))
 
 
-def ordered_unique(value: str, *order: str) -> Column:
-    """A group's distinct values, each at its first place."""
-    firsts = F.array_sort(F.collect_set(F.struct(*order, F.col(value).alias("_v"))))
-    return F.array_distinct(F.transform(firsts, lambda x: x["_v"]))
+def nocase(c: Column) -> Column:
+    """For comparing without regard to case as SQLite does: the 26 ASCII letters only."""
+    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+
 
+def roll_up(rows: DataFrame, key: Column, name: str, group: str, flag: Column, order: list[str]) -> DataFrame:
+    """Rows of one canonical key as one: its first name without regard to case, its groups as they appear in that order, whether any is flagged.
 
-def roll_up(rows: DataFrame, key: Column, name: str, group: str, flag: Column) -> DataFrame:
-    """Rows of one canonical key as one: its first name without regard to case, its groups, whether any is flagged."""
-    return rows.groupBy(key.alias("key")).agg(F.min_by(name, F.struct(F.lower(F.col(name)), F.col(name))).alias("name"), F.array_sort(F.collect_set(group)).alias("groups"), F.bool_or(F.coalesce(flag, F.lit(False))).alias("flagged"))
+    ``order`` makes ties definite. A key's distinct groups are found first, so no more than those are collected.
+    """
+    place = F.struct(nocase(F.col(name)).alias("k"), F.col(name).alias("name"), *order)
+    each = rows.groupBy(key.alias("key"), F.col(group).alias("group")).agg(F.min(place).alias("place"), F.bool_or(F.coalesce(flag, F.lit(False))).alias("flagged"))
+    groups = F.transform(F.array_sort(F.collect_list(F.when(F.col("group").isNotNull(), F.struct("place", "group")))), lambda x: x["group"])
+    return each.groupBy("key").agg(F.min("place")["name"].alias("name"), groups.alias("groups"), F.bool_or("flagged").alias("flagged"))
 
 
 def merge_exams(rows: DataFrame, keys: list[str], group: str, witnesses: Column, order: list[str], others: list[str]) -> DataFrame:

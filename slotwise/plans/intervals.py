@@ -22,15 +22,12 @@ def exam_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exam_collision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of each date by severity."""
-    c = exam_collisions(spark, sf_dir)
-    return c.groupBy("date").agg(F.count_if(F.col("severity") == "certain").alias("certain"), F.count_if(F.col("severity") == "possible").alias("possible"))
+    return iv.collision_counts(placed_exams(spark, sf_dir))
 
 
 def exam_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The worst severity of each exam that collides: certain outweighs possible."""
-    c = exam_collisions(spark, sf_dir)
-    sides = c.select(F.explode(F.array("a_id", "b_id")).alias("event_id"), (F.col("severity") == "certain").alias("certain"))
-    return sides.groupBy("event_id").agg(F.when(F.bool_or("certain"), "certain").otherwise("possible").alias("worst"))
+    return iv.worst_severity(placed_exams(spark, sf_dir)).select("event_id", "worst")
 
 
 def session_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +38,7 @@ def session_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def colliding_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users in any collision of either kind."""
-    sessions = iv.session_collisions(placed_sessions(spark, sf_dir), ["event_id"])
-    return iv.colliding_keys(sessions, iv.exam_collisions(placed_exams(spark, sf_dir), ["event_id"]))
+    return iv.colliding_keys(placed_sessions(spark, sf_dir), placed_exams(spark, sf_dir))
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -78,7 +74,7 @@ def preview_occupied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal slots of a user as one."""
-    m = iv.merge_slots(placed_sessions(spark, sf_dir))
+    m = iv.merge_slots(placed_sessions(spark, sf_dir), ["event_id"])
     joined = [F.array_join(c, ",").alias(c) for c in ("progs", "rooms", "sems", "labels")]
     return m.select("key", "d", "s", "e", *joined, "inferred", "vision")
 
@@ -121,7 +117,7 @@ ORACLE_SQL = {
     "blocks_plan": f"with {SESSIONS}, {BLOCKING} select key from blocking",
     "fits_plan": f"with {SESSIONS}, {BLOCKING} select distinct key from placed where key % 75 <> 0 and not exists (select 1 from blocking b where b.key = placed.key)",
     "preview_occupied": f"with {SESSIONS} select event_id, d, s from sessions c where key % 75 <> 0 and exists (select 1 from sessions p where p.key % 75 = 0 and p.d = c.d and p.s = c.s)",
-    "slot_merge": f"with {SESSIONS} select key, d, s, e, coalesce(array_to_string(list_sort(list(distinct prog)), ','), '') as progs, coalesce(array_to_string(list_sort(list(distinct room)), ','), '') as rooms, coalesce(array_to_string(list_sort(list(distinct sem)), ','), '') as sems, coalesce(array_to_string(list_sort(list(distinct label) filter (where label is not null)), ','), '') as labels, bool_or(inferred) as inferred, bool_or(vision) as vision from sessions group by key, d, s, e",
+    "slot_merge": f"with {SESSIONS}, v as (" + " union all ".join(f"select key, d, s, e, '{c}' as kind, {c} as v, min(event_id) as first from sessions group by 1, 2, 3, 4, 5, 6" for c in ("prog", "room", "sem", "label")) + "), flags as (select key, d, s, e, bool_or(inferred) as inferred, bool_or(vision) as vision from sessions group by 1, 2, 3, 4) select key, d, s, e, " + ", ".join(f"coalesce(string_agg(v, ',' order by first, v) filter (where kind = '{c}' and v is not null), '') as {c}s" for c in ("prog", "room", "sem", "label")) + ", any_value(inferred) as inferred, any_value(vision) as vision from v join flags using (key, d, s, e) group by 1, 2, 3, 4",
     "overlap_clusters": f"with {CLUSTERED} select date, cluster, count(*) as blocks, min(s) as first_s, max(e) as last_e from clustered group by date, cluster",
     "lane_count": f"with {CLUSTERED}, steps as (select date, cluster, t, sum(c) as by_t from (select date, cluster, s as t, 1 as c from clustered union all select date, cluster, e, -1 from clustered) group by date, cluster, t), levels as (select date, cluster, sum(by_t) over (partition by date, cluster order by t) as level from steps) select date, cluster, cast(max(level) as bigint) as lanes from levels group by date, cluster",
     "lane_assignment": f"with recursive {CLUSTERED}, items as (select *, row_number() over (partition by date, cluster order by s, e, event_id) as r from clustered), lanes as (select date, cluster, event_id, s, e, r, [e] as ends, 0 as lane from items where r = 1 union all select i.date, i.cluster, i.event_id, i.s, i.e, i.r, case when free = 0 then list_append(ends, i.e) else list_transform(ends, lambda x, k: case when k = free then i.e else x end) end, case when free = 0 then len(ends) else free - 1 end from (select l.*, coalesce(list_position(list_transform(l.ends, lambda x: x <= n.s), true), 0) as free from lanes l join items n on n.date = l.date and n.cluster = l.cluster and n.r = l.r + 1) l join items i on i.date = l.date and i.cluster = l.cluster and i.r = l.r + 1) select date, cluster, event_id, s, e, cast(lane as int) as lane from lanes",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions.catalogue import is_assumed, strength
@@ -58,9 +58,14 @@ def exam_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("l_partkey", "l_returnflag", F.array_join("groups", ",").alias("suppliers"), "witnesses", "l_linestatus")
 
 
+def _mixed_case() -> Column:
+    """Part names, every other one in capitals, all with a letter that only Unicode folds."""
+    return F.when(F.col("p_partkey") % 2 == 0, F.concat(F.upper("p_name"), F.lit(" É"))).otherwise(F.concat("p_name", F.lit(" é")))
+
+
 def course_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a brand as one: first name, types, whether any is large."""
-    r = op.roll_up(table(spark, sf_dir, "part"), F.lower("p_brand"), "p_name", "p_type", F.col("p_size") > 45)
+    r = op.roll_up(table(spark, sf_dir, "part").withColumn("p_name", _mixed_case()), F.lower("p_brand"), "p_name", "p_type", F.col("p_size") > 45, ["p_partkey"])
     return r.select("key", "name", F.array_join("groups", ",").alias("types"), F.col("flagged").alias("large"))
 
 
@@ -176,16 +181,17 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nocase_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names numbered in order without regard to case."""
-    from pyspark.sql import Window
-
-    names = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"), "p_brand").distinct()
-    return names.withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.lower("name"), "name")))
+    names = table(spark, sf_dir, "part").select(_mixed_case().alias("name"), "p_brand").distinct()
+    return names.withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy(op.nocase(F.col("name")), "name")))
 
 
 def top_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three priced orders of each customer and how many more there are."""
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct((-F.col("o_totalprice")).alias("p"), F.col("o_orderkey").alias("k")))).alias("x"))
-    return o.select("o_custkey", F.array_join(F.transform(F.slice("x", 1, 3), lambda r: r["k"].cast("string")), ",").alias("first"), F.greatest(F.size("x") - 3, F.lit(0)).alias("more"))
+    o = table(spark, sf_dir, "orders")
+    ranked = o.withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("n <= 3")
+    best = ranked.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("n", F.col("o_orderkey").cast("string").alias("k")))).alias("x"))
+    counts = o.groupBy("o_custkey").agg(F.greatest(F.count("*") - 3, F.lit(0)).cast("int").alias("more"))
+    return best.join(counts, "o_custkey").select("o_custkey", F.array_join(F.transform("x", lambda r: r["k"]), ",").alias("first"), "more")
 
 
 def runner_up(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +263,7 @@ ORACLE_SQL = {
     "shared_agreement": "select l_partkey, count(distinct l_suppkey) as groups, count(distinct l_returnflag) as versions, count(distinct l_returnflag) = 1 as ok from lineitem group by 1 having count(distinct l_suppkey) >= 2",
     "first_dedupe": "select o_custkey, o_orderstatus, o_orderkey from (select *, row_number() over (partition by o_custkey, o_orderstatus order by o_orderdate, o_orderkey) as n from orders) where n = 1",
     "exam_merge": "select l_partkey, l_returnflag, array_to_string(list_sort(list(distinct printf('%06d', l_suppkey))), ',') as suppliers, cast(sum(l_linenumber) as bigint) as witnesses, arg_min(l_linestatus, l_orderkey * 100 + l_linenumber) as l_linestatus from lineitem group by 1, 2",
-    "course_rollup": "select lower(p_brand) as key, first(p_name order by lower(p_name), p_name) as name, array_to_string(list_sort(list(distinct p_type)), ',') as types, bool_or(p_size > 45) as large from part group by 1",
+    "course_rollup": "with p as (select lower(p_brand) as key, case when p_partkey % 2 = 0 then upper(p_name) || ' É' else p_name || ' é' end as name, p_type, p_size, p_partkey from part), o as (select *, row_number() over (partition by key order by translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), name, p_partkey) as n from p), t as (select key, p_type, min(n) as n from o group by 1, 2) select key, (select name from o where o.key = x.key and n = 1) as name, (select string_agg(p_type, ',' order by n) from t where t.key = x.key) as types, large from (select key, bool_or(p_size > 45) as large from p group by 1) x",
     "source_accounting": "select coalesce(d.doc_id, l.doc_id) as doc_id, case when d.doc_id is null then 'missing' else 'undeclared' end as problem from (select distinct doc_id from documents) d full outer join (select distinct doc_id from labels) l on d.doc_id = l.doc_id where d.doc_id is null or l.doc_id is null",
     "manifest_check": "select doc_id from documents where doc_id % 10 = 0 and sha256(text) <> sha256(lower(text))",
     "metric_expectations": "select e.lang, e.metric, e.expected, m.actual, coalesce(e.expected = m.actual, false) as ok from (select l.lang, x.metric, x.expected from (values ('de'), ('en'), ('it')) l(lang), (values ('documents', 150::bigint), ('sources', 20::bigint)) x(metric, expected)) e left join (select lang, 'documents' as metric, count(*) as actual from documents group by 1 union all select lang, 'sources', count(distinct source) from documents group by 1) m using (lang, metric)",
@@ -273,7 +279,7 @@ ORACLE_SQL = {
     "exam_overrides": "select o_orderkey, o_custkey, case when c_custkey is not null then '0-CURATED' else o_orderpriority end as o_orderpriority, c_custkey is not null as curated from orders left join customer on c_custkey = o_custkey and c_acctbal > 9000",
     "truth_blocks": f"with {PLACED} select date, count(*) as blocks, count(*) filter (where exists (select 1 from placed b where not b.assumed and b.date = a.date and b.s = a.s)) as matched from placed a where assumed and s >= 900 group by date",
     "set_operations": "with a as (select distinct user_id from events where event_type = 'purchase'), b as (select distinct user_id from events where event_type = 'signup') select 'union' as part, count(*) as n from (select * from a union select * from b) union all select 'both', count(*) from (select * from a intersect select * from b) union all select 'purchase_only', count(*) from (select * from a except select * from b) union all select 'bag', (select count(*) from a) + (select count(*) from b)",
-    "nocase_order": "select name, p_brand, cast(row_number() over (partition by p_brand order by lower(name), name) as int) as place from (select distinct case when p_partkey % 2 = 0 then upper(p_name) else p_name end as name, p_brand from part)",
+    "nocase_order": "select name, p_brand, cast(row_number() over (partition by p_brand order by translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), name) as int) as place from (select distinct case when p_partkey % 2 = 0 then upper(p_name) || ' É' else p_name || ' é' end as name, p_brand from part)",
     "top_slots": "select o_custkey, string_agg(cast(o_orderkey as varchar), ',' order by n) filter (where n <= 3) as first, cast(greatest(count(*) - 3, 0) as int) as more from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as n from orders) group by 1",
     "runner_up": "select o_custkey, o_orderkey, round(o_totalprice - nxt, 2) as margin from (select *, row_number() over w as n, lead(o_totalprice) over w as nxt from orders window w as (partition by o_custkey order by o_totalprice desc, o_orderkey)) where n = 1",
     "offering_match": "with p as (select * from part), k as (select distinct lower(p_brand) as key from p), m as (select distinct k.key, p.p_partkey as row_id, p.p_type as name_key, (p_size % 3)::double as credits, p_brand = 'B' || substr(k.key, 2) and k.key like '%2' as mine from k join p on lower(p_brand) = k.key or p_size = cast(right(k.key, 1) as int) or (k.key like '%1' and p_size = 50)), g as (select *, count(distinct credits) over (partition by key, name_key) as v, count(distinct case when mine then credits end) over (partition by key, name_key) as kept from m) select key, count(*) as n, count(*) filter (where v > 1 and kept <> 1) as ambiguous, cast(sum(row_id) as bigint) as ids from g where not (v > 1 and kept = 1) or mine group by key",

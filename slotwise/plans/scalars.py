@@ -86,21 +86,26 @@ def date_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spine.join(e, "date", "left").select("date", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: What is printed behind a text, and what is left of it in canonical form.
+PRINTED = {" (10:00 to 12:00)": "", " 12:00 h.": "", " (Weeks 1-7)": "", " (*)": "", " ///": "", " Tiếng Việt № Ⅱ": " tieng viet no ii", "\u00a0ﬁn & Co\u2011op E-Mail": " fin and co op email", "": ""}
+
+
 def normalised_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical key and core tokens of every document."""
-    n = table(spark, sf_dir, "documents").select("doc_id", text.normalise(F.regexp_replace("text", r"[(/*]|\d+:\d+", " ")).alias("n"))
+    """The canonical key and core tokens of every document with something printed behind it."""
+    raw = F.concat("text", _pick(list(PRINTED), F.col("doc_id")))
+    n = table(spark, sf_dir, "documents").select("doc_id", text.normalise(raw).alias("n"))
     return n.select("doc_id", F.col("n.key").alias("key"), F.array_join("n.tokens", " ").alias("tokens"))
 
 
 def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part name with a letter dropped, matched within its first letter to the names as they are."""
+    """Every part name with a letter dropped, matched to the names as they are that share a token with it, or nearly."""
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("item")).distinct()
-    items = names.select("item", text.normalise(F.col("item")).alias("b"), F.substring("item", 1, 1).alias("block"))
     dropped = F.concat(F.substring("item", 1, 4), F.substring("item", 6, 100))
-    targets = names.select(dropped.alias("target"), text.normalise(dropped).alias("a"), F.substring("item", 1, 1).alias("block")).dropDuplicates(["target"])
-    scored = targets.join(items, "block").select("target", "item", fuzzy.score(F.col("a"), F.col("b")).alias("score"))
-    best = fuzzy.best_match(scored, "target", "item", "item")
-    return best.select("target", "item", "runner_up", F.round("score.total", 6).alias("total"), F.round("margin", 6).alias("margin"), "outcome")
+    items = names.select("item", text.normalise(F.col("item")).alias("b"))
+    targets = names.select(dropped.alias("target")).distinct().select("target", text.normalise(F.col("target")).alias("a"))
+    scored = fuzzy.candidates(targets, items).select("target", "item", fuzzy.score(F.col("a"), F.col("b")).alias("score"))
+    best = targets.select("target").join(fuzzy.best_match(scored, "target", "item", "item"), "target", "left")
+    return best.select("target", "item", "runner_up", F.round("score.total", 6).alias("total"), F.round("margin", 6).alias("margin"), F.coalesce("outcome", F.lit("none")).alias("outcome"))
 
 
 def name_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +207,7 @@ ORACLE_SQL = {
     "exam_dates": f"select a.event_id, cast(a.date as date) as date, b.weekday from ({_joined(DATES, 'raw, date', 'event_id', 'events', 'id as event_id, date')}) a join ({_joined(NAMES_OF_DAYS, 'raw, weekday', 'event_id', 'events', 'id as event_id, weekday')}) b using (event_id)",
     "validity_overlap": f"with w as (select row_number() over () - 1 as k, raw, a_from::date as f, a_to::date as t from {_values(WINDOWS)} v(raw, a_from, a_to)), o as (select list_position({_sql_list(list(WINDOWS))}, raw) - 1 as k, f, t from w) select event_id, a.f as a_from, a.t as a_to, a.f is null or b.f is null or (a.f <= b.t and b.f <= a.t) as meet from events join o a on a.k = event_id % 5 join o b on b.k = (event_id // 5) % 5",
     "date_spine": "with e as (select cast(ts as date) as date, count(*) as n from events group by 1) select cast(d as date) as date, coalesce(n, 0) as n from (select unnest(generate_series((select min(date) from e)::timestamp, (select max(date) from e)::timestamp, interval 1 day)) as d) s left join e on e.date = s.d where isodow(d) < 6",
-    "normalised_key": "with n as (select doc_id, trim(regexp_replace(regexp_replace(replace(replace(trim(regexp_replace(replace(replace(strip_accents(lower(regexp_replace(text, '[(/*]|\\d+:\\d+', ' ', 'g'))), '&', ' and '), '-', ' '), '\\s+', ' ', 'g')), 'e health', 'ehealth'), 'e mail', 'email'), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as f from documents) select doc_id, replace(f, ' ', '-') as key, array_to_string(list_filter(string_split(f, ' '), lambda t: t <> '' and t not in ('de', 'del', 'la', 'el', 'y', 'en', 'los', 'las', 'of', 'the', 'and', 'for', 'in', 'to', 'a')), ' ') as tokens from n",
+    "normalised_key": f"with raw as (select doc_id, text, {_sql_list(list(PRINTED))}[cast(doc_id % {len(PRINTED)} as int) + 1] as raw from documents), d as (select doc_id, text || ' ' || clean as text from raw join {_values(PRINTED)} v(raw, clean) using (raw)), n as (select doc_id, trim(regexp_replace(regexp_replace(replace(replace(trim(regexp_replace(replace(replace(strip_accents(lower(text)), '&', ' and '), '-', ' '), '\\s+', ' ', 'g')), 'e health', 'ehealth'), 'e mail', 'email'), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as f from d) select doc_id, replace(f, ' ', '-') as key, array_to_string(list_filter(string_split(f, ' '), lambda t: t <> '' and t not in ({', '.join(repr(w) for w in text.STOPWORDS)})), ' ') as tokens from n",
     "name_distance": "select a.p_partkey, cast(levenshtein(a.p_name, b.p_name) as int) as distance, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) as lev from part a join part b on b.p_partkey = a.p_partkey + 1",
     "annotations": f"with {ANNOTATIONS} select p_partkey, p_name as name, kind, start_min, end_min, label from a",
     "names_and_rooms": f"select a.p_partkey, room, kind, slug from ({_joined(ROOM_LINES, 'raw, room', 'p_partkey', 'part', 'id as p_partkey, room')}) a join ({_joined(FILLERS, 'raw, kind', 'p_partkey', 'part', 'id as p_partkey, kind')}) b using (p_partkey) join ({_joined(PATHS, 'raw, slug', 'p_partkey', 'part', 'id as p_partkey, slug')}) c using (p_partkey)",

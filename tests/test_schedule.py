@@ -197,3 +197,51 @@ def test_queries_match_sql(spark, name):
     assert cols == sorted(want.columns)
     plain = lambda v: ("nan" if math.isnan(v) else f"{v:.6g}") if isinstance(v, float) else str(v)
     assert sorted(tuple(plain(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(plain(r[want.columns.index(c)]) for c in cols) for r in want.fetchall())
+
+
+def test_matches_among_candidates_are_those_among_all_pairs(spark):
+    names = ["Human Computer Interaction", "Human-Computer Interactions", "Big Data", "Big Date", "Operating Systems", "Oparating Systems Design", "Health Informatics", "eHealth", "E-Health Systems", "a", "Networks", "Netwrks"]
+    rows = spark.createDataFrame([(n,) for n in names], "item string").select("item", text.normalise(F.col("item")).alias("b"))
+    targets = rows.select(F.col("item").alias("target"), F.col("b").alias("a"))
+    score = lambda pairs: pairs.where("target <> item").select("target", "item", fuzzy.score(F.col("a"), F.col("b")).alias("score"))
+    best = lambda pairs: {r.target: (r.item, r.outcome) for r in fuzzy.best_match(score(pairs), "target", "item", "item").collect()}
+    some, every = best(fuzzy.candidates(targets, rows)), best(targets.crossJoin(rows))
+    assert {k: v for k, v in every.items() if v[1] != "none"} == {k: v for k, v in some.items() if v[1] != "none"}
+    assert len({v[1] for v in every.values()}) > 1
+
+
+def test_spaces_and_letters_beyond_ascii(spark):
+    row = spark.range(1).select(
+        times.parse_time(F.lit("\t9:00\n")).alias("time"), times.resolve_validity(F.lit("\tWeeks 1-7\u00a0"))["from"].cast("string").alias("window"), text.collapse(F.lit("a\u00a0\u2003b\u3000")).alias("line"),
+        text.slug(F.lit("Tiếng Việt.pdf")).alias("slug"), text.normalise(F.lit("Álgebra Ⅱ №3 (10:00-12:00)")).alias("n"), text.composed(F.lit("Ma\u0301ster")).alias("path"), times.parse_weekday(F.lit(" Mie\u0301rcoles\u2009")).alias("day"), text.classify_block(F.lit("\u00a0")).alias("kind"),
+    ).first()
+    assert (row.time, row.window, row.line, row.slug, row.n.key, row.path, row.day, row.kind) == (540, "2026-09-07", "a b", "tieng-viet", "algebra-ii-no3", "Máster", 3, "filler")
+
+
+def test_lanes_against_a_plain_version(spark):
+    r = random.Random(4)
+    rows = [(k, 1, s := 30 * r.randint(18, 30), s + 30 * r.randint(1, 5)) for k in range(300)]
+    df = intervals.clusters(spark.createDataFrame(rows, "id int, d int, s int, e int"), "d")
+    ends, want = [], {}
+    for k, _, s, e in sorted(rows, key=lambda x: (x[2], x[3], x[0])):
+        free = [i for i, end in enumerate(ends) if end <= s]
+        lane = free[0] if free else len(ends)
+        ends[lane : lane + 1] = [e]
+        want[k] = lane
+    got = {x.id: (x.cluster, x.lane) for x in intervals.assign_lanes(df, "d", ["id"]).collect()}
+    assert len({c for c, _ in got.values()}) == 1 and {k: lane for k, (_, lane) in got.items()} == want
+
+
+def test_reduced_collisions_are_those_of_the_pairs(spark):
+    r = random.Random(9)
+    rows = [(k, r.randint(0, 3), r.randint(0, 2), s := 30 * r.randint(18, 26), s + 30 * r.randint(0, 4), r.random() < 0.5) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, key int, d int, s int, e int, assumed boolean").withColumn("date", F.date_add(F.lit("2027-01-11").cast("date"), F.col("d")))
+    pairs = intervals.exam_collisions(df, ["id"]).collect()
+    worst = {}
+    for p in pairs:
+        for k in (p.a_id, p.b_id):
+            worst[k] = "certain" if p.severity == "certain" else worst.get(k, "possible")
+    assert {x.id: x.worst for x in intervals.worst_severity(df).collect()} == worst
+    counts = {x.date: (x.certain, x.possible) for x in intervals.collision_counts(df).collect()}
+    assert counts == {d: tuple(sum(p.a_date == d and p.severity == k for p in pairs) for k in ("certain", "possible")) for d in {p.a_date for p in pairs}}
+    assert {x.key for x in intervals.blocking_keys(df, df, "date").collect()} == {k for p in pairs for k in (p.a_key, p.b_key)}
