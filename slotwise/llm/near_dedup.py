@@ -4,12 +4,18 @@
    from the start; each goes on through its least document. Equal texts without a word are one class too.
 2. Signatures of ``K`` darts are cut into bands; documents that share a band's key form a group. In each
    group the document with the most partners over all its groups is the hub, and every member is
-   compared with the hub on the whole sets: pairs grow with the members, not with their square.
+   compared with the hub on the whole sets: pairs grow with the members, not with their square. The members
+   of a hub are dealt to chunks of about ``CHUNK`` shingles, and the hub's set goes once to each chunk.
 3. Where that leaves a group in several components, the members outside the hub's component are compared
-   with the whole group, in blocks of ``BLOCK`` documents a side, inside a task; only links that join
-   components leave it. So no link within a group is lost, and no group meets in one task.
+   with the whole group, in cells of about ``BLOCK`` documents (or ``CHUNK`` shingles) a side, inside a task;
+   only links that join components leave it. So no link within a group is lost, and no group meets in one
+   task. Groups of the same documents under several keys are compared once.
 4. Connected components of the links give the classes.
 
+Sets are made from the texts where they are compared, and never stored: each comparison reads the texts
+through a filter of fixed size, so of the texts only those to be compared move. Joins on keys that may be
+hot send the few that hold a large share of the rows as a broadcast (``runtime.join_hot``).
+
 A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 5e-5.
 """
 
@@ -28,7 +34,9 @@ from slotwise.llm.dart_minhash import bands, signatures
 from slotwise.llm.textblock import U64, Block, mix, slices
 
 WORDS, K, ROWS = 5, 125, 5
-BLOCK = 256
+BLOCK, CHUNK = 192, 1 << 18
+#: Shingles of a cell that are counted at once.
+SLICE = 1 << 14
 
 
 def shingles(block: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +65,7 @@ def shingles(block: Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray,
 
 
 def _sketch(docs: DataFrame, weighted: bool) -> DataFrame:
-    """id, two fingerprints of the shingle set, and the band keys; a text without words has those of its bytes and no band, a null text no row."""
+    """id, two fingerprints of the shingle set, its size (or weight) and the band keys; a text without words has those of its bytes and no band, a null text no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +80,7 @@ def _sketch(docs: DataFrame, weighted: bool) -> DataFrame:
                     with np.errstate(over="ignore"):
                         prints = [mix(own + U64(s)).view(np.int64) for s in (1, 2)]
                     none = pa.ListArray.from_arrays(pa.array(np.zeros(len(blank) + 1), pa.int32()), pa.array([], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(blank)), pa.array(prints[0]), pa.array(prints[1]), none], ["id", "f1", "f2", "bands"])
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(blank)), pa.array(prints[0]), pa.array(prints[1]), pa.array(np.zeros(len(blank), np.int64)), none], names)
                 if not len(present):
                     continue
                 with np.errstate(over="ignore"):
@@ -82,13 +90,16 @@ def _sketch(docs: DataFrame, weighted: bool) -> DataFrame:
                 weight = count.astype(float) if weighted else np.ones(len(of))
                 b = bands(signatures(np.searchsorted(present, of), key, weight, len(present), K), ROWS).view(np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, b.size + 1, b.shape[1]), pa.int32()), pa.array(b.ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(present)), pa.array(prints[0]), pa.array(prints[1]), flat], ["id", "f1", "f2", "bands"])
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(present)), pa.array(prints[0]), pa.array(prints[1]), pa.array(np.add.reduceat(weight, start).astype(np.int64)), flat], names)
 
-    return docs.mapInArrow(run, "id bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    names = ["id", "f1", "f2", "size", "bands"]
+    return docs.mapInArrow(run, "id bigint, f1 bigint, f2 bigint, size bigint, bands array<bigint>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """id and the sorted shingle hashes (with counts beside them) of each text."""
+def _compared(docs: DataFrame, wanted: DataFrame, weighted: bool) -> DataFrame:
+    """The rows of ``wanted`` (id and others) with the sorted shingle hashes of the id's texts (and, if weighted, their counts), a row a text."""
+    others = [c for c in wanted.columns if c != "id"]
+    some = runtime.possible(docs, wanted, "id").join(wanted.hint("merge"), "id").select("text", "id", *others)  # both sides grow with the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,9 +107,10 @@ def _sets(docs: DataFrame) -> DataFrame:
                 of, key, count = shingles(block)
                 off = np.searchsorted(of, np.arange(block.n + 1)) * 8
                 pack = lambda x: pa.Array.from_buffers(pa.large_binary(), block.n, [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(x.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pack(key), pack(count.astype(np.int64))], ["id", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pack(key), *([pack(count.astype(np.int64))] if weighted else [])], ["id", *others, "keys"] + ["counts"] * weighted)
 
-    return docs.mapInArrow(run, "id bigint, keys binary, counts binary")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in some.schema.fields[1:])
+    return some.mapInArrow(run, schema + ", keys binary" + ", counts binary" * weighted)
 
 
 def _similarity(ka: np.ndarray, ca: np.ndarray, kb: np.ndarray, cb: np.ndarray) -> float:
@@ -110,55 +122,63 @@ def _similarity(ka: np.ndarray, ca: np.ndarray, kb: np.ndarray, cb: np.ndarray)
     return float(shared / max(ca.sum() + cb.sum() - shared, 1))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, weighted: bool) -> DataFrame:
-    """The pairs (a, b) whose sets are at least that similar."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("ka"), F.col("counts").alias("ca")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("keys").alias("kb"), F.col("counts").alias("cb")), "b").select("a", "b", "ka", "ca", "kb", "cb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(2, 6)]
-            keep = []
-            for ka, ca, kb, cb in zip(*cols, strict=True):
-                ka, kb = np.frombuffer(ka, U64), np.frombuffer(kb, U64)
-                ca, cb = (np.frombuffer(ca, np.int64), np.frombuffer(cb, np.int64)) if weighted else (np.ones(len(ka), np.int64), np.ones(len(kb), np.int64))
-                keep.append(_similarity(ka, ca, kb, cb) >= threshold)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a bigint, b bigint")
+def _set(keys: bytes, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.frombuffer(keys, U64)
+    return keys, np.ones(len(keys), np.int64) if counts is None else np.frombuffer(counts, np.int64)
+
+
+def _verified(members: DataFrame, docs: DataFrame, threshold: float, weighted: bool, total: int) -> DataFrame:
+    """The pairs (a, b) of a hub and a member whose sets are at least that similar; ``members``: hub, id, size, ``total`` at least."""
+    parts = members.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / CHUNK).cast("bigint").alias("chunks"))
+    parts = runtime.materialize(parts, "parts")
+    own = parts.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    dealt = runtime.join_hot(members, parts.select("hub", "chunks", "n"), ["hub"], "n", total)
+    dealt = dealt.select("id", "hub", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"))
+    sets = _compared(docs, runtime.materialize(dealt.union(own), "dealt"), weighted)
+
+    def run(t: pa.Table) -> pa.Table:
+        hub = t.column("hub")[0].as_py()
+        rows = list(zip(t.column("id").to_pylist(), *(t.column(c).to_pylist() if c in t.column_names else [None] * t.num_rows for c in ("keys", "counts")), strict=True))
+        hubs = [_set(k, c) for i, k, c in rows if i == hub]
+        found = [i for i, k, c in rows if i != hub and any(_similarity(*_set(k, c), *h) >= threshold for h in hubs)]
+        return pa.table({"a": pa.array([hub] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+
+    return sets.groupBy("hub", "chunk").applyInArrow(run, "a bigint, b bigint")
+
+
+def _shared(sides: tuple[list[dict], list[dict]]) -> np.ndarray:
+    """How many shingles each document of the one side has in common with each of the other."""
+    key = [np.concatenate([np.frombuffer(m["keys"], U64) for m in x]) for x in sides]
+    row = [np.repeat(np.arange(len(x)), [len(m["keys"]) // 8 for m in x]) for x in sides]
+    common = np.intersect1d(*key)
+    out = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+    for a in range(0, len(common), SLICE):
+        some, grid = common[a : a + SLICE], []
+        for k, r, x in zip(key, row, sides, strict=True):
+            at = np.minimum(np.searchsorted(some, k), len(some) - 1)
+            hit = some[at] == k
+            g = np.zeros((len(x), len(some)), np.float32)
+            g[r[hit], at[hit]] = 1
+            grid.append(g)
+        out += grid[0] @ grid[1].T
+    return out
 
 
 def _block_links(members_a: list[dict], members_b: list[dict], threshold: float, weighted: bool) -> Iterator[tuple[int, int]]:
     """Links between two blocks that join different components, one for each pair of components at most."""
-    parts = [np.concatenate([np.frombuffer(m["keys"], U64) for m in x]) for x in (members_a, members_b)]
-    common = np.intersect1d(parts[0], parts[1])
-    if not len(common):
-        return
-    grid, size = [], []
-    for x in (members_a, members_b):
-        g = np.zeros((len(x), len(common)), np.float32)
-        for k, m in enumerate(x):
-            keys = np.frombuffer(m["keys"], U64)
-            at = np.searchsorted(common, keys)
-            at[at == len(common)] = 0
-            hit = common[at] == keys
-            g[k, at[hit]] = 1
-        grid.append(g)
-        size.append(np.array([len(m["keys"]) // 8 for m in x], np.float32))
-    shared = grid[0] @ grid[1].T
+    shared = _shared((members_a, members_b))
+    size = [np.array([len(m["keys"]) // 8 for m in x], np.float32) for x in (members_a, members_b)]
     like = shared / np.maximum(size[0][:, None] + size[1][None, :] - shared, 1)
     if weighted:  # whatever the sets are like, no pair is more similar than its smaller total weight over the larger
         total = [np.array([np.frombuffer(m["counts"], np.int64).sum() for m in x], float) for x in (members_a, members_b)]
         bound = np.minimum(total[0][:, None], total[1][None, :]) / np.maximum(np.maximum(total[0][:, None], total[1][None, :]), 1)
         like = np.where(shared > 0, bound, 0)
-    for i, j in zip(*np.nonzero(like >= threshold), strict=True):
+    for i, j in zip(*np.nonzero(like >= threshold - 1e-4), strict=True):
         a, b = members_a[i], members_b[j]
         if a["component"] == b["component"]:
             continue
-        if weighted:
-            s = _similarity(np.frombuffer(a["keys"], U64), np.frombuffer(a["counts"], np.int64), np.frombuffer(b["keys"], U64), np.frombuffer(b["counts"], np.int64))
-            if s < threshold:
-                continue
+        if _similarity(*_set(a["keys"], a["counts"] if weighted else None), *_set(b["keys"], b["counts"] if weighted else None)) < threshold:
+            continue
         yield a["id"], b["id"]
         old, new = a["component"], b["component"]
         for m in (*members_a, *members_b):
@@ -166,25 +186,29 @@ def _block_links(members_a: list[dict], members_b: list[dict], threshold: float,
                 m["component"] = new
 
 
-def _crossed(groups: DataFrame, sets: DataFrame, threshold: float, weighted: bool) -> DataFrame:
-    """Links between components of one group; ``groups``: key, id, component, home (the hub's component)."""
-    split = groups.where("component <> home")
-    outside = split.groupBy("key").agg(F.count("*").alias("n_out"))
-    sizes = groups.join(outside, "key").groupBy("key").agg(F.count("*").alias("n"), F.max("n_out").alias("n_out"))
-    rows = groups.join(sizes, "key").join(sets, "id")
-    member = F.struct("id", "component", "keys", "counts")
-    blocks = lambda df, n: df.withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / (BLOCK * 3 // 4)).cast("bigint"))).groupBy("key", "block").agg(F.collect_list(member).alias("m"))  # noqa: E731  about 3/4 BLOCK documents each
-    left = blocks(rows.where("component <> home"), "n_out").select("key", F.col("m").alias("left"))
-    both = left.join(blocks(rows, "n").select("key", F.col("m").alias("right")), "key")
+def _crossed(groups: DataFrame, docs: DataFrame, threshold: float, weighted: bool, total: int) -> DataFrame:
+    """Links between components of one group; ``groups``: key, id, size, component, outside (of the hub's component), ``total`` rows."""
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / CHUNK), F.lit(1)).cast("bigint")
+    out = lambda c: F.sum(F.when(F.col("outside"), c).otherwise(0))
+    mark = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"m{k}") for k in (1, 2)]
+    split = groups.groupBy("key").agg(F.count("*").alias("n"), blocks(F.count("*"), F.sum("size")).alias("right"), blocks(out(F.lit(1)), out(F.col("size"))).alias("left"), out(F.lit(1)).alias("n_out"), *mark)
+    split = split.where("n_out > 0").groupBy("n", "m1", "m2").agg(F.min(F.struct("key", "left", "right")).alias("g"))  # groups of the same documents: once
+    split = runtime.materialize(split.select("g.key", "g.left", "g.right", "n"), "split")
+    rows = runtime.join_hot(groups, split, ["key"], "n", total)
+    rows = rows.withColumn("lb", F.pmod(F.xxhash64("id", F.lit(1)), "left")).withColumn("rb", F.pmod(F.xxhash64("id", F.lit(2)), "right"))
+    as_left = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("right") - 1), lambda r: F.col("lb") * F.col("right") + r)).otherwise(F.array().cast("array<bigint>"))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("left") - 1), lambda x: x * F.col("right") + F.col("rb"))
+    cells = rows.withColumn("cell", F.explode(F.array_distinct(F.concat(as_left, as_right))))
+    cells = cells.select("id", "key", "cell", "component", (F.col("outside") & F.expr("cell div right = lb")).alias("is_left"), F.expr("cell % right = rb").alias("is_right"))
+    sets = _compared(docs, runtime.materialize(cells, "cells"), weighted)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
-                links = list(_block_links(a, b, threshold, weighted))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        a, b = [r for r in rows if r["is_left"]], [r for r in rows if r["is_right"]]
+        links = list(_block_links(a, b, threshold, weighted)) if a and b else []
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return sets.groupBy("key", "cell").applyInArrow(run, "a bigint, b bigint")
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
@@ -192,34 +216,37 @@ def classes(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id",
 
     Similarity is Jaccard's over distinct five-word shingles, or (weighted) over their counts. Of texts without
     a word, equal ones (empty or blank) are one class, null ones classes of their own; a row with a null id has a null class; rows that
-    share an id are one document, with the links of the least of their sets. Ids are integers. An empty table gives none; other columns are not read.
+    share an id are one document, with the links of each of their sets. Ids are integers. An empty table gives none; other columns are not read.
     """
     spark = docs.sparkSession
     runtime.ship(spark)
+    since = runtime.mark()
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
     known = rows.where("id is not null")
     sketch = runtime.materialize(_sketch(known, weighted), "sketch")
-    blank = sketch.where("size(bands) = 0").join(sketch.where("size(bands) > 0").select("id"), "id", "left_anti")  # an id with words is no blank document
-    blank = runtime.materialize(blank.groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("f")).select("id", "f.f1", "f.f2"), "blank")
-    alike = blank.join(blank.groupBy("f1", "f2").agg(F.min("id").alias("head")), ["f1", "f2"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
-    sketch = sketch.where("size(bands) > 0")
-    first = sketch.groupBy("f1", "f2").agg(F.min("id").alias("head"), F.min(F.struct("id", "bands"))["bands"].alias("bands"))
-    heads = runtime.materialize(first, "heads")
-    keyed = heads.select(F.col("head").alias("id"), F.explode("bands").alias("key"))
+    n_rows = sketch.count()
+    blank = sketch.where("size = 0").join(sketch.where("size > 0").select("id"), "id", "left_anti")  # an id with words is no blank document
+    blank = blank.groupBy("id").agg(F.min(F.struct("f1", "f2", "size", "bands")).alias("s")).select("id", "s.*")
+    nodes = sketch.where("size > 0").union(runtime.materialize(blank, "blank"))
+    first = nodes.groupBy("f1", "f2").agg(F.min("id").alias("head"), F.count("*").alias("n"), F.first(F.struct("bands", "size")).alias("s"))  # equal sets have equal bands
+    heads = runtime.materialize(first.select("f1", "f2", "head", "n", "s.bands", "s.size"), "heads")
+    same = runtime.join_hot(nodes.select("id", "f1", "f2"), heads.where("n > 1").select("f1", "f2", "head", "n"), ["f1", "f2"], "n", n_rows).select(F.col("id").alias("a"), F.col("head").alias("b"))
+    keyed = heads.select(F.col("head").alias("id"), "size", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    groups = runtime.materialize(keyed.join(shared, "key"), "groups")
+    groups = runtime.materialize(runtime.join_hot(keyed, shared, ["key"], "n", 25 * n_rows), "groups")
+    n_groups = groups.count()
     degree = groups.groupBy("id").agg(F.sum("n").alias("degree"))
-    hubs = groups.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
-    member_of = runtime.materialize(groups.select("key", "id").join(hubs, "key"), "members")
-    wanted = groups.select("id").distinct()
-    of_ids = _sets(known.join(wanted, "id", "left_semi")).groupBy("id").agg(F.min(F.struct("keys", "counts")).alias("s"))  # of rows that share an id the least set
-    sets = runtime.materialize(of_ids.select("id", "s.keys", "s.counts"), "sets")
-    links = runtime.materialize(_verified(member_of.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, threshold, weighted), "links")
+    hubs = groups.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("h"), F.count("*").alias("n")).select("key", (-F.col("h.minus")).alias("hub"), "n")
+    hubs = runtime.materialize(hubs, "hubs")
+    member_of = runtime.materialize(runtime.join_hot(groups.select("key", "id", "size"), hubs, ["key"], "n", n_groups).select("key", "id", "size", "hub"), "members")
+    pairs = runtime.materialize(member_of.where("id <> hub").groupBy("hub", "id").agg(F.max("size").alias("size")), "pairs")
+    links = runtime.materialize(_verified(pairs, known, threshold, weighted, n_groups), "links")
     found = components(links, "star")
-    placed = member_of.join(found, "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("component"))
-    homes = placed.where("id = hub").select("key", F.col("component").alias("home"))
-    more = _crossed(placed.select("key", "id", "component").join(homes, "key"), sets, threshold, weighted)
-    same = sketch.join(heads.select("f1", "f2", "head"), ["f1", "f2"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
-    every = components(links.union(runtime.materialize(more, "more").select("a", "b")).union(same.union(alike).where("a <> b")), "classes")
+    homes = hubs.join(found.select(F.col("id").alias("hub"), "component"), "hub", "left").select("key", F.coalesce("component", "hub").alias("home"), "n")
+    placed = member_of.select("key", "id", "size").join(found, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
+    placed = runtime.join_hot(placed, homes, ["key"], "n", n_groups).select("key", "id", "size", "component", (F.col("component") != F.col("home")).alias("outside"))
+    more = runtime.materialize(_crossed(runtime.materialize(placed, "placed"), known, threshold, weighted, n_groups), "more")
+    every = components(links.union(more.select("a", "b")).union(same.where("a <> b")), "classes")
+    runtime.discard(spark, since=since, keep=1)
     out = rows.select("id").join(every, "id", "left")
     return out.select(F.col("id").alias("doc_id"), F.coalesce("component", "id").alias("class_id"))

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from slotwise.llm import near_dedup
 from slotwise.llm.components import components
 from slotwise.llm.dart_minhash import signatures
 from slotwise.llm.near_dedup import _block_links, classes
@@ -69,6 +70,29 @@ def test_equal_blank_texts_are_one_class(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 8, 10: 0}
 
 
+def test_rows_that_share_an_id_have_the_links_of_each_text(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    docs = [(5, one), (5, two), (3, one), (4, two + " more"), (9, one + " more"), (9, "words of its own that nobody has"), (7, "words of its own")]
+    got = {x.doc_id: x.class_id for x in classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {3: 3, 4: 3, 5: 3, 9: 3, 7: 7}
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_small_cells_and_chunks(spark, monkeypatch, weighted):
+    for name, value in (("BLOCK", 3), ("CHUNK", 100), ("SLICE", 7)):
+        monkeypatch.setattr(near_dedup, name, value)
+    r, docs = random.Random(8), []
+    for _ in range(3):
+        base = prose(r, 40).split()
+        for _ in range(12):
+            words = list(base)
+            for _ in range(r.randint(0, 2)):
+                words[r.randrange(len(words))] = f"e{r.randint(0, 10**6)}"
+            docs.append((len(docs), " ".join(words)))
+    got = {x.doc_id: x.class_id for x in classes(spark.createDataFrame(docs, "doc_id long, text string"), weighted=weighted).collect()}
+    assert got == brute(docs, weighted)
+
+
 def test_weighted_links_between_unlike_sets():
     member = lambda k, own: {"id": k, "component": k, "keys": np.array([1, *own], U64).tobytes(), "counts": np.array([1000] + [1] * len(own), np.int64).tobytes()}
     assert list(_block_links([member(1, range(10, 40))], [member(2, range(50, 80))], 0.8, True)) == [(1, 2)]
