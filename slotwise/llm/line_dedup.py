@@ -2,7 +2,7 @@
 
 A line goes if an earlier line (by document id, then place) equals it or is one edit (insertion, deletion or
 substitution of a character) away, judged on the input. Lines under ``MIN_CHARS`` characters stay; with
-``exact_all`` they go too where an earlier line equals them, but for lines without a word.
+``exact_all``, as in the registered queries, they go where an earlier line equals them and they have a word.
 
 1. Equal lines meet by a 128-bit hash; only the earliest of each goes on.
 2. Two lines one edit apart agree in their first or in their second half. Lines whose halves (four keys a
@@ -11,7 +11,8 @@ substitution of a character) away, judged on the input. Lines under ``MIN_CHARS`
    how it arose, so that equal keys are one edit apart: a substitution key has the place and the length; a
    deletion key of a line meets the line that it spells. So a minimum a key finds the earliest partner,
    and no group is ever paired out.
-4. Each line and its earliest partner are compared by edit distance before the line goes.
+4. Each line and its earliest partner by each key are compared by edit distance before the line goes. A line
+   none of whose partners holds (keys can collide) is compared with all that share a key with it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from slotwise.llm.suffix_dedup import _power, _span_hash, _sums
 from slotwise.llm.textblock import U64, Block, mix, slices
 
 MIN_CHARS = 16
+#: Bits of a variant's key. Fewer make more keys collide and more pairs to compare, but no other result.
+KEY_BITS = 64
 #: Bits of the filter with which the texts of lines that may have a partner are picked from the scan: a fixed size.
 FILTER_BITS = 24
 
@@ -149,6 +152,8 @@ def _near(rows: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     found = rows.mapInArrow(texts, "key bigint, key2 bigint, line string").dropDuplicates(["key", "key2"])
     lines = runtime.materialize(able.join(found, ["key", "key2"]), "able-lines")
 
+    kept_bits = U64((1 << KEY_BITS) - 1)
+
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds = np.asarray(batch.column(1)).astype(np.int64)
@@ -157,7 +162,7 @@ def _near(rows: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
                 x = Lines(block, 0)
                 at, key, role = x.variants(np.arange(len(x.n)), kinds[done : done + part.num_rows])
                 done += part.num_rows
-                yield pa.RecordBatch.from_arrays([_i64(key), pa.array(role), part.column(2).take(pa.array(at))], ["variant", "role", "at"])
+                yield pa.RecordBatch.from_arrays([_i64(key & kept_bits), pa.array(role), part.column(2).take(pa.array(at))], ["variant", "role", "at"])
 
     at_type = firsts.schema["at"].dataType.simpleString()
     emitted = lines.select("line", "kinds", "at").mapInArrow(variants, f"variant bigint, role tinyint, at {at_type}")
@@ -167,10 +172,20 @@ def _near(rows: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     least = met.groupBy("variant").agg(F.min(F.when(F.col("role") != 1, F.col("at"))).alias("other"), F.min(F.when(F.col("role") == 1, F.col("at"))).alias("deleted"))
     # a line as the shorter looks at the deletions that spell it, a deletion at the line it spells, a place at its like
     partner = F.when(F.col("role") == 0, F.col("deleted")).otherwise(F.col("other"))
-    earlier = met.join(least, "variant").withColumn("p", partner).where("p < at").groupBy("at.dkey", "at.place").agg(F.min("p").alias("p")).select("dkey", "place", F.col("p.dkey").alias("k"), F.col("p.place").alias("n"))
-    text = lines.select("at.dkey", "at.place", "line")
-    both = earlier.join(text, ["dkey", "place"]).join(text.toDF("k", "n", "other"), ["k", "n"])
-    return both.where(F.levenshtein("line", "other", 1) == 1).select("dkey", "place")
+    text = runtime.materialize(lines.select("at.dkey", "at.place", "line"), "able-texts")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (at, p) of places, at's place and whether its line is one edit away from p's."""
+        apart = pairs.select("at.dkey", "at.place", F.col("p.dkey").alias("k"), F.col("p.place").alias("n")).distinct()
+        both = apart.join(text, ["dkey", "place"]).join(text.toDF("k", "n", "other"), ["k", "n"])
+        return both.select("dkey", "place", (F.levenshtein("line", "other", 1) == 1).alias("near"))
+
+    first = judged(met.join(least, "variant").withColumn("p", partner).where("p < at").select("at", "p"))
+    first = runtime.materialize(first.groupBy("dkey", "place").agg(F.bool_or("near").alias("near")), "judged")
+    doubtful = met.join(first.where("not near"), (F.col("at.dkey") == F.col("dkey")) & (F.col("at.place") == F.col("place"))).select("variant", "role", "at")
+    others = met.select("variant", F.col("role").alias("r"), F.col("at").alias("p"))
+    second = judged(doubtful.join(others, "variant").where("p < at and (role = 1) <> (r = 1) or p < at and role = 2 and r = 2").select("at", "p"))
+    return first.where("near").select("dkey", "place").union(second.where("near").select("dkey", "place"))
 
 
 def removed_lines(docs: DataFrame, *, bound: int = 1, min_chars: int = MIN_CHARS, exact_all: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,7 +215,7 @@ def dedup_lines(docs: DataFrame, *, bound: int = 1, min_chars: int = MIN_CHARS,
     All rows and columns stay (those two names and ``_dkey``, ``_places`` must be free). A removed line goes with
     its line feed. Null texts stay null, with no line; a text that loses every line is empty. A null id comes
     before every other. Of equal documents (id and text) the lines are removed alike. An empty table stays so.
-    With ``exact_all`` equal lines of any length go, if they have a word; ``min_chars`` is then for the edits only.
+    With ``exact_all`` equal lines of any length go, if they have a word, and ``min_chars`` is for the edits only.
     """
     names = [*docs.columns, "n_lines", "n_removed"]
     if len({n.lower() for n in [*names, "_dkey", "_places"]}) < len(names) + 2:

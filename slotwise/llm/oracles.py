@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from slotwise.llm.quality_rules import BOILERPLATE
 
 _WORD = r"[^\x20\x09-\x0D]"
-_PHRASES = "|".join(BOILERPLATE)
+_PHRASES = "|".join(re.escape(p) for p in BOILERPLATE)
 
 QUALITY_RULES = f"""with d as (select doc_id, coalesce(text, '') as t from documents),
  w as (select doc_id, t, regexp_extract_all(t, '{_WORD}+') as ws from d),
@@ -48,15 +50,16 @@ SUFFIX_DEDUP = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h
  kept as (select c.doc_id, count(*) as n_spans, sum(b - a) as n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by k) || substr(any_value(h), 2 * max(b) + 1) as r from cuts c join d using (doc_id) group by c.doc_id)
 select d.doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(r, h))) as kept_sha256 from d left join kept using (doc_id)"""
 
-#: Deletion variants with their places (for substitutions) and spelt out (for insertions).
-LINE_DEDUP = """with s as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+#: Equal lines that have a word (or 16 characters); of longer ones deletion variants with their places (for substitutions) and spelt out (for insertions).
+LINE_DEDUP = f"""with s as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
  l as (select doc_id, unnest(ls) as l, unnest(range(len(ls))) as k from s),
- big as (select l, min(doc_id * 1000000 + k) as pos from l where length(l) >= 16 group by l),
+ seen as (select l, min(doc_id * 1000000 + k) as pos from l where length(l) >= 16 or regexp_matches(l, '{_WORD}') group by l),
+ big as (select l, pos from seen where length(l) >= 16),
  places as (select l, pos, length(l) as n, unnest(range(length(l))) as p from big),
  v as (select l, pos, n, p, hash(substr(l, 1, p::int) || substr(l, p::int + 2)) as d from places),
  pairs as (select v.l as longer, v.pos as longer_pos, b.l as shorter, b.pos as shorter_pos from v join big b on hash(b.l) = v.d and length(b.l) = v.n - 1),
  near as (select l from (select l, pos, min(pos) over (partition by n, p, d) as m from v) where m < pos union select case when longer_pos > shorter_pos then longer else shorter end from pairs),
- judged as (select l.*, big.l is not null and (doc_id * 1000000 + k <> big.pos or near.l is not null) as gone from l left join big on big.l = l.l left join near on near.l = l.l),
+ judged as (select l.*, seen.l is not null and (doc_id * 1000000 + k <> seen.pos or near.l is not null) as gone from l left join seen on seen.l = l.l left join near on near.l = l.l),
  kept as (select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, coalesce(string_agg(l, chr(10) order by k) filter (where not gone), '') as t from judged group by doc_id)
 select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, octet_length(encode(coalesce(t, '')))::bigint as kept_bytes, sha256(coalesce(t, '')) as kept_sha256 from documents d left join kept using (doc_id)"""
 

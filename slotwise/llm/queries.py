@@ -78,7 +78,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier line equals or nearly equals."""
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_all=True)
     kept = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_lines", "n_removed", F.octet_length(kept).cast("bigint").alias("kept_bytes"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from slotwise.llm import line_dedup
 from slotwise.llm.line_dedup import dedup_lines
 
 
@@ -35,8 +36,9 @@ def brute(docs, bound):
     return out
 
 
-@pytest.mark.parametrize(("seed", "bound"), [(0, 1), (1, 1), (2, 0)])
-def test_against_brute_force(spark, seed, bound):
+@pytest.mark.parametrize(("seed", "bound", "bits"), [(0, 1, 64), (1, 1, 64), (2, 0, 64), (3, 1, 5)])
+def test_against_brute_force(spark, monkeypatch, seed, bound, bits):
+    monkeypatch.setattr(line_dedup, "KEY_BITS", bits)  # five bits: most keys collide
     r = random.Random(seed)
     alphabet = "ab" if seed else "aé漢b"
     base = ["".join(r.choice(alphabet) for _ in range(r.randint(14, 19))) for _ in range(12)]
