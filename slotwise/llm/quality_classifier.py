@@ -87,6 +87,31 @@ class Model:
         return sigmoid(z[:, None] - self.thresholds[None, :])
 
 
+def ordered(cut: np.ndarray) -> np.ndarray:
+    """Thresholds from free parameters: the first, and the logarithms of the steps."""
+    return np.cumsum(np.append(cut[:1], np.exp(cut[1:])))
+
+
+def gradient(w: np.ndarray, doc: np.ndarray, column: np.ndarray, x: np.ndarray, grades: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Of the weighted negative log likelihood of the grades by ``w`` (a weight a column, then the parameters of ``ordered``).
+
+    ``doc``, ``column`` and ``x`` are the cells of the documents' features. P(grade) is the difference of the
+    cumulative probabilities on its two sides.
+    """
+    top = int(grades.max())
+    cut, n_docs, rows = w[-top:], len(grades), np.arange(len(grades))
+    z = np.bincount(doc, x * w[column], n_docs)
+    below = np.concatenate([np.zeros((n_docs, 1)), sigmoid(ordered(cut)[None, :] - z[:, None]), np.ones((n_docs, 1))], axis=1)
+    slope = below * (1 - below)
+    p = np.maximum(below[rows, grades + 1] - below[rows, grades], 1e-9)
+    gz = weight * (slope[rows, grades + 1] - slope[rows, grades]) / p
+    g_theta = np.zeros((n_docs, top + 2))
+    g_theta[rows, grades + 1] -= weight * slope[rows, grades + 1] / p
+    g_theta[rows, grades] += weight * slope[rows, grades] / p
+    tail = np.cumsum(g_theta[:, 1 : top + 1].sum(0)[::-1])[::-1]  # every later threshold moves with an earlier one
+    return np.append(np.bincount(column, gz[doc] * x, len(w) - top), tail * np.append(1.0, np.exp(cut[1:])))
+
+
 def fit(texts: list[str], grades: np.ndarray, *, epochs: int = 80, rate: float = 0.5, decay: float = 1e-6) -> Model:
     """Weights and thresholds of least negative log likelihood over grades 0, 1, ... (the highest is that of the sample).
 
@@ -108,26 +133,11 @@ def fit(texts: list[str], grades: np.ndarray, *, epochs: int = 80, rate: float =
     weight = (len(grades) / np.maximum(np.bincount(grades, minlength=top + 1), 1))[grades]
     weight /= weight.sum()
     opt = Adam(len(known) + top, rate)
-    bounds = lambda w: np.cumsum(np.append(w[:1], np.exp(w[1:])))  # noqa: E731  ordered thresholds
-    rows = np.arange(len(grades))
     for _ in range(epochs):
-        w, cut = opt.w[: len(known)], opt.w[len(known) :]
-        theta = bounds(cut)
-        z = np.bincount(doc, x * w[column], n_docs)
-        below = np.concatenate([np.zeros((n_docs, 1)), sigmoid(theta[None, :] - z[:, None]), np.ones((n_docs, 1))], axis=1)
-        slope = below * (1 - below)
-        p = np.maximum(below[rows, grades + 1] - below[rows, grades], 1e-9)
-        gz = weight * (slope[rows, grades + 1] - slope[rows, grades]) / p
-        g_theta = np.zeros((n_docs, top + 2))
-        g_theta[rows, grades + 1] -= weight * slope[rows, grades + 1] / p
-        g_theta[rows, grades] += weight * slope[rows, grades] / p
-        g_theta = g_theta[:, 1 : top + 1].sum(0)
-        tail = np.cumsum(g_theta[::-1])[::-1]  # every later threshold moves with an earlier one
-        g_cut = tail * np.append(1.0, np.exp(cut[1:]))
-        opt.step(np.append(np.bincount(column, gz[doc] * x, len(known)) + decay * w, g_cut))
+        opt.step(gradient(opt.w, doc, column, x, grades, weight) + decay * np.append(opt.w[: len(known)], np.zeros(top)))
     weights = np.zeros(n_features)
     weights[known] = opt.w[: len(known)]
-    return Model(weights, bounds(opt.w[len(known) :]))
+    return Model(weights, ordered(opt.w[len(known) :]))
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: Column, *, id_col: str = "doc_id", per_class: int = PER_CLASS) -> Model:

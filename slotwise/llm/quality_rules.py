@@ -11,8 +11,9 @@ Lines without a word are kept as they are: they carry no text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,11 @@ _END[[ord(c) for c in ".!?:;\"')]}"]] = True
 _END_WIDE = ("…", "”", "’", "»", "。", "！", "？", "“")
 
 
+def _fold(phrase: str) -> str:
+    """The phrase with ASCII letters lowered, as lines are."""
+    return phrase.encode().lower().decode()
+
+
 def _ends_well(block: Block, last: np.ndarray) -> np.ndarray:
     """Whether the byte at each index, or the character that ends there, is a terminal mark."""
     buf = block.buf
@@ -102,7 +108,7 @@ def _features(block: Block, phrase: np.ndarray, rules: LineRules) -> dict[str, n
     lines_off = np.searchsorted(line_doc, np.arange(block.n + 1))
     for d in np.flatnonzero(phrase):
         for k in range(lines_off[d], lines_off[d + 1]):
-            line = buf[ls[k] : le[k]].tobytes().lower()
+            line = buf[ls[k] : le[k]].tobytes().lower()  # bytes: ASCII only
             failed[k] |= any(p.encode() in line for p in rules.boilerplate)
     lost = np.bincount(line_doc[failed], (we[last - 1] - ws[first])[failed], block.n).astype(np.int64) if len(ls) else np.zeros(block.n, np.int64)
     total = np.bincount(line_doc, we[last - 1] - ws[first], block.n).astype(np.int64) if len(ls) else np.zeros(block.n, np.int64)
@@ -137,7 +143,8 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), *, id_col: str
     Repeated rows each give a row, an empty table none; other columns are not read. One pass, no shuffle.
     """
     runtime.ship(docs.sparkSession)
-    pattern = "|".join(rules.boilerplate) or "$^"
+    rules = replace(rules, boilerplate=tuple(_fold(p) for p in rules.boilerplate if p))
+    pattern = "|".join(re.escape(p) for p in rules.boilerplate) or "$^"
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,6 +91,19 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
         yield at, features(block, starts, ends), of_word, np.searchsorted(block.off, first_byte, "right") - 1
 
 
+def gradient(w: np.ndarray, sentence: np.ndarray, column: np.ndarray, doc: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Of the mean negative log likelihood of the documents' labels by ``w`` (a weight a column, and the intercept).
+
+    ``sentence`` and ``column`` pair each feature with its sentence, ``doc`` each sentence with its document. A
+    document's probability of label 0 is exp(-s), s the sum of softplus(z) over its sentences.
+    """
+    z = w[-1] + np.bincount(sentence, w[column], len(doc))
+    s = np.bincount(doc, softplus(z), len(labels))
+    pull = np.where(labels == 1, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0)
+    gz = pull[doc] * sigmoid(z)
+    return np.append(np.bincount(column, gz[sentence], len(w) - 1), gz.sum()) / len(labels)
+
+
 def fit(texts: list[str], labels: np.ndarray, *, epochs: int = 80, rate: float = 0.1, decay: float = 3e-5, min_docs: int | None = None) -> Model:
     """Weights that make noisy-or of the sentence scores agree with the documents' labels (0 or 1).
 
@@ -120,12 +133,7 @@ def fit(texts: list[str], labels: np.ndarray, *, epochs: int = 80, rate: float =
     opt = Adam(len(known) + 1, rate)
     opt.w[-1] = -8.0
     for _ in range(epochs):
-        z = opt.w[-1] + np.bincount(sentence, opt.w[column], seen)
-        s = np.bincount(doc, softplus(z), n_docs)
-        pull = np.where(labels == 1, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0)
-        gz = pull[doc] * sigmoid(z)
-        g = np.append(np.bincount(column, gz[sentence], len(known)), gz.sum()) / n_docs
-        opt.step(g + decay * np.append(opt.w[:-1], 0))
+        opt.step(gradient(opt.w, sentence, column, doc, labels) + decay * np.append(opt.w[:-1], 0))
     weights = np.zeros(n + 1, np.float32)
     weights[known] = opt.w[:-1]
     return Model(weights, float(opt.w[-1]))
@@ -137,7 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", *, keep:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, *, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True) -> DataFrame:
-    """One row per row of ``docs``: doc_id, score, predicted, and (with_spans) the sentences whose own score reaches the threshold, as first character, end and score.
+    """One row per row of ``docs``: doc_id, score, predicted, and (with_spans) the offending sentences as first character, end and score.
+
+    Those are the sentences whose own score reaches the threshold, and in a predicted document without one (its
+    sentences reach it together) the sentence of the highest score, the first of equals.
 
     Null, empty and wordless texts score 0. Repeated rows each give a row, an empty table none; no column
     but the id and the text is read. One pass, no shuffle; the model is of fixed size.
@@ -158,8 +169,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, *, id_col: str
                 if with_spans:
                     chars = np.concatenate([[0], np.cumsum((block.buf & 0xC0) != 0x80)])
                     found: list[list[dict]] = [[] for _ in range(block.n)]
-                    for k in np.flatnonzero(p >= threshold):
-                        d = int(np.searchsorted(block.off, a[k], "right")) - 1
+                    of = np.searchsorted(block.off, a, "right") - 1
+                    best = np.lexsort((np.arange(len(p)), -p, of))
+                    best = best[np.append(True, of[best][1:] != of[best][:-1])[: len(best)]]  # each text's highest
+                    located = p >= threshold
+                    located[best] |= s[of[best]] >= threshold
+                    for k in np.flatnonzero(located):
+                        d = int(of[k])
                         base = chars[block.off[d]]
                         found[d].append({"start": int(chars[a[k]] - base), "end": int(chars[b[k]] - base), "score": float(p[k])})
                     out.append(pa.array(found, span))

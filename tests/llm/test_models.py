@@ -1,11 +1,16 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from slotwise.llm import quality_classifier, toxicity
 from slotwise.llm.textblock import of_array
+from slotwise.llm.training import fit_on, labelled_sample
 
 from .conftest import prose
 
@@ -86,3 +91,99 @@ def test_training_samples(spark, odd_docs, no_docs):
     m = toxicity.train(odd_docs, labels, keep=F.col("id") != 99)
     assert 0 <= toxicity.score(odd_docs, m).agg(F.max("score")).first()[0] <= 1
     assert toxicity.train(no_docs, labels.limit(0)).intercept < 0
+    with pytest.raises(ValueError):
+        labelled_sample(odd_docs, spark.range(30).selectExpr("id as doc_id", "id as y"), F.col("y"), per_class=3, max_bytes=9)
+
+
+def test_samples_are_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(40)], "id long, text string").withColumn("y", F.lit(1))
+    for limit, n in ((0, 0), (250, 2), (10_000, 40)):
+        assert fit_on(docs, lambda texts, y: len(texts), limit) == n
+
+
+def test_gradient_of_noisy_or():
+    r = np.random.default_rng(3)
+    doc, labels = np.sort(r.integers(0, 6, 20)), np.array([0, 1, 1, 0, 1, 0])
+    sentence, column, w = r.integers(0, 20, 90), r.integers(0, 8, 90), r.normal(0, 0.7, 9)
+
+    def loss(w):
+        total = 0.0
+        for d, y in enumerate(labels):
+            none = 1.0
+            for k in np.flatnonzero(doc == d):
+                z = w[-1] + sum(w[c] for s, c in zip(sentence, column, strict=True) if s == k)
+                none *= 1 - 1 / (1 + math.exp(-z))
+            total -= math.log(1 - none if y else none)
+        return total / len(labels)
+
+    assert np.allclose(toxicity.gradient(w, sentence, column, doc, labels), by_differences(loss, w), atol=1e-6)
+
+
+def by_differences(loss, w, h=1e-5):
+    step = np.eye(len(w)) * h
+    return np.array([(loss(w + s) - loss(w - s)) / (2 * h) for s in step])
+
+
+def test_gradient_of_cumulative_links():
+    r = np.random.default_rng(4)
+    grades, weight = np.array([0, 2, 1, 3, 1, 0, 2]), r.random(7)
+    doc, column, x, w = r.integers(0, 7, 40), r.integers(0, 6, 40), r.random(40), r.normal(0, 0.5, 9)
+
+    def loss(w):
+        cuts = [w[6], w[6] + math.exp(w[7]), w[6] + math.exp(w[7]) + math.exp(w[8])]
+        total = 0.0
+        for d, g in enumerate(grades):
+            z = sum(v * w[c] for e, c, v in zip(doc, column, x, strict=True) if e == d)
+            below = [0.0, *(1 / (1 + math.exp(z - c)) for c in cuts), 1.0]
+            total -= weight[d] * math.log(below[g + 1] - below[g])
+        return total
+
+    assert np.allclose(quality_classifier.gradient(w, doc, column, x, grades, weight), by_differences(loss, w), atol=1e-6)
+
+
+def plain_words(sentence):
+    return re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", sentence)
+
+
+def test_toxic_scores_against_a_plain_version(spark):
+    """Every sentence by the words' and prefixes' weights, one at a time; noisy-or; and a located sentence in every predicted document."""
+    texts, y = zip(*toxic_docs(1500, 1), strict=True)
+    m = toxicity.fit(list(texts), np.array(y))
+    weak = toxicity.Model(m.weights / 10, -2.0)  # scores that only add up
+
+    def weight(word):
+        block = of_array(pa.array([word]))
+        return weak.weights[toxicity.features(block, np.array([0]), np.array([len(block.buf)]))].sum()
+
+    docs = [(k, t) for k, (t, _) in enumerate(toxic_docs(60, 5))] + [(60, "One.\nTwo! ... three? "), (61, "?!"), (62, "")]
+    rows = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), weak, 0.3).collect()}
+    alone = 0
+    for k, t in docs:
+        z = [weak.intercept + sum(map(weight, w)) for s in re.split(r"[.!?\n]", t) if (w := plain_words(s))]
+        p = [1 / (1 + math.exp(-v)) for v in z]
+        assert abs(rows[k].score - (1 - math.prod(1 - v for v in p))) < 1e-5
+        want = sum(v >= 0.3 for v in p)
+        alone += rows[k].predicted and not want
+        assert len(rows[k].sentences) == (want or rows[k].predicted)
+        if rows[k].predicted and not want:
+            assert abs(rows[k].sentences[0].score - max(p)) < 1e-5
+    assert alone
+
+
+def test_grades_against_a_plain_version(spark):
+    """The words' shares of features by their hashes, one text at a time, through the cumulative links."""
+    texts, y = zip(*graded(300, 1), strict=True)
+    m = quality_classifier.fit(list(texts), np.array(y))
+    docs = [(k, t) for k, (t, _) in enumerate(graded(30, 7))] + [(30, "a a a\nb c d\nb c d"), (31, None)]
+    for r in quality_classifier.grade(spark.createDataFrame(docs, "doc_id long, text string"), m).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        doc, f = quality_classifier.features(of_array(pa.array([r.text or ""])))
+        z = sum(float(m.weights[k]) for k in f) / max(len(words), 1)
+        above = [1 / (1 + math.exp(t - z)) for t in m.thresholds]
+        assert abs(r.expected_grade - sum(above)) < 1e-5 and abs(r.tail_probability - above[0]) < 1e-5
+        triples = Counter(zip(words, words[1:], words[2:], strict=False))
+        again = sum(triples[t] > 1 for t in zip(words, words[1:], words[2:], strict=False))
+        lines = [x for x in (r.text or "").split("\n") if x.split()]
+        dup = sum(len(x.split()) for k, x in enumerate(lines) if x in lines[:k])
+        repeats = sum(a.lower() == b.lower() for a, b in zip(words, words[1:], strict=False))
+        assert len(f) == 2 * len(words) + max(0, len(words) - 1) + repeats + again + dup

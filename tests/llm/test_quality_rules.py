@@ -30,3 +30,10 @@ def test_line_rules(spark):
     assert (rows[2].kept, rows[2].n_failed_lines, rows[2].cleaned) == (True, 5, prose + "\n")
     assert not rows[3].kept
     assert clean_lines(docs, LineRules(max_lost_percent=1)).where("doc_id = 2 and kept").count() == 0
+
+
+def test_phrases_are_literal(spark):
+    line = "Prose that says (C) HERE and c++ and ends."
+    docs = spark.createDataFrame([(1, line)], "doc_id long, text string")
+    for phrases, n in ((("(c) here",), 1), (("c++",), 1), (("(C) Here",), 1), (("c..",), 0), ((), 0), (("",), 0)):
+        assert clean_lines(docs, LineRules(boilerplate=phrases)).first().n_failed_lines == n
