@@ -5,7 +5,7 @@
 2. Signatures of ``K`` darts are cut into bands; documents that share a band's key form a group. In each
    group the document with the most partners over all its groups is the hub, and every member is
    compared with the hub on the whole sets: pairs grow with the members, not with their square. The members
-   of a hub are dealt to chunks of about ``CHUNK`` shingles, and the hub's set goes once to each chunk.
+   of a hub are dealt to chunks of about ``HUB_CHUNK`` shingles, and the hub's set goes once to each chunk.
 3. Where that leaves a group in several components, the members outside the hub's component are compared
    with the whole group, in cells of about ``BLOCK`` documents (or ``CHUNK`` shingles) a side, inside a task;
    only links that join components leave it. So no link within a group is lost, and no group meets in one
@@ -34,7 +34,7 @@ from slotwise.llm.dart_minhash import bands, signatures
 from slotwise.llm.textblock import U64, Block, mix, slices
 
 WORDS, K, ROWS = 5, 125, 5
-BLOCK, CHUNK = 192, 1 << 18
+BLOCK, CHUNK, HUB_CHUNK = 192, 1 << 18, 1 << 16
 #: Shingles of a cell that are counted at once.
 SLICE = 1 << 14
 
@@ -129,7 +129,7 @@ def _set(keys: bytes, counts: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 def _verified(members: DataFrame, docs: DataFrame, threshold: float, weighted: bool, total: int) -> DataFrame:
     """The pairs (a, b) of a hub and a member whose sets are at least that similar; ``members``: hub, id, size, ``total`` at least."""
-    parts = members.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / CHUNK).cast("bigint").alias("chunks"))
+    parts = members.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / HUB_CHUNK).cast("bigint").alias("chunks"))
     parts = runtime.materialize(parts, "parts")
     own = parts.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     dealt = runtime.join_hot(members, parts.select("hub", "chunks", "n"), ["hub"], "n", total)

@@ -79,7 +79,7 @@ def test_rows_that_share_an_id_have_the_links_of_each_text(spark):
 
 @pytest.mark.parametrize("weighted", [False, True])
 def test_small_cells_and_chunks(spark, monkeypatch, weighted):
-    for name, value in (("BLOCK", 3), ("CHUNK", 100), ("SLICE", 7)):
+    for name, value in (("BLOCK", 3), ("CHUNK", 100), ("HUB_CHUNK", 100), ("SLICE", 7)):
         monkeypatch.setattr(near_dedup, name, value)
     r, docs = random.Random(8), []
     for _ in range(3):

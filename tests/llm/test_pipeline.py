@@ -24,8 +24,8 @@ def test_pipeline(spark):
     assert kept.join(poor, "doc_id").count() <= 0.2 * max(poor.count(), 1)
     assert kept.join(good, "doc_id").count() >= 0.95 * good.count()
     lines = corpus_pipeline.lines(spark, kept, SF).cache()
-    gone = {r.doc_id: r for r in line_dedup.dedup_lines(kept).collect()}
-    assert {r.doc_id: r.text for r in lines.collect()} == {k: r.text for k, r in gone.items()}
+    gone = {r.doc_id: r for r in line_dedup.dedup_lines(kept, exact_all=True).collect()}
+    assert {r.doc_id: r.text for r in lines.collect()} == {k: r.text for k, r in gone.items() if r.text.strip() or not r.n_removed}
     near = corpus_pipeline.near_duplicates(spark, lines, SF).cache()
     classes = near_dedup.classes(lines).collect()
     assert sorted(r.doc_id for r in near.collect()) == sorted({r.class_id for r in classes})
@@ -40,3 +40,42 @@ def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "mixture", "sequences"]
     assert os.path.exists(SF)
+
+
+def test_stages_on_odd_documents(spark, odd_docs, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_docs, SF)
+        rows = out.collect()
+        assert name in ("quality", "mixture") or rows
+        assert name == "sequences" or set(rows) <= set(odd_docs.select(*corpus_pipeline.COLUMNS).collect()) or name == "lines"
+        assert stage(spark, no_docs, SF).count() == 0
+    assert corpus_pipeline.quality(spark, odd_docs, SF).columns == list(corpus_pipeline.COLUMNS)
+    packed = corpus_pipeline.sequences(spark, odd_docs, SF).collect()
+    assert sum(r.piece == 0 for r in packed) == odd_docs.count()
+
+
+def test_documents_that_lose_every_line_go(spark):
+    line = "a line that is long enough to count"
+    rows = [(1, f"{line}\nown words here"), (2, line), (3, f"{line}\n  "), (4, ""), (5, None), (6, "short"), (7, "short")]
+    docs = spark.createDataFrame([(*r, "en", "src1", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 4: ("", 0), 5: (None, None), 6: ("short", 5)}
+
+
+def test_near_duplicates_keeps_unlike_texts_of_one_id(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(1, one), (1, two), (1, one), (2, one + " end"), (None, two), (None, "nobody else's words"), (3, None), (4, None)]
+    docs = spark.createDataFrame([(*r, "en", "src1", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, one), (1, two), (None, "nobody else's words"), (3, None), (4, None)], key=str)
+
+
+def test_tables_between_stages_are_deleted(spark):
+    from slotwise.llm import runtime
+
+    runtime.discard(spark)
+    at = runtime.shared_folder(spark)
+    before = set(os.listdir(at))
+    corpus_pipeline.run(spark, SF).count()
+    left = {f.rsplit("-", 1)[0] for f in set(os.listdir(at)) - before}
+    assert left == {"stage-mixture", "pieces"}
