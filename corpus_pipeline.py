@@ -1,8 +1,9 @@
 """The corpus pipeline: documents through STAGES, each written as Parquet and read again by the next.
 
-Poor documents go, then lines that an earlier line has, then all but the first of near-duplicates; what is
-left is mixed to the weights of its sources and packed into sequences. Every stage works on all rows that
-its predecessor kept, and all but the last return the columns of ``documents``.
+Poor documents go, then lines that an earlier line has (and documents of which no word is left), then all but
+the first of near-duplicates; what is left is mixed to the weights of its sources and packed into sequences.
+Every stage works on all rows that its predecessor kept, and all but the last return the columns of
+``documents``. Null ids, null and empty texts, repeated rows and empty tables have the results that the stages state.
 """
 
 from __future__ import annotations
@@ -20,33 +21,47 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose probability of a good grade is at least a half, by a model trained on the rated ones."""
+    """The documents whose probability of a good grade is at least a half, by a model trained on the rated ones.
+
+    Each row is judged by its text alone: null and empty ones alike, by the thresholds. Null ids have no rating but are judged too.
+    """
     labels = table(spark, sf_dir, "labels").where("quality in (0, 1) and toxic in (0, 1)")
     model = quality_classifier.train(docs, labels, F.expr(GRADE))
     return quality_classifier.grade(docs.select(*COLUMNS), model).where("selected").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without repeated lines; n_chars is that of the text left."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    """The documents without repeated lines, but for those that lose lines and have no word left: all they said stands in earlier ones.
+
+    n_chars is that of the text left. Documents that come without a word stay (a null text as null). Rows equal in id and text fare alike.
+    """
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS), exact_all=True)
+    out = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate class (of rows that share an id, the one of least text; rows without an id stay)."""
-    first = near_dedup.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").withColumn("_n", number).where("_n = 1")
-    return kept.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    """The first row of each near-duplicate class: that of the least id (null ids last), of rows that share it the one of the least key.
+
+    A row is told by its id and text, so rows that share an id but no text are documents of their own; rows equal
+    in both are one. Null texts are no duplicates of one another.
+    """
+    rows = docs.select(*COLUMNS).withColumn("_key", line_dedup.document_key(F.col("doc_id"), F.col("text")))
+    keys = rows.select("_key", "doc_id", "text")
+    found = near_dedup.classes(keys, id_col="_key").distinct().withColumnsRenamed({"doc_id": "_key", "class_id": "_class"})
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key")
+    first = keys.select("_key", "doc_id").join(found, "_key").groupBy("_class").agg(F.min(order)["_key"].alias("_key")).select("_key")
+    number = F.row_number().over(Window.partitionBy("_key", "doc_id", "text").orderBy("lang", "source", "n_chars"))
+    return rows.join(first, "_key", "left_semi").withColumn("_n", number).where("_n = 1").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents mixed to the weights, a row for each epoch that has them."""
+    """The documents mixed to the weights, a row for each epoch that has them. Null and empty texts cost no token; null languages and sources are leaves too."""
     return mixing.mix_sources(docs.select(*COLUMNS), levels(), WEIGHTS, tokenizer_path(), share=0.75, max_epochs=2, seed=7).select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their places in packed sequences."""
+    """The documents' pieces with their places in packed sequences; a null or empty text is its end token. Repeated rows are packed each."""
     return packing.pack_documents(docs, tokenizer_path(), 2048)
 
 
@@ -54,12 +69,13 @@ STAGES: list[tuple[str, Stage]] = [("quality", quality), ("lines", lines), ("nea
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn over ``documents``; what lies between two stages is a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Every stage in turn over ``documents``; what lies between two stages is a table in the shared folder, deleted when the next is written."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), runtime.mark()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = runtime.materialize(docs, f"stage-{name}")
+            runtime.discard(spark, since=since, keep=1)
     return docs
 
 
