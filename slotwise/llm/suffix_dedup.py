@@ -10,10 +10,12 @@ blocks of documents (by a hash of the id); texts are shuffled once, by block.
 3. Blocks send the runs of those names (text of the run; equal runs once a block, with the least id), again
    by name. What was common within a block is thus joined before it moves, so a passage that a third of
    all documents share is one row a block. Names in more than ``HOT_BLOCKS`` blocks are dealt window by window.
-4. The windows of the runs of one name are put in suffix order. Where neighbours agree in 50 bytes, the
-   previous and next smaller ids give each window its longest previous factor: 50 or more means an earlier
-   document has it. Which windows these are goes back to the blocks.
-5. Blocks unite the windows of each text to spans and drop the bytes.
+4. The runs of a name are texts in which only windows start. Their suffixes are sorted; the common prefixes of
+   neighbours and the previous and next smaller owners in that order give each window its longest previous
+   factor: the longest string from there on, within the run, that also starts in a run of a smaller id. Where
+   it has 50 bytes or more the window goes; the places of such windows go back to the blocks.
+5. Blocks do the same among their own runs (step 4 has seen equal runs of a block once), unite the windows of each
+   text to spans and drop the bytes.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ from slotwise.llm import runtime
 from slotwise.llm.textblock import _BYTE, U64, Block, mix, of_array
 
 LENGTH, GRAM = 50, 24
-BLOCK_DOCS, HOT_BLOCKS = 512, 4096
+#: Most documents and (about) bytes of a block, bytes of text for each bucket of names, and windows sorted at once.
+BLOCK_DOCS, BLOCK_BYTES, BUCKET_BYTES, WINDOWS = 512, 1 << 20, 16 << 20, 200_000
+#: Names that more blocks share are dealt window by window.
+HOT_BLOCKS = 4096
 PIECE = 1 << 21
 _NAME = U64(0xFFFFFFFFFFFF0000)
 _R = U64(0x9E3779B97F4A7C15)
@@ -168,8 +173,8 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 _NAMES = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("once", pa.binary()), ("more", pa.binary())])
 _BACK = pa.schema([("g", pa.int64()), ("names", pa.binary()), ("hot", pa.binary())])
-_TEXTS = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("hot", pa.bool_()), ("name", pa.binary()), ("key", pa.binary()), ("id", pa.binary()), ("more", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
-_FOUND = pa.schema([("g", pa.int64()), ("whole", pa.binary()), ("part", pa.binary()), ("size", pa.binary()), ("mask", pa.binary()), ("window", pa.binary()), ("least", pa.binary())])
+_TEXTS = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("name", pa.binary()), ("key", pa.binary()), ("id", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
+_FOUND = pa.schema([("g", pa.int64()), ("name", pa.binary()), ("key", pa.binary()), ("size", pa.binary()), ("mask", pa.binary())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -213,7 +218,7 @@ def _common(rows: list[tuple[int, bytes, bytes]], hot_blocks: int) -> list[tuple
 
 
 def _windows(block: Block, r: Runs) -> Runs:
-    """The runs window by window, each named by its own hash."""
+    """The runs window by window; the key is the window's hash."""
     doc, start = np.repeat(r.doc, r.n), np.repeat(r.start, r.n) + np.arange(int(r.n.sum())) - np.repeat(np.cumsum(r.n) - r.n, r.n)
     key = np.zeros(len(doc), U64)
     where = block.off[doc] + start
@@ -223,7 +228,7 @@ def _windows(block: Block, r: Runs) -> Runs:
         up, _ = _power(LENGTH)
         with np.errstate(over="ignore"):
             key[a : a + len(w)] = mix((_BYTE[grid] * up[:LENGTH]).sum(1, dtype=U64) + U64(LENGTH))
-    return Runs(doc, start, np.ones(len(doc), np.int64), key & _NAME, key)
+    return Runs(doc, start, np.ones(len(doc), np.int64), np.repeat(r.name, r.n), key)
 
 
 def _texts_of(block: Block, ids: np.ndarray, g: int, names: np.ndarray, hot: np.ndarray, buckets: int) -> list[tuple]:
@@ -239,141 +244,230 @@ def _texts_of(block: Block, ids: np.ndarray, g: int, names: np.ndarray, hot: np.
         order = np.lexsort((who, r.n, r.key))
         r, who = r.pick(order), who[order]
         at = np.flatnonzero(np.append(True, (r.key[1:] != r.key[:-1]) | (r.n[1:] != r.n[:-1])))
-        more = who[at] != who[np.append(at[1:], len(who)) - 1]
         r, who = r.pick(at), who[at]
-        order, bounds = _deal(r.name, buckets)
-        r, who, more = r.pick(order), who[order], more[order]
-        a, size = block.off[r.doc] + r.start, r.n + LENGTH - 1
-        where = np.arange(int(size.sum())) + np.repeat(a - (np.cumsum(size) - size), size)
-        body, end = block.buf[where], np.append(0, np.cumsum(size))
+        order, bounds = _deal(r.key if is_hot else r.name, buckets)
+        r, who = r.pick(order), who[order]
+        body, end = _bodies(block.buf, block.off[r.doc] + r.start, r.n)
         press = zstandard.ZstdCompressor(level=3)
-        out += [(b, g, is_hot, _squeezed(r.name[x:y]), _squeezed(r.key[x:y]), _squeezed(who[x:y]), _squeezed(more[x:y]), _squeezed(r.n[x:y].astype(np.int32)), press.compress(body[end[x] : end[y]].tobytes())) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x]
+        out += [(b, g, _squeezed(r.name[x:y]), _squeezed(r.key[x:y]), _squeezed(who[x:y]), _squeezed(r.n[x:y].astype(np.int32)), press.compress(body[end[x] : end[y]].tobytes())) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x]
     return out
 
 
-def longest_previous_factor(windows: np.ndarray, group: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For each window (a row of bytes) whether a window with its bytes, of its group, has a smaller owner.
+def _bodies(buf: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of runs (first byte, number of windows) one after another, and where each starts (and the last ends)."""
+    size = n + LENGTH - 1
+    where = np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+    return buf[where], np.append(0, np.cumsum(size))
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """The rank of each number; equal numbers have equal ranks."""
+    order = np.argsort(keys)
+    new = np.append(False, keys[order][1:] != keys[order][:-1])
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
+    return out
+
 
-    The windows of a group in suffix order; among neighbours that agree in full, the previous and the next
-    smaller owner. A longest previous factor of the window's length is what there is to find, so the
-    array is kept to that length.
+def _window_ranks(buf: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The rank of each window (first byte in ``buf``) by its bytes. Windows of one hash are ranked once, if they are equal indeed."""
+    grid = lambda at: buf[at[:, None] + np.arange(LENGTH)]
+    key = _span_hash(_sums(buf), where, where + LENGTH)
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    for a in range(0, len(where), 1 << 16):
+        one = where[first[number[a : a + (1 << 16)]]]
+        other = np.flatnonzero(one != where[a : a + (1 << 16)])
+        if len(other) and (grid(one[other]) != grid(where[a : a + (1 << 16)][other])).any():
+            first, number = np.arange(len(where)), np.arange(len(where))  # a collision of hashes
+            break
+    words = np.zeros((len(first), -(-LENGTH // 8) * 8), np.uint8)
+    for a in range(0, len(first), 1 << 16):
+        words[a : a + (1 << 16), :LENGTH] = grid(where[first[a : a + (1 << 16)]])
+    columns = words.view(">u8").T
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
+    return rank[number]
+
+
+def _like(body: np.ndarray, end: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each text the first of those equal to it, byte for byte, which has their least owner."""
+    key = _span_hash(_sums(body), end[:-1], end[1:])
+    order = np.lexsort((owner, n, key))
+    new = np.append(True, (key[order][1:] != key[order][:-1]) | (n[order][1:] != n[order][:-1]))
+    first = np.empty(len(n), np.int64)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    copies = np.flatnonzero(first != np.arange(len(n)))
+    size = np.diff(end)[copies]
+    if len(copies):
+        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        same = body[np.repeat(end[copies], size) + within] == body[np.repeat(end[first[copies]], size) + within]
+        unlike = copies[~np.logical_and.reduceat(same, np.cumsum(size) - size)]
+        first[unlike] = unlike  # a collision of hashes
+    return first
+
+
+def longest_previous_factor(buf: np.ndarray, begin: np.ndarray, n: np.ndarray, owner: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """For each window of each run (first byte in ``buf``, windows, owner) the length of its longest previous factor.
+
+    That is the longest string that starts there, ends in the run, and also starts in a run of a smaller owner;
+    0 where it is shorter than a window. Equal runs have equal suffixes, so one of them, with the least owner, is
+    sorted for all: those of greater owners have their whole rest before them. ``group`` tells runs apart that are
+    known to have no window in common.
     """
-    n = len(windows)
-    if not n:
-        return np.zeros(0, bool)
-    text = np.ascontiguousarray(windows).view(f"S{windows.shape[1]}").ravel()
-    order = np.lexsort((text, group))  # suffix order within each group
-    same = np.zeros(n + 1, bool)  # common prefix with the one before is the whole window
-    same[1:-1] = (group[order][1:] == group[order][:-1]) & (text[order][1:] == text[order][:-1])
-    who = owner[order]
-    found = np.zeros(n, bool)
+    if not len(n):
+        return np.zeros(0, np.int64)
+    body, end = _bodies(buf, begin, n)
+    first = _like(body, end, n, owner)
+    own = np.flatnonzero(first == np.arange(len(n)))
+    if group is not None:
+        _, of = np.unique(group[own], return_inverse=True)
+        own = own[np.bincount(of)[of] > 1]  # a run alone in its group meets no other
+    lengths = _sorted_factors(body, end[:-1][own], n[own], owner[own])
+    at = np.cumsum(n[own]) - n[own]
+    place = np.full(len(n), -1)
+    place[own] = at
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    from_ = np.repeat(place[first], n)
+    out = np.where(from_ >= 0, np.append(lengths, 0)[np.where(from_ >= 0, from_ + within, -1)], 0)
+    return np.where(np.repeat(owner > owner[first], n), np.repeat(n, n) - within + LENGTH - 1, out)
+
+
+def _sorted_factors(buf: np.ndarray, begin: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """``longest_previous_factor`` by suffix order.
+
+    Windows are ranked by their bytes, and their suffixes by the ranks of windows that follow one another, twice as
+    many at each step; the ranks of all steps also give the common prefix of neighbours. The previous and the next
+    smaller owner in suffix order are found by jumping over neighbours that are not smaller, which carries the least
+    common prefix on the way.
+    """
+    total = int(n.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    run = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    at = (np.arange(total) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    left = (n[run] - at).astype(np.int32)  # windows from here to the run's end
+    levels = [_window_ranks(buf, begin[run] + at)]
+    far = 1
+    while far < left.max() and levels[-1].max() + 1 < total:
+        pair = levels[-1].astype(U64) << U64(32)
+        has = np.flatnonzero(left > far)
+        pair[has] += (levels[-1][has + far] + 1).astype(U64)
+        levels.append(_ranks(pair))
+        far *= 2
+    order = np.argsort(levels[-1], kind="stable")
+    # windows that neighbours have in common, from the longest step down
+    a, b, same = order[:-1].copy(), order[1:].copy(), np.zeros(total + 1, np.int32)
+    room = np.minimum(left[a], left[b])
+    for k in range(len(levels) - 1, -1, -1):
+        step = 1 << k
+        ok = np.flatnonzero(room >= step)
+        ok = ok[levels[k][a[ok]] == levels[k][b[ok]]]  # equal ranks of a step mean as many equal windows, where both have them
+        same[1:-1][ok] += step
+        room[ok] -= step
+        more = ok[room[ok] > 0]
+        a[more] += step
+        b[more] += step
+    who, best = owner[run][order], np.zeros(total, np.int32)
     for step in (-1, 1):
-        # pointer jumping: each looks past neighbours that are not smaller to the one they look at
-        at = np.arange(n) + step
-        ok = same[:-1].copy() if step < 0 else same[1:].copy()
+        to = np.arange(total) + step
+        low = (same[:-1] if step < 0 else same[1:]).copy()
         while True:
-            look = np.flatnonzero(ok)
-            not_smaller = look[who[at[look]] >= who[look]]
-            if not len(not_smaller):
+            look = np.flatnonzero(low > 0)
+            pass_ = look[who[to[look]] >= who[look]]
+            if not len(pass_):
                 break
-            beyond = at[not_smaller]
-            ok[not_smaller], at[not_smaller] = ok[beyond], at[beyond]
-        found |= ok
-    out = np.empty(n, bool)
-    out[order] = found
+            beyond = to[pass_]
+            low[pass_], to[pass_] = np.minimum(low[pass_], low[beyond]), to[beyond]
+        best = np.maximum(best, low)
+    out = np.empty(total, np.int64)
+    out[order] = np.where(best > 0, best + LENGTH - 1, 0)
     return out
 
 
+def _factors(buf: np.ndarray, begin: np.ndarray, n: np.ndarray, name: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(runs, factor lengths of their windows) over the runs whose name has several owners, whole names at once."""
+    order = np.lexsort((owner, name))
+    first = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(order)))
+    several = owner[order][first] != owner[order][first + size - 1] if len(order) else np.zeros(0, bool)
+    first, size = first[several], size[several]
+    until = np.append(0, np.cumsum(n[order]))
+    windows = until[first + size] - until[first]
+    total, x = np.append(0, np.cumsum(windows)), 0
+    while x < len(first):
+        y = max(x + 1, int(np.searchsorted(total, total[x] + WINDOWS, "right")) - 1)
+        some = order[np.repeat(first[x:y], size[x:y]) + np.arange(int(size[x:y].sum())) - np.repeat(np.cumsum(size[x:y]) - size[x:y], size[x:y])]
+        yield some, longest_previous_factor(buf, begin[some], n[some], owner[some], name[some])
+        x = y
+
+
 def _judge(rows: list[tuple]) -> list[tuple]:
-    """Step 4 for the runs of one partition: rows of ``_TEXTS`` in, of ``_FOUND`` out."""
-    arrays: dict[str, list[np.ndarray]] = {k: [] for k in ("g", "hot", "name", "key", "id", "more", "n", "body")}
-    press = zstandard.ZstdDecompressor()
-    for _, g, hot, name, key, who, more, size, body in rows:
+    """Step 4 for the runs of one bucket: rows of ``_TEXTS`` in, of ``_FOUND`` out."""
+    arrays: dict[str, list[np.ndarray]] = {k: [] for k in ("g", "name", "key", "id", "n", "body")}
+    loose = zstandard.ZstdDecompressor()
+    for _, g, name, key, who, size, body in rows:
         name = _loosened(name, U64)
-        for k, v in (("g", np.full(len(name), g)), ("hot", np.full(len(name), hot)), ("name", name), ("key", _loosened(key, U64)), ("id", _loosened(who, np.int64)), ("more", _loosened(more, np.bool_)), ("n", _loosened(size, np.int32)), ("body", np.frombuffer(press.decompress(body), np.uint8))):
+        for k, v in (("g", np.full(len(name), g)), ("name", name), ("key", _loosened(key, U64)), ("id", _loosened(who, np.int64)), ("n", _loosened(size, np.int32)), ("body", np.frombuffer(loose.decompress(body), np.uint8))):
             arrays[k].append(v)
-    g, hot, name, key, who, more, n, body = (np.concatenate(arrays[k]) for k in arrays)
+    g, name, key, who, n, body = (np.concatenate(arrays[k]) for k in arrays)
     n = n.astype(np.int64)
     begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
-    order = np.lexsort((who, n, key, name, hot))
-    g, hot, name, key, who, more, n, begin = (x[order] for x in (g, hot, name, key, who, more, n, begin))
-    first = np.append(True, (name[1:] != name[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1]) | (hot[1:] != hot[:-1]))
-    of = np.cumsum(first) - 1  # number of the distinct run
-    head = np.flatnonzero(first)
-    least = who[head]
-    # distinct runs that share their name with others: window by window
-    new_name = np.append(True, (name[head][1:] != name[head][:-1]) | (hot[head][1:] != hot[head][:-1]))
-    group = np.cumsum(new_name) - 1
-    shared = np.flatnonzero((np.bincount(group) > 1)[group] & ~hot[head])
-    masks: dict[int, np.ndarray] = {}
-    bounds = np.append(np.flatnonzero(np.append(True, group[shared][1:] != group[shared][:-1])), len(shared)) if len(shared) else np.zeros(1, np.int64)
-    total = np.append(0, np.cumsum(n[head][shared]))
-    x = 0
-    while x < len(bounds) - 1:  # whole groups, about 200,000 windows at once
-        y = max(x + 1, int(np.searchsorted(total[bounds], total[bounds[x]] + 200_000, "right")) - 1)
-        some = shared[bounds[x] : bounds[y]]
-        count = n[head][some]
-        run = np.repeat(np.arange(len(some)), count)
-        at = begin[head][some][run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-        earlier = longest_previous_factor(body[at[:, None] + np.arange(LENGTH)], group[some][run], least[some][run])
-        for k, part in zip(some.tolist(), np.split(earlier, np.cumsum(count)[:-1]), strict=True):
-            if part.any():
-                masks[k] = part
-        x = y
-    whole = (who > least[of]) & ~hot
-    masked = np.zeros(len(head), bool)
-    masked[list(masks)] = True
-    part = ~whole & ~hot & masked[of]
-    several = np.bincount(of, more, len(head)) + np.bincount(of, minlength=len(head)) > 1
-    single = hot & several[of]
-    send = np.flatnonzero(whole | part | single)
-    send = send[np.argsort(g[send], kind="stable")]
-    cut = np.append(np.flatnonzero(np.append(True, g[send][1:] != g[send][:-1])), len(send)) if len(send) else np.zeros(1, np.int64)
-    out = []
+    runs, masks = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for some, length in _factors(body, begin, n, name, who):
+        goes = length >= LENGTH
+        any_ = np.logical_or.reduceat(goes, np.cumsum(n[some]) - n[some])
+        runs.append(some[any_])
+        masks.append(goes[np.repeat(any_, n[some])])
+    run, mask = np.concatenate(runs), np.concatenate(masks)
+    begin = np.cumsum(n[run]) - n[run]
+    order = np.argsort(g[run], kind="stable")
+    cut = np.append(np.flatnonzero(np.append(True, g[run][order][1:] != g[run][order][:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
+    out, press = [], zstandard.ZstdCompressor(level=1)
     for x, y in zip(cut[:-1], cut[1:], strict=True):
-        s = send[x:y]
-        w, p, h = s[whole[s]], s[part[s]], s[single[s]]
-        out.append((int(g[s[0]]), key[w].tobytes(), key[p].tobytes(), n[p].astype(np.int32).tobytes(), b"".join(masks[int(of[k])].tobytes() for k in p), key[h].tobytes(), least[of[h]].tobytes()))
+        some = order[x:y]
+        size = n[run[some]]
+        at = np.repeat(begin[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        out.append((int(g[run[some[0]]]), _squeezed(name[run[some]]), _squeezed(key[run[some]]), _squeezed(size.astype(np.int32)), press.compress(np.packbits(mask[at]).tobytes())))
     return out
 
 
 def _flagged(block: Block, ids: np.ndarray, found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Step 5: (text number, first byte) of every window of a block that an earlier document has."""
     r = runs_of(block)
-    who = ids[r.doc]
-    order = np.lexsort((who, r.n, r.key))
-    first = np.append(True, (r.key[order][1:] != r.key[order][:-1]) | (r.n[order][1:] != r.n[order][:-1])) if len(order) else np.zeros(0, bool)
-    least = np.empty(len(order), np.int64)
-    least[order] = who[order][np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else 0
-    all_of = who > least
+    docs, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for some, length in _factors(block.buf, block.off[r.doc] + r.start, r.n, r.name, ids[r.doc]):
+        run = np.repeat(some, r.n[some])
+        at = r.start[run] + np.arange(len(run)) - np.repeat(np.cumsum(r.n[some]) - r.n[some], r.n[some])
+        goes = length >= LENGTH
+        docs.append(r.doc[run][goes])
+        starts.append(at[goes])
     if found:
-        all_of |= np.isin(r.key, np.concatenate([np.frombuffer(f[1], U64) for f in found]))
-    docs, starts = [], []
-    whole = r.pick(np.flatnonzero(all_of))
-    docs.append(np.repeat(whole.doc, whole.n))
-    starts.append(np.repeat(whole.start, whole.n) + np.arange(len(docs[0])) - np.repeat(np.cumsum(whole.n) - whole.n, whole.n))
-    rest = r.pick(np.flatnonzero(~all_of))
-    by_key: dict[int, np.ndarray] = {}
-    hot_key, hot_least = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for _, _, part, size, mask, window, low in found:
-        sizes = np.frombuffer(size, np.int32)
-        by_key |= dict(zip(np.frombuffer(part, U64).tolist(), np.split(np.frombuffer(mask, bool), np.cumsum(sizes)[:-1]), strict=True)) if len(sizes) else {}
-        hot_key.append(np.frombuffer(window, U64))
-        hot_least.append(np.frombuffer(low, np.int64))
-    if by_key:
-        for k in np.flatnonzero(np.isin(rest.key, np.fromiter(by_key, U64, len(by_key)))):
-            at = np.flatnonzero(by_key[int(rest.key[k])])
-            docs.append(np.full(len(at), rest.doc[k]))
-            starts.append(rest.start[k] + at)
-    hot, low = np.concatenate(hot_key), np.concatenate(hot_least)
-    if len(hot):
-        order = np.argsort(hot)
-        hot, low = hot[order], low[order]
-        w = _windows(block, rest)
-        at = np.minimum(np.searchsorted(hot, w.key), len(hot) - 1)
-        hit = (hot[at] == w.key) & (low[at] < ids[w.doc])
-        docs.append(w.doc[hit])
-        starts.append(w.start[hit])
+        press = zstandard.ZstdDecompressor()
+        name, key, size = (np.concatenate([_loosened(f[k], t) for f in found]) for k, t in ((1, U64), (2, U64), (3, np.int32)))
+        size = size.astype(np.int64)
+        mask = np.concatenate([np.unpackbits(np.frombuffer(press.decompress(f[4]), np.uint8), count=int(_loosened(f[3], np.int32).sum())) for f in found]).astype(bool)
+        where = np.cumsum(size) - size
+        single = np.flatnonzero(size == 1)  # a run of one window, or a window of a hot run
+        hot = _windows(block, r.pick(np.flatnonzero(np.isin(r.name, name[single]) & (r.n > 1))))
+        order = np.lexsort((size, key))
+        key, size, where = key[order], size[order], where[order]
+        for x in (r, hot):
+            if not len(x.key):
+                continue
+            at = np.searchsorted(key, x.key)  # the sizes of one key: few, as it is a hash of the run
+            for _ in range(int(np.bincount(np.unique(key, return_inverse=True)[1]).max())):
+                near = np.minimum(at, len(key) - 1)
+                hit = np.flatnonzero((at < len(key)) & (key[near] == x.key) & (size[near] == x.n))
+                n = x.n[hit]
+                within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                goes = mask[np.repeat(where[near[hit]], n) + within]
+                docs.append(np.repeat(x.doc[hit], n)[goes])
+                starts.append((np.repeat(x.start[hit], n) + within)[goes])
+                at = at + 1
     return np.concatenate(docs).astype(np.int64), np.concatenate(starts).astype(np.int64)
 
 
@@ -386,7 +480,7 @@ def _spans(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[new].tolist(), (s[np.append(new[1:], len(s)) - 1] + LENGTH).tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_docs: int = BLOCK_DOCS, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and (with_text) spans and the bytes kept.
 
     Ids are integers. Null and empty texts lose nothing; a row with a null id neither gives nor loses; rows
@@ -397,7 +491,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     runtime.ship(spark)
     parts = runtime.tasks(spark)
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
-    n_blocks = max(4 * parts, docs.count() // block_docs)
+    all_docs, all_bytes = rows.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_blocks = max(4 * parts, all_docs // block_docs, all_bytes // block_bytes)
+    buckets = max(parts, all_bytes // BUCKET_BYTES)
     placed = rows.where("id is not null").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).repartition(parts, "g")
 
     def one_block(t: pa.Table) -> tuple[np.ndarray, Block]:
@@ -411,7 +507,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             cut = np.append(np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1])), len(g))
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 ids, block = one_block(t.take(pa.array(order[a:b])))
-                out += _names_of(block, ids, int(g[order[a]]), parts)
+                out += _names_of(block, ids, int(g[order[a]]), buckets)
             return _batch(_NAMES, out)
 
         held, size = [], 0
@@ -424,22 +520,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if held:
             yield done(held)
 
-    def step2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
-        if got:
-            yield _batch(_BACK, _common(got, hot_blocks))
+    def step2(t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_batch(_BACK, _common(list(zip(*(t.column(k).to_pylist() for k in ("g", "once", "more")), strict=True)), hot_blocks))])
 
     def step3(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_batches([], _TEXTS)
         ids, block = one_block(left)
         names, hot = (np.concatenate([_wide(x) for x in right.column(c).to_pylist()]) for c in ("names", "hot"))
-        return pa.Table.from_batches([_batch(_TEXTS, _texts_of(block, ids, left.column("g")[0].as_py(), names, hot, parts))])
+        return pa.Table.from_batches([_batch(_TEXTS, _texts_of(block, ids, left.column("g")[0].as_py(), names, hot, buckets))])
 
-    def step4(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        if got:
-            yield _batch(_FOUND, _judge(got))
+    def step4(t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_batch(_FOUND, _judge(list(zip(*(c.to_pylist() for c in t.columns), strict=True))))])
 
     kept = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())] * with_text)
 
@@ -462,9 +554,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             out.append((int(ids[k]), len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), *([spans, rest] if with_text else [])))
         return pa.Table.from_batches([_batch(kept, out)])
 
-    names = placed.mapInArrow(step1, _ddl(_NAMES)).repartition(parts, "bucket").mapInArrow(step2, _ddl(_BACK))
+    names = placed.mapInArrow(step1, _ddl(_NAMES)).groupBy("bucket").applyInArrow(step2, _ddl(_BACK))
     texts = placed.groupBy("g").cogroup(names.groupBy("g")).applyInArrow(step3, _ddl(_TEXTS))
-    found = texts.repartition(parts, "bucket").mapInArrow(step4, _ddl(_FOUND))
+    found = texts.groupBy("bucket").applyInArrow(step4, _ddl(_FOUND))
     more = ", spans array<array<bigint>>, kept binary" if with_text else ""
     out = placed.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(step5, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + more)
     text = F.coalesce("text", F.lit(""))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from slotwise.llm import suffix_dedup
@@ -27,6 +28,36 @@ def brute(docs):
     return sorted(out)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_factor_lengths_against_brute_force(seed):
+    r = random.Random(seed)
+    base = "".join(r.choice("ab") for _ in range(400)).encode() if seed < 4 else b"a" * 400
+    texts = []
+    for _ in range(14):
+        a, size = r.randint(0, 300), r.randint(50, 100)
+        text = bytearray(base[a : a + size])
+        if r.random() < 0.5:
+            text[r.randrange(len(text))] = ord("c")
+        texts.append((r.randint(0, 6), bytes(text)))
+    texts += [texts[0], (7, texts[1][1]), (-1, texts[2][1])]
+    buf, n = np.frombuffer(b"".join(t for _, t in texts), np.uint8), np.array([len(t) - 49 for _, t in texts])
+    begin = np.cumsum(n + 49) - (n + 49)
+    want = []
+    for owner, t in texts:
+        for p in range(len(t) - 49):
+            longest = 0
+            for other, u in texts:
+                for q in range(len(u) - 49 if other < owner else 0):
+                    k = 0
+                    while k < min(len(t) - p, len(u) - q) and t[p + k] == u[q + k]:
+                        k += 1
+                    longest = max(longest, k if k >= 50 else 0)
+            want.append(longest)
+    owner = np.array([o for o, _ in texts])
+    assert suffix_dedup.longest_previous_factor(buf, begin, n, owner).tolist() == want and any(want)
+    assert suffix_dedup._sorted_factors(buf, begin, n, owner).tolist() == want
+
+
 @pytest.mark.parametrize("hot", [0, 4096])
 @pytest.mark.parametrize("seed", range(3))
 def test_against_brute_force(spark, seed, hot):
