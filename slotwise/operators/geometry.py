@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.functions.binding import let
+from slotwise.functions.binding import let, spaced
 from slotwise.functions.text import collapse, extract_room, name_lines
 from slotwise.functions.times import parse_time_range
 
@@ -72,7 +72,7 @@ def group_lines(runs: Column, tolerance: float = Y_TOLERANCE) -> Column:
     return F.transform(folded, lambda line: F.struct(line["y"].alias("y"), _by_x(line["runs"]).alias("runs")))
 
 
-def split_by_gaps(runs: Column, gap: float) -> Column:
+def split_by_gaps(runs: Column, gap: float | Column) -> Column:
     """array<array<run>>: a line's runs, cut where the space to the run before exceeds ``gap``."""
     zero = F.array().cast(f"array<array<{RUN}>>")
 
@@ -167,12 +167,15 @@ def outer_edges(centres: Column, left: Column, right: Column) -> Column:
 CELL = "struct<x0: double, x1: double, parts: array<struct<y: double, text: string>>>"
 
 
-def header_grid(lines: Column, left: Column, right: Column, gap: float = 3.0) -> Column:
+def header_grid(lines: Column, left: Column, right: Column, gap: float = 3.0, override: Column | None = None) -> Column:
     """struct(edges, cols, gaps, error): the grid that a header's time ranges draw.
 
     Cells of several lines join by x overlap over 0.4 of the narrower. Labels that are no range are left out; none
     left, a label twice or edges that do not rise are errors. ``gaps`` are the columns that the next does not follow.
+    ``override`` (an array; null for none) stands for the labels of a corrupt header, one a printed cell from left to
+    right; the cells stay where they are. Another number of labels, or one that is no range, is an error.
     """
+    given = override if override is not None else F.lit(None).cast("array<string>")
     segments = F.flatten(F.transform(lines, lambda line: split_by_gaps(line["runs"], gap)))
 
     def step(cells: Column, seg: Column) -> Column:
@@ -185,21 +188,25 @@ def header_grid(lines: Column, left: Column, right: Column, gap: float = 3.0) ->
 
     cells = F.aggregate(segments, F.array().cast(f"array<{CELL}>"), step)
     label = lambda c: collapse(F.array_join(F.transform(F.array_sort(F.transform(c["parts"], lambda p: F.struct((-p["y"]).alias("k"), p["text"].alias("t")))), lambda s: s["t"]), ""))
-    named = F.transform(cells, lambda c: let(label(c), lambda t: F.struct(((c["x0"] + c["x1"]) / 2).alias("centre"), t.alias("label"), parse_time_range(t).alias("range"))))
-    parsed = F.array_sort(F.filter(named, lambda c: c["range"].isNotNull()))
+    placed = F.array_sort(F.transform(cells, lambda c: F.struct(((c["x0"] + c["x1"]) / 2).alias("centre"), label(c).alias("label"))))
 
-    def made(p: Column) -> Column:
-        return let(outer_edges(F.transform(p, lambda c: c["centre"]), left, right), lambda e: finished(p, e))
+    def named(c: Column) -> Column:
+        text = lambda x, k: F.when(given.isNull(), x["label"]).otherwise(F.get(given, k))
+        return F.transform(c, lambda x, k: let(text(x, k), lambda t: F.struct(x["centre"].alias("centre"), t.alias("label"), parse_time_range(t).alias("range"))))
 
-    def finished(p: Column, edges: Column) -> Column:
+    def made(c: Column) -> Column:
+        wrong = F.when(given.isNotNull() & (F.size(given) != F.size(c)), F.concat(F.size(given).cast("string"), F.lit(" labels for "), F.size(c).cast("string"), F.lit(" cells"))).when(given.isNotNull() & F.exists(c, lambda x: x["range"].isNull()), "a label given is no range")
+        return let(F.filter(c, lambda x: x["range"].isNotNull()), lambda p: let(outer_edges(F.transform(p, lambda x: x["centre"]), left, right), lambda e: finished(p, e, wrong)))
+
+    def finished(p: Column, edges: Column, wrong: Column) -> Column:
         n = F.size(p)
         rising = F.forall(F.sequence(F.lit(1), F.greatest(F.size(edges) - 1, F.lit(1))), lambda k: F.get(edges, k) > F.get(edges, k - 1))
         gaps = F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda k: F.coalesce(F.get(p, k)["range"]["end_min"] != F.get(p, k + 1)["range"]["start_min"], F.lit(False)))
-        error = F.when(n == 0, "no time range in the header").when(F.size(F.array_distinct(F.transform(p, lambda c: c["label"]))) < n, "a label stands twice").when(~rising, "edges do not rise")
+        error = F.when(wrong.isNotNull(), wrong).when(n == 0, "no time range in the header").when(F.size(F.array_distinct(F.transform(p, lambda c: c["label"]))) < n, "a label stands twice").when(~rising, "edges do not rise")
         cols = F.transform(p, lambda c: F.struct(c["label"].alias("label"), c["range"]["start_min"].alias("start_min"), c["range"]["end_min"].alias("end_min")))
         return F.struct(edges.alias("edges"), cols.alias("cols"), gaps.alias("gaps"), error.alias("error"))
 
-    return let(parsed, made)
+    return let(placed, lambda c: let(named(c), made))
 
 
 def column_of(x: Column, edges: Column) -> Column:
@@ -279,7 +286,7 @@ def block_features(lines: Column) -> Column:
 CLUSTER = f"struct<x0: double, x1: double, lines: array<{LINE}>>"
 
 
-def blocks_in_band(lines: Column, y0: Column, y1: Column, gap: float, overlap: float = 0.5, factor: float | None = None, single: bool = False) -> Column:
+def blocks_in_band(lines: Column, y0: Column, y1: Column, gap: float | Column, overlap: float = 0.5, factor: float | None = None, single: bool = False) -> Column:
     """The text blocks of a row band (features, top first then left): segments by gaps, each into the first cluster that it overlaps in x by more than ``overlap`` of the narrower, clusters cut at jumps of ``factor``.
 
     ``single``: all text is one cell, and only the jumps cut it.
@@ -319,35 +326,18 @@ def span_candidates(centre: Column, width: Column, edges: Column, gaps: Column,
     return F.array_sort(F.when(F.size(priced) > 0, priced).otherwise(whole))
 
 
-def assign_spans(bands: DataFrame, key: list[str], blocks: int) -> DataFrame:
-    """For each band (key, blocks: array<struct(centre, width)>, edges, gaps, first, last) the cheapest ordered, disjoint spans of its blocks: key, spans, cost, margin.
-
-    ``blocks`` is the most that a band has: one join step a block, each keeping every partial assignment. The margin
-    over the runner-up is null where there is none. Blocks for which no assignment exists take each its own
-    cheapest span, with margin 0.
-    """
-    ordered = F.array_sort("blocks")
-    cand = F.transform(ordered, lambda b: span_candidates(b["centre"], b["width"], F.col("edges"), F.col("gaps"), F.col("first"), F.col("last")))
-    rows = bands.select(*key, F.size("blocks").alias("_n"), cand.alias("_c"))
-    state = rows.select(*key, "_n", "_c", F.lit(0.0).alias("cost"), F.array().cast("array<struct<a: int, b: int>>").alias("spans"), F.lit(-1).alias("_end"))
-    for k in range(blocks):
-        free = F.filter(F.get("_c", F.lit(k)), lambda s: s["a"] > F.col("_end"))
-        nothing = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(-1).alias("a"), F.lit(-1).alias("b")))
-        state = state.withColumn("_s", F.explode(F.when(F.col("_n") > k, free).otherwise(nothing)))
-        took = F.col("_n") > k
-        state = state.select(*key, "_n", "_c", (F.col("cost") + F.col("_s.cost")).alias("cost"), F.when(took, F.concat("spans", F.array(F.struct(F.col("_s.a").cast("int").alias("a"), F.col("_s.b").cast("int").alias("b"))))).otherwise(F.col("spans")).alias("spans"), F.when(took, F.col("_s.b")).otherwise(F.col("_end")).alias("_end"))
-    by = Window.partitionBy(*key).orderBy("cost", "spans")
-    best = state.withColumn("_r", F.row_number().over(by)).withColumn("margin", F.lead("cost").over(by) - F.col("cost")).where("_r = 1").select(*key, "cost", "spans", "margin")
-    own = lambda f, kind: F.transform(F.col("_c"), lambda c: f(F.get(c, F.lit(0))).cast(kind))
-    fallback = rows.join(best, key, "left_anti").select(*key, F.aggregate(own(lambda s: s["cost"], "double"), F.lit(0.0), lambda a, x: a + x).alias("cost"), F.transform("_c", lambda c: F.struct(F.get(c, F.lit(0))["a"].cast("int").alias("a"), F.get(c, F.lit(0))["b"].cast("int").alias("b"))).alias("spans"), F.lit(0.0).alias("margin"))
-    return best.union(fallback)
+def assign_spans(bands: DataFrame, key: list[str]) -> DataFrame:
+    """For each band (key, blocks: array<struct(centre, width)>, edges, gaps, first, last) the cheapest ordered, disjoint spans of its blocks: key, spans, cost, margin."""
+    cand = F.transform(F.array_sort("blocks"), lambda b: span_candidates(b["centre"], b["width"], F.col("edges"), F.col("gaps"), F.col("first"), F.col("last")))
+    return bands.withColumn("_s", disjoint_spans(cand)).select(*key, "_s.*")
 
 
 def disjoint_spans(candidates: Column) -> Column:
-    """struct(spans, margin): the cheapest ordered, disjoint spans of any number of blocks, from their ``span_candidates`` in order.
+    """struct(spans, cost, margin): the cheapest ordered, disjoint spans of any number of blocks, from their ``span_candidates`` in order.
 
     A fold over the blocks; of the partial assignments that end at one column only the best two go on, which loses
-    neither the cheapest nor its runner-up. Margin and fallback are those of ``assign_spans``.
+    neither the cheapest nor its runner-up. The margin over the runner-up is null where there is none. Blocks for which
+    no assignment exists take each its own cheapest span, with margin 0.
     """
     kind = "array<struct<cost: double, spans: array<struct<a: int, b: int>>, end: int>>"
     start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<struct<a: int, b: int>>").alias("spans"), F.lit(-1).alias("end"))).cast(kind)
@@ -358,14 +348,17 @@ def disjoint_spans(candidates: Column) -> Column:
         ends = F.array_distinct(F.transform(grown, lambda t: t["end"]))
         return F.flatten(F.transform(ends, lambda e: F.slice(F.array_sort(F.filter(grown, lambda t: t["end"] == e)), 1, 2))).cast(kind)
 
-    done = F.array_sort(F.aggregate(candidates, start, step))
-    own = F.transform(candidates, lambda c: span(F.get(c, F.lit(0))))
-    found = lambda d: F.struct(F.get(d, F.lit(0))["spans"].alias("spans"), (F.get(d, F.lit(1))["cost"] - F.get(d, F.lit(0))["cost"]).alias("margin"))
-    return F.when(F.size(done) > 0, found(done)).otherwise(F.struct(own.alias("spans"), F.lit(0.0).alias("margin")))
+    def chosen(c: Column, done: Column) -> Column:
+        best = F.get(done, F.lit(0))
+        found = F.struct(best["spans"].alias("spans"), best["cost"].alias("cost"), (F.get(done, F.lit(1))["cost"] - best["cost"]).alias("margin"))
+        own = F.struct(F.transform(c, lambda x: span(F.get(x, F.lit(0)))).alias("spans"), F.aggregate(F.transform(c, lambda x: F.get(x, F.lit(0))["cost"]), F.lit(0.0), lambda a, x: a + x).alias("cost"), F.lit(0.0).alias("margin"))
+        return F.when(F.size(done) > 0, found).otherwise(own)
+
+    return let(candidates, lambda c: let(F.array_sort(F.aggregate(c, start, step)), lambda done: chosen(c, done)))
 
 
 def free_span(columns: Column, occupied: Column) -> Column:
-    """struct(a, b): the widest run of columns (0 to columns - 1) that nothing occupies; the first of equals; null for none."""
+    """struct(a, b): the widest run of columns (0 to columns - 1) that nothing occupies; the first of equals; all columns if none is free."""
     free = F.array_sort(F.array_except(F.sequence(F.lit(0), columns - 1), occupied))
     zero = F.array().cast("array<struct<a: int, b: int>>")
 
@@ -375,7 +368,8 @@ def free_span(columns: Column, occupied: Column) -> Column:
         return F.when(grows, F.concat(_but_last(runs), F.array(F.struct(last["a"].alias("a"), k.alias("b"))))).otherwise(F.concat(runs, F.array(F.struct(k.alias("a"), k.alias("b")))))
 
     runs = F.aggregate(free, zero, step)
-    return F.try_element_at(F.array_sort(F.transform(runs, lambda r: F.struct((r["a"] - r["b"]).alias("k"), r["a"].alias("a"), r["b"].alias("b")))), F.lit(1))
+    widest = F.try_element_at(F.array_sort(F.transform(runs, lambda r: F.struct((r["a"] - r["b"]).alias("k"), r["a"].alias("a"), r["b"].alias("b")))), F.lit(1))
+    return let(widest, lambda w: F.struct(F.coalesce(w["a"], F.lit(0)).alias("a"), F.coalesce(w["b"], columns - 1).alias("b")))
 
 
 def widest_rect(rects: Column, y: Column) -> Column:
@@ -385,27 +379,25 @@ def widest_rect(rects: Column, y: Column) -> Column:
     return F.try_element_at(F.array_sort(ranked), F.lit(1))["r"]
 
 
-def weekday_header(lines: Column, days: Column) -> Column:
-    """The line that names most weekdays (``days``: an array of counts beside the lines), two at least; the first of equals."""
-    ranked = F.array_sort(F.transform(F.arrays_zip(lines.alias("l"), days.alias("d")), lambda s, k: F.struct((-s["d"]).alias("n"), k.alias("k"))))
-    best = F.try_element_at(ranked, F.lit(1))
-    return F.when(best["n"] <= -2, F.get(lines, best["k"]))
+def spaced_text(runs: Column) -> Column:
+    """A line's text with a blank between runs, but where one of them has a space there or they overlap by more than half a point (a word that was split)."""
+    zero = F.struct(F.lit("").alias("t"), F.lit(None).cast("double").alias("end"))
 
+    def step(acc: Column, r: Column) -> Column:
+        glued = acc["end"].isNull() | acc["t"].rlike(spaced(r"\s$")) | r["text"].rlike(spaced(r"^\s")) | (r["x"] - acc["end"] < -0.5)
+        return F.struct(F.concat(acc["t"], F.when(glued, "").otherwise(" "), r["text"]).alias("t"), (r["x"] + r["w"]).alias("end"))
 
-def spaced_text(runs: Column, space: float = 1.0) -> Column:
-    """A line's text with a blank where runs stand apart by more than ``space``."""
-    zero = F.struct(F.lit("").alias("t"), F.lit(None).cast("double").alias("end"))
-    made = F.aggregate(_by_x(runs), zero, lambda acc, r: F.struct(F.concat(acc["t"], F.when(F.coalesce(r["x"] - acc["end"] > space, F.lit(False)), " ").otherwise(""), r["text"]).alias("t"), (r["x"] + r["w"]).alias("end")))
-    return collapse(made["t"])
+    return F.aggregate(_by_x(runs), zero, step)["t"]
 
 
 def unwrap_hyphens(lines: Column) -> Column:
-    """Lines of which those that end in a hyphen after a letter are joined with the next, without it."""
-    zero = F.array().cast("array<string>")
+    """Lines (struct(y, text)) of which each that follows a hyphen at the end of the one before is joined to it; the hyphen stays."""
+    zero = F.array().cast("array<struct<y: double, text: string>>")
 
     def step(out: Column, line: Column) -> Column:
         last = F.try_element_at(out, F.lit(-1))
-        joins = F.coalesce(last.rlike(r"\p{L}-$"), F.lit(False))
-        return F.when(joins, F.concat(_but_last(out), F.array(F.concat(F.regexp_replace(last, "-$", ""), line)))).otherwise(F.concat(out, F.array(line)))
+        joins = F.coalesce(last["text"].rlike(spaced(r"-\s*$")), F.lit(False))
+        joined = F.struct(last["y"].alias("y"), F.concat(F.regexp_replace(last["text"], spaced(r"\s+$"), ""), F.regexp_replace(line["text"], spaced(r"^\s+"), "")).alias("text"))
+        return F.when(joins, F.concat(_but_last(out), F.array(joined))).otherwise(F.concat(out, F.array(F.struct(line["y"].cast("double").alias("y"), line["text"].alias("text")))))
 
     return F.aggregate(lines, zero, step)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.functions.binding import let, pin, strip
 from slotwise.functions.times import parse_time_range, parse_weekday
 from slotwise.operators import geometry as geo
 from slotwise.operators.parsers import date_header, exams_of_blocks, sessions_of_blocks
@@ -19,6 +20,91 @@ def _body(runs: Column, left: Column) -> Column:
     return F.filter(runs, lambda r: r["x"] >= left)
 
 
+SUB_GRID = "struct<label: string, banner: string, x_from: double, x_to: double, label_x0: double, label_x1: double, header: array<string>>"
+_TIME = r"\d{1,2}:\d{2}"
+
+
+def sub_grids(pages: DataFrame) -> DataFrame:
+    """(source, label, error, left, right, top, bottom, label_x0, label_x1, _lines, _rects, _runs, rows_from, edges, cols, gaps): the grids that pages hold.
+
+    Pages are (source, runs, rects, label_max_x, rows_from, sub_grids: array of ``SUB_GRID``). With ``x_from`` grids stand
+    side by side and share header lines; else each takes the highest header line below its banner (without banners,
+    the header lines in order) and reaches down to the next banner. A header line has two printed times or more. Without
+    ``sub_grids`` a page is one grid. A grid without a header, or with one that draws none, has an error.
+    """
+    one = F.array(F.struct(F.lit("Day").alias("label"), *[F.lit(None).alias(n) for n in ("banner", "x_from", "x_to", "label_x0", "label_x1", "header")]).cast(SUB_GRID))
+    page = pin(pages, _lines=geo.group_lines(F.col("runs")), _rects=F.filter("rects", lambda r: geo.is_structural(r["fill"], r["w"], r["h"])))
+    banner = lambda g: F.coalesce(F.get(F.filter("runs", lambda r: strip(r["text"]) == strip(g["banner"])), F.lit(0))["y"], F.lit(float("inf")))
+    numbered = F.transform(F.coalesce("sub_grids", one), lambda g, k: F.struct((-banner(g)).alias("k1"), k.alias("k2"), g.alias("g")))
+    page = pin(page, _headers=F.filter("_lines", lambda x: F.size(F.filter(x["runs"], lambda r: r["text"].rlike(_TIME))) >= 2), _all=F.array_sort(numbered))
+    side = F.exists("_all", lambda x: x["g"]["x_from"].isNotNull())
+    following = -F.get("_all", F.col("_at") + 1)["k1"]
+    rows = page.select("*", side.alias("_side"), F.posexplode("_all").alias("_at", "_s"))
+    rows = rows.select(*page.columns, "_side", "_at", (-F.col("_s.k1")).alias("_by"), following.alias("_next"), *[F.col(f"_s.g.{n}").alias(f"_{n}") for n in ("label", "x_from", "x_to", "label_x0", "label_x1", "header")]).drop("_all")
+    within = lambda x: F.struct(x["y"].alias("y"), F.filter(x["runs"], lambda r: (r["x"] >= F.col("_x_from") - 2) & (r["x"] <= F.col("_x_to") + 2)).alias("runs"))
+    beside = F.filter(F.transform("_headers", within), lambda x: F.size(x["runs"]) > 0)
+    under = F.filter("_headers", lambda x: x["y"] < F.col("_by"))
+    own = F.when(F.col("_by") == float("inf"), F.get("_headers", F.col("_at"))).otherwise(F.get(under, F.lit(0)))
+    rows = pin(rows, _own=F.when(F.col("_side"), beside).otherwise(F.filter(F.array(own), lambda x: x.isNotNull())))
+    printed = F.flatten(F.transform("_own", lambda x: x["runs"]))
+    base = F.when(F.col("_side"), F.array_min(F.transform(printed, lambda r: r["y"]))).otherwise(F.get("_own", F.lit(0))["y"])
+    rows = pin(rows, _base=base, _min=F.array_min(F.transform(printed, lambda r: r["x"])), _max=F.array_max(F.transform(printed, lambda r: r["x"] + r["w"])))
+    band = let(F.when(~F.col("_side"), geo.widest_rect(F.col("_rects"), F.col("_base"))), lambda r: F.struct(F.coalesce("_x_from", r["x"], "_min").alias("x"), F.coalesce("_x_to", r["x"] + r["w"], "_max").alias("to"), F.coalesce(r["y"], F.col("_base") - 3).alias("y")))
+    rows = pin(rows, _band=F.array(band["x"], band["to"], band["y"]))
+    rows = pin(rows, left=F.get("_band", F.lit(0)), right=F.get("_band", F.lit(1)), top=F.get("_band", F.lit(2)))
+    below = F.filter("_rects", lambda r: F.when(F.col("_side"), (r["x"] + r["w"] > F.col("left")) & (r["x"] < F.col("right"))).otherwise(r["y"] < F.col("_base")))
+    lowest = F.array_min(F.transform(below, lambda r: r["y"]))
+    bottom = F.when(F.col("_side"), F.coalesce(lowest, F.lit(0.0))).when(F.col("_next") < float("inf"), F.col("_next") + 2).otherwise(F.least(lowest, F.lit(0.0)))
+    rows = pin(rows, bottom=bottom, _grid=geo.header_grid(F.col("_own"), F.col("left"), F.col("right"), override=F.col("_header")))
+    return rows.select(
+        "source", F.col("_label").alias("label"), F.when(F.size("_own") == 0, "no header line").otherwise(F.col("_grid.error")).alias("error"), "left", "right", "top", "bottom",
+        F.coalesce("_label_x0", F.lit(0.0)).alias("label_x0"), F.coalesce("_label_x1", F.when(F.col("_side"), F.col("left")).otherwise(F.coalesce("label_max_x", "left"))).alias("label_x1"),
+        "_lines", "_rects", F.col("runs").alias("_runs"), "rows_from", F.col("_grid.edges").alias("edges"), F.col("_grid.cols").alias("cols"), F.col("_grid.gaps").alias("gaps"),
+    )
+
+
+def _banded(grids: DataFrame) -> tuple[DataFrame, Column]:
+    """Sound grids with their labels, row bands and the error of those, and the weekdays of the bands."""
+    names = F.filter(F.transform(F.filter("_runs", lambda r: (r["x"] >= F.col("label_x0") - 2) & (r["x"] < F.col("label_x1")) & (r["y"] > F.col("bottom") - 2) & (r["y"] < F.col("top"))), lambda r: F.struct(r["y"].cast("double").alias("y"), parse_weekday(r["text"]).alias("value"))), lambda v: v["value"].isNotNull())
+    rows = pin(grids.where("error is null"), _labels=names).where(F.size("_labels") > 0)
+    column = F.filter("_rects", lambda r: (r["x"] >= F.col("label_x0") - 2) & (r["x"] + r["w"] <= F.col("label_x1") + 2) & (r["y"] >= F.col("bottom") - 2) & (r["y"] + r["h"] <= F.col("top") + 2))
+    by_text = geo.bands_from_labels(F.transform("_labels", lambda v: v["y"]), F.col("top"), F.col("bottom"))
+    ordered = F.transform(F.array_sort(F.transform("_labels", lambda v: F.struct((-v["y"]).alias("k"), v["value"].alias("value")))), lambda s: s["value"])
+    rows = rows.withColumn("_by_rect", F.coalesce(F.col("rows_from") == "labelRects", F.lit(False)))
+    rows = pin(rows, _b=F.when(F.col("_by_rect"), geo.bands_from_rects(column)).otherwise(by_text))
+    named = geo.labels_of_bands(F.col("_b"), F.col("_labels"))
+    rows = pin(rows, _error=named["error"], _values=named["values"])
+    wrong = F.when(F.size("_b") < F.size("_labels"), F.concat(F.size("_b").cast("string"), F.lit(" bands for "), F.size("_labels").cast("string"), F.lit(" weekdays"))).otherwise(F.col("_error"))
+    rows = rows.withColumn("error", F.when(F.col("_by_rect"), wrong))
+    days = F.when(~F.col("_by_rect"), ordered).otherwise(F.col("_values"))
+    return rows, days
+
+
+def grid_problems(grids: DataFrame) -> DataFrame:
+    """Diagnostics (source, severity, code, subject, detail) of ``sub_grids`` that cannot be read, or have no weekday: the other grids are read all the same."""
+    rows, _ = _banded(grids)
+    broken = grids.where("error is not null").select("source", F.lit("error").alias("severity"), F.lit("HEADER_GRID").alias("code"), F.col("label").alias("subject"), F.col("error").alias("detail"))
+    unfit = rows.where("error is not null").select("source", F.lit("error"), F.lit("LABEL_RECTS"), "label", "error")
+    bare = grids.where("error is null").join(rows.select("source", "label"), ["source", "label"], "left_anti").select("source", F.lit("warn"), F.lit("NO_WEEKDAY_LABELS"), "label", F.lit("no weekday beside the grid"))
+    return broken.union(unfit).union(bare)
+
+
+def grid_blocks(grids: DataFrame) -> DataFrame:
+    """The text blocks of ``sub_grids``: as ``timetable_blocks``, with ``label``. Grids that ``grid_problems`` names give none.
+
+    Rows come from the weekday names left of the grid, or (``rows_from`` = ``labelRects``) from the rectangles in their
+    column, each with the nearest name; fewer rectangles than names, or names out of order, are an error.
+    """
+    rows, days = _banded(grids)
+    rows = rows.where("error is null")
+    narrow = F.array_min(geo.column_widths(F.col("edges")))
+    inside = F.filter(F.transform("_lines", lambda x: F.struct(x["y"].alias("y"), F.filter(x["runs"], lambda r: (r["x"] >= F.col("left") - 2) & (r["x"] <= F.col("right") + 2)).alias("runs"))), lambda x: F.size(x["runs"]) > 0)
+    rows = pin(rows, _days=days, _inside=inside, _narrow=narrow).select("*", F.posexplode("_b").alias("band", "_r"))
+    drawn = F.filter("_rects", lambda r: ~geo.is_white(r["fill"]) & (r["y"] + r["h"] > F.col("_r.y0") + 1) & (r["y"] < F.col("_r.y1") - 1) & (r["x"] + r["w"] > F.col("left") - 2) & (r["x"] < F.col("right") + 2) & (r["w"] > 0.4 * F.col("_narrow")))
+    blocks = rows.select("source", "label", "band", F.get("_days", F.col("band")).alias("weekday"), drawn.alias("rects"), "edges", "cols", "gaps", F.explode(geo.blocks_in_band(F.col("_inside"), F.col("_r.y0"), F.col("_r.y1"), 0.45 * F.col("_narrow"))).alias("x"))
+    return blocks.select("source", "label", "band", "weekday", "rects", "edges", "cols", "gaps", "x.name", "x.room", "x.centre", "x.width", "x.x_min", "x.y_top", "x.y_bottom")
+
+
 def timetable_blocks(pages: DataFrame, gap: float = 8.0) -> DataFrame:
     """(source, weekday, band, name, room, centre, width, y_top, y_bottom, rects, edges, cols, gaps): the text blocks of pages (source, runs, rects, label_right, left, right).
 
@@ -37,42 +123,59 @@ def timetable_blocks(pages: DataFrame, gap: float = 8.0) -> DataFrame:
     bands = geo.bands_from_labels(F.transform("_labels", lambda v: v["y"]), low, bottom)
     ordered = F.transform(F.array_sort(F.transform("_labels", lambda v: F.struct((-v["y"]).alias("k"), v["value"].alias("value")))), lambda s: s["value"])
     rows = page.select("source", "rects", "_grid", under.alias("_under"), ordered.alias("_days"), F.posexplode(bands).alias("band", "b"))
-    blocks = rows.select("source", "band", F.get("_days", F.col("band")).alias("weekday"), "rects", "_grid", F.explode(geo.blocks_in_band(F.col("_under"), F.col("b.y0"), F.col("b.y1"), gap)).alias("x"))
+    drawn = F.filter("rects", lambda r: geo.is_structural(r["fill"], r["w"], r["h"]) & ~geo.is_white(r["fill"]) & (r["y"] + r["h"] > F.col("b.y0") + 1) & (r["y"] < F.col("b.y1") - 1))
+    blocks = rows.select("source", "band", F.get("_days", F.col("band")).alias("weekday"), drawn.alias("rects"), "_grid", F.explode(geo.blocks_in_band(F.col("_under"), F.col("b.y0"), F.col("b.y1"), F.lit(gap))).alias("x"))
     return blocks.select("source", "band", "weekday", "rects", F.col("_grid.edges").alias("edges"), F.col("_grid.cols").alias("cols"), F.col("_grid.gaps").alias("gaps"), "x.name", "x.room", "x.centre", "x.width", "x.x_min", "x.y_top", "x.y_bottom")
 
 
 def place_blocks(blocks: DataFrame) -> DataFrame:
-    """``blocks`` with a, b (columns), span_source and span_margin.
+    """``blocks`` (of bands, told by source, band and label if there is one, with the band's ``rects``) with a, b (columns), span_source and span_margin.
 
-    A structural rectangle around one block alone gives its span; blocks without such a rectangle (or whose
-    rectangle does not snap) are placed together by the cheapest disjoint spans of their band, however many they are;
-    where a band has no disjoint spans for all, each block takes its own cheapest span, with margin 0.
+    The first rectangle that has a block's centre within 2 points of its width is the block's. A block alone in its
+    rectangle takes the columns that this covers. Several in one take the cheapest ordered, disjoint spans within those
+    columns; blocks without a rectangle, or whose rectangle does not snap to columns, those within the widest run of
+    columns that nobody has taken (all columns if none is free). How many blocks there are does not matter; where no
+    disjoint spans exist each takes its own cheapest, with margin 0.
     """
-    by = Window.partitionBy("source", "band").orderBy("centre", "x_min", "name")
-    mid = (F.col("y_top") + F.col("y_bottom")) / 2
-    around = F.filter("rects", lambda r: geo.is_structural(r["fill"], r["w"], r["h"]) & (r["x"] <= F.col("centre")) & (F.col("centre") <= r["x"] + r["w"]) & (r["y"] <= mid) & (mid <= r["y"] + r["h"]))
-    least = F.try_element_at(F.array_sort(F.transform(around, lambda r: F.struct((r["w"] * r["h"]).alias("area"), r["x"].alias("x"), r["w"].alias("w"), r["y"].alias("y")))), F.lit(1))
-    rows = blocks.withColumn("_k", F.row_number().over(by)).withColumn("_rect", least)
-    rows = rows.withColumn("_alone", F.count("*").over(Window.partitionBy("source", "band", "_rect")) == 1)
-    rows = rows.withColumn("_span", F.when(F.col("_rect").isNotNull() & F.col("_alone"), geo.span_of_rect(F.col("_rect.x"), F.col("_rect.w"), F.col("edges"))))
-    drawn = rows.where("_span is not null").withColumns({"a": F.col("_span.a"), "b": F.col("_span.b"), "span_source": F.lit("rect"), "span_margin": F.lit(None).cast("double")})
-    loose = rows.where("_span is null")
-    placed = F.transform(F.array_sort(F.collect_list(F.struct("_k", "centre", "width"))), lambda s: F.struct(s["centre"].alias("centre"), s["width"].alias("width")))
-    bands = loose.groupBy("source", "band").agg(placed.alias("_blocks"), F.first("edges").alias("_edges"), F.first("gaps").alias("_gaps"))
-    candidates = F.transform("_blocks", lambda b: geo.span_candidates(b["centre"], b["width"], F.col("_edges"), F.col("_gaps"), F.lit(0), F.size("_edges") - 2))
-    bands = bands.withColumn("_c", candidates).withColumn("_p", geo.disjoint_spans(F.col("_c"))).select("source", "band", "_p")
-    place = F.row_number().over(Window.partitionBy("source", "band").orderBy("_k")) - 1
-    inferred = loose.withColumn("_at", place).join(bands, ["source", "band"]).withColumn("_s", F.get("_p.spans", F.col("_at"))).withColumns({"a": F.col("_s.a"), "b": F.col("_s.b"), "span_source": F.lit("inferred"), "span_margin": F.col("_p.margin")})
-    names = [*blocks.columns, "a", "b", "span_source", "span_margin"]
-    return drawn.select(*names).union(inferred.select(*names))
+    band = [c for c in ("source", "label", "band") if c in blocks.columns]
+    around = F.filter(F.transform("rects", lambda r, k: F.struct(k.alias("k"), r["x"].alias("x"), r["w"].alias("w"))), lambda r: (F.col("centre") >= r["x"] - 2) & (F.col("centre") <= r["x"] + r["w"] + 2))
+    rows = blocks.withColumn("_k", F.row_number().over(Window.partitionBy(*band).orderBy("centre", "x_min", "name"))).withColumn("_in", F.get(around, F.lit(0)))
+    rows = rows.withColumn("_extent", F.when(F.col("_in").isNotNull(), geo.span_of_rect(F.col("_in.x"), F.col("_in.w"), F.col("edges"))))
+    rows = rows.withColumn("_group", F.when(F.col("_extent").isNotNull(), F.col("_in.k")).otherwise(-1))
+    members = F.array_sort(F.collect_list(F.struct("_k", "centre", "width")))
+    groups = rows.groupBy(*band, "_group").agg(members.alias("_m"), F.first("_extent").alias("_e"), F.first("edges").alias("_edges"), F.first("gaps").alias("_gaps"))
+
+    def spans(g: DataFrame, extent: Column) -> DataFrame:
+        candidates = F.transform("_m", lambda m: geo.span_candidates(m["centre"], m["width"], F.col("_edges"), F.col("_gaps"), extent["a"], extent["b"]))
+        together = geo.disjoint_spans(candidates)
+        alone = F.struct(F.array(F.struct(F.col("_e.a").alias("a"), F.col("_e.b").alias("b"))).cast("array<struct<a: int, b: int>>").alias("spans"), F.lit(0.0).alias("cost"), F.lit(None).cast("double").alias("margin"))
+        drawn = (F.col("_group") >= 0) & (F.size("_m") == 1)
+        out = g.withColumn("_p", F.when(drawn, alone).otherwise(together)).withColumn("span_source", F.when(drawn, "rect").otherwise("inferred"))
+        placed = F.arrays_zip(F.transform("_m", lambda m: m["_k"]).alias("k"), F.col("_p.spans").alias("s"))
+        return out.select(*band, "span_source", F.col("_p.margin").alias("span_margin"), F.explode(placed).alias("_z")).select(*band, F.col("_z.k").alias("_k"), F.col("_z.s.a").alias("a"), F.col("_z.s.b").alias("b"), "span_source", "span_margin")
+
+    first = spans(groups.where("_group >= 0"), F.col("_e"))
+    taken = first.groupBy(*band).agg(F.flatten(F.collect_list(F.sequence("a", "b"))).alias("_taken"))
+    loose = groups.where("_group < 0").join(taken, band, "left")
+    free = geo.free_span(F.size("_edges") - 1, F.coalesce("_taken", F.array().cast("array<int>")))
+    rest = spans(loose.withColumn("_free", free), F.col("_free"))
+    return rows.join(first.union(rest), [*band, "_k"]).select(*blocks.columns, "a", "b", "span_source", "span_margin")
+
+
+def _sessions_of(placed: DataFrame, keys: list[str], extra_filler: list[str] | None) -> DataFrame:
+    rows = placed.select(*keys, "weekday", "room", "name", F.get("cols", F.col("a"))["start_min"].alias("col_start"), F.get("cols", F.col("b"))["end_min"].alias("col_end"), F.col("span_source").alias("drawn"), "span_margin")
+    s = sessions_of_blocks(rows, extra_filler)
+    return s.withColumn("span_source", F.when(F.col("span_source") == "explicit", "explicit").otherwise(F.col("drawn"))).drop("drawn")
 
 
 def parse_timetables(pages: DataFrame, extra_filler: list[str] | None = None) -> DataFrame:
     """Sessions of grid pages: source, weekday, room, raw_name, start_min, end_min, elective, validity, span_source, span_margin. A printed range stands for the columns'."""
-    placed = place_blocks(timetable_blocks(pages))
-    rows = placed.select("source", "weekday", "room", "name", F.get("cols", F.col("a"))["start_min"].alias("col_start"), F.get("cols", F.col("b"))["end_min"].alias("col_end"), F.col("span_source").alias("drawn"), "span_margin")
-    s = sessions_of_blocks(rows, extra_filler)
-    return s.withColumn("span_source", F.when(F.col("span_source") == "explicit", "explicit").otherwise(F.col("drawn"))).drop("drawn")
+    return _sessions_of(place_blocks(timetable_blocks(pages)), ["source"], extra_filler)
+
+
+def parse_grids(pages: DataFrame, extra_filler: list[str] | None = None) -> DataFrame:
+    """Sessions of pages of one or more grids (``sub_grids``): as ``parse_timetables``, with the grid's label."""
+    return _sessions_of(place_blocks(grid_blocks(sub_grids(pages))), ["source", "label"], extra_filler)
 
 
 def parse_exam_calendars(pages: DataFrame, factor: float = 1.6) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import catalogue, text, times
-from slotwise.functions.binding import let
+from slotwise.functions.binding import let, spaced, strip
+from slotwise.operators import geometry as geo
 
 SLOT_MINUTES = 180
 
@@ -36,24 +37,83 @@ def date_header(lines: Column) -> Column:
     return let(found, lambda f: F.get(f, F.try_element_at(best, F.lit(1))["k"]))
 
 
-def slots_from_labels(lines: DataFrame, by: str, apart: float = 30.0) -> DataFrame:
-    """Slots (start_min, end_min, y0, y1) of label lines (by, y, text): lines within ``apart`` of the one before are one label; neighbours of one range are one slot."""
-    w = Window.partitionBy(by).orderBy(F.desc("y"))
-    parted = lines.withColumn("_new", F.coalesce(F.lag("y").over(w) - F.col("y") > apart, F.lit(True)).cast("int")).withColumn("_label", F.sum("_new").over(w))
-    labels = parted.groupBy(by, "_label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("k"), "text"))), lambda s: s["text"]), " ").alias("label"), F.max("y").alias("y1"), F.min("y").alias("y0"))
-    ranged = labels.withColumn("r", times.parse_time_range(text.collapse(F.col("label")))).where("r is not null")
-    v = Window.partitionBy(by).orderBy("_label")
-    run = ranged.withColumn("_new", F.coalesce(~F.lag("r").over(v).eqNullSafe(F.col("r")), F.lit(True)).cast("int")).withColumn("slot", F.sum("_new").over(v))
-    return run.groupBy(by, "slot").agg(F.first("r.start_min").alias("start_min"), F.first("r.end_min").alias("end_min"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+#: Slot labels closer than this are one label, however its times are split over runs.
+LABEL_GAP = 30.0
+_SLOT = "struct<y: double, start_min: int, end_min: int>"
+
+
+def _times_in(label: Column) -> Column:
+    return F.transform(F.regexp_extract_all(label, F.lit(r"(\d{1,2}:\d{2})"), F.lit(1)), times.parse_time)
+
+
+def slot_labels(runs: Column, right: Column, top: Column) -> Column:
+    """array<struct(y, start_min, end_min)> of the labels left of ``right`` and below ``top``, from top to bottom.
+
+    Runs with a time (or a bare ``to`` or dash) within ``LABEL_GAP`` of the one before are one label: its first and
+    last time, at the middle of its first and last run. Labels of one time are none.
+    """
+    mine = F.filter(runs, lambda r: (r["x"] < right) & (r["y"] < top) & r["text"].rlike(spaced(r"(?i)\d{1,2}:\d{2}|^\s*(?:to|-|–)\s*$")))
+    ordered = F.array_sort(F.transform(mine, lambda r, k: F.struct((-r["y"]).cast("double").alias("k1"), k.alias("k2"), r["text"].alias("t"))))
+    zero = F.array().cast("array<struct<top: double, low: double, t: string>>")
+
+    def step(groups: Column, r: Column) -> Column:
+        last, y = F.try_element_at(groups, F.lit(-1)), -r["k1"]
+        joins = F.coalesce(last["low"] - y <= LABEL_GAP, F.lit(False))
+        grown = F.struct(last["top"].alias("top"), y.alias("low"), F.concat(last["t"], F.lit(" "), r["t"]).alias("t"))
+        fresh = F.struct(y.alias("top"), y.alias("low"), r["t"].alias("t"))
+        return F.when(joins, F.concat(F.slice(groups, F.lit(1), F.greatest(F.size(groups) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(groups, F.array(fresh)))
+
+    found = F.transform(F.aggregate(ordered, zero, step), lambda g: let(_times_in(g["t"]), lambda t: F.when(F.size(t) >= 2, F.struct(((g["top"] + g["low"]) / 2).alias("y"), F.get(t, F.lit(0)).alias("start_min"), F.element_at(t, -1).alias("end_min")).cast(_SLOT))))
+    return F.filter(found, lambda s: s.isNotNull())
+
+
+def slots_from_text(runs: Column, right: Column, top: Column) -> Column:
+    """array<struct(y0, y1, start_min, end_min)>: each label's slot, to the midpoints between labels."""
+    labels = slot_labels(runs, right, top)
+    floor = F.least(F.array_min(F.transform(runs, lambda r: r["y"])), F.lit(0.0))
+    bands = geo.bands_from_labels(F.transform(labels, lambda s: s["y"]), top - 5, floor)
+    return F.zip_with(bands, labels, lambda b, s: F.struct(b["y0"].alias("y0"), b["y1"].alias("y1"), s["start_min"].alias("start_min"), s["end_min"].alias("end_min")))
+
+
+def slots_from_content(runs: Column, rects: Column, right: Column, top: Column) -> Column:
+    """As ``slots_from_text``, but a slot is as high as the rectangles of its content: each band of those has the nearest label, and neighbours of one label are one slot.
+
+    Without rectangles, or where labels and bands do not fit one another, there are none.
+    """
+    content = F.filter(rects, lambda r: geo.is_structural(r["fill"], r["w"], r["h"]) & (r["h"] > 20) & (r["y"] + r["h"] <= top + 2) & (r["x"] + r["w"] > right))
+
+    def made(bands: Column) -> Column:
+        floor = F.array_min(F.transform(bands, lambda b: b["y0"]))
+        labels = F.transform(F.filter(slot_labels(runs, right, top), lambda s: s["y"] >= floor - 2), lambda s: F.struct(s["y"].alias("y"), F.struct(s["start_min"].alias("start_min"), s["end_min"].alias("end_min")).alias("value")))
+        named = F.zip_with(bands, geo.labels_of_bands(bands, labels)["values"], lambda b, v: F.struct(b["y0"].alias("y0"), b["y1"].alias("y1"), v["start_min"].alias("start_min"), v["end_min"].alias("end_min")))
+        return F.aggregate(F.filter(named, lambda s: s["start_min"].isNotNull()), F.array().cast("array<struct<y0: double, y1: double, start_min: int, end_min: int>>"), joined)
+
+    def joined(out: Column, s: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        same = F.coalesce((last["start_min"] == s["start_min"]) & (last["end_min"] == s["end_min"]), F.lit(False))
+        grown = F.struct(F.least(last["y0"], s["y0"]).alias("y0"), F.greatest(last["y1"], s["y1"]).alias("y1"), last["start_min"].alias("start_min"), last["end_min"].alias("end_min"))
+        return F.when(same, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(out, F.array(s)))
+
+    return let(geo.bands_from_rects(content), made)
+
+
+def slots_from_label_rects(runs: Column, rects: Column, right: Column, top: Column) -> Column:
+    """As ``slots_from_text``, but a slot is as high as the rectangle that its label stands in; rectangles without two times are none."""
+    column = F.filter(rects, lambda r: geo.is_structural(r["fill"], r["w"], r["h"]) & (r["x"] + r["w"] <= right + 2) & (r["y"] + r["h"] < top) & (r["h"] > 20))
+
+    def named(b: Column) -> Column:
+        inside = F.array_sort(F.transform(F.filter(runs, lambda r: (r["x"] < right) & (r["y"] >= b["y0"]) & (r["y"] < b["y1"])), lambda r, k: F.struct((-r["y"]).alias("k1"), k.alias("k2"), r["text"].alias("t"))))
+        found = _times_in(F.array_join(F.transform(inside, lambda r: r["t"]), " "))
+        return let(found, lambda t: F.when(F.size(t) >= 2, F.struct(b["y0"].alias("y0"), b["y1"].alias("y1"), F.get(t, F.lit(0)).alias("start_min"), F.element_at(t, -1).alias("end_min"))))
+
+    return F.filter(F.transform(geo.bands_from_rects(column), named), lambda s: s.isNotNull())
 
 
 def semester_from_fill(rects: Column, x: Column, y0: Column, y1: Column, legend: dict[str, str]) -> Column:
-    """The semester whose colour fills the rectangle around (x, the band): the smallest that holds it; null without one in the legend."""
-    named = F.create_map(*[F.lit(v) for kv in legend.items() for v in (kv[0].lower(), kv[1])])
-    mid = (y0 + y1) / 2
-    holding = F.filter(rects, lambda r: (r["x"] <= x) & (x <= r["x"] + r["w"]) & (r["y"] <= mid) & (mid <= r["y"] + r["h"]) & F.map_contains_key(named, F.lower(F.coalesce(r["fill"], F.lit("")))))
-    ranked = F.array_sort(F.transform(holding, lambda r, k: F.struct((r["w"] * r["h"]).alias("area"), k.alias("k"), F.lower(r["fill"]).alias("fill"))))
-    return F.element_at(named, F.try_element_at(ranked, F.lit(1))["fill"])
+    """The semester whose colour fills the first rectangle that has x within 2 points of its width and meets the band by more than a point; null without one in the legend."""
+    named = F.create_map(*[F.lit(v) for kv in legend.items() for v in kv])
+    meeting = F.filter(rects, lambda r: F.coalesce(F.map_contains_key(named, r["fill"]), F.lit(False)) & (x >= r["x"] - 2) & (x <= r["x"] + r["w"] + 2) & (r["y"] + r["h"] > y0 + 1) & (r["y"] < y1 - 1))
+    return F.element_at(named, F.get(meeting, F.lit(0))["fill"])
 
 
 def sessions_of_blocks(blocks: DataFrame, extra_filler: list[str] | None = None) -> DataFrame:
@@ -89,7 +149,7 @@ def list_entries(lines: DataFrame, by: str, gap: float = 20.0) -> DataFrame:
     far = F.coalesce(F.lag("y").over(v) - F.col("y") > gap, F.lit(False)).cast("int")
     near = rows.withColumn("_far", far).withColumn("_far", F.sum("_far").over(v)).where("_far = 0")
     body = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("k"), F.regexp_replace("text", r"^\s*\d{1,2}[:.]\d{2}\s*(?:-|–|to)\s*\d{1,2}[:.]\d{2}\s*", "").alias("t")))), lambda s: s["t"])
-    out = near.groupBy(by, F.col("_entry").alias("entry")).agg(F.max("_r").alias("r"), F.filter(body, lambda t: F.trim(t) != "").alias("lines"))
+    out = near.groupBy(by, F.col("_entry").alias("entry")).agg(F.max("_r").alias("r"), F.filter(body, lambda t: strip(t) != "").alias("lines"))
     return out.select(by, "entry", "r.start_min", "r.end_min", text.collapse(F.array_join(text.name_lines(F.col("lines")), " ")).alias("name"), text.extract_room(F.col("lines")).alias("room"))
 
 
@@ -111,7 +171,7 @@ def vision_exams(docs: DataFrame) -> DataFrame:
 
 
 def dispatch(documents: DataFrame, family: str, parsers: dict) -> DataFrame:
-    """The union of what each family's parser makes of its documents (by the column ``family``); a family without one is passed over."""
+    """The union of what each family's parser makes of its documents (by the column ``family``), in the parsers' order; a family without one is passed over."""
     out = None
     for name, parse in parsers.items():
         made = parse(documents.where(F.col(family) == name))

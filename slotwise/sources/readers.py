@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions import lessons
+from slotwise.functions.binding import strip
 from slotwise.functions.catalogue import clean_cell
 from slotwise.sources import schemas
 
@@ -80,7 +81,30 @@ def read_bundle(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_plan_link(link: Column) -> Column:
-    """struct(keys, lessons) of a link's fragment (``plan=a,b&custom=...``); what is missing is empty."""
+    """struct(keys, lessons) of a link's fragment (``#p=a,b&c=...``); what is missing is empty."""
     part = lambda name: F.nullif(F.regexp_extract(link, rf"(?:^|[#&]){name}=([^&]*)", 1), F.lit(""))
-    keys = F.filter(F.transform(F.split(F.coalesce(F.try_url_decode(part("plan")), F.lit("")), ","), lambda k: F.trim(k)), lambda k: k != "")
-    return F.struct(F.array_distinct(keys).alias("keys"), lessons.decode(F.coalesce(part("custom"), F.lit(""))).alias("lessons"))
+    keys = F.filter(F.transform(F.split(F.coalesce(F.try_url_decode(part("p")), F.lit("")), ","), strip), lambda k: k != "")
+    return F.struct(F.array_distinct(keys).alias("keys"), lessons.decode(F.coalesce(part("c"), F.lit(""))).alias("lessons"))
+
+
+PLAN = "version int, selected array<string>, semesters array<string>, days array<int>, custom array<struct<id: string, name: string, day: int, start: int, `end`: int, room: string>>"
+
+
+def read_plan(stored: Column) -> Column:
+    """A stored plan; broken JSON or another version than 1 is an empty plan."""
+    empty = F.from_json(F.lit('{"version": 1, "selected": [], "semesters": [], "days": [], "custom": []}'), PLAN)
+    read = F.from_json(stored, PLAN)
+    sound = F.coalesce(read["version"] == 1, F.lit(False))
+    kept = F.struct(*[F.when(sound, F.coalesce(read[c], empty[c])).otherwise(empty[c]).alias(c) for c in ("version", "selected", "semesters", "days", "custom")])
+    return kept
+
+
+def read_env(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of the ``KEY=VALUE`` lines of a file; other lines are passed over."""
+    lines = spark.read.text(path).select(F.regexp_extract("value", r"^([A-Z0-9_]+)=(.*)$", 1).alias("key"), F.regexp_extract("value", r"^([A-Z0-9_]+)=(.*)$", 2).alias("value"))
+    return lines.where("key <> ''").select("key", strip(F.col("value")).alias("value"))
+
+
+def in_scope(sources: DataFrame) -> DataFrame:
+    """The sources that are read for timetables and exams: neither out of scope nor for cross-checks alone."""
+    return sources.where(~F.col("role").isin("out-of-scope", "crosscheck"))

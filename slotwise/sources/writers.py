@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.functions import lessons
+from slotwise.operators import geometry as geo
+
 DURING = {"error": "✗", "warn": "!", "info": "·"}
 
 
@@ -18,14 +21,60 @@ def bundle(courses: DataFrame, sessions: DataFrame, exams: DataFrame) -> DataFra
 
 
 def write_bundle(courses: DataFrame, path: str, built_at: str) -> None:
-    """The whole bundle as one JSON document: for the few courses of a timetable."""
-    one = courses.agg(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("_k"), F.struct(*courses.columns).alias("c")))).alias("x"))
+    """The whole bundle as one JSON document, courses in the order of their names as people sort them: for the few courses of a timetable."""
+    one = courses.agg(F.array_sort(F.collect_list(F.struct(F.collate("name", "UNICODE").alias("_k"), F.struct(*courses.columns).alias("c")))).alias("x"))
     one.select(F.lit(1).alias("schemaVersion"), F.lit(built_at).alias("builtAt"), F.transform("x", lambda r: r["c"]).alias("courses")).coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_documents(df: DataFrame, path: str, by: str) -> None:
-    """Documents as JSON, a folder for each value of ``by``."""
-    df.write.mode("overwrite").partitionBy(by).json(path)
+def write_parsed(sessions: DataFrame, exams: DataFrame, diagnostics: DataFrame, path: str) -> DataFrame:
+    """Parsed rows as JSON, a folder for each kind and source, over what these sources had before; (source, errors) of the sources that failed.
+
+    A source that failed has diagnostics of severity ``error`` and keeps what it had; the others are written all the same.
+    """
+    failed = diagnostics.where("severity = 'error'").groupBy("source").agg(F.count("*").alias("errors"))
+    for kind, rows in (("timetable", sessions), ("exam", exams)):
+        good = rows.join(failed, "source", "left_anti").withColumn("kind", F.lit(kind))
+        good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "source").json(path)
+    return failed
+
+
+def fresh_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Tables as Parquet, always from scratch: nothing of an earlier build stays."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def write_changed(df: DataFrame, old: DataFrame, key: str, path: str) -> DataFrame:
+    """Write those documents of ``df`` (a folder a key) that the manifest ``old`` has not or has otherwise; (key, change) of all that differ, as ``changes``."""
+    found = changes(manifest(df, key), old, key)
+    df.join(found.where("change <> 'removed'"), key, "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)
+    return found
+
+
+def extraction_manifest(docs: DataFrame) -> DataFrame:
+    """(path, sha256, bytes, runs, rects, imageOnly) of extraction documents: what the manifest beside them records."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).alias(c)
+    return docs.select(F.col("source.path").alias("path"), F.col("source.sha256").alias("sha256"), F.col("source.bytes").alias("bytes"), size("runs"), size("rects"), F.coalesce("imageOnly", F.lit(False)).alias("imageOnly"))
+
+
+def write_guides(verified: DataFrame, languages: DataFrame, year: str, path: str) -> None:
+    """The curated guides as one JSON document: links (url) that exist, and languages (plan, code, lang) by ``plan|code``. Both are written, whichever was found anew."""
+    links = verified.agg(F.array_sort(F.collect_set("url")).alias("verified"))
+    by = languages.groupBy(F.concat_ws("|", "plan", "code").alias("k")).agg(F.array_sort(F.collect_set("lang")).alias("v"))
+    spoken = by.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("languages"))
+    links.join(spoken, how="cross").select(F.lit(year).alias("year"), "verified", "languages").coalesce(1).write.mode("overwrite").json(path)  # one row each
+
+
+def plan_link(keys: Column, custom: Column) -> Column:
+    """A plan as a link's fragment; an empty plan is an empty one."""
+    return F.when((F.size(keys) > 0) | (F.size(custom) > 0), F.concat(F.lit("#p="), F.array_join(keys, ","), F.lit("&c="), lessons.encode(custom))).otherwise("")
+
+
+def page_lines(pages: DataFrame, gap: float | None = None) -> DataFrame:
+    """(source, line, segment, x0, x1, y, text) of pages (source, runs), for looking at: each line, or (``gap``) each of its parts."""
+    lines = pages.select("source", F.posexplode(geo.group_lines(F.col("runs"))).alias("line", "l"))
+    parts = lines.select("source", "line", F.col("l.y").alias("y"), F.posexplode(F.array(F.col("l.runs")) if gap is None else geo.split_by_gaps(F.col("l.runs"), gap)).alias("segment", "s"))
+    return parts.select("source", "line", "segment", geo.line_left(F.col("s")).alias("x0"), geo.line_right(F.col("s")).alias("x1"), "y", geo.line_text(F.col("s")).alias("text"))
 
 
 def manifest(df: DataFrame, key: str) -> DataFrame:
