@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from slotwise.llm import runtime
 from slotwise.llm.components import components
 from slotwise.llm.dart_minhash import bands, signatures
-from slotwise.llm.textblock import U64, Block, mix, slices
+from slotwise.llm.textblock import U64, Block, give_back, mix, slices
 
 WORDS, K, ROWS = 5, 125, 5
 BLOCK, CHUNK, HUB_CHUNK = 192, 1 << 18, 1 << 16
@@ -137,6 +137,7 @@ def _verified(members: DataFrame, docs: DataFrame, threshold: float, weighted: b
     sets = _compared(docs, runtime.materialize(dealt.union(own), "dealt"), weighted)
 
     def run(t: pa.Table) -> pa.Table:
+        give_back(t.nbytes)
         hub = t.column("hub")[0].as_py()
         rows = list(zip(t.column("id").to_pylist(), *(t.column(c).to_pylist() if c in t.column_names else [None] * t.num_rows for c in ("keys", "counts")), strict=True))
         hubs = [_set(k, c) for i, k, c in rows if i == hub]
@@ -203,6 +204,7 @@ def _crossed(groups: DataFrame, docs: DataFrame, threshold: float, weighted: boo
     sets = _compared(docs, runtime.materialize(cells, "cells"), weighted)
 
     def run(t: pa.Table) -> pa.Table:
+        give_back(t.nbytes)
         rows = t.to_pylist()
         a, b = [r for r in rows if r["is_left"]], [r for r in rows if r["is_right"]]
         links = list(_block_links(a, b, threshold, weighted)) if a and b else []

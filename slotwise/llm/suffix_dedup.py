@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm import runtime
-from slotwise.llm.textblock import _BYTE, U64, Block, mix, of_array
+from slotwise.llm.textblock import _BYTE, U64, Block, give_back, mix, of_array
 
 LENGTH, GRAM = 50, 24
 #: Most documents and (about) bytes of a block, bytes of text for each bucket of names, and windows sorted at once.
@@ -493,10 +493,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].cast("string").alias("text"))
     all_docs, all_bytes = rows.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_blocks = max(4 * parts, all_docs // block_docs, all_bytes // block_bytes)
-    buckets = max(parts, all_bytes // BUCKET_BYTES)
+    buckets = int(max(parts, all_bytes // BUCKET_BYTES))  # a partition each, so what a task holds does not grow
     placed = rows.where("id is not null").withColumn("g", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).repartition(parts, "g")
 
     def one_block(t: pa.Table) -> tuple[np.ndarray, Block]:
+        give_back(4 * t.nbytes)
         return t.column("id").to_numpy(), of_array(t.column("text"))
 
     def step1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -520,8 +521,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if held:
             yield done(held)
 
-    def step2(t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_batch(_BACK, _common(list(zip(*(t.column(k).to_pylist() for k in ("g", "once", "more")), strict=True)), hot_blocks))])
+    def step2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+        if rows:
+            yield _batch(_BACK, _common(rows, hot_blocks))
 
     def step3(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -530,8 +533,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         names, hot = (np.concatenate([_wide(x) for x in right.column(c).to_pylist()]) for c in ("names", "hot"))
         return pa.Table.from_batches([_batch(_TEXTS, _texts_of(block, ids, left.column("g")[0].as_py(), names, hot, buckets))])
 
-    def step4(t: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_batch(_FOUND, _judge(list(zip(*(c.to_pylist() for c in t.columns), strict=True))))])
+    def step4(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if rows:
+            yield _batch(_FOUND, _judge(rows))
 
     kept = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())] * with_text)
 
@@ -554,9 +559,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             out.append((int(ids[k]), len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), *([spans, rest] if with_text else [])))
         return pa.Table.from_batches([_batch(kept, out)])
 
-    names = placed.mapInArrow(step1, _ddl(_NAMES)).groupBy("bucket").applyInArrow(step2, _ddl(_BACK))
+    names = placed.mapInArrow(step1, _ddl(_NAMES)).repartitionById(buckets, F.col("bucket")).mapInArrow(step2, _ddl(_BACK))
     texts = placed.groupBy("g").cogroup(names.groupBy("g")).applyInArrow(step3, _ddl(_TEXTS))
-    found = texts.groupBy("bucket").applyInArrow(step4, _ddl(_FOUND))
+    found = texts.repartitionById(buckets, F.col("bucket")).mapInArrow(step4, _ddl(_FOUND))
     more = ", spans array<array<bigint>>, kept binary" if with_text else ""
     out = placed.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(step5, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + more)
     text = F.coalesce("text", F.lit(""))

@@ -6,6 +6,7 @@ numpy passes over the bytes; no Python object is made per word. Nulls are empty
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,8 +126,26 @@ def of_array(arr: pa.Array) -> Block:
     return Block(data[off[0] : off[-1]], off - off[0])
 
 
+#: Bytes that a worker handles before it gives memory that it no longer uses back to the machine.
+HELD_BYTES = 16 << 20
+_handled = 0
+_libc = ctypes.CDLL(None)
+
+
+def give_back(n: int) -> None:
+    """Note ``n`` more bytes handled, and now and then return freed memory: workers live on between tasks, and several share an executor."""
+    global _handled
+    _handled += n
+    if _handled > HELD_BYTES:
+        _handled = 0
+        pa.default_memory_pool().release_unused()
+        if hasattr(_libc, "malloc_trim"):
+            _libc.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Block]]:
     """The batch in runs of rows of about ``limit`` bytes of text, each with its block. A longer text stands alone."""
+    give_back(batch.nbytes)
     whole = of_array(batch.column(column))
     at, n = 0, whole.n
     while at < n:

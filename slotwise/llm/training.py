@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.llm import runtime
+from slotwise.llm.textblock import HELD_BYTES, give_back
 
 
 #: Classes that a sample may have, and bytes of text that a model is fitted on: the task that fits holds no more.
@@ -55,6 +56,8 @@ def fit_on(sample: DataFrame, fit: Callable[[list[str], np.ndarray], Any], total
             left = left - int(size[:fits].sum()) if fits == len(size) else 0
         rows.sort(key=lambda r: (str(r[0]), r[1]))
         model = fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
+        rows.clear()
+        give_back(HELD_BYTES + 1)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64(F.col("id").cast("string"), F.lit(1)), "id", "text")
