@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from slotwise.functions.binding import let, pin, strip
 from slotwise.functions.times import parse_time_range, parse_weekday
 from slotwise.operators import geometry as geo
-from slotwise.operators.parsers import date_header, exams_of_blocks, sessions_of_blocks
+from slotwise.operators.parsers import date_header, exams_of_blocks, sessions_of_blocks, slots_from_content, slots_from_label_rects, slots_from_text
 
 
 def _body(runs: Column, left: Column) -> Column:
@@ -178,10 +178,11 @@ def parse_grids(pages: DataFrame, extra_filler: list[str] | None = None) -> Data
     return _sessions_of(place_blocks(grid_blocks(sub_grids(pages))), ["source", "label"], extra_filler)
 
 
-def parse_exam_calendars(pages: DataFrame, factor: float = 1.6) -> DataFrame:
-    """Exams of calendar pages (source, runs, label_right, left, right): source, date, raw_name, start_min, end_min, duration_source, outside_slot.
+def parse_exam_calendars(pages: DataFrame, factor: float = 1.6, slots_from: str = "labelTexts") -> DataFrame:
+    """Exams of calendar pages (source, runs, label_right, left, right, and rects but for ``labelTexts``): source, date, raw_name, start_min, end_min, duration_source, outside_slot.
 
-    Dates right of the labels make the columns, time ranges left of them the slots, each up to the next. A cell's
+    Dates right of the labels make the columns, times left of them the slots: each up to the next (``labelTexts``), as high as
+    its content's rectangles (``contentRects``), or as the rectangle around its label (``labelRects``). A cell's
     text is cut where its lines step apart by ``factor``; runs of slashes part exams of one cell.
     """
     lines = geo.group_lines(_body(F.col("runs"), F.col("label_right")))
@@ -189,13 +190,15 @@ def parse_exam_calendars(pages: DataFrame, factor: float = 1.6) -> DataFrame:
     cells = F.transform("_lines", lambda x: F.struct(x["y"].alias("y"), F.transform(geo.split_by_gaps(x["runs"], 3.0), lambda s: F.struct(geo.line_left(s).alias("x"), (geo.line_right(s) - geo.line_left(s)).alias("w"), geo.line_text(s).alias("text"))).alias("cells")))
     page = page.withColumn("_cells", cells).withColumn("_dates", date_header(F.col("_cells"))).where(F.size("_dates") > 0)
     top = F.array_max(F.transform(F.filter("_cells", lambda x: F.size(date_header(F.array(x))) > 0), lambda x: x["y"]))
-    labels = F.filter(F.transform(geo.group_lines(F.filter("runs", lambda r: r["x"] < F.col("label_right"))), lambda x: F.struct(x["y"].alias("y"), parse_time_range(geo.line_text(x["runs"])).alias("r"))), lambda v: v["r"].isNotNull())
-    page = page.withColumn("_top", top).withColumn("_slots", F.array_sort(F.transform(labels, lambda v: F.struct((-v["y"]).alias("k"), v["r"].alias("r"))))).where(F.size("_slots") > 0)
+    if slots_from == "labelTexts":
+        slots = slots_from_text(F.col("runs"), F.col("label_right"), F.col("_top"))
+    else:
+        slots = {"contentRects": slots_from_content, "labelRects": slots_from_label_rects}[slots_from](F.col("runs"), F.col("rects"), F.col("label_right"), F.col("_top"))
+    page = page.withColumn("_top", top).withColumn("_slots", slots).where(F.size("_slots") > 0)
     edges = geo.outer_edges(F.transform("_dates", lambda d: d["x"]), F.col("label_right"), F.col("right"))
     ordered = F.array_sort(F.transform("_dates", lambda d: F.struct(d["x"].alias("x"), d["date"].alias("date"))))
-    bands = geo.bands_from_labels(F.transform("_slots", lambda s: -s["k"]), F.col("_top"), F.coalesce(F.array_min(F.transform("_lines", lambda x: x["y"])), F.lit(0.0)) - 1)
-    rows = page.select("source", "_lines", "_slots", edges.alias("_edges"), ordered.alias("_dates"), F.posexplode(bands).alias("_row", "_b"))
-    rows = rows.select("source", "_lines", "_edges", "_b", F.get("_slots", F.col("_row"))["r"].alias("_r"), F.posexplode("_dates").alias("_col", "_d"))
+    rows = page.select("source", "_lines", edges.alias("_edges"), ordered.alias("_dates"), F.explode("_slots").alias("_slot"))
+    rows = rows.select("source", "_lines", "_edges", "_slot", F.posexplode("_dates").alias("_col", "_d"))
     mine = F.filter(F.transform("_lines", lambda x: F.struct(x["y"].alias("y"), F.filter(x["runs"], lambda r: geo.column_of(r["x"] + r["w"] / 2, F.col("_edges")) == F.col("_col")).alias("runs"))), lambda x: F.size(x["runs"]) > 0)
-    blocks = rows.select("source", F.col("_d.date").alias("date"), F.col("_r.start_min").alias("slot_start"), F.col("_r.end_min").alias("slot_end"), F.explode(geo.blocks_in_band(mine, F.col("_b.y0"), F.col("_b.y1"), 8.0, factor=factor, single=True)).alias("x"))
+    blocks = rows.select("source", F.col("_d.date").alias("date"), F.col("_slot.start_min").alias("slot_start"), F.col("_slot.end_min").alias("slot_end"), F.explode(geo.blocks_in_band(mine, F.col("_slot.y0"), F.col("_slot.y1"), 8.0, factor=factor, single=True)).alias("x"))
     return exams_of_blocks(blocks.select("source", "date", "slot_start", "slot_end", F.col("x.room").alias("room"), F.col("x.name").alias("name")))

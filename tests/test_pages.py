@@ -62,6 +62,15 @@ def test_exam_page(spark):
     assert got == [("A", "2027-01-12", 540, 660, "slot_default2h"), ("B", "2027-01-12", 600, 720, "start_override_default2h"), ("Big Data", "2027-01-11", 540, 660, "slot_default2h"), ("C", "2027-01-11", 900, 1020, "explicit_range")]
 
 
+def test_exam_slots_by_rectangles(spark):
+    runs = [(200.0, 120.0, 60.0, "MONDAY 11"), (200.0, 220.0, 60.0, "TUESDAY 12"), (150.0, 10.0, 60.0, "9:00 to"), (140.0, 10.0, 60.0, "12:00"), (100.0, 10.0, 60.0, "15:00 - 18:00"), (165.0, 120.0, 60.0, "Big Data"), (125.0, 220.0, 60.0, "Low"), (10.0, 120.0, 60.0, "A legend")]
+    rects = [(100.0, 120.0, 100.0, 60.0, "#ffcc00"), (100.0, 80.0, 200.0, 30.0, "#ffcc00"), (5.0, 121.0, 80.0, 58.0, None), (5.0, 81.0, 80.0, 28.0, None)]
+    df = spark.createDataFrame([("e", runs, rects, 90.0, 100.0, 300.0)], f"source string, runs {RUN}, rects {RECT}, label_right double, left double, right double")
+    for how in ("contentRects", "labelRects"):
+        got = sorted((r.raw_name, str(r.date), r.start_min) for r in pages.parse_exam_calendars(df, slots_from=how).collect())
+        assert got == [("Big Data", "2027-01-11", 540), ("Low", "2027-01-12", 540)]
+
+
 def test_pages_without_a_grid_give_nothing(spark):
     df = spark.createDataFrame([("a", [(1.0, 1.0, 1.0, "x")], [], 80.0, 90.0, 390.0), ("b", None, None, 80.0, 90.0, 390.0)], f"source string, runs {RUN}, rects {RECT}, label_right double, left double, right double")
     assert pages.parse_timetables(df).count() == 0
