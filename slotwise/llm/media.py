@@ -140,8 +140,18 @@ def _zip(b: bytes, at: int) -> int:
 
 
 def _pdf(b: bytes, at: int) -> int:
-    p = b.find(b"%%EOF", at)
-    return p + 5 - at if p >= 0 and b.find(b"startxref", at, p) >= 0 else 0
+    """Up to the last end mark that has a cross-reference section of its own: linearised and updated files have several."""
+    end, p = at, b.find(b"%%EOF", at)
+    while p >= 0 and b.find(b"%PDF-", max(end, at + 1), p) < 0:
+        q = b.rfind(b"startxref", end, p)
+        place = b[q + 9 : p].strip() if q >= 0 else b""
+        if not place.isdigit():
+            break
+        to = at + int(place)
+        if int(place) and not (to < q and (b[to : to + 4] == b"xref" or b[to : to + 1].isdigit())):
+            break
+        end, p = p + 5, b.find(b"%%EOF", p + 5)
+    return end - at
 
 
 VALIDATORS: dict[str, Callable[[bytes, int], int]] = {
@@ -190,7 +200,8 @@ def sniff(data: bytes) -> Sniffed:
 def sniff_column(df: DataFrame, data_col: str = "data", declared_col: str | None = "declared", id_col: str = "id") -> DataFrame:
     """One row per row of ``df``: id, declared, kind (what the bytes are), corrected (a declared type that is wrong), length, embedded.
 
-    Null and empty data are of the unknown type with length 0. A null declared type counts as unknown.
+    Null and empty data are of the unknown type with length 0. A null declared type counts as unknown. Repeated rows each
+    give a row, an empty table none; no other column is read, so their names do not matter.
     """
     runtime.ship(df.sparkSession)
     cols = df.select(df[id_col].alias("id"), (df[declared_col] if declared_col else df[data_col].cast("string").substr(1, 0)).cast("string").alias("declared"), df[data_col].cast("binary").alias("data"))

@@ -5,8 +5,9 @@ pieces are encoded once per worker, and counts or ids are put together again. Th
 ``word_bpe_49k.json``: ASCII white space (dropped by its splitter, never part of a token), and between
 an ASCII letter and one of ``. , ; : ! ?`` (its splitter separates letters from other characters there,
 none of these characters composes under NFC with an ASCII letter, and no special string has one).
-A text is thus never handed over in one piece, however long it is. Vocabularies for which these cuts do
-not hold are encoded text by text.
+A long text is thus handed over in pieces; only what has no such boundary (say, a run of Han characters) is one
+piece, whole, as any cut within it could change its tokens. Vocabularies for which these cuts do not hold are
+encoded text by text.
 """
 
 from __future__ import annotations

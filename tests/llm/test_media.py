@@ -45,6 +45,33 @@ def test_truncated_media_are_none(kind):
     assert media.sniff(parts()[kind][:-1]).kind == media.UNKNOWN
 
 
+def test_pdf_files_of_several_sections():
+    first = b"%PDF-1.4\n1 0 obj\nendobj\nxref\n0 1\ntrailer\nstartxref\n24\n%%EOF\n"
+    assert first[24:28] == b"xref"
+    update = first + b"2 0 obj\nendobj\nxref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF" % (len(first) + 15)
+    assert update[len(first) + 15 :].startswith(b"xref")
+    linear = b"%PDF-1.4\nxref\ntrailer\nstartxref\n0\n%%EOF\n9 0 obj\nendobj\nxref\nstartxref\n9\n%%EOF"
+    for whole in (first.rstrip(), update, linear):
+        assert media.sniff(whole) == media.Sniffed("application/pdf", len(whole), ())
+        seen = media.sniff(b"x" + whole + update + b" text with startxref and %%EOF")
+        assert [(a, n) for a, n, _ in seen.embedded] == [(1, len(whole)), (1 + len(whole), len(update))]
+    assert media.sniff(first.replace(b"24", b"25")).kind == media.UNKNOWN
+
+
+def test_odd_columns(spark):
+    png = bytearray(parts()["image/png"])
+    df = spark.createDataFrame([(1, "image/png", png, "x", "y")] * 2 + [(None, "text/plain", bytearray(), None, None)], "id long, declared string, data binary, kind string, embedded string")
+    rows = media.sniff_column(df).collect()
+    assert sorted((str(r.id), r.kind, r.corrected, r.length) for r in rows) == [("1", "image/png", False, len(png))] * 2 + [("None", media.UNKNOWN, True, 0)]
+    assert media.sniff_column(df.limit(0)).count() == 0
+
+
+def test_stored_texts_have_definite_features(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, "some text"), (3, "other text %PDF-1.4 startxref 0 %%EOF"), (4, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in media.store_texts(docs, with_media=False).collect()}
+    assert rows[1].feature == rows[2].feature != rows[3].feature and all(r.feature for r in rows.values())
+
+
 def test_declared_types_are_corrected(spark):
     df = spark.createDataFrame([(1, "image/jpeg", bytearray(parts()["image/png"])), (2, "image/gif", bytearray(parts()["image/gif"])), (3, None, None)], "id long, declared string, data binary")
     rows = {r.id: r for r in media.sniff_column(df).collect()}

@@ -30,6 +30,34 @@ def test_fill_shares_by_weight():
     assert got == {("a",): 30, ("b",): 60, ("c",): 10}
 
 
+def levelled(budget, children):
+    """Shares of the children (weight, capacity) under one level for all, found by halving."""
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(cap, mid * w) for w, cap in children.values()) < budget else (low, mid)
+    return {c: min(cap, high * w) for c, (w, cap) in children.items()}
+
+
+def test_budgets_against_levels():
+    r = random.Random(6)
+    for _ in range(40):
+        tokens = {(d, s, k): r.choice([0, 3, 50, 400]) for d in "ab" for s in "xyz" for k in range(r.randint(1, 3))}
+        weights = {p: r.choice([0.0, 0.5, 1.0, 4.0]) for p in [("a",), ("b", "x"), ("a", "y"), ("b", "z", 0)]}
+        epochs, total = r.randint(1, 2), r.randint(0, 900)
+        capacity = lambda node: epochs * sum(n for leaf, n in tokens.items() if leaf[: len(node)] == node)
+        want, level = {(): min(total, capacity(()))}, [()]
+        for depth in range(3):
+            below = {}
+            for node in level:
+                children = {leaf[: depth + 1] for leaf in tokens if leaf[:depth] == node}
+                below |= levelled(want[node], {c: (weights.get(c, 1.0), capacity(c)) for c in children})
+            want |= below
+            level = list(below)
+        got = mixing.budgets(tokens, weights, total, epochs)
+        assert all(abs(got.get(leaf, 0) - want[leaf]) <= 1.001 for leaf in tokens), (got, want)
+
+
 def test_against_a_plain_version(spark):
     r = random.Random(4)
     docs = [(k, prose(r, r.randint(0, 60)), r.choice(["en", "fr", None]), r.choice(["s0", "s0", "s1", "s2"])) for k in range(400)]
