@@ -190,7 +190,7 @@ def test_queries_match_sql(spark, name):
     from .conftest import SF
 
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "part", "orders", "lineitem", "events", "documents", "labels"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df, want = catalog.QUERIES[name](spark, SF), con.sql(catalog.ORACLE_SQL[name])
     cols = sorted(df.columns)
