@@ -36,22 +36,28 @@ def deaccent(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, *_ACCENTS), r"\p{Mn}", "")
 
 
-def _normalised_to(form: str) -> Callable[[Column], Column]:
+def _vectorised(change: Callable[[str], str]) -> Callable[[Column], Column]:
+    """``change`` of texts that are not plain ASCII, in Arrow batches. No built-in knows the normal forms; not for use inside a lambda."""
+
     @F.pandas_udf("string")
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t), na_action="ignore")
+    def changed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else change(t), na_action="ignore")
+
+    return changed
+
 
-    return normal
+#: Dashes and quotes that are taken as one.
+_MARKS = str.maketrans("–—‐‑‒‘’", "-----''")
 
 
 def compatible(c: Column) -> Column:
-    """Full-width, styled, ligature and composite forms as their plain characters (NFKC). No built-in does this; not for use inside a lambda."""
-    return _normalised_to("NFKC")(c)
+    """Full-width, styled, ligature and composite forms as their plain characters (NFKC), dashes and single quotes as one each."""
+    return _vectorised(lambda t: unicodedata.normalize("NFKC", t).translate(_MARKS))(c)
 
 
 def composed(c: Column) -> Column:
-    """Letters and their marks as one character where there is one (NFC), as paths are compared. Not for use inside a lambda."""
-    return _normalised_to("NFC")(c)
+    """Letters and their marks as one character where there is one (NFC), as paths are compared."""
+    return _vectorised(lambda t: unicodedata.normalize("NFC", t))(c)
 
 
 def collapse(c: Column) -> Column:
@@ -137,8 +143,7 @@ def normalise(c: Column, equivalences: list[tuple[str, str]] = EQUIVALENCES) ->
     def rest_of(s: Column) -> Column:
         return drop(F.coalesce(*[F.nullif(F.regexp_extract(s, spaced(rf"^{p}\s*:\s*(.+)$"), 1), F.lit("")) for p in PREFIXES]))
 
-    s = F.translate(F.translate(compatible(c), "–—‐‑‒", "-----"), "‘’", "''")
-    s = deaccent(F.lower(strip_annotations(s)["name"]))
+    s = deaccent(F.lower(strip_annotations(compatible(c))["name"]))
     s = collapse(F.replace(F.replace(s, F.lit("&"), F.lit(" and ")), F.lit("-"), F.lit(" ")))
     for old, new in equivalences:
         s = F.replace(s, F.lit(old), F.lit(new))
