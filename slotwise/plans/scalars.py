@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions import catalogue, fuzzy, lessons, text, times
-from slotwise.functions.binding import let
+from slotwise.functions.binding import let, pin
 from slotwise.plans.common import table
 
 
@@ -93,7 +93,7 @@ PRINTED = {" (10:00 to 12:00)": "", " 12:00 h.": "", " (Weeks 1-7)": "", " (*)":
 def normalised_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical key and core tokens of every document with something printed behind it."""
     raw = F.concat("text", _pick(list(PRINTED), F.col("doc_id")))
-    n = table(spark, sf_dir, "documents").select("doc_id", text.normalise(raw).alias("n"))
+    n = pin(table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")), n=text.normalise(F.col("raw")))
     return n.select("doc_id", F.col("n.key").alias("key"), F.array_join("n.tokens", " ").alias("tokens"))
 
 
