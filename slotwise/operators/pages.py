@@ -142,24 +142,30 @@ def place_blocks(blocks: DataFrame) -> DataFrame:
     rows = blocks.withColumn("_k", F.row_number().over(Window.partitionBy(*band).orderBy("centre", "x_min", "name"))).withColumn("_in", F.get(around, F.lit(0)))
     rows = rows.withColumn("_extent", F.when(F.col("_in").isNotNull(), geo.span_of_rect(F.col("_in.x"), F.col("_in.w"), F.col("edges"))))
     rows = rows.withColumn("_group", F.when(F.col("_extent").isNotNull(), F.col("_in.k")).otherwise(-1))
-    members = F.array_sort(F.collect_list(F.struct("_k", "centre", "width")))
-    groups = rows.groupBy(*band, "_group").agg(members.alias("_m"), F.first("_extent").alias("_e"), F.first("edges").alias("_edges"), F.first("gaps").alias("_gaps"))
-
-    def spans(g: DataFrame, extent: Column) -> DataFrame:
-        candidates = F.transform("_m", lambda m: geo.span_candidates(m["centre"], m["width"], F.col("_edges"), F.col("_gaps"), extent["a"], extent["b"]))
-        together = geo.disjoint_spans(candidates)
-        alone = F.struct(F.array(F.struct(F.col("_e.a").alias("a"), F.col("_e.b").alias("b"))).cast("array<struct<a: int, b: int>>").alias("spans"), F.lit(0.0).alias("cost"), F.lit(None).cast("double").alias("margin"))
-        drawn = (F.col("_group") >= 0) & (F.size("_m") == 1)
-        out = g.withColumn("_p", F.when(drawn, alone).otherwise(together)).withColumn("span_source", F.when(drawn, "rect").otherwise("inferred"))
-        placed = F.arrays_zip(F.transform("_m", lambda m: m["_k"]).alias("k"), F.col("_p.spans").alias("s"))
-        return out.select(*band, "span_source", F.col("_p.margin").alias("span_margin"), F.explode(placed).alias("_z")).select(*band, F.col("_z.k").alias("_k"), F.col("_z.s.a").alias("a"), F.col("_z.s.b").alias("b"), "span_source", "span_margin")
-
-    first = spans(groups.where("_group >= 0"), F.col("_e"))
-    taken = first.groupBy(*band).agg(F.flatten(F.collect_list(F.sequence("a", "b"))).alias("_taken"))
-    loose = groups.where("_group < 0").join(taken, band, "left")
-    free = geo.free_span(F.size("_edges") - 1, F.coalesce("_taken", F.array().cast("array<int>")))
-    rest = spans(loose.withColumn("_free", free), F.col("_free"))
-    return rows.join(first.union(rest), [*band, "_k"]).select(*blocks.columns, "a", "b", "span_source", "span_margin")
+    others = [c for c in blocks.columns if c not in band]
+    members = F.array_sort(F.collect_list(F.struct("_k", "centre", "width", F.struct(*others).alias("own"))))
+    groups = rows.groupBy(*band, "_group").agg(members.alias("m"), F.first("_extent").alias("e"), F.first("edges").alias("edges"), F.first("gaps").alias("gaps"))
+    bands = groups.groupBy(*band).agg(F.array_sort(F.collect_list(F.struct("_group", "m", "e"))).alias("_g"), F.first("edges").alias("_edges"), F.first("gaps").alias("_gaps"))
+
+    def spans(m: Column, extent: Column) -> Column:
+        return geo.disjoint_spans(F.transform(m, lambda x: geo.span_candidates(x["centre"], x["width"], F.col("_edges"), F.col("_gaps"), extent["a"], extent["b"])))
+
+    def placed(m: Column, p: Column, how: str) -> Column:
+        at = lambda k: F.get(p["spans"], k)
+        return F.transform(m, lambda x, k: F.struct(x["own"].alias("own"), at(k)["a"].cast("int").alias("a"), at(k)["b"].cast("int").alias("b"), F.lit(how).alias("how"), p["margin"].cast("double").alias("margin")))
+
+    def drawn(g: Column) -> Column:
+        alone = F.struct(F.array(g["e"]).alias("spans"), F.lit(None).cast("double").alias("margin"))
+        return F.when(F.size(g["m"]) == 1, placed(g["m"], alone, "rect")).otherwise(let(spans(g["m"], g["e"]), lambda p: placed(g["m"], p, "inferred")))
+
+    # a band's rectangles first, then what has none in the columns that are left: all within the band's row
+    bands = pin(bands, _drawn=F.flatten(F.transform(F.filter("_g", lambda g: g["_group"] >= 0), drawn)))
+    taken = F.flatten(F.transform("_drawn", lambda x: F.sequence(x["a"], x["b"])))
+    loose = F.flatten(F.transform(F.filter("_g", lambda g: g["_group"] < 0), lambda g: g["m"]))
+    bands = pin(bands, _loose=loose, _free=geo.free_span(F.size("_edges") - 1, taken))
+    bands = pin(bands, _rest=let(spans(F.col("_loose"), F.col("_free")), lambda p: placed(F.col("_loose"), p, "inferred")))
+    out = bands.select(*band, F.explode(F.concat("_drawn", "_rest")).alias("_x"))
+    return out.select(*[c if c in band else F.col(f"_x.own.{c}").alias(c) for c in blocks.columns], F.col("_x.a").alias("a"), F.col("_x.b").alias("b"), F.col("_x.how").alias("span_source"), F.col("_x.margin").alias("span_margin"))
 
 
 def _sessions_of(placed: DataFrame, keys: list[str], extra_filler: list[str] | None) -> DataFrame:
