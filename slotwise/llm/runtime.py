@@ -16,7 +16,7 @@ ROOT = Path(__file__).resolve().parents[2]
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, unless the session sets its own: rows may be of any length.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 _BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text handled at once; a numpy pass then needs some tens of MB.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -127,7 +127,7 @@ def of_array(arr: pa.Array) -> Block:
 
 
 #: Bytes that a worker handles before it gives memory that it no longer uses back to the machine.
-HELD_BYTES = 16 << 20
+HELD_BYTES = 8 << 20
 _handled = 0
 _libc = ctypes.CDLL(None)
 
