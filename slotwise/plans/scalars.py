@@ -199,6 +199,21 @@ def _joined(options: dict, columns: str, key: str, table_: str, select: str) ->
 
 QUERIES = {f.__name__: f for f in (time_format, time_parse, time_ranges, weekday_date, exam_dates, validity_overlap, date_spine, normalised_key, fuzzy_best_match, name_distance, annotations, names_and_rooms, exam_timing, credit_values, plan_code_pairs, guide_languages, custom_lessons)}
 ANNOTATIONS = f"a as (select p_partkey, p_name, v.* exclude (raw) from (select p_partkey, p_name, {_sql_list(list(ANNOTATED))}[cast(p_partkey % {len(ANNOTATED)} as int) + 1] as raw from part) join {_values(ANNOTATED)} v(raw, kind, start_min, end_min, label) using (raw))"
+#: For names of at most two tokens, none a stopword: tokens meet as in ``fuzzy.shared_tokens``, pairs as in ``fuzzy.candidates``.
+FUZZY = """with n as (select distinct p_name as item from part), i as (select item, lower(item) as f, list_distinct(list_filter(string_split(lower(item), ' '), lambda t: t <> '')) as t from n),
+ a as (select distinct substr(item, 1, 4) || substr(item, 6) as target from n), t as (select target, trim(regexp_replace(lower(target), ' +', ' ', 'g')) as f, list_distinct(list_filter(string_split(lower(target), ' '), lambda t: t <> '')) as t from a),
+ ik as (select distinct item, unnest(list_concat([w], case when length(w) >= 5 then list_transform(range(1, length(w) + 1), lambda k: substr(w, 1, k - 1) || substr(w, k + 1)) else [] end)) as key from (select item, unnest(t) as w from i)),
+ tk as (select distinct target, unnest(list_concat([w], case when length(w) >= 5 then list_transform(range(1, length(w) + 1), lambda k: substr(w, 1, k - 1) || substr(w, k + 1)) else [] end)) as key from (select target, unnest(t) as w from t)),
+ c as (select distinct target, item from tk join ik using (key)),
+ s as (select target, item, t.f as ft, i.f as fi, t.t as a, i.t as b, list_filter(i.t, lambda x: not list_contains(t.t, x)) as free, len(list_filter(t.t, lambda x: list_contains(i.t, x))) as n from c join t using (target) join i using (item)),
+ h as (select *, list_filter(free, lambda x: x = a[1] or (least(length(a[1]), length(x)) >= 5 and abs(length(a[1]) - length(x)) <= 1 and levenshtein(a[1], x) <= 1))[1] as h1 from s),
+ g as (select *, list_filter(list_filter(free, lambda x: h1 is null or x <> h1), lambda x: len(a) > 1 and (x = a[2] or (least(length(a[2]), length(x)) >= 5 and abs(length(a[2]) - length(x)) <= 1 and levenshtein(a[2], x) <= 1)))[1] as h2 from h),
+ m as (select *, n + case when n = least(len(a), len(b)) then 0 else (h1 is not null)::int + (h2 is not null)::int end as shared from g),
+ p as (select target, item, 1 - levenshtein(ft, fi) / greatest(length(ft), length(fi), 1)::double as lev, shared / (len(a) + len(b) - shared)::double as ts, shared / least(len(a), len(b))::double as cont from m),
+ w as (select *, 0.45::double * lev + 0.25::double * ts + 0.25::double * cont + 0.05::double * 0 as total from p),
+ r as (select *, row_number() over o as k, lead(total) over o as next, lead(item) over o as runner_up from w window o as (partition by target order by total desc, item)),
+ b as (select *, total - next as margin from r where k = 1)
+ select t.target, item, runner_up, round(total, 6) as total, round(margin, 6) as margin, case when total >= 0.93 and coalesce(margin, 1e9) >= 0.06 then 'accept-high' when total >= 0.8 and coalesce(margin, 1e9) < 0.12 then 'ambiguous' when total >= 0.8 and cont >= 0.85 then 'accept-low' else 'none' end as outcome from t left join b using (target)"""
 ORACLE_SQL = {
     "time_format": f"select event_id, printf('%02d:%02d', {M} // 60, {M} % 60) as at from events",
     "time_parse": f"select event_id, cast(case event_id % 5 when 3 then h * 60 when 4 then null else m end as int) as parsed, cast(case when event_id % 5 = 0 then m end as int) as typed from ({HM})",
@@ -208,6 +223,7 @@ ORACLE_SQL = {
     "validity_overlap": f"with w as (select row_number() over () - 1 as k, raw, a_from::date as f, a_to::date as t from {_values(WINDOWS)} v(raw, a_from, a_to)), o as (select list_position({_sql_list(list(WINDOWS))}, raw) - 1 as k, f, t from w) select event_id, a.f as a_from, a.t as a_to, a.f is null or b.f is null or (a.f <= b.t and b.f <= a.t) as meet from events join o a on a.k = event_id % 5 join o b on b.k = (event_id // 5) % 5",
     "date_spine": "with e as (select cast(ts as date) as date, count(*) as n from events group by 1) select cast(d as date) as date, coalesce(n, 0) as n from (select unnest(generate_series((select min(date) from e)::timestamp, (select max(date) from e)::timestamp, interval 1 day)) as d) s left join e on e.date = s.d where isodow(d) < 6",
     "normalised_key": f"with raw as (select doc_id, text, {_sql_list(list(PRINTED))}[cast(doc_id % {len(PRINTED)} as int) + 1] as raw from documents), d as (select doc_id, text || ' ' || clean as text from raw join {_values(PRINTED)} v(raw, clean) using (raw)), n as (select doc_id, trim(regexp_replace(regexp_replace(replace(replace(trim(regexp_replace(replace(replace(strip_accents(lower(text)), '&', ' and '), '-', ' '), '\\s+', ' ', 'g')), 'e health', 'ehealth'), 'e mail', 'email'), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as f from d) select doc_id, replace(f, ' ', '-') as key, array_to_string(list_filter(string_split(f, ' '), lambda t: t <> '' and t not in ({', '.join(repr(w) for w in text.STOPWORDS)})), ' ') as tokens from n",
+    "fuzzy_best_match": FUZZY,
     "name_distance": "select a.p_partkey, cast(levenshtein(a.p_name, b.p_name) as int) as distance, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) as lev from part a join part b on b.p_partkey = a.p_partkey + 1",
     "annotations": f"with {ANNOTATIONS} select p_partkey, p_name as name, kind, start_min, end_min, label from a",
     "names_and_rooms": f"select a.p_partkey, room, kind, slug from ({_joined(ROOM_LINES, 'raw, room', 'p_partkey', 'part', 'id as p_partkey, room')}) a join ({_joined(FILLERS, 'raw, kind', 'p_partkey', 'part', 'id as p_partkey, kind')}) b using (p_partkey) join ({_joined(PATHS, 'raw, slug', 'p_partkey', 'part', 'id as p_partkey, slug')}) c using (p_partkey)",
