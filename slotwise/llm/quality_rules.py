@@ -23,8 +23,11 @@ from pyspark.sql import DataFrame
 from slotwise.llm import runtime
 from slotwise.llm.textblock import U64, Block, mix, repeated, slices, sums
 
-#: Phrases of boilerplate lines.
-BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "subscribe to our newsletter", "click here", "sign up now", "log in to", "share this")
+#: Phrases of boilerplate lines, in the four languages of the corpora that the defaults are for.
+BOILERPLATE = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "subscribe to our newsletter", "click here", "sign up now", "log in to", "share this",
+    "todos los derechos reservados", "haga clic", "aviso legal", "acepte las cookies", "alle rechte vorbehalten", "hier klicken", "cookies akzeptieren", "cliquez ici", "accepter les cookies", "tous droits",
+)
 
 
 @dataclass(frozen=True)
