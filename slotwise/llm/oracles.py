@@ -63,4 +63,40 @@ LINE_DEDUP = f"""with s as (select doc_id, string_split(text, chr(10)) as ls fro
  kept as (select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, coalesce(string_agg(l, chr(10) order by k) filter (where not gone), '') as t from judged group by doc_id)
 select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, octet_length(encode(coalesce(t, '')))::bigint as kept_bytes, sha256(coalesce(t, '')) as kept_sha256 from documents d left join kept using (doc_id)"""
 
-ORACLE_SQL = {"op1_quality_rules": QUALITY_RULES, "op5_near_dedup": NEAR_DEDUP, "op7_suffix_dedup": SUFFIX_DEDUP, "op9_line_dedup": LINE_DEDUP}
+#: The checksum of an id's digits, bit by bit; pairs of equal words in a period's distance, and their islands of a run's length.
+PERIODIC_RUNS = f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}+') as ws from documents),
+ steps as (select doc_id, ws, len(ws) as n, cast(doc_id as varchar) as s from d),
+ crc as (select doc_id, ws, n, xor(list_reduce(list_prepend(4294967295::ubigint, flatten(list_transform(range(1, length(s) + 1), lambda i: list_prepend(1000000 + ascii(substr(s, i::int, 1))::ubigint, [0::ubigint, 0, 0, 0, 0, 0, 0, 0])))),
+   lambda c, o: case when o > 0 then xor(c, o - 1000000) when c % 2 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end), 4294967295::ubigint) as h from steps),
+ g as (select doc_id, ws, n, h % 10 = 0 and n > 0 as plant, ((h // 10) % greatest(n, 1))::bigint as a, (h // 10)::bigint as g from crc),
+ t as (select doc_id, n, case when plant then list_transform(range(n), lambda i: ws[case when i >= a then a + (i - a) % (1 + (n - a) // (3 + g % 8)) else i end + 1]) else ws end as ws from g),
+ w as (select doc_id, n, unnest(range(n)) as i, unnest(ws) as w from t),
+ m as (select x.doc_id, y.i - x.i as q, x.i from w x join w y on x.doc_id = y.doc_id and x.w = y.w and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+ isl as (select doc_id, q, min(i) as s, count(*) + q as len from (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as k from m) group by doc_id, q, k),
+ runs as (select doc_id, s, len, min(q) as p from isl where len >= greatest(6, 4 * q) group by doc_id, s, len),
+ best as (select doc_id, count(*) as n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' order by s, p) as t, min(p) as p from runs group by doc_id),
+ top as (select * from (select doc_id, s, len, p, row_number() over (partition by doc_id order by len::double / p desc, s, p) as k from runs) where k = 1),
+ gone as (select distinct doc_id, unnest(range(s + p, s + len)) as i from runs),
+ kept as (select w.doc_id, coalesce(string_agg(w.w, ' ' order by w.i) filter (where gone.i is null), '') as t, count(gone.i) as n_dropped from w left join gone on gone.doc_id = w.doc_id and gone.i = w.i group by w.doc_id)
+select t.doc_id, t.n::bigint as n_words, coalesce(n_runs, 0)::bigint as n_runs, s::bigint as start, len::bigint as length, top.p::bigint as period, (1000 * len // top.p)::bigint as exponent_milli,
+ sha256(coalesce(best.t, '')) as runs_sha256, sha256(coalesce(kept.t, '')) as collapsed_sha256, coalesce(n_dropped, 0)::bigint as n_dropped
+ from t left join best using (doc_id) left join top using (doc_id) left join kept using (doc_id)"""
+
+#: Phrases by neighbouring words of one piece; every cut of a phrase, and every phrase inside a longer one.
+COLLOCATIONS = """with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as t from documents),
+ w as (select lang, regexp_extract_all(t, '[^\\x20\\x09]+') as ws from p),
+ total as (select lang, sum(len(ws))::hugeint as n from w group by lang),
+ g as (select lang, m, ws, unnest(range(1, len(ws) - m + 2)) as i from w, (select unnest([1, 2, 3, 4, 5]) as m) where len(ws) >= m),
+ f as (select lang, m, array_to_string(ws[i : i + m - 1], ' ') as phrase, count(*) as a from g group by all having count(*) >= 100),
+ s as (select lang, m, phrase, a, string_split(phrase, ' ') as ws from f where m > 1),
+ cut as (select *, unnest(range(1, m)) as k from s),
+ parts as (select lang, m, phrase, a, k, array_to_string(ws[1 : k], ' ') as lp, array_to_string(ws[k + 1 :], ' ') as rp from cut),
+ x as (select p.lang, p.phrase, p.a, p.k, l.a as l, r.a as r, n, 1000 * p.a::hugeint * n // (l.a::hugeint * r.a) as score from parts p join f l on l.lang = p.lang and l.phrase = p.lp join f r on r.lang = p.lang and r.phrase = p.rp join total t on t.lang = p.lang),
+ best as (select * from x qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ sub as (select lang, ws, a, unnest(range(2, m)) as k, m from s where m > 2),
+ inner_ as (select lang, array_to_string(ws[i : i + k - 1], ' ') as phrase, max(a) as longer from (select *, unnest(range(1, m - k + 2)) as i from sub) group by 1, 2),
+ left_ as (select b.* from best b left join inner_ i using (lang, phrase) where longer is null or 100 * longer < 100 * b.a),
+ ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from left_)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked where rank <= 2000"""
+
+ORACLE_SQL = {"op1_quality_rules": QUALITY_RULES, "op5_near_dedup": NEAR_DEDUP, "op7_suffix_dedup": SUFFIX_DEDUP, "op9_line_dedup": LINE_DEDUP, "op12_periodic_runs": PERIODIC_RUNS, "op13_collocations": COLLOCATIONS}

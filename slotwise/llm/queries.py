@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import line_dedup, media, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
+from slotwise.llm import collocations, language_id, line_dedup, media, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
 from slotwise.llm.oracles import ORACLE_SQL
 
 
@@ -94,6 +94,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.grade(docs.select("doc_id", "text"), model).select("doc_id", "expected_grade", "tail_probability", "selected")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by its text alone, learnt from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rest = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = language_id.train(docs, keep=rest != 0)
+    return language_id.detect(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document's words (with those that the contract plants by id), and what is left without repetitions."""
+    return periodic_runs.runs_of(table(spark, sf_dir, "documents"), key_col="doc_id")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of two to five words that occur 100 times or more, by how far they exceed chance."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_media_columns, op5_near_dedup, op6_token_counts, op7_suffix_dedup, op8_mixing, op9_line_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_toxicity, op4_media_columns, op5_near_dedup, op6_token_counts, op7_suffix_dedup, op8_mixing, op9_line_dedup, op10_quality_classifier, op11_language_id, op12_periodic_runs, op13_collocations)}

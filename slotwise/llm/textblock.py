@@ -180,3 +180,21 @@ def sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     c = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=c[1:])
     return c[off[1:]] - c[off[:-1]]
+
+
+def same_bytes(buf: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, step: int = BLOCK_BYTES) -> np.ndarray:
+    """Whether the non-empty spans a and b have the same bytes, pair by pair; about ``step`` bytes are compared at once."""
+    size = a_end - a
+    out = size == b_end - b
+    todo = np.flatnonzero(out & (a != b))
+    total, k = np.cumsum(size[todo]), 0
+    while k < len(todo):
+        to = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + step, "right")))
+        some = todo[k:to]
+        n = size[some]
+        first = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(first, n)
+        differ = buf[place + np.repeat(a[some], n)] != buf[place + np.repeat(b[some], n)]
+        out[some] = np.add.reduceat(differ, first, dtype=np.int64) == 0
+        k = to
+    return out
