@@ -29,6 +29,8 @@ BITS, DIM, LONGEST = 18, 16, 5
 MAX_LANGS, PER_LANG, MAX_BYTES, TOTAL_BYTES = 200, 400, 20_000, 8 << 20
 #: Bytes of a training piece, and of a text that are looked at in one step.
 PIECE, STEP = 400, 1 << 17
+#: Pieces of a step of descent.
+BATCH = 32
 NONE = "und"
 
 _IN_WORD = np.zeros(256, bool)
@@ -146,7 +148,7 @@ def gradients(table: np.ndarray, weights: np.ndarray, size: np.ndarray, rows: np
     return np.repeat(error @ weights.T, size, axis=0) * share[:, None], hidden.T @ error
 
 
-def descend(texts: list[str], y: np.ndarray, n_langs: int, *, epochs: int, rate: float, batch: int = 32, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def descend(texts: list[str], y: np.ndarray, n_langs: int, *, epochs: int, rate: float, batch: int = BATCH, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Embeddings and weights by stochastic gradient descent; the rate falls to nothing, languages weigh alike. Rows that no text has are 0."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
@@ -199,14 +201,18 @@ def rejection(score: np.ndarray, right: np.ndarray, max_error: float) -> float:
     return float(s[ok[-1]]) if len(ok) else 2.0
 
 
-def fit(texts: list[str], y: np.ndarray, langs: list[str], *, epochs: int = 4, rate: float = 1.0, max_error: float = 0.01) -> Model:
-    """A model of the texts' languages (numbers into ``langs``); without texts all languages are equally likely."""
+def fit(texts: list[str], y: np.ndarray, langs: list[str], *, epochs: int = 4, least_steps: int = 1200, rate: float = 1.0, max_error: float = 0.01) -> Model:
+    """A model of the texts' languages (numbers into ``langs``); without texts all languages are equally likely.
+
+    A small sample is gone through more often (at most 40 times) than ``epochs``, to make ``least_steps`` steps.
+    """
     if not texts:
         return Model(langs, np.zeros((1 << BITS, DIM)), np.zeros((DIM, max(len(langs), 1))))
     aside = np.zeros(len(texts), bool)
     aside[4::5] = True
     pick = lambda m: ([t for t, x in zip(texts, m.tolist(), strict=True) if x], y[m])
-    table, weights = descend(*pieces(*pick(~aside)), len(langs), epochs=epochs, rate=rate)
+    cut, label = pieces(*pick(~aside))
+    table, weights = descend(cut, label, len(langs), epochs=max(epochs, min(40, least_steps * BATCH // max(len(cut), 1))), rate=rate)
     model = Model(langs, table, weights)
     held, label = pick(aside)
     some, some_label = pieces(held, label, 60)
