@@ -10,14 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions.binding import let, pin, strip
-from slotwise.functions.times import parse_time_range, parse_weekday
+from slotwise.functions.times import parse_weekday
 from slotwise.operators import geometry as geo
-from slotwise.operators.parsers import date_header, exams_of_blocks, sessions_of_blocks, slots_from_content, slots_from_label_rects, slots_from_text
-
-
-def _body(runs: Column, left: Column) -> Column:
-    """The runs right of the labels."""
-    return F.filter(runs, lambda r: r["x"] >= left)
+from slotwise.operators.outcomes import branch, halt, nothing, problem, rows_of, start
+from slotwise.operators.parsers import date_cells, exam_cell_outcomes, semester_from_fill, session_outcomes, slots_from_content, slots_from_label_rects, slots_from_text
 
 
 SUB_GRID = "struct<label: string, banner: string, x_from: double, x_to: double, label_x0: double, label_x1: double, header: array<string>>"
@@ -25,12 +21,13 @@ _TIME = r"\d{1,2}:\d{2}"
 
 
 def sub_grids(pages: DataFrame) -> DataFrame:
-    """(source, label, error, left, right, top, bottom, label_x0, label_x1, _lines, _rects, _runs, rows_from, edges, cols, gaps): the grids that pages hold.
+    """(source, label, error, notes, left, right, top, bottom, label_x0, label_x1, _lines, _rects, _runs, rows_from, edges, cols, gaps): the grids that pages hold.
 
     Pages are (source, runs, rects, label_max_x, rows_from, sub_grids: array of ``SUB_GRID``). With ``x_from`` grids stand
     side by side and share header lines; else each takes the highest header line below its banner (without banners,
     the header lines in order) and reaches down to the next banner. A header line has two printed times or more. Without
-    ``sub_grids`` a page is one grid. A grid without a header, or with one that draws none, has an error.
+    ``sub_grids`` a page is one grid. A grid without a header, or with one that draws none, has an error; a banner
+    that is not on the page is a note, and its grid goes by the order of headers.
     """
     one = F.array(F.struct(F.lit("Day").alias("label"), *[F.lit(None).alias(n) for n in ("banner", "x_from", "x_to", "label_x0", "label_x1", "header")]).cast(SUB_GRID))
     page = pin(pages, _lines=geo.group_lines(F.col("runs")), _rects=F.filter("rects", lambda r: geo.is_structural(r["fill"], r["w"], r["h"])))
@@ -40,7 +37,7 @@ def sub_grids(pages: DataFrame) -> DataFrame:
     side = F.exists("_all", lambda x: x["g"]["x_from"].isNotNull())
     following = -F.get("_all", F.col("_at") + 1)["k1"]
     rows = page.select("*", side.alias("_side"), F.posexplode("_all").alias("_at", "_s"))
-    rows = rows.select(*page.columns, "_side", "_at", (-F.col("_s.k1")).alias("_by"), following.alias("_next"), *[F.col(f"_s.g.{n}").alias(f"_{n}") for n in ("label", "x_from", "x_to", "label_x0", "label_x1", "header")]).drop("_all")
+    rows = rows.select(*page.columns, "_side", "_at", (-F.col("_s.k1")).alias("_by"), following.alias("_next"), *[F.col(f"_s.g.{n}").alias(f"_{n}") for n in ("label", "banner", "x_from", "x_to", "label_x0", "label_x1", "header")]).drop("_all")
     within = lambda x: F.struct(x["y"].alias("y"), F.filter(x["runs"], lambda r: (r["x"] >= F.col("_x_from") - 2) & (r["x"] <= F.col("_x_to") + 2)).alias("runs"))
     beside = F.filter(F.transform("_headers", within), lambda x: F.size(x["runs"]) > 0)
     under = F.filter("_headers", lambda x: x["y"] < F.col("_by"))
@@ -56,76 +53,64 @@ def sub_grids(pages: DataFrame) -> DataFrame:
     lowest = F.array_min(F.transform(below, lambda r: r["y"]))
     bottom = F.when(F.col("_side"), F.coalesce(lowest, F.lit(0.0))).when(F.col("_next") < float("inf"), F.col("_next") + 2).otherwise(F.least(lowest, F.lit(0.0)))
     rows = pin(rows, bottom=bottom, _grid=geo.header_grid(F.col("_own"), F.col("left"), F.col("right"), override=F.col("_header")))
+    lost = ~F.col("_side") & F.col("_banner").isNotNull() & (F.col("_by") == float("inf"))
+    note = problem("warn", "BANNER_NOT_FOUND", F.col("_banner"), F.lit("sub-grid banner text not found; falling back to header order"))
     return rows.select(
-        "source", F.col("_label").alias("label"), F.when(F.size("_own") == 0, "no header line").otherwise(F.col("_grid.error")).alias("error"), "left", "right", "top", "bottom",
+        "source", F.col("_label").alias("label"), F.when(F.coalesce(F.size("_own"), F.lit(0)) <= 0, "no header line").otherwise(F.col("_grid.error")).alias("error"), F.array_compact(F.array(F.when(lost, note))).alias("notes"), "left", "right", "top", "bottom",
         F.coalesce("_label_x0", F.lit(0.0)).alias("label_x0"), F.coalesce("_label_x1", F.when(F.col("_side"), F.col("left")).otherwise(F.coalesce("label_max_x", "left"))).alias("label_x1"),
         "_lines", "_rects", F.col("runs").alias("_runs"), "rows_from", F.col("_grid.edges").alias("edges"), F.col("_grid.cols").alias("cols"), F.col("_grid.gaps").alias("gaps"),
     )
 
 
-def _banded(grids: DataFrame) -> tuple[DataFrame, Column]:
-    """Sound grids with their labels, row bands and the error of those, and the weekdays of the bands."""
+def _banded(grids: DataFrame) -> DataFrame:
+    """Grids under way, with their row bands (_b) and the weekdays of these (_days)."""
+    sound = F.col("error").isNull()
     names = F.filter(F.transform(F.filter("_runs", lambda r: (r["x"] >= F.col("label_x0") - 2) & (r["x"] < F.col("label_x1")) & (r["y"] > F.col("bottom") - 2) & (r["y"] < F.col("top"))), lambda r: F.struct(r["y"].cast("double").alias("y"), parse_weekday(r["text"]).alias("value"))), lambda v: v["value"].isNotNull())
-    rows = pin(grids.where("error is null"), _labels=names).where(F.size("_labels") > 0)
+    rows = pin(start(grids, F.when(~sound, problem("error", "HEADER_GRID", F.col("label"), F.col("error")))), _labels=F.when(sound, names))
+    bare = F.concat(F.lit("no weekday labels found beside the grid"))
+    rows = halt(rows, F.when(F.size("_labels") <= 0, problem("warn", "NO_WEEKDAY_LABELS", F.col("label"), bare)))
+    rows = rows.withColumn("_labels", F.when(F.col("_problem").isNull(), F.col("_labels")))
     column = F.filter("_rects", lambda r: (r["x"] >= F.col("label_x0") - 2) & (r["x"] + r["w"] <= F.col("label_x1") + 2) & (r["y"] >= F.col("bottom") - 2) & (r["y"] + r["h"] <= F.col("top") + 2))
     by_text = geo.bands_from_labels(F.transform("_labels", lambda v: v["y"]), F.col("top"), F.col("bottom"))
     ordered = F.transform(F.array_sort(F.transform("_labels", lambda v: F.struct((-v["y"]).alias("k"), v["value"].alias("value")))), lambda s: s["value"])
     rows = rows.withColumn("_by_rect", F.coalesce(F.col("rows_from") == "labelRects", F.lit(False)))
-    rows = pin(rows, _b=F.when(F.col("_by_rect"), geo.bands_from_rects(column)).otherwise(by_text))
+    rows = pin(rows, _b=F.when(F.col("_problem").isNull(), F.when(F.col("_by_rect"), geo.bands_from_rects(column)).otherwise(by_text)))
     named = geo.labels_of_bands(F.col("_b"), F.col("_labels"))
-    rows = pin(rows, _error=named["error"], _values=named["values"])
-    wrong = F.when(F.size("_b") < F.size("_labels"), F.concat(F.size("_b").cast("string"), F.lit(" bands for "), F.size("_labels").cast("string"), F.lit(" weekdays"))).otherwise(F.col("_error"))
-    rows = rows.withColumn("error", F.when(F.col("_by_rect"), wrong))
-    days = F.when(~F.col("_by_rect"), ordered).otherwise(F.col("_values"))
-    return rows, days
-
+    rows = pin(rows, _named=F.when(F.col("_by_rect") & F.col("_problem").isNull(), F.struct(named["error"].alias("error"), named["values"].alias("values"))))
+    wrong = F.when(F.size("_b") < F.size("_labels"), F.concat(F.size("_b").cast("string"), F.lit(" bands for "), F.size("_labels").cast("string"), F.lit(" weekdays"))).otherwise(F.col("_named.error"))
+    rows = halt(rows, F.when(F.col("_by_rect") & wrong.isNotNull(), problem("error", "LABEL_RECTS", F.col("label"), wrong)))
+    return rows.withColumn("_days", F.when(F.col("_by_rect"), F.col("_named.values")).otherwise(ordered))
 
-def grid_problems(grids: DataFrame) -> DataFrame:
-    """Diagnostics (source, severity, code, subject, detail) of ``sub_grids`` that cannot be read, or have no weekday: the other grids are read all the same."""
-    rows, _ = _banded(grids)
-    broken = grids.where("error is not null").select("source", F.lit("error").alias("severity"), F.lit("HEADER_GRID").alias("code"), F.col("label").alias("subject"), F.col("error").alias("detail"))
-    unfit = rows.where("error is not null").select("source", F.lit("error"), F.lit("LABEL_RECTS"), "label", "error")
-    bare = grids.where("error is null").join(rows.select("source", "label"), ["source", "label"], "left_anti").select("source", F.lit("warn"), F.lit("NO_WEEKDAY_LABELS"), "label", F.lit("no weekday beside the grid"))
-    return broken.union(unfit).union(bare)
 
+_BLOCK = ("source", "label", "band", "weekday", "rects", "edges", "cols", "gaps")
 
-def grid_blocks(grids: DataFrame) -> DataFrame:
-    """The text blocks of ``sub_grids``: as ``timetable_blocks``, with ``label``. Grids that ``grid_problems`` names give none.
 
-    Rows come from the weekday names left of the grid, or (``rows_from`` = ``labelRects``) from the rectangles in their
-    column, each with the nearest name; fewer rectangles than names, or names out of order, are an error.
-    """
-    rows, days = _banded(grids)
-    rows = rows.where("error is null")
+def _grid_blocks(grids: DataFrame) -> DataFrame:
+    """The text blocks of grids, under way."""
+    rows = _banded(grids)
     narrow = F.array_min(geo.column_widths(F.col("edges")))
     inside = F.filter(F.transform("_lines", lambda x: F.struct(x["y"].alias("y"), F.filter(x["runs"], lambda r: (r["x"] >= F.col("left") - 2) & (r["x"] <= F.col("right") + 2)).alias("runs"))), lambda x: F.size(x["runs"]) > 0)
-    rows = pin(rows, _days=days, _inside=inside, _narrow=narrow).select("*", F.posexplode("_b").alias("band", "_r"))
-    drawn = F.filter("_rects", lambda r: ~geo.is_white(r["fill"]) & (r["y"] + r["h"] > F.col("_r.y0") + 1) & (r["y"] < F.col("_r.y1") - 1) & (r["x"] + r["w"] > F.col("left") - 2) & (r["x"] < F.col("right") + 2) & (r["w"] > 0.4 * F.col("_narrow")))
-    blocks = rows.select("source", "label", "band", F.get("_days", F.col("band")).alias("weekday"), drawn.alias("rects"), "edges", "cols", "gaps", F.explode(geo.blocks_in_band(F.col("_inside"), F.col("_r.y0"), F.col("_r.y1"), 0.45 * F.col("_narrow"))).alias("x"))
-    return blocks.select("source", "label", "band", "weekday", "rects", "edges", "cols", "gaps", "x.name", "x.room", "x.centre", "x.width", "x.x_min", "x.y_top", "x.y_bottom")
+    sound = F.col("_problem").isNull()
+    rows = pin(rows, _inside=F.when(sound, inside), _narrow=F.when(sound, narrow))
+    rows = branch(rows, "_band", F.transform("_b", lambda b, k: F.struct(k.alias("k"), b["y0"].alias("y0"), b["y1"].alias("y1"))), F.col("notes"))
+    y0, y1 = F.col("_band.y0"), F.col("_band.y1")
+    drawn = F.filter("_rects", lambda r: ~geo.is_white(r["fill"]) & (r["y"] + r["h"] > y0 + 1) & (r["y"] < y1 - 1) & (r["x"] + r["w"] > F.col("left") - 2) & (r["x"] < F.col("right") + 2) & (r["w"] > 0.4 * F.col("_narrow")))
+    blocks = branch(rows, "x", geo.blocks_in_band(F.col("_inside"), y0, y1, 0.45 * F.col("_narrow")))
+    return blocks.select("source", "label", F.col("_band.k").alias("band"), F.get("_days", F.col("_band.k")).alias("weekday"), drawn.alias("rects"), "edges", "cols", "gaps", "x.name", "x.room", "x.centre", "x.width", "x.x_min", "x.y_top", "x.y_bottom", "_problem")
+
+
+def grid_problems(grids: DataFrame) -> DataFrame:
+    """Diagnostics (source, severity, code, subject, detail) of ``sub_grids`` that cannot be read, or have no weekday, or no banner: the other grids are read all the same."""
+    return branch(_banded(grids), "_x", F.array().cast("array<int>"), F.col("notes")).select("source", "_problem.*")
 
 
-def timetable_blocks(pages: DataFrame, gap: float = 8.0) -> DataFrame:
-    """(source, weekday, band, name, room, centre, width, y_top, y_bottom, rects, edges, cols, gaps): the text blocks of pages (source, runs, rects, label_right, left, right).
+def grid_blocks(grids: DataFrame) -> DataFrame:
+    """(source, label, weekday, band, name, room, centre, width, x_min, y_top, y_bottom, rects, edges, cols, gaps): the text blocks of ``sub_grids``. Grids that ``grid_problems`` names give none.
 
-    Weekday names left of ``label_right`` make the row bands, time ranges right of it the header. A page whose
-    header draws no grid gives no rows.
+    Rows come from the weekday names left of the grid, or (``rows_from`` = ``labelRects``) from the rectangles in their
+    column, each with the nearest name; fewer rectangles than names, or names out of order, are an error.
     """
-    lines = geo.group_lines(_body(F.col("runs"), F.col("label_right")))
-    page = pages.withColumn("_lines", lines)
-    header = F.filter("_lines", lambda x: F.exists(geo.split_by_gaps(x["runs"], 3.0), lambda s: parse_time_range(geo.line_text(s)).isNotNull()))
-    labels = F.filter(F.transform(geo.group_lines(F.filter("runs", lambda r: r["x"] < F.col("label_right"))), lambda x: F.struct(x["y"].alias("y"), parse_weekday(geo.line_text(x["runs"])).alias("value"))), lambda v: v["value"].isNotNull())
-    page = page.withColumn("_header", header).withColumn("_labels", labels).where((F.size("_header") > 0) & (F.size("_labels") > 0))
-    page = page.withColumn("_grid", geo.header_grid(F.col("_header"), F.col("left"), F.col("right"))).where("_grid.error is null")
-    low = F.array_min(F.transform("_header", lambda x: x["y"]))
-    under = F.filter("_lines", lambda x: x["y"] < low)
-    bottom = F.coalesce(F.array_min(F.transform("_lines", lambda x: x["y"])), low) - 1
-    bands = geo.bands_from_labels(F.transform("_labels", lambda v: v["y"]), low, bottom)
-    ordered = F.transform(F.array_sort(F.transform("_labels", lambda v: F.struct((-v["y"]).alias("k"), v["value"].alias("value")))), lambda s: s["value"])
-    rows = page.select("source", "rects", "_grid", under.alias("_under"), ordered.alias("_days"), F.posexplode(bands).alias("band", "b"))
-    drawn = F.filter("rects", lambda r: geo.is_structural(r["fill"], r["w"], r["h"]) & ~geo.is_white(r["fill"]) & (r["y"] + r["h"] > F.col("b.y0") + 1) & (r["y"] < F.col("b.y1") - 1))
-    blocks = rows.select("source", "band", F.get("_days", F.col("band")).alias("weekday"), drawn.alias("rects"), "_grid", F.explode(geo.blocks_in_band(F.col("_under"), F.col("b.y0"), F.col("b.y1"), F.lit(gap))).alias("x"))
-    return blocks.select("source", "band", "weekday", "rects", F.col("_grid.edges").alias("edges"), F.col("_grid.cols").alias("cols"), F.col("_grid.gaps").alias("gaps"), "x.name", "x.room", "x.centre", "x.width", "x.x_min", "x.y_top", "x.y_bottom")
+    return _grid_blocks(grids).where("_problem is null").drop("_problem")
 
 
 def place_blocks(blocks: DataFrame) -> DataFrame:
@@ -137,74 +122,114 @@ def place_blocks(blocks: DataFrame) -> DataFrame:
     columns that nobody has taken (all columns if none is free). How many blocks there are does not matter; where no
     disjoint spans exist each takes its own cheapest, with margin 0.
     """
+    return _placed(start(blocks)).where("_problem is null").drop("_problem")
+
+
+#: Margins below this say that another assignment was nearly as good.
+CLEAR_MARGIN = 8.0
+
+
+def _placed(blocks: DataFrame) -> DataFrame:
+    """``place_blocks`` under way: with problems for rectangles that snap to no column and for spans that are nearly a tie."""
     band = [c for c in ("source", "label", "band") if c in blocks.columns]
     around = F.filter(F.transform("rects", lambda r, k: F.struct(k.alias("k"), r["x"].alias("x"), r["w"].alias("w"))), lambda r: (F.col("centre") >= r["x"] - 2) & (F.col("centre") <= r["x"] + r["w"] + 2))
     rows = blocks.withColumn("_k", F.row_number().over(Window.partitionBy(*band).orderBy("centre", "x_min", "name"))).withColumn("_in", F.get(around, F.lit(0)))
     rows = rows.withColumn("_extent", F.when(F.col("_in").isNotNull(), geo.span_of_rect(F.col("_in.x"), F.col("_in.w"), F.col("edges"))))
-    rows = rows.withColumn("_group", F.when(F.col("_extent").isNotNull(), F.col("_in.k")).otherwise(-1))
+    group = F.when(F.col("_problem").isNotNull(), -2).when(F.col("_extent").isNotNull(), F.col("_in.k")).otherwise(-1)
+    rows = rows.withColumn("_group", group).withColumn("_off", F.when(F.col("_extent").isNull(), F.col("_in.k")))
     others = [c for c in blocks.columns if c not in band]
-    members = F.array_sort(F.collect_list(F.struct("_k", "centre", "width", F.struct(*others).alias("own"))))
+    members = F.array_sort(F.collect_list(F.struct("_k", "centre", "width", "_off", F.struct(*others).alias("own"))))
     groups = rows.groupBy(*band, "_group").agg(members.alias("m"), F.first("_extent").alias("e"), F.first("edges").alias("edges"), F.first("gaps").alias("gaps"))
     bands = groups.groupBy(*band).agg(F.array_sort(F.collect_list(F.struct("_group", "m", "e"))).alias("_g"), F.first("edges").alias("_edges"), F.first("gaps").alias("_gaps"))
 
     def spans(m: Column, extent: Column) -> Column:
         return geo.disjoint_spans(F.transform(m, lambda x: geo.span_candidates(x["centre"], x["width"], F.col("_edges"), F.col("_gaps"), extent["a"], extent["b"])))
 
-    def placed(m: Column, p: Column, how: str) -> Column:
+    def tied(m: Column, p: Column, how: str) -> Column:
+        said = F.concat(F.lit(how), F.format_string("%.1f", p["margin"]), F.lit("pt worse"))
+        return F.when(p["margin"] < CLEAR_MARGIN, problem("warn", "AMBIGUOUS_SPAN", F.array_join(F.transform(m, lambda x: x["own"]["name"]), " | "), said))
+
+    def placed(m: Column, p: Column, how: str, note: Column) -> Column:
         at = lambda k: F.get(p["spans"], k)
-        return F.transform(m, lambda x, k: F.struct(x["own"].alias("own"), at(k)["a"].cast("int").alias("a"), at(k)["b"].cast("int").alias("b"), F.lit(how).alias("how"), p["margin"].cast("double").alias("margin")))
+        mine = F.transform(m, lambda x, k: F.struct(x["own"].alias("own"), at(k)["a"].cast("int").alias("a"), at(k)["b"].cast("int").alias("b"), F.lit(how).alias("how"), p["margin"].cast("double").alias("margin")))
+        return F.struct(mine.alias("m"), note.alias("note"))
 
     def drawn(g: Column) -> Column:
         alone = F.struct(F.array(g["e"]).alias("spans"), F.lit(None).cast("double").alias("margin"))
-        return F.when(F.size(g["m"]) == 1, placed(g["m"], alone, "rect")).otherwise(let(spans(g["m"], g["e"]), lambda p: placed(g["m"], p, "inferred")))
+        several = lambda p: placed(g["m"], p, "inferred", tied(g["m"], p, "runner-up span assignment is only "))
+        return F.when(F.size(g["m"]) == 1, placed(g["m"], alone, "rect", nothing())).otherwise(let(spans(g["m"], g["e"]), several))
 
     # a band's rectangles first, then what has none in the columns that are left: all within the band's row
-    bands = pin(bands, _drawn=F.flatten(F.transform(F.filter("_g", lambda g: g["_group"] >= 0), drawn)))
-    taken = F.flatten(F.transform("_drawn", lambda x: F.sequence(x["a"], x["b"])))
-    loose = F.flatten(F.transform(F.filter("_g", lambda g: g["_group"] < 0), lambda g: g["m"]))
+    bands = pin(bands, _drawn=F.transform(F.filter("_g", lambda g: g["_group"] >= 0), drawn))
+    taken = F.flatten(F.transform(F.flatten(F.transform("_drawn", lambda d: d["m"])), lambda x: F.sequence(x["a"], x["b"])))
+    loose = F.flatten(F.transform(F.filter("_g", lambda g: g["_group"] == -1), lambda g: g["m"]))
     bands = pin(bands, _loose=loose, _free=geo.free_span(F.size("_edges") - 1, taken))
-    bands = pin(bands, _rest=let(spans(F.col("_loose"), F.col("_free")), lambda p: placed(F.col("_loose"), p, "inferred")))
-    out = bands.select(*band, F.explode(F.concat("_drawn", "_rest")).alias("_x"))
-    return out.select(*[c if c in band else F.col(f"_x.own.{c}").alias(c) for c in blocks.columns], F.col("_x.a").alias("a"), F.col("_x.b").alias("b"), F.col("_x.how").alias("span_source"), F.col("_x.margin").alias("span_margin"))
+    others_said = "unfilled cell(s); runner-up span assignment is only "
+    bands = pin(bands, _rest=let(spans(F.col("_loose"), F.col("_free")), lambda p: placed(F.col("_loose"), p, "inferred", tied(F.col("_loose"), p, others_said))))
+    off = F.array_sort(F.array_compact(F.array_distinct(F.transform("_loose", lambda x: x["_off"]))))
+    snapped = F.transform(off, lambda k: problem("warn", "RECT_SNAP_FAILED", F.array_join(F.transform(F.filter("_loose", lambda x: x["_off"] == k), lambda x: x["own"]["name"]), " | "), F.lit("the rectangle's edges snap to no column; falling back to column inference")))
+    stopped = F.flatten(F.transform(F.filter("_g", lambda g: g["_group"] == -2), lambda g: F.transform(g["m"], lambda x: x["own"]["_problem"])))
+    notes = F.concat(snapped, F.array_compact(F.transform("_drawn", lambda d: d["note"])), F.array_compact(F.array(F.col("_rest.note"))), stopped)
+    out = branch(start(bands), "_x", F.concat(F.flatten(F.transform("_drawn", lambda d: d["m"])), F.col("_rest.m")), notes)
+    own = [c for c in blocks.columns if c != "_problem"]
+    return out.select(*[c if c in band else F.col(f"_x.own.{c}").alias(c) for c in own], F.col("_x.a").alias("a"), F.col("_x.b").alias("b"), F.col("_x.how").alias("span_source"), F.col("_x.margin").alias("span_margin"), "_problem")
 
 
-def _sessions_of(placed: DataFrame, keys: list[str], extra_filler: list[str] | None) -> DataFrame:
-    rows = placed.select(*keys, "weekday", "room", "name", F.get("cols", F.col("a"))["start_min"].alias("col_start"), F.get("cols", F.col("b"))["end_min"].alias("col_end"), F.col("span_source").alias("drawn"), "span_margin")
-    s = sessions_of_blocks(rows, extra_filler)
-    return s.withColumn("span_source", F.when(F.col("span_source") == "explicit", "explicit").otherwise(F.col("drawn"))).drop("drawn")
+def grid_outcomes(pages: DataFrame, extra_filler: list[str] | None = None) -> DataFrame:
+    """(source, kind, row, problem): the sessions of pages of one or more grids (``sub_grids``) and all that went wrong, of one pass.
 
-
-def parse_timetables(pages: DataFrame, extra_filler: list[str] | None = None) -> DataFrame:
-    """Sessions of grid pages: source, weekday, room, raw_name, start_min, end_min, elective, validity, span_source, span_margin. A printed range stands for the columns'."""
-    return _sessions_of(place_blocks(timetable_blocks(pages)), ["source"], extra_filler)
+    A session: label, weekday, room, raw_name, start_min, end_min, elective, validity_label, validity, span_source, span_margin. A printed range stands for the columns' times.
+    """
+    rows = _placed(_grid_blocks(sub_grids(pages)))
+    rows = rows.select("source", "label", "weekday", "room", "name", F.get("cols", F.col("a"))["start_min"].alias("col_start"), F.get("cols", F.col("b"))["end_min"].alias("col_end"), F.col("span_source").alias("drawn"), "span_margin", "_problem")
+    return session_outcomes(rows, extra_filler, ["source"])
 
 
 def parse_grids(pages: DataFrame, extra_filler: list[str] | None = None) -> DataFrame:
-    """Sessions of pages of one or more grids (``sub_grids``): as ``parse_timetables``, with the grid's label."""
-    return _sessions_of(place_blocks(grid_blocks(sub_grids(pages))), ["source", "label"], extra_filler)
+    """The sessions of ``grid_outcomes``, by source."""
+    return rows_of(grid_outcomes(pages, extra_filler))
 
 
-def parse_exam_calendars(pages: DataFrame, factor: float = 1.6, slots_from: str = "labelTexts") -> DataFrame:
-    """Exams of calendar pages (source, runs, label_right, left, right, and rects but for ``labelTexts``): source, date, raw_name, start_min, end_min, duration_source, outside_slot.
+def exam_outcomes(pages: DataFrame, extra_filler: list[str] | None = None, *, legend: dict[str, str] | None = None, factor: float = 1.6) -> DataFrame:
+    """(source, kind, row, problem): the exams of calendar pages (source, runs, rects, label_max_x, slots_from) and all that went wrong, of one pass.
 
-    Dates right of the labels make the columns, times left of them the slots: each up to the next (``labelTexts``), as high as
-    its content's rectangles (``contentRects``), or as the rectangle around its label (``labelRects``). A cell's
-    text is cut where its lines step apart by ``factor``; runs of slashes part exams of one cell.
+    The line with most exam dates, two at least, heads the columns: from the later of label_max_x and 20 points left of the first date to the end of the
+    header's rectangle (without one, 20 points right of the last date), with the midpoints between dates inside. Runs left of that are labels.
+    Times left of label_max_x make the slots: each up to the next (slots_from ``labelTexts``), as high as its content's
+    rectangles (``contentRects``), or as the rectangle around its label (``labelRects``). A cell's text is cut where its lines step apart by
+    ``factor``; runs of slashes part exams of one cell. ``legend`` gives the semester of a fill. An exam: date, raw_name, start_min, end_min,
+    duration_source, slot_start, slot_end, room, semester.
     """
-    lines = geo.group_lines(_body(F.col("runs"), F.col("label_right")))
-    page = pages.withColumn("_lines", lines)
+    rows = start(pages.select("source", "runs", "rects", F.coalesce("label_max_x", F.lit(0.0)).alias("label_max_x"), "slots_from"))
+    rows = pin(rows, _lines=geo.group_lines(F.col("runs")))
     cells = F.transform("_lines", lambda x: F.struct(x["y"].alias("y"), F.transform(geo.split_by_gaps(x["runs"], 3.0), lambda s: F.struct(geo.line_left(s).alias("x"), (geo.line_right(s) - geo.line_left(s)).alias("w"), geo.line_text(s).alias("text"))).alias("cells")))
-    page = page.withColumn("_cells", cells).withColumn("_dates", date_header(F.col("_cells"))).where(F.size("_dates") > 0)
-    top = F.array_max(F.transform(F.filter("_cells", lambda x: F.size(date_header(F.array(x))) > 0), lambda x: x["y"]))
-    if slots_from == "labelTexts":
-        slots = slots_from_text(F.col("runs"), F.col("label_right"), F.col("_top"))
-    else:
-        slots = {"contentRects": slots_from_content, "labelRects": slots_from_label_rects}[slots_from](F.col("runs"), F.col("rects"), F.col("label_right"), F.col("_top"))
-    page = page.withColumn("_top", top).withColumn("_slots", slots).where(F.size("_slots") > 0)
-    edges = geo.outer_edges(F.transform("_dates", lambda d: d["x"]), F.col("label_right"), F.col("right"))
-    ordered = F.array_sort(F.transform("_dates", lambda d: F.struct(d["x"].alias("x"), d["date"].alias("date"))))
-    rows = page.select("source", "_lines", edges.alias("_edges"), ordered.alias("_dates"), F.explode("_slots").alias("_slot"))
-    rows = rows.select("source", "_lines", "_edges", "_slot", F.posexplode("_dates").alias("_col", "_d"))
-    mine = F.filter(F.transform("_lines", lambda x: F.struct(x["y"].alias("y"), F.filter(x["runs"], lambda r: geo.column_of(r["x"] + r["w"] / 2, F.col("_edges")) == F.col("_col")).alias("runs"))), lambda x: F.size(x["runs"]) > 0)
-    blocks = rows.select("source", F.col("_d.date").alias("date"), F.col("_slot.start_min").alias("slot_start"), F.col("_slot.end_min").alias("slot_end"), F.explode(geo.blocks_in_band(mine, F.col("_slot.y0"), F.col("_slot.y1"), 8.0, factor=factor, single=True)).alias("x"))
-    return exams_of_blocks(blocks.select("source", "date", "slot_start", "slot_end", F.col("x.room").alias("room"), F.col("x.name").alias("name")))
+    rows = pin(rows, _heads=F.transform(cells, lambda x: F.struct(x["y"].alias("y"), date_cells(x).alias("dates"))))
+    best = F.get(F.array_sort(F.transform("_heads", lambda h, k: F.struct((-F.size(h["dates"])).alias("n"), k.alias("k"), h.alias("h")))), F.lit(0))["h"]
+    rows = pin(rows, _head=best)
+    rows = halt(rows, F.when(F.coalesce(F.size("_head.dates"), F.lit(0)) < 2, problem("error", "NO_DATE_HEADER", None, F.lit("no line with two exam dates"))))
+    sound = F.col("_problem").isNull()
+    rows = pin(rows, _dates=F.when(sound, F.array_sort(F.transform("_head.dates", lambda d: F.struct(((d["x0"] + d["x1"]) / 2).alias("x"), d["x0"].alias("x0"), d["x1"].alias("x1"), d["date"].alias("date"))))), _top=F.when(sound, F.col("_head.y")))
+    structural = F.filter("rects", lambda r: geo.is_structural(r["fill"], r["w"], r["h"]))
+    around = geo.widest_rect(structural, F.col("_top"))
+    left = F.greatest("label_max_x", F.get("_dates", F.lit(0))["x0"] - 20)
+    right = let(around, lambda r: F.coalesce(r["x"] + r["w"], F.element_at("_dates", -1)["x1"] + 20))
+    middles = F.transform(F.sequence(F.lit(1), F.size("_dates") - 1), lambda k: (F.get("_dates", k - 1)["x"] + F.get("_dates", k)["x"]) / 2)
+    rows = pin(rows, _edges=F.when(sound, F.concat(F.array(left), middles, F.array(right)).cast("array<double>")))
+    args = F.col("runs"), F.coalesce("rects", F.array().cast("array<struct<x: double, y: double, w: double, h: double, fill: string>>")), F.col("label_max_x"), F.col("_top")
+    how = F.coalesce("slots_from", F.lit("labelTexts"))
+    slots = F.when(how == "labelRects", slots_from_label_rects(*args)).when(how == "contentRects", slots_from_content(*args)).otherwise(slots_from_text(args[0], args[2], args[3]))
+    rows = pin(rows, _slots=F.when(sound, slots))
+    rows = halt(rows, F.when(F.coalesce(F.size("_slots"), F.lit(0)) <= 0, problem("error", "NO_SLOT_ROWS", None, F.lit("no slot rows found"))))
+    rows = branch(rows, "_slot", F.col("_slots"))
+    rows = branch(rows, "_d", F.transform("_dates", lambda d, k: F.struct(k.alias("k"), d["date"].alias("date"))))
+    middle = lambda r: r["x"] + r["w"] / 2
+    mine = F.filter(F.transform("_lines", lambda x: F.struct(x["y"].alias("y"), F.filter(x["runs"], lambda r: (middle(r) >= F.get("_edges", F.lit(0))) & (geo.column_of(middle(r), F.col("_edges")) == F.col("_d.k"))).alias("runs"))), lambda x: F.size(x["runs"]) > 0)
+    rows = branch(rows, "x", geo.blocks_in_band(mine, F.col("_slot.y0"), F.col("_slot.y1"), 8.0, factor=factor, single=True))
+    semester = semester_from_fill(F.col("rects"), F.col("x.centre"), F.col("_slot.y0"), F.col("_slot.y1"), legend) if legend else F.lit(None).cast("string")
+    blocks = rows.select("source", F.col("_d.date").alias("date"), F.col("_slot.start_min").alias("slot_start"), F.col("_slot.end_min").alias("slot_end"), F.col("x.room").alias("room"), semester.alias("semester"), F.col("x.name").alias("name"), "_problem")
+    return exam_cell_outcomes(blocks, extra_filler, ["source"])
+
+
+def parse_exam_calendars(pages: DataFrame, extra_filler: list[str] | None = None, *, legend: dict[str, str] | None = None, factor: float = 1.6) -> DataFrame:
+    """The exams of ``exam_outcomes``, by source."""
+    return rows_of(exam_outcomes(pages, extra_filler, legend=legend, factor=factor))

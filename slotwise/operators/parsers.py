@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.functions import catalogue, text, times
-from slotwise.functions.binding import let, spaced, strip
+from slotwise.functions.binding import let, pin, spaced
 from slotwise.operators import geometry as geo
+from slotwise.operators.outcomes import branch, emit, halt, problem
 
 SLOT_MINUTES = 180
 
@@ -17,22 +18,22 @@ def split_glued_dates(cell: Column) -> Column:
     return F.transform(F.split(cell, r"(?<=\d)(?=\p{Lu}\p{L})"), text.collapse)
 
 
-def date_header(lines: Column) -> Column:
-    """array<struct(x, date)> of the line (struct(y, cells: array<struct(x, w, text)>)) with most exam dates; of equals the first.
+def date_cells(line: Column) -> Column:
+    """array<struct(x0, x1, date)> of a line's cells (struct(y, cells: array<struct(x, w, text)>)) that are exam dates. A glued cell's dates share its width by their letters."""
 
-    A glued cell's dates share its width by their letters.
-    """
+    def parts(c: Column) -> Column:
+        names = split_glued_dates(c["text"])
+        total = F.greatest(F.aggregate(names, F.lit(0), lambda a, n: a + F.length(n)), F.lit(1))
+        before = lambda k: F.aggregate(F.slice(names, F.lit(1), k), F.lit(0), lambda a, n: a + F.length(n))
+        at = lambda n: (c["x"] + c["w"] * n / total).cast("double")
+        return F.transform(names, lambda n, k: F.struct(at(before(k)).alias("x0"), at(before(k) + F.length(n)).alias("x1"), times.parse_exam_date(n).alias("date")))
 
-    def cells(line: Column) -> Column:
-        def parts(c: Column) -> Column:
-            names = split_glued_dates(c["text"])
-            total = F.greatest(F.aggregate(names, F.lit(0), lambda a, n: a + F.length(n)), F.lit(1))
-            before = lambda k: F.aggregate(F.slice(names, F.lit(1), k), F.lit(0), lambda a, n: a + F.length(n))
-            return F.transform(names, lambda n, k: F.struct((c["x"] + c["w"] * (before(k) + F.length(n) / 2) / total).alias("x"), times.parse_exam_date(n).alias("date")))
+    return F.filter(F.flatten(F.transform(line["cells"], parts)), lambda d: d["date"].isNotNull())
 
-        return F.filter(F.flatten(F.transform(line["cells"], parts)), lambda d: d["date"].isNotNull())
 
-    found = F.transform(lines, cells)
+def date_header(lines: Column) -> Column:
+    """array<struct(x, date)> of the line (as ``date_cells`` takes it) with most exam dates, by their middles; of equals the first."""
+    found = F.transform(lines, lambda line: F.transform(date_cells(line), lambda d: F.struct(((d["x0"] + d["x1"]) / 2).alias("x"), d["date"].alias("date"))))
     best = F.array_sort(F.transform(found, lambda d, k: F.struct((-F.size(d)).alias("n"), k.alias("k"))))
     return let(found, lambda f: F.get(f, F.try_element_at(best, F.lit(1))["k"]))
 
@@ -116,41 +117,48 @@ def semester_from_fill(rects: Column, x: Column, y0: Column, y1: Column, legend:
     return F.element_at(named, F.get(meeting, F.lit(0))["fill"])
 
 
-def sessions_of_blocks(blocks: DataFrame, extra_filler: list[str] | None = None) -> DataFrame:
-    """Sessions of named blocks (name, room, weekday, col_start, col_end and any keys): annotations give way to values.
+def off_grid(name: Column, start: Column, end: Column) -> Column:
+    """The problem of times that are not on the half hour; null where they are, or are null."""
+    off = ~(times.on_grid(start) & times.on_grid(end))
+    return F.when(off, problem("error", "GRANULARITY", name, F.concat(times.fmt_min(start), F.lit("–"), times.fmt_min(end), F.lit(" is not on 30-minute boundaries"))))
 
-    A printed range stands for the columns' times; a validity label for its window; filler is left out.
+
+def session_outcomes(blocks: DataFrame, extra_filler: list[str] | None, keys: list[str]) -> DataFrame:
+    """Outcomes of named blocks under way (name, room, weekday, col_start, col_end, drawn, span_margin, ``keys`` and others): annotations give way to values.
+
+    A printed range stands for the columns' times; a validity label for its window, and one that has none is a problem. Filler is left out.
+    Times off the half hour are an error.
     """
-    kept = [c for c in blocks.columns if c not in ("name", "col_start", "col_end")]
-    rows = blocks.where(text.classify_block(F.col("name"), extra_filler) == "course").withColumn("_x", text.strip_annotations(F.col("name")))
+    others = [c for c in blocks.columns if c not in ("name", "col_start", "col_end", "drawn", "span_margin", "_problem", *keys)]
+    rows = pin(blocks, _x=text.strip_annotations(F.col("name")))
+    rows = rows.where(F.col("_problem").isNotNull() | (text.classify_block(F.col("_x.name"), extra_filler) == "course"))
     first = lambda kinds: F.try_element_at(F.filter("_x.annotations", lambda a: a["kind"].isin(kinds)), F.lit(1))
     printed, label = first(["explicitRange"]), first(["weekRange", "dateRange"])["label"]
-    return rows.select(
-        *kept, F.col("_x.name").alias("raw_name"), F.coalesce(printed["start_min"], F.col("col_start")).alias("start_min"), F.coalesce(printed["end_min"], F.col("col_end")).alias("end_min"),
-        first(["elective", "star"]).isNotNull().alias("elective"), label.alias("validity_label"), times.resolve_validity(label).alias("validity"), F.when(printed.isNotNull(), "explicit").otherwise("grid").alias("span_source"),
-    )
-
-
-def exams_of_blocks(blocks: DataFrame) -> DataFrame:
-    """Exams of cells (name, date, slot_start, slot_end and any keys): a cell with a run of slashes holds several; times by what is printed."""
-    kept = [c for c in blocks.columns if c != "name"]
-    parts = blocks.select(*kept, F.explode(F.filter(F.transform(F.split("name", r"/{3,}"), text.collapse), lambda n: n != "")).alias("_n"))
-    rows = parts.where(text.classify_block(F.col("_n")) == "course").withColumn("_x", text.strip_annotations(F.col("_n")))
-    timed = rows.withColumn("_t", catalogue.derive_exam_time(F.col("_x.annotations"), F.col("slot_start"), F.col("slot_end")))
-    return timed.select(*kept, F.col("_x.name").alias("raw_name"), "_t.*")
-
-
-def list_entries(lines: DataFrame, by: str, gap: float = 20.0) -> DataFrame:
-    """Entries of a list (by, y, text): one starts at each line that begins with a time range; the lines below belong to it while steps stay within ``gap``."""
-    w = Window.partitionBy(by).orderBy(F.desc("y"))
-    spot = F.regexp_extract("text", r"^\s*(\d{1,2}[:.]\d{2}\s*(?:-|–|to)\s*\d{1,2}[:.]\d{2})", 1)
-    rows = lines.withColumn("_r", F.when(spot != "", times.parse_time_range(spot))).withColumn("_entry", F.sum(F.col("_r").isNotNull().cast("int")).over(w)).where("_entry > 0")
-    v = Window.partitionBy(by, "_entry").orderBy(F.desc("y"))
-    far = F.coalesce(F.lag("y").over(v) - F.col("y") > gap, F.lit(False)).cast("int")
-    near = rows.withColumn("_far", far).withColumn("_far", F.sum("_far").over(v)).where("_far = 0")
-    body = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("k"), F.regexp_replace("text", r"^\s*\d{1,2}[:.]\d{2}\s*(?:-|–|to)\s*\d{1,2}[:.]\d{2}\s*", "").alias("t")))), lambda s: s["t"])
-    out = near.groupBy(by, F.col("_entry").alias("entry")).agg(F.max("_r").alias("r"), F.filter(body, lambda t: strip(t) != "").alias("lines"))
-    return out.select(by, "entry", "r.start_min", "r.end_min", text.collapse(F.array_join(text.name_lines(F.col("lines")), " ")).alias("name"), text.extract_room(F.col("lines")).alias("room"))
+    rows = pin(rows, _s=F.coalesce(printed["start_min"], F.col("col_start")), _e=F.coalesce(printed["end_min"], F.col("col_end")), _label=label, _valid=times.resolve_validity(label), _how=F.when(printed.isNotNull(), "explicit").otherwise(F.col("drawn")))
+    rows = halt(rows, off_grid(F.col("_x.name"), F.col("_s"), F.col("_e")))
+    lost = F.col("_problem").isNull() & F.col("_label").isNotNull() & F.col("_valid").isNull()
+    note = problem("warn", "UNRESOLVED_VALIDITY", F.col("_x.name"), F.concat(F.lit("cannot anchor validity label "), F.to_json(F.struct(F.col("_label").alias("l"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("_label").alias("l")))) - 6)))
+    row = F.struct(*others, F.col("_x.name").alias("raw_name"), F.col("_s").alias("start_min"), F.col("_e").alias("end_min"), first(["elective", "star"]).isNotNull().alias("elective"), F.col("_label").alias("validity_label"), F.col("_valid").alias("validity"), F.col("_how").alias("span_source"), "span_margin")
+    return emit(rows, keys, row, F.array_compact(F.array(F.when(lost, note))))
+
+
+def exam_cell_outcomes(blocks: DataFrame, extra_filler: list[str] | None, keys: list[str]) -> DataFrame:
+    """Outcomes of cells under way (name, date, slot_start, slot_end, ``keys`` and others): a cell with a run of slashes holds several exams, and says so; times by what is printed.
+
+    A printed range outside its slot is a problem; times off the half hour are an error.
+    """
+    others = [c for c in blocks.columns if c not in ("name", "_problem", *keys)]
+    rows = pin(blocks, _parts=F.filter(F.transform(F.split("name", r"/{3,}"), text.collapse), lambda n: n != ""))
+    split = problem("info", "CELL_SPLIT_ON_PLACEHOLDER", F.col("name"), F.concat(F.lit("split into "), F.size("_parts").cast("string"), F.lit(" entries on the printed //// divider")))
+    rows = branch(rows, "_n", F.col("_parts"), F.array_compact(F.array(F.when(F.col("_problem").isNull() & (F.size("_parts") > 1), split))))
+    rows = pin(rows, _x=text.strip_annotations(F.col("_n")))
+    rows = rows.where(F.col("_problem").isNotNull() | (text.classify_block(F.col("_x.name"), extra_filler) == "course"))
+    rows = pin(rows, _t=catalogue.derive_exam_time(F.col("_x.annotations"), F.col("slot_start"), F.col("slot_end")))
+    rows = halt(rows, off_grid(F.col("_x.name"), F.col("_t.start_min"), F.col("_t.end_min")))
+    span = lambda a, b: F.concat(times.fmt_min(a), F.lit("–"), times.fmt_min(b))
+    outside = problem("warn", "EXPLICIT_OUTSIDE_SLOT", F.col("_x.name"), F.concat(F.lit("printed range "), span(F.col("_t.start_min"), F.col("_t.end_min")), F.lit(" is not inside slot "), span(F.col("slot_start"), F.col("slot_end"))))
+    row = F.struct(*others, F.col("_x.name").alias("raw_name"), F.col("_t.start_min").alias("start_min"), F.col("_t.end_min").alias("end_min"), F.col("_t.duration_source").alias("duration_source"), F.col("_t.outside_slot").alias("outside_slot"))
+    return emit(rows, keys, row, F.array_compact(F.array(F.when(F.col("_problem").isNull() & F.col("_t.outside_slot"), outside))))
 
 
 def vision_sessions(docs: DataFrame) -> DataFrame:
@@ -168,12 +176,3 @@ def vision_exams(docs: DataFrame) -> DataFrame:
     named = rows.withColumn("_x", text.strip_annotations(F.col("name"))).withColumn("_s", times.parse_time(F.col("start"))).withColumn("_e", times.parse_time(F.col("end")))
     timed = named.withColumn("_t", catalogue.derive_exam_time(F.col("_x.annotations"), F.col("_s"), F.col("_s") + SLOT_MINUTES, F.col("_s"), F.col("_e")))
     return timed.select("source", F.col("_x.name").alias("raw_name"), F.to_date("date").alias("date"), "_t.start_min", "_t.end_min", "_t.duration_source", "room")
-
-
-def dispatch(documents: DataFrame, family: str, parsers: dict) -> DataFrame:
-    """The union of what each family's parser makes of its documents (by the column ``family``), in the parsers' order; a family without one is passed over."""
-    out = None
-    for name, parse in parsers.items():
-        made = parse(documents.where(F.col(family) == name))
-        out = made if out is None else out.unionByName(made, allowMissingColumns=True)
-    return out

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from slotwise.plans import documents, exports, intervals, layout, relational, scalars
+from slotwise.plans import documents, exports, intervals, layout, outcomes, relational, scalars
 
-MODULES = (intervals, relational, scalars, layout, documents, exports)
+MODULES = (intervals, relational, scalars, layout, documents, exports, outcomes)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +28,6 @@ def write_bundle(courses: DataFrame, path: str, built_at: str) -> None:
     one.select(F.lit(1).alias("schemaVersion"), F.lit(built_at).alias("builtAt"), F.transform("x", lambda r: r["c"]).alias("courses")).coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_parsed(sessions: DataFrame, exams: DataFrame, diagnostics: DataFrame, path: str) -> DataFrame:
-    """Parsed rows as JSON, a folder for each kind and source, over what these sources had before; (source, errors) of the sources that failed.
-
-    A source that failed has diagnostics of severity ``error`` and keeps what it had; the others are written all the same.
-    """
-    failed = diagnostics.where("severity = 'error'").groupBy("source").agg(F.count("*").alias("errors"))
-    for kind, rows in (("timetable", sessions), ("exam", exams)):
-        good = rows.join(failed, "source", "left_anti").withColumn("kind", F.lit(kind))
-        good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "source").json(path)
-    return failed
-
-
-def fresh_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Tables as Parquet, always from scratch: nothing of an earlier build stays."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
 def write_changed(df: DataFrame, old: DataFrame, key: str, path: str) -> DataFrame:
     """Write those documents of ``df`` (a folder a key) that the manifest ``old`` has not or has otherwise; (key, change) of all that differ, as ``changes``."""
     found = changes(manifest(df, key), old, key)
@@ -90,12 +74,59 @@ def changes(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return both.select(key, change.alias("change")).where("change is not null")
 
 
-def mirror(tables: list[tuple[str, DataFrame]], url: str, properties: dict[str, str], batch: int = 500) -> None:
-    """Tables (parents first) over those of a database: emptied children first, then filled parents first."""
-    for name, df in reversed(tables):
-        df.limit(0).write.mode("overwrite").option("truncate", True).jdbc(url, name, properties=properties)
-    for name, df in tables:
-        df.write.mode("append").option("batchsize", batch).jdbc(url, name, properties=properties)
+def parents_first(tables: list[str], references: dict[str, list[str]]) -> list[str]:
+    """The tables so that each comes after those that it refers to (a table may refer to itself), else as they are given. A ring of references is an error."""
+    left, out = list(tables), []
+    while left:
+        free = [t for t in left if not any(r in left and r != t for r in references.get(t, []))]
+        if not free:
+            raise ValueError(f"tables refer to one another in a ring: {', '.join(sorted(left))}")
+        out.append(free[0])
+        left.remove(free[0])
+    return out
+
+
+def mirror(tables: dict[str, DataFrame], references: dict[str, list[str]], url: str, properties: dict[str, str], batch: int = 500) -> list[str]:
+    """Tables over those of a database, in one transaction; the order in which they are filled.
+
+    ``references`` has the tables that a table's foreign keys point to. Spark's tasks write copies beside the tables; then one transaction
+    empties children before parents and fills parents before children from the copies. So readers see the old tables or
+    the new ones, and a failure changes nothing. The copies go either way.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    order = parents_first(list(tables), references)
+    copy = {name: f"{name}_incoming" for name in order}
+    jvm = spark._jvm
+    given = jvm.java.util.Properties()
+    for k, v in properties.items():
+        given.setProperty(k, v)
+    try:
+        for name in order:
+            tables[name].write.mode("overwrite").option("batchsize", batch).jdbc(url, copy[name], properties=properties)
+        if "driver" in properties:
+            jvm.java.lang.Class.forName(properties["driver"], True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        link = jvm.java.sql.DriverManager.getConnection(url, given)
+        try:
+            link.setAutoCommit(False)
+            run = link.createStatement()
+            for name in reversed(order):
+                run.executeUpdate(f"delete from {name}")
+            for name in order:
+                columns = ", ".join(f'"{c}"' for c in tables[name].columns)
+                run.executeUpdate(f"insert into {name} ({columns}) select {columns} from {copy[name]}")
+            link.commit()
+        except BaseException:
+            link.rollback()
+            raise
+        finally:
+            link.close()
+    finally:
+        link = jvm.java.sql.DriverManager.getConnection(url, given)
+        for name in order:
+            with contextlib.suppress(Exception):
+                link.createStatement().executeUpdate(f"drop table {copy[name]}")
+        link.close()
+    return order
 
 
 def report(diagnostics: DataFrame, title: str, most: int = 1000) -> str:

@@ -58,16 +58,6 @@ def test_env_files_and_sources_in_scope(spark, tmp_path):
     assert readers.in_scope(spark.createDataFrame([("primary",), ("out-of-scope",), ("crosscheck",)], "role string")).count() == 1
 
 
-def test_sources_that_fail_keep_what_they_had(spark, tmp_path):
-    path = str(tmp_path / "p")
-    rows = lambda *names: spark.createDataFrame([(n, f"of {n}") for n in names], "source string, raw_name string")
-    none = spark.createDataFrame([], "source string, severity string")
-    assert writers.write_parsed(rows("a", "b"), rows("c"), none, path).count() == 0
-    failed = writers.write_parsed(rows("a", "b").withColumn("raw_name", F.lit("new")), rows(), spark.createDataFrame([("b", "error"), ("a", "warn")], "source string, severity string"), path)
-    assert [(r.source, r.errors) for r in failed.collect()] == [("b", 1)]
-    assert {(r.kind, r.source, r.raw_name) for r in spark.read.json(path).collect()} == {("timetable", "a", "new"), ("timetable", "b", "of b"), ("exam", "c", "of c")}
-
-
 def test_only_changed_documents_are_written(spark, tmp_path):
     path = str(tmp_path / "d")
     docs = lambda *rows: spark.createDataFrame(rows, "k string, v int")
@@ -77,9 +67,6 @@ def test_only_changed_documents_are_written(spark, tmp_path):
     got = writers.write_changed(docs(("a", 1), ("b", 3)), old, "k", path)
     assert {(r.k, r.change) for r in got.collect()} == {("b", "changed"), ("z", "removed")}
     assert {(r.k, r.v) for r in spark.read.json(path).collect()} == {("a", 1), ("b", 3)}
-    writers.fresh_tables({"t": docs(("a", 1))}, path)
-    writers.fresh_tables({"t": docs(("c", 1))}, path)
-    assert [r.k for r in spark.read.parquet(f"{path}/t").collect()] == ["c"]
 
 
 def test_guides_are_written_with_their_languages(spark, tmp_path):
@@ -156,10 +143,10 @@ def test_pages_without_weekdays_give_nothing(spark):
     assert lists.parse_weekly_lists(df).count() == lists.parse_day_grids(df).count() == lists.parse_month_calendars(df).count() == 0
 
 
-def test_transcribed_exams_and_dispatch(spark):
+def test_transcribed_exams(spark):
     exams = [("Big Data *", "2027-01-11", "9:00", "11:00", "1"), ("Nets", "2027-01-12", "18h", None, None)]
-    df = spark.createDataFrame([("s", "vision", exams)], "source string, family string, exams array<struct<name: string, date: string, start: string, end: string, room: string>>")
-    got = parsers.dispatch(df, "family", {"vision": parsers.vision_exams, "other": lambda d: d.select("source", F.lit("x").alias("raw_name"))}).collect()
+    df = spark.createDataFrame([("s", exams)], "source string, exams array<struct<name: string, date: string, start: string, end: string, room: string>>")
+    got = parsers.vision_exams(df).collect()
     assert sorted((r.raw_name, r.start_min, r.end_min, r.duration_source) for r in got) == [("Big Data", 540, 660, "explicit_range"), ("Nets", 1080, 1200, "vision_default2h")]
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotwise.functions import catalogue, fuzzy, lessons, text, times
-from slotwise.operators import geometry, intervals, parsers, relational
+from slotwise.operators import geometry, intervals, outcomes, parsers, relational
 from slotwise.plans import catalog
 from slotwise.sources import readers, writers
 from slotwise.streaming import collisions
@@ -127,12 +127,12 @@ def test_lines_and_blocks(spark):
 
 def test_parsers(spark):
     cells = spark.createDataFrame([("Big Data (10:00 to 12:00) *", "R1", 1, 540, 600), ("Actividades de evaluación", None, 2, 540, 600), ("X (sep-oct)", None, 3, 540, 660)], "name string, room string, weekday int, col_start int, col_end int")
-    got = {x.raw_name: x for x in parsers.sessions_of_blocks(cells).collect()}
+    cells = outcomes.start(cells.withColumns({"source": F.lit("s"), "drawn": F.lit("rect"), "span_margin": F.lit(None).cast("double")}))
+    got = {x.raw_name: x for x in outcomes.rows_of(parsers.session_outcomes(cells, None, ["source"])).collect()}
     assert set(got) == {"Big Data", "X"} and (got["Big Data"].start_min, got["Big Data"].elective, got["X"].validity_label) == (600, True, "sep-oct")
-    exams = parsers.exams_of_blocks(spark.createDataFrame([("A //// B 12:00 h.", "2027-01-11", 540, 720)], "name string, date string, slot_start int, slot_end int")).collect()
+    cell = outcomes.start(spark.createDataFrame([("s", "A //// B 12:00 h.", "2027-01-11", 540, 720)], "source string, name string, date string, slot_start int, slot_end int"))
+    exams = outcomes.rows_of(parsers.exam_cell_outcomes(cell, None, ["source"])).collect()
     assert sorted((x.raw_name, x.start_min, x.end_min, x.duration_source) for x in exams) == [("A", 540, 660, "slot_default2h"), ("B", 720, 840, "start_override_default2h")]
-    lines = spark.createDataFrame([(1, 100.0, "9:00 - 11:00 Big"), (1, 88.0, "Data"), (1, 76.0, "Room 5"), (1, 20.0, "far prose"), (1, 10.0, "11:00-12:00 Next")], "doc int, y double, text string")
-    assert [tuple(x)[2:] for x in parsers.list_entries(lines, "doc").orderBy("entry").collect()] == [(540, 660, "Big Data", "5"), (660, 720, "Next", None)]
     assert one(spark, ["MONDAY 11TUESDAY 12"], parsers.split_glued_dates) == [["MONDAY 11", "TUESDAY 12"]]
 
 
