@@ -306,7 +306,9 @@ def collocations(docs: DataFrame, *, support: int = 100, longest: int = 5, top:
     """
     if support < 1 or longest < 2 or top < 1:
         raise ValueError("support and top are at least 1, longest at least 2")
+    since = runtime.mark()
     found = runtime.materialize(scored(frequent_phrases(docs, support=support, longest=longest, lang_col=lang_col, text_col=text_col), longest=longest, inside_percent=inside_percent), "collocations")
+    runtime.discard(docs.sparkSession, since=since, keep=1)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salt = F.pmod(F.xxhash64("phrase"), F.lit(runtime.tasks(docs.sparkSession)))
     some = found.withColumn("_salt", salt).withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("_n") <= top)

@@ -33,6 +33,8 @@ MIN_CHARS = 16
 KEY_BITS = 64
 #: Bits of the filter with which the texts of lines that may have a partner are picked from the scan: a fixed size.
 FILTER_BITS = 24
+#: Variants that are made at once, however long a line is.
+VARIANTS = 1 << 18
 
 
 class Lines:
@@ -79,29 +81,34 @@ class Lines:
                     out[:, k if longer else 2 + k] = mix(_span_hash(self.sums, a, b) + m.astype(U64) * U64(2) + U64(k))
         return out
 
-    def variants(self, at: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, key, role) of the variants of the lines ``at``: 0 the line as the shorter of a pair, 1 a deletion, 2 a place for a substitution."""
-        lines, keys, roles = [], [], []
+    def variants(self, at: np.ndarray, kinds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(line, key, role) of the variants of the lines ``at``, in batches of about ``VARIANTS``: role 0 the line as the shorter of a pair, 1 a deletion, 2 a place for a substitution. A deletion may come twice."""
+        lines, keys, roles, held = [], [], [], 0
         short = at[(kinds & 12) > 0]
         lines.append(short), keys.append(mix(self.key[short] + U64(1))), roles.append(np.zeros(len(short), np.int8))
         _, down = _power(len(self.block.buf) + 1)
-        up, _ = _power(len(self.block.buf) + 1)
+        s = self.sums
         for k in np.flatnonzero(kinds & 3):
             i, n = at[k], int(self.n[at[k]])
-            h = n // 2
-            p = np.arange(h if not kinds[k] & 2 else 0, n if kinds[k] & 1 else h)
-            a, b = self.byte(p, np.full(len(p), i)), self.byte(p + 1, np.full(len(p), i))
-            s, start, end = self.sums, self.start[i], self.end[i]
-            with np.errstate(over="ignore"):
-                # the polynomial of the line without the character: the part behind it moves down by its bytes
-                spelt = ((s[a] - s[start]) + (s[end] - s[b]) * down[b - a]) * down[start]
-                deleted = mix(spelt + (end - start - (b - a)).astype(U64))
-                place = mix(mix((s[a] - s[start]) * down[start] + U64(3)) + mix((s[end] - s[b]) * down[b] + U64(5)) + p.astype(U64) * U64(1 << 32) + U64(n))
-            deleted = np.unique(deleted)
-            lines += [np.full(len(deleted), i), np.full(len(place), i)]
-            keys += [mix(deleted + U64(1)), mix(place + U64(2))]
-            roles += [np.ones(len(deleted), np.int8), np.full(len(place), 2, np.int8)]
-        return np.concatenate(lines).astype(np.int64), np.concatenate(keys), np.concatenate(roles)
+            h, start, end = n // 2, self.start[at[k]], self.end[at[k]]
+            first, last = 0 if kinds[k] & 2 else h, n if kinds[k] & 1 else h
+            for q in range(first, last, VARIANTS):
+                p = np.arange(q, min(q + VARIANTS, last))
+                a, b = self.byte(p, np.full(len(p), i)), self.byte(p + 1, np.full(len(p), i))
+                with np.errstate(over="ignore"):
+                    # the polynomial of the line without the character: the part behind it moves down by its bytes
+                    spelt = ((s[a] - s[start]) + (s[end] - s[b]) * down[b - a]) * down[start]
+                    deleted = np.unique(mix(spelt + (end - start - (b - a)).astype(U64)))
+                    place = mix(mix((s[a] - s[start]) * down[start] + U64(3)) + mix((s[end] - s[b]) * down[b] + U64(5)) + p.astype(U64) * U64(1 << 32) + U64(n))
+                    keys += [mix(deleted + U64(1)), mix(place + U64(2))]
+                lines += [np.full(len(deleted), i), np.full(len(place), i)]
+                roles += [np.ones(len(deleted), np.int8), np.full(len(place), 2, np.int8)]
+                held += len(deleted) + len(place)
+                if held >= VARIANTS:
+                    yield np.concatenate(lines).astype(np.int64), np.concatenate(keys), np.concatenate(roles)
+                    lines, keys, roles, held = [], [], [], 0
+        if lines:
+            yield np.concatenate(lines).astype(np.int64), np.concatenate(keys), np.concatenate(roles)
 
 
 def _i64(x: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
@@ -127,11 +134,11 @@ def _bit(key: Column) -> Column:
 
 
 def _near(rows: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
-    """(dkey, place) of the lines, at their earliest occurrence, that have an earlier line one edit away."""
+    """(id, dkey, place) of the lines, at their earliest occurrence, that have an earlier line one edit away."""
     spark = rows.sparkSession
     halves = firsts.select("key", "key2", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("kind", "half")).where("half is not null")
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    kinds = halves.join(shared, "half").groupBy("key", "key2").agg(F.expr("bit_or(shiftleft(1, kind))").alias("kinds"))
+    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
+    kinds = runtime.join_hot(halves, shared, ["half"], "n", 4 * firsts.count()).groupBy("key", "key2").agg(F.expr("bit_or(shiftleft(1, kind))").alias("kinds"))
     able = runtime.materialize(firsts.select("key", "key2", "at").join(kinds, ["key", "key2"]), "able")
     words = able.groupBy((_bit(F.col("key")) / 64).cast("bigint").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(key, {64 - FILTER_BITS}) % 64 as int)))").alias("bits")).collect()  # at most 2 ** FILTER_BITS / 64 rows
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
@@ -160,9 +167,9 @@ def _near(rows: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
             done = 0
             for part, block in slices(batch, "line", 1 << 18):
                 x = Lines(block, 0)
-                at, key, role = x.variants(np.arange(len(x.n)), kinds[done : done + part.num_rows])
+                for at, key, role in x.variants(np.arange(len(x.n)), kinds[done : done + part.num_rows]):
+                    yield pa.RecordBatch.from_arrays([_i64(key & kept_bits), pa.array(role), part.column(2).take(pa.array(at))], ["variant", "role", "at"])
                 done += part.num_rows
-                yield pa.RecordBatch.from_arrays([_i64(key & kept_bits), pa.array(role), part.column(2).take(pa.array(at))], ["variant", "role", "at"])
 
     at_type = firsts.schema["at"].dataType.simpleString()
     emitted = lines.select("line", "kinds", "at").mapInArrow(variants, f"variant bigint, role tinyint, at {at_type}")
@@ -172,56 +179,72 @@ def _near(rows: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     least = met.groupBy("variant").agg(F.min(F.when(F.col("role") != 1, F.col("at"))).alias("other"), F.min(F.when(F.col("role") == 1, F.col("at"))).alias("deleted"))
     # a line as the shorter looks at the deletions that spell it, a deletion at the line it spells, a place at its like
     partner = F.when(F.col("role") == 0, F.col("deleted")).otherwise(F.col("other"))
-    text = runtime.materialize(lines.select("at.dkey", "at.place", "line"), "able-texts")
+    text = runtime.materialize(lines.select("at.id", "at.dkey", "at.place", "line"), "able-texts")
 
     def judged(pairs: DataFrame) -> DataFrame:
         """Of the pairs (at, p) of places, at's place and whether its line is one edit away from p's."""
-        apart = pairs.select("at.dkey", "at.place", F.col("p.dkey").alias("k"), F.col("p.place").alias("n")).distinct()
-        both = apart.join(text, ["dkey", "place"]).join(text.toDF("k", "n", "other"), ["k", "n"])
-        return both.select("dkey", "place", (F.levenshtein("line", "other", 1) == 1).alias("near"))
+        apart = pairs.select("at.id", "at.dkey", "at.place", F.col("p.id").alias("i"), F.col("p.dkey").alias("k"), F.col("p.place").alias("n")).distinct()
+        both = apart.join(text, _same(apart, text, "id", "dkey", "place")).select(*[apart[c] for c in apart.columns], "line")
+        other = text.toDF("i", "k", "n", "other")
+        both = both.join(other, _same(both, other, "i", "k", "n")).select(both["id"], "dkey", "place", "line", "other")
+        return both.select("id", "dkey", "place", (F.levenshtein("line", "other", 1) == 1).alias("near"))
 
     first = judged(met.join(least, "variant").withColumn("p", partner).where("p < at").select("at", "p"))
-    first = runtime.materialize(first.groupBy("dkey", "place").agg(F.bool_or("near").alias("near")), "judged")
-    doubtful = met.join(first.where("not near"), (F.col("at.dkey") == F.col("dkey")) & (F.col("at.place") == F.col("place"))).select("variant", "role", "at")
+    first = runtime.materialize(first.groupBy("id", "dkey", "place").agg(F.bool_or("near").alias("near")), "judged")
+    doubtful = met.join(first.where("not near"), F.col("at.id").eqNullSafe(F.col("id")) & (F.col("at.dkey") == F.col("dkey")) & (F.col("at.place") == F.col("place"))).select("variant", "role", "at")
     others = met.select("variant", F.col("role").alias("r"), F.col("at").alias("p"))
     second = judged(doubtful.join(others, "variant").where("p < at and (role = 1) <> (r = 1) or p < at and role = 2 and r = 2").select("at", "p"))
-    return first.where("near").select("dkey", "place").union(second.where("near").select("dkey", "place"))
+    return first.where("near").select("id", "dkey", "place").union(second.where("near").select("id", "dkey", "place"))
+
+
+def _same(a: DataFrame, b: DataFrame, id_: str, *keys: str) -> Column:
+    """Rows of one document: the id may be null."""
+    out = a[id_].eqNullSafe(b[id_])
+    for k in keys:
+        out &= a[k] == b[k]
+    return out
 
 
 def removed_lines(docs: DataFrame, *, bound: int = 1, min_chars: int = MIN_CHARS, exact_all: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(dkey, places): for each document that loses lines, the places (from 0) of those; dkey is ``document_key``."""
+    """(id, dkey, places): for each document that loses lines, the places (from 0) of those; a document is told by its id together with ``document_key``. Only the result's table stays in the shared folder."""
     if bound not in (0, 1):
         raise ValueError("the edit bound is 0 or 1")
-    runtime.ship(docs.sparkSession)
+    spark = docs.sparkSession
+    runtime.ship(spark)
+    since = runtime.mark()
     rows = docs.select(docs[id_col].cast("bigint").alias("id"), document_key(docs[id_col], docs[text_col]).alias("dkey"), docs[text_col].cast("string").alias("text"))
     lines = runtime.materialize(_lines(rows, min_chars, exact_all), "lines")
     halves = [F.min(h).alias(h) for h in ("h0", "h1", "h2", "h3")]
     firsts = runtime.materialize(lines.groupBy("key", "key2").agg(F.min(F.struct("id", "dkey", "place")).alias("at"), F.count("*").alias("n"), *halves), "firsts")
-    goes = lines.select("dkey", "place", "key", "key2", F.struct("id", "dkey", "place").alias("own")).join(firsts.where("n > 1").select("key", "key2", "at"), ["key", "key2"]).where("own <> at or own is null or at is null").select("dkey", "place")
-    goes = goes.where("place is not null")
+    own = lines.select("key", "key2", F.struct("id", "dkey", "place").alias("own"))
+    met = runtime.join_hot(own, firsts.where("n > 1").select("key", "key2", "at", "n"), ["key", "key2"], "n", lines.count())
+    goes = met.where("own <> at or own is null or at is null").select("own.id", "own.dkey", "own.place").where("place is not null")
     if bound:
         goes = goes.union(_near(rows, firsts, min_chars))
-    return goes.distinct().groupBy("dkey").agg(F.collect_list("place").alias("places"))
+    out = runtime.materialize(goes.distinct().groupBy("id", "dkey").agg(F.collect_list("place").alias("places")), "removed-lines")
+    runtime.discard(spark, since=since, keep=1)
+    return out
 
 
 def document_key(id_col: Column, text_col: Column) -> Column:
-    """What a document is told by: its id and its text. Rows equal in both are one document and fare alike."""
+    """A hash of a document's id and text. Rows equal in both are one document and fare alike; documents of different ids are told apart by these, whatever the hash."""
     return F.xxhash64(id_col.cast("bigint"), text_col.cast("string"))
 
 
 def dedup_lines(docs: DataFrame, *, bound: int = 1, min_chars: int = MIN_CHARS, exact_all: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated lines gone from ``text_col``, and n_lines and n_removed beside its own columns.
 
-    All rows and columns stay (those two names and ``_dkey``, ``_places`` must be free). A removed line goes with
+    All rows and columns stay (those two names and ``_id``, ``_dkey``, ``_places`` must be free). A removed line goes with
     its line feed. Null texts stay null, with no line; a text that loses every line is empty. A null id comes
     before every other. Of equal documents (id and text) the lines are removed alike. An empty table stays so.
     With ``exact_all`` equal lines of any length go, if they have a word, and ``min_chars`` is for the edits only.
     """
     names = [*docs.columns, "n_lines", "n_removed"]
-    if len({n.lower() for n in [*names, "_dkey", "_places"]}) < len(names) + 2:
+    if len({n.lower() for n in [*names, "_id", "_dkey", "_places"]}) < len(names) + 3:
         raise ValueError("the input has repeated column names, or one of the result's")
-    gone = removed_lines(docs, bound=bound, min_chars=min_chars, exact_all=exact_all, id_col=id_col, text_col=text_col).withColumnsRenamed({"dkey": "_dkey", "places": "_places"})
-    both = docs.withColumn("_dkey", document_key(docs[id_col], docs[text_col])).join(gone, "_dkey", "left").select(*[f"`{c}`" for c in docs.columns], "_places")
+    gone = removed_lines(docs, bound=bound, min_chars=min_chars, exact_all=exact_all, id_col=id_col, text_col=text_col).toDF("_id", "_k", "_places")
+    keyed = docs.withColumn("_dkey", document_key(docs[id_col], docs[text_col]))
+    both = keyed.join(gone, keyed[id_col].cast("bigint").eqNullSafe(gone["_id"]) & (keyed["_dkey"] == gone["_k"]), "left").select(*[f"`{c}`" for c in docs.columns], "_places")
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

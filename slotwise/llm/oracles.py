@@ -28,12 +28,13 @@ QUALITY_RULES = f"""with d as (select doc_id, coalesce(text, '') as t from docum
 select doc_id, n::bigint as n_words, chars::bigint as word_chars, symbols::bigint as n_symbols, n_dup::bigint as n_dup_lines, n_repeat::bigint as n_repeat_words, n < 50 or 100 * n_repeat > 50 * n as base_failed,
  not (n < 50 or 100 * n_repeat > 50 * n) and 100 * lost <= 30 * total as kept, n_failed::bigint as n_failed_lines, lost::bigint as lost_bytes, total::bigint as total_bytes from base"""
 
-#: Pairs that share a shingle, their similarity, and the least document that links lead to.
+#: Pairs that share a shingle, their similarity, and the least document that links lead to; texts without a word are like their equals.
 NEAR_DEDUP = """with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
  g as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from w),
  n as (select doc_id, count(*) as n from g group by doc_id),
  shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
- links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where c::double / (x.n + y.n - c) >= 0.8),
+ links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where c::double / (x.n + y.n - c) >= 0.8
+  union all select a, b from (select doc_id as b, min(doc_id) over (partition by text) as a from documents where text is not null and not regexp_matches(text, '[^\\x20\\x09-\\x0D]')) where a < b),
  ways as (select a, b from links union select b, a from links),
  reach as (select doc_id as id, doc_id as root from documents union select ways.b, reach.root from reach join ways on ways.a = reach.id)
 select id as doc_id, min(root) as class_id from reach group by id"""

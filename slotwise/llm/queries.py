@@ -72,7 +72,7 @@ def levels() -> dict:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to the weights of domains, languages and sources: three quarters of their tokens, at most two epochs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    out = mixing.mix_sources(docs, levels(), WEIGHTS, tokenizer_path(), share=0.75, max_epochs=2, seed=7)
+    out = mixing.mix_sources(docs, levels(), WEIGHTS, tokenizer_path(), share=0.75, max_epochs=2, seed=7, unknown="ignore")
     return out.select("doc_id", F.expr(DOMAIN).alias("domain"), "lang", "source", "epoch")
 
 

@@ -54,6 +54,49 @@ def test_against_brute_force(spark, monkeypatch, seed, bound, bits):
     assert got == brute(docs, bound)
 
 
+def test_documents_are_told_apart_whatever_the_hash(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "document_key", lambda i, t: F.lit(7).cast("bigint"))
+    monkeypatch.setattr(line_dedup, "VARIANTS", 5)
+    lines = [f"line number {c} of some length" for c in "abcdef"]
+    docs = [(1, f"{lines[0]}\n{lines[1]}"), (2, f"{lines[2]}\n{lines[0]}"), (3, f"{lines[1]}\n{lines[3]}\nline number {'d'} of some lengths"), (4, "\n".join(lines)), (None, lines[4])]
+    got = {x.doc_id: x.text for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), bound=0).collect()}
+    assert got == {None: docs[4][1], 1: docs[0][1], 2: lines[2], 3: f"{lines[3]}\n{docs[2][1].splitlines()[2]}", 4: lines[5]}
+    near = {x.doc_id: x.n_removed for x in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert near == {None: 0, 1: 2, 2: 2, 3: 3, 4: 6}  # all lines are one letter apart, and that of no id comes first
+
+
+def test_tables_are_deleted(spark):
+    import os
+
+    from slotwise.llm import runtime
+
+    runtime.discard(spark)
+    before = set(os.listdir(runtime.shared_folder(spark)))
+    assert dedup_lines(spark.createDataFrame([(1, "a line of some length"), (2, "a line of some lengths")], "doc_id long, text string")).count() == 2
+    assert {f.rsplit("-", 1)[0] for f in set(os.listdir(runtime.shared_folder(spark))) - before} == {"removed-lines"}
+
+
+def test_one_very_long_line(spark, monkeypatch):
+    sizes = []
+    whole = line_dedup.Lines.variants
+
+    def watched(self, at, kinds):
+        for x in whole(self, at, kinds):
+            sizes.append(len(x[0]))
+            yield x
+
+    text = "".join(chr(97 + k * k % 23) for k in range(5000))
+    block = line_dedup.Block(*(lambda b: (b, line_dedup.np.array([0, len(b)])))(line_dedup.np.frombuffer(text.encode(), line_dedup.np.uint8)))
+    monkeypatch.setattr(line_dedup, "VARIANTS", 300)
+    x = line_dedup.Lines(block, 0)
+    got = list(watched(x, line_dedup.np.array([0]), line_dedup.np.array([3])))
+    assert max(sizes) <= 2 * 300 + 300 and sum((r == 2).sum() for _, _, r in got) == 5000
+    docs = [(1, text), (2, text[:2500] + "!" + text[2501:])]
+    assert {r.doc_id: r.n_removed for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {1: 0, 2: 1}
+
+
 def test_short_lines_go_where_all_exact_repeats_do(spark):
     docs = [(1, "Les.\n\n  \na line of some length\nfifteen letters"), (2, "Les.\n\n  \na line of some lengths\nfifteen letterz\nx"), (3, "x\nLes"), (4, "x\nLes.")]
     df = spark.createDataFrame(docs, "doc_id long, text string")

@@ -2,6 +2,8 @@ import gzip
 import hashlib
 import io
 import struct
+import time
+import wave
 import zipfile
 import zlib
 
@@ -72,6 +74,54 @@ def test_stored_texts_have_definite_features(spark):
     assert rows[1].feature == rows[2].feature != rows[3].feature and all(r.feature for r in rows.values())
 
 
+def plain_feature(text):
+    """(kind, feature) of a stored text, read back by the standard library."""
+    p = (text or "").encode()
+    p += b"\0" * (-len(p) % 64 or (0 if p else 64))
+    kind = "image/png" if zlib.crc32(p) & 1 else "audio/wav"
+    return kind, f"{kind};n={len(p)};sum={sum(p)};min={min(p)};max={max(p)};distinct={len(set(p))}"
+
+
+def test_features_and_embedded_media_against_a_plain_version(spark):
+    pdf = "%PDF-1.4 startxref\n0\n%%EOF"
+    zip_end = "PK\x05\x06" + "\0" * 18
+    texts = ["a", "some text é漢", None, "", f"see {pdf} and {pdf}", "x" * 200, f"PK\x03\x04 {zip_end}", *(f"text {k}" for k in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = media.store_texts(docs).cache()
+    rows = {r.doc_id: r for r in stored.collect()}
+    for k, t in enumerate(texts):
+        r = rows[k]
+        assert (r.kind, r.feature) == plain_feature(t)
+        assert (r.declared, r.corrected) == ("audio/wav", r.kind != "audio/wav")
+        if r.kind == "audio/wav":
+            with wave.open(io.BytesIO(bytes(r.media))) as w:
+                assert w.readframes(w.getnframes()).rstrip(b"\0") == (t or "").encode().rstrip(b"\0")
+        assert r.n_embedded == len(r.embedded) == (2 if k == 4 else 0)
+    assert {r.corrected for r in rows.values()} == {True, False}
+    carved = media.carve(stored).orderBy("part").collect()
+    assert [(r.id, r.part, r.kind, bytes(r.data).decode()) for r in carved] == [(4, n, "application/pdf", pdf) for n in range(2)]
+
+
+@pytest.mark.parametrize("unit", [b"%PDF-", b"PK\x03\x04", b"GIF89a!xA,", b"PK\x05\x06PK\x03\x04", b"%PDF-1 startxref 0 ", b"%%EOF%PDF-"])
+def test_time_is_in_proportion_to_repeated_magics(unit):
+    times = []
+    for n in (100_000, 800_000):
+        data = unit * (n // len(unit))
+        start = time.process_time()
+        media.sniff(data)
+        times.append(time.process_time() - start)
+    assert times[1] < 25 * times[0] + 0.2 and times[1] < 3
+
+
+def test_gif_walks_meet():
+    gif = parts()["image/gif"]
+    body = gif[13 + 6 :]
+    tail = b"GIF89a" + gif[6:19] + b"!\x01\x02ab\x00" * 50 + body
+    data = b"GIF89a" + gif[6:19] + b"!\x01" + bytes([len(b"GIF89a")]) + b"GIF89a" + b"\x00" + body
+    assert media.sniff(data) == media.Sniffed("image/gif", len(data), ())
+    assert media.sniff(b"--" + tail).embedded == ((2, len(tail), "image/gif"),)
+
+
 def test_declared_types_are_corrected(spark):
     df = spark.createDataFrame([(1, "image/jpeg", bytearray(parts()["image/png"])), (2, "image/gif", bytearray(parts()["image/gif"])), (3, None, None)], "id long, declared string, data binary")
     rows = {r.id: r for r in media.sniff_column(df).collect()}

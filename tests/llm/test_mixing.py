@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from slotwise.llm import mixing
@@ -30,32 +31,53 @@ def test_fill_shares_by_weight():
     assert got == {("a",): 30, ("b",): 60, ("c",): 10}
 
 
-def levelled(budget, children):
-    """Shares of the children (weight, capacity) under one level for all, found by halving."""
-    low, high = 0.0, 1e9
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if sum(min(cap, mid * w) for w, cap in children.values()) < budget else (low, mid)
-    return {c: min(cap, high * w) for c, (w, cap) in children.items()}
-
-
-def test_budgets_against_levels():
+def poured(tokens, weights, total, epochs):
+    """Budgets by pouring: every node's inflow is split by weight among the children under which a leaf can still take some, until the next leaf is full."""
+    held = {leaf: Fraction(0) for leaf in tokens}
+    left = Fraction(total)
+    while left > 0:
+        # a leaf can take some if it is not full and no weight above it is 0
+        able = {leaf for leaf, n in tokens.items() if held[leaf] < n * epochs and all(weights.get(leaf[:k], 1) > 0 for k in range(1, len(leaf) + 1))}
+        if not able:
+            break
+        rate = {}
+        for leaf in able:
+            share = Fraction(1)
+            for k in range(len(leaf)):
+                among = {x[: k + 1] for x in able if x[:k] == leaf[:k]}
+                share *= Fraction(weights.get(leaf[: k + 1], 1)) / sum(Fraction(weights.get(c, 1)) for c in among)
+            rate[leaf] = share
+        step = min([left, *((tokens[x] * epochs - held[x]) / rate[x] for x in able)])
+        for x in able:
+            held[x] += step * rate[x]
+        left -= step
+    return held
+
+
+def test_budgets_against_pouring():
     r = random.Random(6)
-    for _ in range(40):
-        tokens = {(d, s, k): r.choice([0, 3, 50, 400]) for d in "ab" for s in "xyz" for k in range(r.randint(1, 3))}
-        weights = {p: r.choice([0.0, 0.5, 1.0, 4.0]) for p in [("a",), ("b", "x"), ("a", "y"), ("b", "z", 0)]}
+    for _ in range(60):
+        tokens = {(d, s, str(k)): r.choice([0, 3, 50, 400]) for d in "ab" for s in "xyz" for k in range(r.randint(1, 3))}
+        weights = {p: r.choice([0.0, 0.5, 1.0, 4.0]) for p in [("a",), ("b", "x"), ("a", "y"), ("b", "z", "0"), ("a", "x", "0")]}
         epochs, total = r.randint(1, 2), r.randint(0, 900)
-        capacity = lambda node: epochs * sum(n for leaf, n in tokens.items() if leaf[: len(node)] == node)
-        want, level = {(): min(total, capacity(()))}, [()]
-        for depth in range(3):
-            below = {}
-            for node in level:
-                children = {leaf[: depth + 1] for leaf in tokens if leaf[:depth] == node}
-                below |= levelled(want[node], {c: (weights.get(c, 1.0), capacity(c)) for c in children})
-            want |= below
-            level = list(below)
-        got = mixing.budgets(tokens, weights, total, epochs)
-        assert all(abs(got.get(leaf, 0) - want[leaf]) <= 1.001 for leaf in tokens), (got, want)
+        want, got = poured(tokens, weights, total, epochs), mixing.budgets(tokens, weights, total, epochs)
+        assert all(int(want[leaf]) == got.get(leaf, 0) for leaf in tokens), (got, want)
+
+
+def test_what_weighs_nothing_holds_no_share():
+    tokens = {("a", "x"): 100, ("a", "y"): 1000, ("b", "x"): 5000}
+    out = mixing.budgets(tokens, {("a", "y"): 0}, 1000, 1)
+    assert out == {("a", "x"): 100, ("a", "y"): 0, ("b", "x"): 900}
+
+
+def test_weights_of_no_path():
+    tokens = {("a", "0"): 5, (None, "1"): 5}
+    assert mixing.checked({("a", 0): 2.0, (None,): 3.0}, tokens, 2, "error") == {("a", "0"): 2.0, (None,): 3.0}
+    assert mixing.checked({("c",): 1.0}, tokens, 2, "ignore") == {("c",): 1.0}
+    assert mixing.checked({("c",): 1.0}, {}, 2, "error") == {("c",): 1.0}
+    for weights in ({("c",): 1.0}, {("a", "0", "z"): 1.0}, {(): 1.0}, {("a",): -1.0}):
+        with pytest.raises(ValueError, match="path|levels"):
+            mixing.checked(weights, tokens, 2, "error")
 
 
 def test_against_a_plain_version(spark):
