@@ -40,24 +40,39 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with _key, a long that tells documents apart, and _print, a hash of the text.
+
+    It is the id where that is not negative and all its rows have one text (by two hashes of 64 bits each). Rows of an id with unlike texts, of a
+    negative one or of none are told by a hash of id and text below 0, which no id has.
+    """
+    rows = docs.withColumn("_print", F.xxhash64(F.lit(1), "text"))
+    texts = F.struct(F.xxhash64("text"), "_print", F.col("text").isNull())
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(texts).alias("a"), F.max(texts).alias("b")).where("a <> b")
+    several = runtime.materialize(several.select("doc_id", F.lit(True).alias("_several")), "several")
+    hashed = line_dedup.document_key(F.col("doc_id"), F.col("text")).bitwiseOR(F.lit(-1 << 63))
+    met = rows.join(several, "doc_id", "left")
+    return met.withColumn("_key", F.when((F.col("doc_id") >= 0) & F.col("_several").isNull(), F.col("doc_id")).otherwise(hashed)).drop("_several")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each near-duplicate class: that of the least id (null ids last), of rows that share it the one of the least key.
 
     A row is told by its id and text, so rows that share an id but no text are documents of their own; rows equal
     in both are one. Null texts are no duplicates of one another.
     """
-    rows = docs.select(*COLUMNS).withColumn("_key", line_dedup.document_key(F.col("doc_id"), F.col("text")))
+    rows = _told_apart(docs.select(*COLUMNS))
     keys = rows.select("_key", "doc_id", "text")
     found = near_dedup.classes(keys, id_col="_key").distinct().withColumnsRenamed({"doc_id": "_key", "class_id": "_class"})
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key")
     first = keys.select("_key", "doc_id").join(found, "_key").groupBy("_class").agg(F.min(order)["_key"].alias("_key")).select("_key")
-    number = F.row_number().over(Window.partitionBy("_key", "doc_id", "text").orderBy("lang", "source", "n_chars"))
+    number = F.row_number().over(Window.partitionBy("_key", "doc_id", "_print").orderBy("lang", "source", "n_chars"))
     return rows.join(first, "_key", "left_semi").withColumn("_n", number).where("_n = 1").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents mixed to the weights, a row for each epoch that has them. Null and empty texts cost no token; null languages and sources are leaves too."""
-    return mixing.mix_sources(docs.select(*COLUMNS), levels(), WEIGHTS, tokenizer_path(), share=0.75, max_epochs=2, seed=7).select(*COLUMNS)
+    return mixing.mix_sources(docs.select(*COLUMNS), levels(), WEIGHTS, tokenizer_path(), share=0.75, max_epochs=2, seed=7, unknown="ignore").select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
