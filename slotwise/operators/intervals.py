@@ -1,8 +1,7 @@
 """Overlap of intervals: collisions, conflicts with a plan, clusters and lanes.
 
-An overlap join meets on the day and on a time bucket, not on the day alone: each interval enters the
-buckets that it touches, and a pair counts in the bucket in which the later one starts, so once. A day that
-a large part of all rows share is thus spread over its buckets and each row meets only its neighbourhood.
+An overlap join of rows meets in cells: ranges of a day's starts that are cut by their measured work, and parts of
+those ranges that are heavy still. A day or a start that a large part of all rows share is thus spread by what it costs.
 
 Where only existence or numbers are asked, rows are first reduced to slots, the distinct (day, start, end and
 what else matters) with their numbers and their least and greatest key. Slots are few, whatever the rows:
@@ -22,33 +21,77 @@ from pyspark.sql import functions as F
 from slotwise.functions.times import ranges_overlap
 
 BUCKET, SALTS = 30, 16
+#: Cells of an overlap join for each of the session's shuffle partitions.
+CELLS_A_TASK = 4
 
 
 def _named(df: DataFrame, side: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
 
 
-def overlap_pairs(rows: DataFrame, day: str, order: list[str], keep: Column | None = None, bucket: int = BUCKET, salts: int = 1) -> DataFrame:
+def _tasks(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def start_ranges(rows: DataFrame, day: str, cells: int) -> DataFrame:
+    """(day, ranges: array<struct(s, a_parts, b_parts)>): each day's starts in ranges of about equal work, from their measured numbers.
+
+    The work of a start is the number of pairs in which the later interval starts then: its rows times the rows open by then. A range
+    holds starts in a row up to a share of all work, one in ``cells``; ``s`` is its first start. A range of more work (one start, say) is dealt
+    to a_parts by b_parts cells.
+    """
+    sound = rows.where("s < e")
+    steps = sound.groupBy(day, F.col("s").alias("t")).agg(F.count("*").alias("n")).select(day, "t", "n", F.lit(0).cast("bigint").alias("gone"))
+    ends = sound.groupBy(day, F.col("e").alias("t")).agg(F.count("*").alias("gone")).select(day, "t", F.lit(0).cast("bigint").alias("n"), "gone")
+    at = steps.union(ends).groupBy(day, "t").agg(F.sum("n").alias("n"), F.sum("gone").alias("gone"))
+    by = Window.partitionBy(day).orderBy("t")  # a day has as many rows here as it has times
+    begun = at.withColumn("open", F.sum(F.col("n") - F.col("gone")).over(by)).where("n > 0").withColumn("work", F.col("n").cast("double") * F.col("open"))
+    total = begun.agg(F.sum("work").alias("all"))
+    share = F.greatest(F.col("all") / cells, F.lit(1.0))
+    ranged = begun.crossJoin(F.broadcast(total))  # one row
+    ranged = ranged.withColumn("range", F.floor((F.sum("work").over(by) - F.col("work")) / share))
+    ranges = ranged.groupBy(day, "range").agg(F.min("t").alias("s"), F.ceil(F.sum("work") / F.first(share)).alias("parts"))
+    b_parts = F.ceil(F.sqrt("parts"))
+    listed = F.struct("s", F.ceil(F.col("parts") / b_parts).cast("int").alias("a_parts"), b_parts.cast("int").alias("b_parts"))
+    return ranges.groupBy(day).agg(F.array_sort(F.collect_list(listed)).alias("ranges"))
+
+
+def _dealt(rows: DataFrame, day: str, order: list[str], cells: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of an overlap join with their cells (_range, _a, _b): rows in every range that they reach into, and rows in the range in which they start."""
+    found = start_ranges(rows, day, cells)
+    sound = rows.where("s < e").join(found, day).withColumn("_at", F.size(F.filter("ranges", lambda r: r["s"] <= F.col("s"))) - 1)
+    last = F.size(F.filter("ranges", lambda r: r["s"] < F.col("e"))) - 1
+    part = lambda n: F.pmod(F.xxhash64(*order), n).cast("int")
+    several = lambda n: F.sequence(F.lit(0), n - 1)
+    reached = sound.withColumn("_range", F.explode(F.sequence("_at", last))).withColumn("_r", F.get("ranges", F.col("_range")))
+    reached = reached.withColumn("_a", part(F.col("_r.a_parts"))).withColumn("_b", F.explode(several(F.col("_r.b_parts"))))
+    begun = sound.withColumn("_range", F.col("_at")).withColumn("_r", F.get("ranges", F.col("_range")))
+    begun = begun.withColumn("_b", part(F.col("_r.b_parts"))).withColumn("_a", F.explode(several(F.col("_r.a_parts"))))
+    keep = [*rows.columns, "_range", "_a", "_b"]
+    return reached.select(*keep), begun.select(*keep)
+
+
+def overlap_pairs(rows: DataFrame, day: str, order: list[str], keep: Column | None = None, cells: int | None = None) -> DataFrame:
     """Pairs (a_*, b_*) of rows of one ``day`` that overlap half-open on (s, e), a before b by (s, *order).
 
     ``order`` makes ties definite: it must tell rows apart. ``keep`` is a condition over both sides. Empty
-    intervals (e <= s) overlap none. Rows with a null day or bound match none. Where days are few (weekdays), ``salts``
-    deals the one side of each bucket to as many parts, and the other to each of them.
+    intervals (e <= s) overlap none. Rows with a null day or bound match none. Both sides meet in the cells of ``start_ranges``: a pair counts in
+    the range in which the later one starts, so once, and an interval is carried over into every range that it reaches. So a crowded
+    day, or one crowded start, is spread over many tasks of like work.
     """
-    first = F.floor(F.col("s") / bucket)
-    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
-    spread = rows.where("s < e").withColumn("_salt", salt).withColumn("_bucket", F.explode(F.sequence(first, F.floor((F.col("e") - 1) / bucket))))
-    starts = rows.where("s < e").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))).withColumn("_bucket", first)
+    spread, starts = _dealt(rows, day, order, cells or CELLS_A_TASK * _tasks(rows))
     a, b = _named(spread, "a"), _named(starts, "b")
     earlier = F.struct("a_s", *[f"a_{c}" for c in order]) < F.struct("b_s", *[f"b_{c}" for c in order])
-    on = (F.col(f"a_{day}") == F.col(f"b_{day}")) & (F.col("a__bucket") == F.col("b__bucket")) & (F.col("a__salt") == F.col("b__salt")) & earlier & (F.col("b_s") < F.col("a_e"))
-    return a.join(b, on if keep is None else on & keep).drop("a__bucket", "b__bucket", "a__salt", "b__salt")
+    on = (F.col(f"a_{day}") == F.col(f"b_{day}")) & earlier & (F.col("b_s") < F.col("a_e"))
+    for c in ("_range", "_a", "_b"):
+        on &= F.col(f"a_{c}") == F.col(f"b_{c}")
+    return a.join(b, on if keep is None else on & keep).drop(*[f"{x}_{c}" for x in "ab" for c in ("_range", "_a", "_b")])
 
 
 def session_collisions(placed: DataFrame, order: list[str]) -> DataFrame:
     """Weekly sessions (key, d, s, e, v_from, v_to) of different keys that overlap on a weekday (1-5) while both are valid."""
     valid = ranges_overlap(F.col("a_v_from"), F.col("a_v_to"), F.col("b_v_from"), F.col("b_v_to"))
-    return overlap_pairs(placed.where(F.col("d").between(1, 5)), "d", order, (F.col("a_key") != F.col("b_key")) & valid, salts=SALTS)
+    return overlap_pairs(placed.where(F.col("d").between(1, 5)), "d", order, (F.col("a_key") != F.col("b_key")) & valid)
 
 
 def severity(a_s: Column, a_e: Column, a_assumed: Column, b_s: Column, b_e: Column, b_assumed: Column) -> Column:
@@ -219,10 +262,37 @@ def assign_lanes(clustered: DataFrame, day: str, order: list[str]) -> DataFrame:
         return pa.table([*own, *(pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True))], names=[day, "cluster", *names])
 
     planned = slots.groupBy(day, "cluster").applyInArrow(plan, ", ".join(f"`{c}` {k}" for c, k in kind.items()) + ", " + ", ".join(f"{c} bigint" for c in names))
-    runs = planned.select(F.col(day).alias("_day"), F.col("cluster").alias("_cluster"), F.col("s").alias("_s"), F.col("e").alias("_e"), "rank", "lane", "n")
-    ranked = clustered.withColumn("_rank", F.row_number().over(Window.partitionBy(day, "cluster", "s", "e").orderBy(*order)) - 1)
-    on = (F.col(day) == F.col("_day")) & (F.col("cluster") == F.col("_cluster")) & (F.col("s") == F.col("_s")) & (F.col("e") == F.col("_e")) & (F.col("_rank") >= F.col("rank")) & (F.col("_rank") < F.col("rank") + F.col("n"))
-    return ranked.join(runs, on).select(day, "cluster", "s", "e", *order, (F.col("lane") + F.col("_rank") - F.col("rank")).cast("int").alias("lane"))
+    slot = [day, "cluster", "s", "e"]
+    ranked, parts = slot_ranks(clustered, slot, order)
+    # each part of a slot with the runs of lanes that its ranks fall in
+    runs = planned.select(*[F.col(c).alias(f"_{c}") for c in slot], "rank", "lane", "n")
+    on = (F.col("_before") < F.col("rank") + F.col("n")) & (F.col("rank") < F.col("_before") + F.col("_rows"))
+    for c in slot:
+        on &= F.col(c) == F.col(f"_{c}")
+    runs = parts.join(runs, on).select(*[F.col(f"_{c}") for c in slot], F.col("_part").alias("_p"), "_before", "rank", "lane", "n")
+    on = (F.col("_part") == F.col("_p")) & (F.col("_local") + F.col("_before") >= F.col("rank")) & (F.col("_local") + F.col("_before") < F.col("rank") + F.col("n"))
+    for c in slot:
+        on &= F.col(c) == F.col(f"_{c}")
+    return ranked.join(runs, on).select(day, "cluster", "s", "e", *order, (F.col("lane") + F.col("_local") + F.col("_before") - F.col("rank")).cast("int").alias("lane"))
+
+
+def slot_ranks(rows: DataFrame, slot: list[str], order: list[str], parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with _part and _local, their part of their slot and their rank (from 0) in it, and (slot, _part, _rows, _before): the parts' rows and the rows of the slot's earlier parts.
+
+    A row's rank in its slot by ``order`` is _before + _local. A part is a range of the first column of ``order``, if that is a whole number
+    (else there is one), so a slot of any number of rows is ranked in many tasks.
+    """
+    first, n = order[0], parts or CELLS_A_TASK * _tasks(rows)
+    part = F.lit(0)
+    if rows.schema[first].dataType.typeName() in ("byte", "short", "integer", "long"):
+        low, high = rows.agg(F.min(first), F.max(first)).first()
+        if low is not None and high > low:
+            part = F.coalesce(F.floor((F.col(first).cast("decimal(20,0)") - low) * n / (high - low + 1)).cast("int"), F.lit(-1))
+    placed = rows.withColumn("_part", part)
+    local = F.row_number().over(Window.partitionBy(*slot, "_part").orderBy(*order)) - 1
+    counts = placed.groupBy(*slot, "_part").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*slot).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("_local", local), counts.withColumn("_before", F.coalesce(before, F.lit(0)))
 
 
 def grid_row(minute: Column, start: int = 540, step: int = 30) -> Column:

@@ -1,3 +1,4 @@
+import bisect
 import json
 import random
 from datetime import date
@@ -96,6 +97,43 @@ def test_overlaps_against_all_pairs(spark):
     assert len(got) == len(want) and {(x.a_id, x.b_id, x.severity) for x in got} == want
 
 
+def test_overlaps_of_one_crowded_day_are_dealt_evenly(spark):
+    r = random.Random(5)
+    # one day has nearly all rows, and one start a third of those
+    rows = [(k, 1 if k % 10 else 2, s := 600 if k % 3 == 0 else r.randint(540, 900), s + r.choice([30, 60, 240])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id int, date int, s int, e int")
+    cells = 24
+    spread, starts = intervals._dealt(df, "date", ["id"], cells)
+    on = ["date", "_range", "_a", "_b"]
+    work = [x["n"] * x["m"] for x in spread.groupBy(*on).agg(F.count("*").alias("n")).join(starts.groupBy(*on).agg(F.count("*").alias("m")), on).collect()]
+    assert len(work) >= cells / 2 and max(work) <= 4 * sorted(work)[len(work) // 2]
+    assert max(work) <= 4 * sum(work) / cells
+    got = intervals.overlap_pairs(df, "date", ["id"], cells=cells).groupBy("a_id").count().collect()
+    want = {}
+    for day in (1, 2):
+        mine = sorted((s, k, e) for k, d, s, e in rows if d == day)
+        starts_ = [x[:2] for x in mine]
+        for n, (s, k, e) in enumerate(mine):
+            want[k] = bisect.bisect_left(starts_, (e, -1)) - n - 1
+    assert {x.a_id: x["count"] for x in got} == {k: n for k, n in want.items() if n}
+
+
+def test_lanes_of_one_crowded_slot(spark):
+    rows = [(k, 1, 600, 660) if k % 2 else (k, 1, 540 + 30 * (k % 7), 630 + 30 * (k % 5) + 30 * (k % 7)) for k in range(2000)]
+    df = intervals.clusters(spark.createDataFrame(rows, "id int, d int, s int, e int"), "d")
+    ranked, parts = intervals.slot_ranks(df, ["d", "cluster", "s", "e"], ["id"], parts=16)
+    assert ranked.where("s = 600 and e = 660").groupBy("_part").count().agg(F.max("count")).first()[0] <= 1000 / 12
+    assert parts.where("s = 600 and e = 660").count() == 16
+    ends, want = [], {}
+    for k, _, s, e in sorted(rows, key=lambda x: (x[2], x[3], x[0])):
+        lane = next((i for i, end in enumerate(ends) if end <= s), len(ends))
+        ends[lane : lane + 1] = [e]
+        want[k] = lane
+    assert {x.id: x.lane for x in intervals.assign_lanes(df, "d", ["id"]).collect()} == want
+    named = df.withColumn("name", F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 5, "0")))
+    assert {int(x.name[1:]): x.lane for x in intervals.assign_lanes(named, "d", ["name"]).collect()} == want
+
+
 def test_lanes_against_a_loop(spark):
     r = random.Random(4)
     rows = [(k, 1, s := r.randint(0, 400), s + r.randint(1, 60)) for k in range(60)]
