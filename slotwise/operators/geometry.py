@@ -7,6 +7,8 @@ The y axis points up; bands are struct(y0, y1).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,36 +55,58 @@ def _run(r: Column) -> Column:
 
 
 def _by_x(runs: Column) -> Column:
-    return F.transform(F.array_sort(F.transform(runs, lambda r: F.struct(r["x"].alias("k"), _run(r).alias("r")))), lambda s: s["r"])
+    return F.transform(F.array_sort(F.transform(runs, lambda r, k: F.struct(r["x"].alias("k1"), k.alias("k2"), _run(r).alias("r")))), lambda s: s["r"])
+
+
+#: Values that one fold goes over: a fold copies all that it has gathered at each step, so a long array is folded by blocks.
+FOLDED = 256
+
+
+def _starts(values: Column, state: str, fresh: Callable[[Column, Column], Column], grown: Callable[[Column, Column], Column], begun: Callable[[Column], Column]) -> Column:
+    """The places (from 0, in order) at which a new group begins: where ``fresh`` of the open group's state and the value; the state is ``begun`` by that value, else ``grown``.
+
+    ``state`` is the state's type; before the first value it is null, and that is a beginning.
+    """
+    inner = f"struct<s: {state}, k: int, at: array<int>>"
+
+    def step(acc: Column, v: Column) -> Column:
+        new = acc["s"].isNull() | F.coalesce(fresh(acc["s"], v), F.lit(True))
+        moved = lambda at, s: F.struct(s.alias("s"), (acc["k"] + 1).alias("k"), at.alias("at")).cast(inner)
+        return F.when(new, moved(F.concat(acc["at"], F.array(acc["k"])), begun(v))).otherwise(moved(acc["at"], grown(acc["s"], v)))
+
+    def block(acc: Column, some: Column) -> Column:
+        zero = F.struct(acc["s"].alias("s"), acc["k"].alias("k"), F.array().cast("array<int>").alias("at")).cast(inner)
+        return let(F.aggregate(some, zero, step), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), F.concat(acc["at"], x["at"]).alias("at")).cast(inner))
+
+    def blocks(v: Column) -> Column:
+        many = F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / FOLDED).cast("int"))
+        return F.aggregate(F.transform(many, lambda k: F.slice(v, k * FOLDED + 1, FOLDED)), F.struct(F.lit(None).cast(state).alias("s"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("at")).cast(inner), block, lambda x: x["at"])
+
+    return F.when(values.isNotNull(), let(values, blocks))
+
+
+def _cut(values: Column, starts: Column) -> Column:
+    """The array in parts that begin at ``starts`` (from 0, in order, the first 0)."""
+    end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(values))
+    return F.transform(starts, lambda a, k: F.slice(values, a + 1, end(k) - a))
 
 
 def group_lines(runs: Column, tolerance: float = Y_TOLERANCE) -> Column:
     """array<struct(y, runs)>: runs from top to bottom; a run joins the line whose first run is at most ``tolerance`` away."""
     ordered = F.transform(F.array_sort(F.transform(runs, lambda r: F.struct((-r["y"]).cast("double").alias("k1"), r["x"].cast("double").alias("k2"), _run(r).alias("r")))), lambda s: s["r"])
-    zero = F.array().cast(f"array<{LINE}>")
 
-    def step(lines: Column, r: Column) -> Column:
-        last = F.try_element_at(lines, F.lit(-1))
-        fresh = F.struct(r["y"].alias("y"), F.array(r).alias("runs"))
-        grown = F.struct(last["y"].alias("y"), F.concat(last["runs"], F.array(r)).alias("runs"))
-        joins = F.coalesce(F.abs(r["y"] - last["y"]) <= tolerance, F.lit(False))
-        return F.when(joins, F.concat(_but_last(lines), F.array(grown))).otherwise(F.concat(lines, F.array(fresh)))
+    def lines(v: Column) -> Column:
+        starts = _starts(v, "double", lambda y, r: F.abs(r["y"] - y) > tolerance, lambda y, r: y, lambda r: r["y"])
+        return let(starts, lambda at: F.transform(_cut(v, at), lambda line: F.struct(F.get(line, F.lit(0))["y"].alias("y"), _by_x(line).alias("runs"))))
 
-    folded = F.aggregate(ordered, zero, step)
-    return F.transform(folded, lambda line: F.struct(line["y"].alias("y"), _by_x(line["runs"]).alias("runs")))
+    return let(ordered, lines)
 
 
 def split_by_gaps(runs: Column, gap: float | Column) -> Column:
     """array<array<run>>: a line's runs, cut where the space to the run before exceeds ``gap``."""
-    zero = F.array().cast(f"array<array<{RUN}>>")
-
-    def step(parts: Column, r: Column) -> Column:
-        last = F.try_element_at(parts, F.lit(-1))
-        before = F.try_element_at(last, F.lit(-1))
-        near = F.coalesce(r["x"] - (before["x"] + before["w"]) <= gap, F.lit(False))
-        return F.when(near, F.concat(_but_last(parts), F.array(F.concat(last, F.array(r))))).otherwise(F.concat(parts, F.array(F.array(r))))
-
-    return F.aggregate(_by_x(runs), zero, step)
+    apart = lambda v, k: F.coalesce(F.get(v, k)["x"] - (F.get(v, k - 1)["x"] + F.get(v, k - 1)["w"]) > gap, F.lit(True))
+    places = lambda v: F.filter(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0))), lambda k: (k < F.size(v)) & apart(v, k))
+    return let(_by_x(runs), lambda v: let(places(v), lambda at: _cut(v, at)))
 
 
 def line_text(runs: Column) -> Column:
@@ -108,15 +132,15 @@ def bands_from_rects(rects: Column) -> Column:
     """array<struct(y0, y1)>: extents from top to bottom; one that shares over 0.8 of the shorter with the band before joins it."""
     raw = F.array_sort(F.transform(rects, lambda r: F.struct((-(r["y"] + r["h"])).cast("double").alias("t"), (-r["y"]).cast("double").alias("b"))))
 
-    def step(out: Column, r: Column) -> Column:
-        y1, y0 = -r["t"], -r["b"]
-        last = F.try_element_at(out, F.lit(-1))
-        shorter = F.least(last["y1"] - last["y0"], y1 - y0)
-        joins = F.coalesce(last.isNotNull() & (shorter > 0) & ((F.least(last["y1"], y1) - F.greatest(last["y0"], y0)) / F.when(shorter > 0, shorter) > OVERLAP), F.lit(False))
-        grown = F.struct(F.least(last["y0"], y0).alias("y0"), F.greatest(last["y1"], y1).alias("y1"))
-        return F.when(joins, F.concat(_but_last(out), F.array(grown))).otherwise(F.concat(out, F.array(F.struct(y0.alias("y0"), y1.alias("y1")))))
+    def apart(last: Column, r: Column) -> Column:
+        shorter = F.least(last["y1"] - last["y0"], -r["t"] + r["b"])
+        shared = F.least(last["y1"], -r["t"]) - F.greatest(last["y0"], -r["b"])
+        return ~F.coalesce((shorter > 0) & (shared / F.when(shorter > 0, shorter) > OVERLAP), F.lit(False))
 
-    return F.aggregate(raw, F.array().cast(f"array<{BAND}>"), step)
+    grown = lambda last, r: F.struct(F.least(last["y0"], -r["b"]).alias("y0"), F.greatest(last["y1"], -r["t"]).alias("y1"))
+    begun = lambda r: F.struct((-r["b"]).alias("y0"), (-r["t"]).alias("y1"))
+    extent = lambda v: F.struct(F.array_min(F.transform(v, lambda r: -r["b"])).alias("y0"), F.array_max(F.transform(v, lambda r: -r["t"])).alias("y1")).cast(BAND)
+    return let(raw, lambda v: let(_starts(v, BAND, apart, grown, begun), lambda at: F.transform(_cut(v, at), extent)))
 
 
 def bands_from_labels(ys: Column, top: Column, bottom: Column) -> Column:

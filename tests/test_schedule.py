@@ -151,6 +151,56 @@ def test_lanes_against_a_loop(spark):
     assert {x.cluster: x.lanes for x in intervals.lane_counts(df, "d").collect()} == lanes
 
 
+def test_page_folds_against_loops(spark):
+    r, pages = random.Random(8), []
+    for k in range(40):
+        runs = [(round(r.uniform(0, 60), 1), round(r.uniform(0, 300), 1), round(r.uniform(1, 30), 1), f"t{i}") for i in range(r.randint(0, 90))]
+        rects = [(0.0, round(r.uniform(0, 90), 1), 9.0, round(r.choice([0.0, 4.0, 20.0]) + r.uniform(0, 9), 1)) for _ in range(r.randint(0, 30))]
+        pages.append((k, runs, rects))
+    df = spark.createDataFrame(pages, "k int, runs array<struct<y: double, x: double, w: double, text: string>>, rects array<struct<x: double, y: double, w: double, h: double>>")
+    got = df.select("k", geometry.group_lines(F.col("runs")).alias("lines"), geometry.bands_from_rects(F.col("rects")).alias("bands")).withColumn("parts", F.transform("lines", lambda x: geometry.split_by_gaps(x["runs"], 12.0))).collect()
+    for (_, runs, rects), x in zip(pages, sorted(got, key=lambda x: x.k), strict=True):
+        lines = []
+        for run in sorted(runs, key=lambda t: (-t[0], t[1])):
+            if lines and abs(run[0] - lines[-1][0][0]) <= 2.0:
+                lines[-1].append(run)
+            else:
+                lines.append([run])
+        want = [(line[0][0], sorted(line, key=lambda t: t[1])) for line in lines]
+        assert [(y, [t[3] for t in rs]) for y, rs in want] == [(v.y, [t.text for t in v.runs]) for v in x.lines]
+        for (_, rs), parts in zip(want, x.parts, strict=True):
+            cut = [[rs[0]]]
+            for a, b in zip(rs, rs[1:], strict=False):
+                cut += [[b]] if b[1] - (a[1] + a[2]) > 12.0 else []
+                cut[-1] += [b] if cut[-1][-1] is not b else []
+            assert [[t[3] for t in c] for c in cut] == [[t.text for t in c] for c in parts]
+        bands = []
+        for y1, y0 in sorted(((q[1] + q[3], q[1]) for q in rects), key=lambda t: (-t[0], -t[1])):
+            least = min(bands[-1][1] - bands[-1][0], y1 - y0) if bands else 0
+            if bands and least > 0 and (min(bands[-1][1], y1) - max(bands[-1][0], y0)) / least > 0.8:
+                bands[-1] = (min(bands[-1][0], y0), max(bands[-1][1], y1))
+            else:
+                bands.append((y0, y1))
+        assert [tuple(b) for b in x.bands] == bands
+
+
+def test_folds_of_a_large_page_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        runs = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct((k % (n / 4)).cast("double").alias("y"), (k % 997).cast("double").alias("x"), F.lit(3.0).alias("w"), F.lit("t").alias("text")))
+        rects = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct(F.lit(0.0).alias("x"), (k * 10).cast("double").alias("y"), F.lit(9.0).alias("w"), F.lit(7.0).alias("h")))
+        df = spark.range(1).repartition(1).select(F.size(geometry.group_lines(runs)).alias("a"), F.size(geometry.bands_from_rects(rects)).alias("b"), F.size(geometry.split_by_gaps(F.transform(runs, lambda r: r), 1.0)).alias("c"))
+        start = time.time()
+        row = df.first()
+        assert row.b == n
+        return time.time() - start
+
+    took(1000)
+    few, many = took(25_000), took(100_000)
+    assert many < 8 * few + 1, (few, many)
+
+
 def test_lines_and_blocks(spark):
     runs = [(100.0, 10.0, 20.0, "Big "), (99.0, 30.0, 20.0, "Data"), (97.5, 90.0, 20.0, "Other"), (80.0, 12.0, 30.0, "Room 5001")]
     df = spark.createDataFrame([(runs,)], "runs array<struct<y: double, x: double, w: double, text: string>>")
@@ -248,6 +298,16 @@ def test_matches_among_candidates_are_those_among_all_pairs(spark):
     assert len({v[1] for v in every.values()}) > 1
 
 
+def test_forms_of_one_pass_are_those_of_built_in_functions(spark):
+    r = random.Random(12)
+    parts = [*"aZé ß№ﬁ&-:/*().9h", "HCI", "HCI basics: ", "i and e basics :", "(10:00 to 12:00)", "(12:00-10:00)", "(9-10 h.)", "(7:00 PM - 9:00)", "(9:00-10:00", " 12:00 h.", "12:00h", "(Weeks 1-7)", "(sep - oct)", "(elective)", "( * )", "///", "////", "*", "e-mail", "E Health", "the", "of", "\u00a0", "\u3000", "\n", "\t", "–", "‘", "Ⅱ", "e\u0301", "İ", "Ω", "ñ", "漢字", "_", "'", "x"]
+    texts = ["".join(r.choice(parts) + r.choice(["", "", " "]) for _ in range(r.randint(0, 9))) for _ in range(1500)] + [None, "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", "t", text.normalise(F.col("t")).alias("a"), text.normalise_inline(F.col("t")).alias("b"))
+    wrong = [(x.t, x.a, x.b) for x in df.collect() if x.a != x.b]
+    assert not wrong, wrong[:3]
+    assert df.where("a.full is null").count() == 1 and df.where("size(a.candidates) > 0").count() > 5
+
+
 def test_spaces_and_letters_beyond_ascii(spark):
     row = spark.range(1).select(
         times.parse_time(F.lit("\t9:00\n")).alias("time"), times.resolve_validity(F.lit("\tWeeks 1-7\u00a0"))["from"].cast("string").alias("window"), text.collapse(F.lit("a\u00a0\u2003b\u3000")).alias("line"),
