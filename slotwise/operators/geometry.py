@@ -46,6 +46,37 @@ def compose(m: list[Column], n: list[Column]) -> list[Column]:
     return [m[0] * n[0] + m[2] * n[1], m[1] * n[0] + m[3] * n[1], m[0] * n[2] + m[2] * n[3], m[1] * n[2] + m[3] * n[3], m[0] * n[4] + m[2] * n[5] + m[4], m[1] * n[4] + m[3] * n[5] + m[5]]
 
 
+DRAWING = "struct<op: string, args: array<double>>"
+BOX = "struct<x: double, y: double, w: double, h: double>"
+_DRAWN = f"struct<m: array<double>, stack: array<array<double>>, out: array<{BOX}>>"
+
+
+def drawn_boxes(ops: Column) -> Column:
+    """array<struct(x, y, w, h)>: the boxes that a page's drawing operators (``DRAWING``, in order) put on it, each under the matrix of its time.
+
+    ``save`` keeps the matrix on a stack, ``restore`` takes it back (with nothing kept it does nothing), ``transform`` (six numbers) applies before
+    what holds, ``box`` (x, y, w, h) draws. Other operators, and those with too few numbers, are passed over.
+    """
+    arg = lambda o, k: F.get(o["args"], F.lit(k))
+
+    def step(acc: Column, o: Column) -> Column:
+        m = [F.get(acc["m"], F.lit(k)) for k in range(6)]
+        state = lambda now, stack, out: F.struct(now.alias("m"), stack.alias("stack"), out.alias("out")).cast(_DRAWN)
+        n = F.size(o["args"])
+        moved = state(F.array(*compose(m, [arg(o, k) for k in range(6)])), acc["stack"], acc["out"])
+        kept = state(acc["m"], F.concat(acc["stack"], F.array(acc["m"])), acc["out"])
+        back = state(F.element_at(acc["stack"], -1), _but_last(acc["stack"]), acc["out"])
+        box = state(acc["m"], acc["stack"], F.concat(acc["out"], F.array(transform_box(m, *[arg(o, k) for k in range(4)]).cast(BOX))))
+        return F.when(o["op"] == "save", kept).when((o["op"] == "restore") & (F.size(acc["stack"]) > 0), back).when((o["op"] == "transform") & (n >= 6), moved).when((o["op"] == "box") & (n >= 4), box).otherwise(acc)
+
+    def block(acc: Column, some: Column) -> Column:
+        zero = F.struct(acc["m"].alias("m"), acc["stack"].alias("stack"), F.array().cast(f"array<{BOX}>").alias("out")).cast(_DRAWN)
+        return let(F.aggregate(some, zero, step), lambda x: F.struct(x["m"].alias("m"), x["stack"].alias("stack"), F.concat(acc["out"], x["out"]).alias("out")).cast(_DRAWN))
+
+    start = F.struct(F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)]).alias("m"), F.array().cast("array<array<double>>").alias("stack"), F.array().cast(f"array<{BOX}>").alias("out")).cast(_DRAWN)
+    return F.aggregate(_blocks(ops), start, block, lambda x: x["out"])
+
+
 RUN = "struct<y: double, x: double, w: double, text: string>"
 LINE = f"struct<y: double, runs: array<{RUN}>>"
 
@@ -62,6 +93,11 @@ def _by_x(runs: Column) -> Column:
 FOLDED = 256
 
 
+def _blocks(v: Column) -> Column:
+    """The array in arrays of ``FOLDED`` values."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / FOLDED).cast("int")), lambda k: F.slice(v, k * FOLDED + 1, FOLDED))
+
+
 def _starts(values: Column, state: str, fresh: Callable[[Column, Column], Column], grown: Callable[[Column, Column], Column], begun: Callable[[Column], Column]) -> Column:
     """The places (from 0, in order) at which a new group begins: where ``fresh`` of the open group's state and the value; the state is ``begun`` by that value, else ``grown``.
 
@@ -79,8 +115,7 @@ def _starts(values: Column, state: str, fresh: Callable[[Column, Column], Column
         return let(F.aggregate(some, zero, step), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), F.concat(acc["at"], x["at"]).alias("at")).cast(inner))
 
     def blocks(v: Column) -> Column:
-        many = F.sequence(F.lit(0), F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / FOLDED).cast("int"))
-        return F.aggregate(F.transform(many, lambda k: F.slice(v, k * FOLDED + 1, FOLDED)), F.struct(F.lit(None).cast(state).alias("s"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("at")).cast(inner), block, lambda x: x["at"])
+        return F.aggregate(_blocks(v), F.struct(F.lit(None).cast(state).alias("s"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("at")).cast(inner), block, lambda x: x["at"])
 
     return F.when(values.isNotNull(), let(values, blocks))
 

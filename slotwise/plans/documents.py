@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.operators import lists, pages, parsers
+from slotwise.operators import geometry, lists, pages, parsers
 from slotwise.plans.common import table
 
 RUN = "struct<y: double, x: double, w: double, text: string>"
@@ -132,6 +132,15 @@ def sub_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def nested_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of pages that save and restore their matrix: doubled and moved, turned by a quarter within that, and as before behind it."""
+    size = F.col("p_size").cast("double")
+    op = lambda name, *args: F.struct(F.lit(name).alias("op"), F.array(*[(a if isinstance(a, Column) else F.lit(float(a))) for a in args]).cast("array<double>").alias("args"))
+    ops = [op("transform", 1, 0, 0, 1, 10, 20), op("save"), op("transform", 2, 0, 0, 2, size, 0), op("box", 1, 2, 3, 4), op("save"), op("transform", 0, 1, -1, 0, 0, 0), op("box", 1, 0, 2, 1), op("restore"), op("box", 0, 0, 1, 1), op("restore"), op("restore"), op("stroke"), op("box", 5, size, 1, 1)]
+    drawn = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(geometry.drawn_boxes(F.array(*ops))).alias("n", "b"))
+    return drawn.select("p_partkey", F.col("n").cast("int").alias("n"), "b.x", "b.y", "b.w", "b.h")
+
+
 BAND_COLUMNS = 11
 
 
@@ -148,7 +157,7 @@ def band_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("source").cast("bigint").alias("p_partkey"), "name", "a", "b", "span_source", F.round("span_margin", 6).alias("margin"))
 
 
-QUERIES = {f.__name__: f for f in (weekly_lists, day_grids, month_calendars, slot_rows, sub_grids, band_spans)}
+QUERIES = {f.__name__: f for f in (weekly_lists, day_grids, month_calendars, slot_rows, sub_grids, band_spans, nested_boxes)}
 _TEN = "with p as (select p_name, p_size, p_partkey // 10 as page, cast(p_partkey % 10 % 5 + 1 as int) as weekday, (p_partkey % 10) // 5 as i from part)"
 _GRID = """select {side} as side, p_partkey, label, cast(k + 1 as int) as weekday, p_name || ' ' || label as raw_name,
  cast(first * 60 + 60 * a as int) as start_min, cast(first * 60 + 60 * (b + 1) as int) as end_min, 'rect' as span_source
@@ -164,6 +173,7 @@ ORACLE_SQL = {
     "day_grids": f"{_TEN} select page, weekday, p_name as raw_name, case when i = 0 then 540 else 1140 end as start_min, case when i = 0 then 660 else 1260 end as end_min, case when p_size % 3 = 0 then p_size::varchar else 'R' || page end as room from p",
     "month_calendars": "select p_partkey // 28 as page, date '2027-01-01' + cast(p_partkey % 28 as int) as date, p_name as raw_name, case when p_size % 5 <> 0 then cast(540 + 30 * (p_size % 10) as int) end as start_min, case when p_size % 5 <> 0 then cast(660 + 30 * (p_size % 10) as int) end as end_min from part",
     "slot_rows": "select p_partkey, printf('%.1f-%.1f 600-780;%.1f-%.1f 900-1080', 300.0 + p_size, 465.0 + p_size, 0.0, 300.0 + p_size) as by_text, printf('%.1f-%.1f 600-780;%.1f-%.1f 900-1080', 350.0 + p_size, 450.0 + p_size, 150.0 + p_size, 250.0 + p_size) as by_content, printf('%.1f-%.1f 600-780;%.1f-%.1f 900-1080', 340.0 + p_size, 460.0 + p_size, 140.0 + p_size, 260.0 + p_size) as by_label, case when p_partkey % 5 < 4 then '3S' end as semester from part",
+    "nested_boxes": "select p_partkey, n::int as n, x::double as x, y::double as y, w::double as w, h::double as h from part, lateral (values (0, 12.0 + p_size, 24.0, 6.0, 8.0), (1, 8.0 + p_size, 22.0, 2.0, 4.0), (2, 10.0 + p_size, 20.0, 2.0, 2.0), (3, 15.0, 20.0 + p_size, 1.0, 1.0)) v(n, x, y, w, h)",
     "sub_grids": _GRID.format(side="true") + " union all " + _GRID.format(side="false"),
     "band_spans": f"with recursive {_SPANS} select p_partkey, 'n' || x.k as name, cast(x.a as int) as a, cast(x.b as int) as b, 'inferred' as span_source, round(margin, 6) as margin from (select p_partkey, unnest(spans) as x, margin from r where place = 1) union all select p_partkey, 'n2', 3, 3, 'rect', null from part",
 }

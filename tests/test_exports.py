@@ -58,6 +58,19 @@ def test_env_files_and_sources_in_scope(spark, tmp_path):
     assert readers.in_scope(spark.createDataFrame([("primary",), ("out-of-scope",), ("crosscheck",)], "role string")).count() == 1
 
 
+def test_ordered_tables(spark, tmp_path):
+    import glob
+
+    names = [f"{a}{b}{k % 7}" for k in range(60) for a in ("Zeta", "ábaco", "abacus", "zebra", "Écija", "efe") for b in ("", " b")]
+    path = str(tmp_path / "o")
+    writers.write_ordered(spark.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, k int").repartition(5), "name", path, 8)
+    files = sorted(glob.glob(f"{path}/part-*"))
+    got = [r.name for f in files for r in spark.read.parquet(f).collect()]
+    assert len(files) > 3 and sorted(got) == sorted(names)
+    want = [r.name for r in spark.createDataFrame([(n,) for n in names], "name string").orderBy(F.collate("name", "UNICODE"), "name").collect()]
+    assert got == want and got[0].startswith("ábaco") and got[-1].startswith("Zeta")
+
+
 def test_only_changed_documents_are_written(spark, tmp_path):
     path = str(tmp_path / "d")
     docs = lambda *rows: spark.createDataFrame(rows, "k string, v int")
@@ -100,6 +113,35 @@ def test_curation_maps_and_masters(spark, tmp_path):
     assert readers.masters(spark.createDataFrame([("Master",), ("bachelor",)], "level string")).count() == 1
 
 
+def test_boxes_of_nested_states_against_a_loop(spark):
+    import random
+
+    r, pages_ = random.Random(2), []
+    for k in range(30):
+        ops = []
+        for _ in range(r.choice([0, 5, 40, 700])):
+            op = r.choice(["save", "restore", "transform", "box", "box", "fill"])
+            n = {"transform": 6, "box": 4}.get(op, 0)
+            ops.append((op, [float(r.randint(-2, 2)) for _ in range(n - (r.random() < 0.05 and n > 0))]))
+        pages_.append((k, ops))
+    df = spark.createDataFrame(pages_, f"k int, ops array<{geometry.DRAWING}>").select("k", geometry.drawn_boxes(F.col("ops")).alias("b"))
+    got = {x.k: [tuple(b) for b in x.b] for x in df.collect()}
+    for k, ops in pages_:
+        m, stack, want = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), [], []
+        for op, a in ops:
+            if op == "save":
+                stack.append(m)
+            elif op == "restore" and stack:
+                m = stack.pop()
+            elif op == "transform" and len(a) == 6:
+                m = (m[0] * a[0] + m[2] * a[1], m[1] * a[0] + m[3] * a[1], m[0] * a[2] + m[2] * a[3], m[1] * a[2] + m[3] * a[3], m[0] * a[4] + m[2] * a[5] + m[4], m[1] * a[4] + m[3] * a[5] + m[5])
+            elif op == "box" and len(a) == 4:
+                corners = [(m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]) for x in (a[0], a[0] + a[2]) for y in (a[1], a[1] + a[3])]
+                xs, ys = zip(*corners, strict=True)
+                want.append((min(xs), min(ys), max(xs) - min(xs), max(ys) - min(ys)))
+        assert got[k] == want
+
+
 def test_boxes_and_fills(spark):
     half, lit = [F.lit(v) for v in (0.0, 2.0, -1.0, 0.0, 5.0, 7.0)], F.lit
     both = geometry.compose(half, [lit(v) for v in (1.0, 0.0, 0.0, 1.0, 3.0, 4.0)])
