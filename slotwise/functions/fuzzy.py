@@ -73,14 +73,45 @@ def token_keys(tokens: Column) -> Column:
     return F.array_distinct(keys)
 
 
-def candidates(targets: DataFrame, items: DataFrame) -> DataFrame:
+#: Parts of the work of meeting by token for each of the session's shuffle partitions; no key takes more than one part's work in one place.
+PARTS_A_TASK = 4
+
+
+def _keyed(names: DataFrame, name: str, forms: str) -> DataFrame:
+    return names.select(name, F.explode(token_keys(F.col(f"{forms}.tokens"))).alias("_key"))
+
+
+def heavy_keys(targets: DataFrame, items: DataFrame, parts: int) -> DataFrame:
+    """(_key, a_parts, b_parts) of the keys under which more than one in ``parts`` of all pairs meet: fewer than ``parts`` keys, each dealt to a_parts by b_parts cells of about that work."""
+    n, m = targets.groupBy("_key").agg(F.count("*").alias("n")), items.groupBy("_key").agg(F.count("*").alias("m"))
+    work = n.join(m, "_key").select("_key", "n", "m", (F.col("n").cast("double") * F.col("m")).alias("w"))
+    share = F.greatest(F.col("all") / parts, F.lit(1.0))
+    heavy = work.crossJoin(F.broadcast(work.agg(F.sum("w").alias("all")))).where(F.col("w") > share)  # one row
+    cells = F.ceil(F.col("w") / share)
+    b_parts = F.least(F.ceil(F.sqrt(cells)), F.col("m"))
+    return heavy.select("_key", F.least(F.ceil(cells / b_parts), F.col("n")).cast("int").alias("a_parts"), b_parts.cast("int").alias("b_parts"))
+
+
+def candidate_names(targets: DataFrame, items: DataFrame, parts: int | None = None) -> DataFrame:
+    """(target, item), once each, of the names that ``candidates`` pairs: only names move, and common tokens are met in many places."""
+    t, i = _keyed(targets, "target", "a"), _keyed(items, "item", "b")
+    heavy = F.broadcast(heavy_keys(t, i, parts or PARTS_A_TASK * max(1, int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")))))  # fewer rows than parts
+    one = lambda c: F.coalesce(c, F.lit(1))
+    part = lambda name, n: F.pmod(F.xxhash64(name), one(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), one(n) - 1))
+    left = t.join(heavy, "_key", "left").select("target", "_key", part("target", "a_parts").alias("_a"), every("b_parts").alias("_b"))
+    right = i.join(heavy, "_key", "left").select("item", "_key", part("item", "b_parts").alias("_b"), every("a_parts").alias("_a"))
+    return left.join(right, ["_key", "_a", "_b"]).select("target", "item").distinct()
+
+
+def candidates(targets: DataFrame, items: DataFrame, parts: int | None = None) -> DataFrame:
     """Pairs of a target (target, a) and an item (item, b) that share a token or nearly (by ``token_keys``), each once; a and b are normalised names.
 
     Names that share none score below every bound of ``outcome``: all but the edit distance is nothing then. Names without a token meet nobody.
+    A target's best and second best may share only common tokens with it, so no token is left out; the pairs of a common one are dealt out by their measured
+    number (``heavy_keys``). Targets and items have a row a name.
     """
-    t = targets.select("target", "a", F.explode(token_keys(F.col("a.tokens"))).alias("_key"))
-    i = items.select("item", "b", F.explode(token_keys(F.col("b.tokens"))).alias("_key"))
-    return t.join(i, "_key").dropDuplicates(["target", "item"]).drop("_key")
+    return candidate_names(targets, items, parts).join(targets.select("target", "a"), "target").join(items.select("item", "b"), "item").select("target", "a", "item", "b")
 
 
 def best_match(scored: DataFrame, target: str, item: str, order: str) -> DataFrame:

@@ -287,6 +287,27 @@ def test_queries_match_sql(spark, name):
     assert sorted(tuple(plain(r[c]) for c in cols) for r in df.collect()) == sorted(tuple(plain(r[want.columns.index(c)]) for c in cols) for r in want.fetchall())
 
 
+def test_common_tokens_are_met_in_many_places(spark):
+    # nearly all names share one token, so under its key meet nearly all pairs
+    names = [f"systems design n{k:03d}" if k % 10 else f"lone k{k:03d}" for k in range(120)]
+    rows = spark.createDataFrame([(n,) for n in names], "item string").select("item", text.normalise(F.col("item")).alias("b"))
+    targets = rows.select(F.col("item").alias("target"), F.col("b").alias("a"))
+    t, i = fuzzy._keyed(targets, "target", "a"), fuzzy._keyed(rows, "item", "b")
+    heavy = {x._key: x.a_parts * x.b_parts for x in fuzzy.heavy_keys(t, i, 32).collect()}
+    assert len(heavy) < 32 and heavy["systems"] >= 2 and heavy["design"] == heavy["systems"]
+    pairs = fuzzy.candidate_names(targets, rows, 32)
+    count, tokens = pairs.count(), [set(n.split()) for n in names]
+    near = lambda a, b: any(x == y or (min(len(x), len(y)) >= 5 and abs(len(x) - len(y)) <= 1 and one_edit(x, y)) for x in a for y in b)
+    assert count == pairs.distinct().count() == sum(near(a, b) for a in tokens for b in tokens)
+
+
+def one_edit(x, y):
+    if len(x) == len(y):
+        return sum(a != b for a, b in zip(x, y, strict=True)) <= 1
+    x, y = sorted((x, y), key=len)
+    return any(y[:k] + y[k + 1 :] == x for k in range(len(y)))
+
+
 def test_matches_among_candidates_are_those_among_all_pairs(spark):
     names = ["Human Computer Interaction", "Human-Computer Interactions", "Big Data", "Big Date", "Operating Systems", "Oparating Systems Design", "Health Informatics", "eHealth", "E-Health Systems", "a", "Networks", "Netwrks"]
     rows = spark.createDataFrame([(n,) for n in names], "item string").select("item", text.normalise(F.col("item")).alias("b"))
