@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions.catalogue import credit_value
-from slotwise.functions.text import collapse
+from slotwise.functions.text import collapse, composed
 
 
 def missing(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -19,13 +19,20 @@ def missing(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def account(found: DataFrame, declared: DataFrame, key: str) -> DataFrame:
-    """(key, problem): declared keys that were not found, and found ones that were not declared."""
-    a = found.select(key).distinct().withColumn("_found", F.lit(True))
-    b = declared.select(key).distinct().withColumn("_declared", F.lit(True))
+    """(key, problem): declared keys that were not found, and found ones that were not declared. Texts are told apart in their composed form (NFC), as file systems spell paths in either."""
+    text = {df.schema[key].dataType.typeName() for df in (found, declared)} == {"string"}
+    own = F.col(key) if not text else composed(F.col(key)).alias(key)
+    a = found.select(own).distinct().withColumn("_found", F.lit(True))
+    b = declared.select(own).distinct().withColumn("_declared", F.lit(True))
     problem = F.when(F.col("_found").isNull(), "missing").when(F.col("_declared").isNull(), "undeclared")
     return a.join(b, key, "full_outer").select(key, problem.alias("problem")).where("problem is not null")
 
 
+def distinct_list(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """(by, name): each group's distinct values in order, nulls left out. They are found first, so no more than those are collected."""
+    return df.select(*by, value).distinct().groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
 def long_metrics(df: DataFrame, key: list[str], metrics: list[str], value: str) -> DataFrame:
     """(key, metric, value) of a table that has a column for each metric."""
     return df.unpivot(key, metrics, "metric", value)

@@ -74,6 +74,18 @@ def source_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.account(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
+def path_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths found, their accents spelt out (as one file system lists them), against those declared with composed letters."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat(F.lit("horarios/"), F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string")).alias("path"))
+    found = p.where("k % 3 <> 0").select(F.concat("path", F.lit(" Ma\u0301ster 2\u00ba.pdf")).alias("path"))
+    return op.account(found, p.where("k % 4 <> 0").select(F.concat("path", F.lit(" M\u00e1ster 2\u00ba.pdf")).alias("path")), "path")
+
+
+def family_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct types of each brand's parts, in order."""
+    return op.distinct_list(table(spark, sf_dir, "part"), ["p_brand"], "p_type", "types").select("p_brand", F.array_join("types", ",").alias("types"))
+
+
 def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose hash is not the recorded one (recorded for even ids, for every tenth from its lower case; others are not looked up)."""
     d = table(spark, sf_dir, "documents")
@@ -251,7 +263,7 @@ CREDITS = """cells as (select concat(p_brand, '/', p_size) as key, lower(p_type)
  credit as (select k.key, s.credits from (select distinct key from cells) k left join summed s using (key))"""
 
 QUERIES = {f.__name__: f for f in (
-    programme_balance, anti_orderless, star_join, witness_counts, shared_agreement, first_dedupe, exam_merge, course_rollup, source_accounting, manifest_check, metric_expectations,
+    programme_balance, anti_orderless, star_join, witness_counts, shared_agreement, first_dedupe, exam_merge, course_rollup, source_accounting, path_accounting, family_lists, manifest_check, metric_expectations,
     duration_mix, assumed_share, constraint_violations, quality_verdict, diagnostic_notes, credit_sum, plan_credits, catalogue_filter, witness_merge, exam_overrides, truth_blocks,
     set_operations, nocase_order, top_slots, runner_up, offering_match, resolution_cascade, nested_export,
 )}
@@ -265,6 +277,8 @@ ORACLE_SQL = {
     "exam_merge": "select l_partkey, l_returnflag, array_to_string(list_sort(list(distinct printf('%06d', l_suppkey))), ',') as suppliers, cast(sum(l_linenumber) as bigint) as witnesses, arg_min(l_linestatus, l_orderkey * 100 + l_linenumber) as l_linestatus from lineitem group by 1, 2",
     "course_rollup": "with p as (select lower(p_brand) as key, case when p_partkey % 2 = 0 then upper(p_name) || ' É' else p_name || ' é' end as name, p_type, p_size, p_partkey from part), o as (select *, row_number() over (partition by key order by translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), name, p_partkey) as n from p), t as (select key, p_type, min(n) as n from o group by 1, 2) select key, (select name from o where o.key = x.key and n = 1) as name, (select string_agg(p_type, ',' order by n) from t where t.key = x.key) as types, large from (select key, bool_or(p_size > 45) as large from p group by 1) x",
     "source_accounting": "select coalesce(d.doc_id, l.doc_id) as doc_id, case when d.doc_id is null then 'missing' else 'undeclared' end as problem from (select distinct doc_id from documents) d full outer join (select distinct doc_id from labels) l on d.doc_id = l.doc_id where d.doc_id is null or l.doc_id is null",
+    "path_accounting": "select 'horarios/' || p_name || ' ' || p_partkey || ' M\u00e1ster 2\u00ba.pdf' as path, case when p_partkey % 3 = 0 then 'missing' else 'undeclared' end as problem from part where (p_partkey % 3 = 0) <> (p_partkey % 4 = 0)",
+    "family_lists": "select p_brand, array_to_string(list_sort(list(distinct p_type)), ',') as types from part group by 1",
     "manifest_check": "select doc_id from documents where doc_id % 10 = 0 and sha256(text) <> sha256(lower(text))",
     "metric_expectations": "select e.lang, e.metric, e.expected, m.actual, coalesce(e.expected = m.actual, false) as ok from (select l.lang, x.metric, x.expected from (values ('de'), ('en'), ('it')) l(lang), (values ('documents', 150::bigint), ('sources', 20::bigint)) x(metric, expected)) e left join (select lang, 'documents' as metric, count(*) as actual from documents group by 1 union all select lang, 'sources', count(distinct source) from documents group by 1) m using (lang, metric)",
     "duration_mix": f"with {PLACED} {EXAM_SOURCE} order by n desc",
