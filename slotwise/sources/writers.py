@@ -22,10 +22,26 @@ def bundle(courses: DataFrame, sessions: DataFrame, exams: DataFrame) -> DataFra
     return both.select(*courses.columns, empty("sessions"), empty("exams"))
 
 
-def write_bundle(courses: DataFrame, path: str, built_at: str) -> None:
-    """The whole bundle as one JSON document, courses in the order of their names as people sort them: for the few courses of a timetable."""
-    one = courses.agg(F.array_sort(F.collect_list(F.struct(F.collate("name", "UNICODE").alias("_k"), F.struct(*courses.columns).alias("c")))).alias("x"))
-    one.select(F.lit(1).alias("schemaVersion"), F.lit(built_at).alias("builtAt"), F.transform("x", lambda r: r["c"]).alias("courses")).coalesce(1).write.mode("overwrite").json(path)
+#: Entries of one JSON document of a bundle or of the guides, about: a larger build is several documents, in order.
+A_DOCUMENT = 1000
+
+
+def _numbered(df: DataFrame, by: str | Column, size: int) -> DataFrame:
+    """``df`` with _doc: ranges of ``by`` in order, of about ``size`` rows each (Spark samples their bounds)."""
+    n = max(1, -(-df.count() // size))
+    return df.repartitionByRange(n, by).withColumn("_doc", F.spark_partition_id())
+
+
+def _write_documents(docs: DataFrame, path: str) -> None:
+    """One JSON document a row, in files that are in the order of _doc."""
+    docs.repartitionByRange(F.col("_doc")).sortWithinPartitions("_doc").drop("_doc").write.mode("overwrite").json(path)
+
+
+def write_bundle(courses: DataFrame, path: str, built_at: str, size: int = A_DOCUMENT) -> None:
+    """The bundle as JSON documents of about ``size`` courses each, in the order of their names as people sort them; a bundle of that size or less is one document."""
+    named = _numbered(courses.withColumn("_k", F.collate("name", "UNICODE")), "_k", size)
+    some = named.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("_k", F.struct(*courses.columns).alias("c")))).alias("x"))
+    _write_documents(some.select("_doc", F.lit(1).alias("schemaVersion"), F.lit(built_at).alias("builtAt"), F.transform("x", lambda r: r["c"]).alias("courses")), path)
 
 
 def write_ordered(df: DataFrame, column: str, path: str, files: int, collation: str = "UNICODE") -> None:
@@ -50,12 +66,14 @@ def extraction_manifest(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("source.path").alias("path"), F.col("source.sha256").alias("sha256"), F.col("source.bytes").alias("bytes"), size("runs"), size("rects"), F.coalesce("imageOnly", F.lit(False)).alias("imageOnly"))
 
 
-def write_guides(verified: DataFrame, languages: DataFrame, year: str, path: str) -> None:
-    """The curated guides as one JSON document: links (url) that exist, and languages (plan, code, lang) by ``plan|code``. Both are written, whichever was found anew."""
-    links = verified.agg(F.array_sort(F.collect_set("url")).alias("verified"))
+def write_guides(verified: DataFrame, languages: DataFrame, year: str, path: str, size: int = A_DOCUMENT) -> None:
+    """The curated guides as JSON documents of about ``size`` entries: links (url) that exist, and languages (plan, code, lang) by ``plan|code``, each in order. Both are written, whichever was found anew."""
+    links = _numbered(verified.select("url").distinct(), "url", size).groupBy("_doc").agg(F.array_sort(F.collect_list("url")).alias("verified"))
     by = languages.groupBy(F.concat_ws("|", "plan", "code").alias("k")).agg(F.array_sort(F.collect_set("lang")).alias("v"))
-    spoken = by.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("languages"))
-    links.join(spoken, how="cross").select(F.lit(year).alias("year"), "verified", "languages").coalesce(1).write.mode("overwrite").json(path)  # one row each
+    spoken = _numbered(by, "k", size).groupBy("_doc").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("languages"))
+    both = links.join(spoken, "_doc", "full_outer")
+    none = lambda c: F.coalesce(c, F.map_from_arrays(F.array(), F.array()).cast("map<string, array<string>>") if c == "languages" else F.array().cast("array<string>")).alias(c)
+    _write_documents(both.select("_doc", F.lit(year).alias("year"), none("verified"), none("languages")), path)
 
 
 def plan_link(keys: Column, custom: Column) -> Column:

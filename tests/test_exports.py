@@ -25,6 +25,16 @@ def test_names_sort_as_people_do(spark, tmp_path):
     assert [c["name"] for c in doc["courses"]] == ["Álgebra", "alpha", "beta", "Zeta"] or [c["name"] for c in doc["courses"]] == ["alpha", "Álgebra", "beta", "Zeta"]
 
 
+def test_large_bundles_and_guides_are_several_documents_in_order(spark, tmp_path):
+    names = [f"n{k:03d}" for k in range(200)]
+    writers.write_bundle(spark.createDataFrame([(n, n) for n in reversed(names)], "key string, name string").repartition(4), str(tmp_path / "b"), "now", size=30)
+    docs = [json.loads(x) for f in sorted((tmp_path / "b").glob("part-*.json")) for x in f.read_text().splitlines()]
+    assert len(docs) > 3 and [c["name"] for d in docs for c in d["courses"]] == names and {d["builtAt"] for d in docs} == {"now"}
+    writers.write_guides(spark.createDataFrame([(n,) for n in names], "url string"), spark.createDataFrame([("p", n, "EN") for n in names[:50]], "plan string, code string, lang string"), "y", str(tmp_path / "g"), size=30)
+    docs = [json.loads(x) for f in sorted((tmp_path / "g").glob("part-*.json")) for x in f.read_text().splitlines()]
+    assert [u for d in docs for u in d["verified"]] == names and [k for d in docs for k in d["languages"]] == [f"p|{n}" for n in names[:50]]
+
+
 def test_sqlite_tables_and_queries(spark, tmp_path):
     path = str(tmp_path / "a b.db")
     with sqlite3.connect(path) as db:
