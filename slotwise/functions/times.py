@@ -16,7 +16,6 @@ TERM_START, TERM_END = "2026-09-07", "2027-01-08"
 VALIDITY_MONTHS = {"sep": "2026-09-01", "oct": "2026-10-01", "nov": "2026-11-01", "dic": "2026-12-01", "dec": "2026-12-01", "ene": "2027-01-01", "jan": "2027-01-01"}
 EXAM_YEAR, EXAM_MONTH = 2027, 1
 
-_NBSP = " "
 
 
 def _lookup(table: dict, key: Column) -> Column:

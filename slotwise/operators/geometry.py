@@ -301,6 +301,16 @@ def median_of(values: Column) -> Column:
     return F.coalesce((F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2, F.lit(0.0))
 
 
+def middles(rows: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
+    """(by, middle, percentile): ``median_of`` and ``index_percentile`` of each group's values, by their places in order, so that no group is gathered. Nulls are no values; a group of nulls gives no row."""
+    known = rows.where(F.col(value).isNotNull())
+    w = Window.partitionBy(*by)
+    placed = known.select(*by, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(value)) - 1).alias("_k"), F.count("*").over(w).alias("_n"))
+    inside = (F.col("_k") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_k") == F.floor(F.col("_n") / 2))
+    at = F.col("_k") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(q)))
+    return placed.where(inside | at).groupBy(*by).agg(F.avg(F.when(inside, F.col("_v"))).alias("middle"), F.max(F.when(at, F.col("_v"))).alias("percentile"))
+
+
 def y_gap_parts(lines: Column, factor: float) -> Column:
     """A cluster's lines (struct(y, runs), top first) in parts: cut where a step down exceeds the 25th percentile of steps times ``factor``.
 

@@ -45,8 +45,9 @@ def branch(df: DataFrame, name: str, items: Column, notes: Column | None = None)
         wrong = F.concat(F.coalesce(wrong, F.array().cast(f"array<{PROBLEM}>")), F.coalesce(notes, F.array().cast(f"array<{PROBLEM}>")))
     live = F.transform("_items", lambda x: F.struct(x.alias("x"), nothing().alias("p")))
     stopped = F.transform(wrong, lambda p: F.struct(F.get("_items", F.lit(-1)).alias("x"), p.alias("p")))
-    rows = rows.withColumn("_both", F.explode(F.flatten(F.array_compact(F.array(live, stopped)))))
-    return rows.withColumn("_problem", F.col("_both.p")).withColumn(name, F.col("_both.x")).drop("_items", "_both")
+    own = [c for c in df.columns if c not in ("_problem", name)]
+    opened = rows.select(*own, F.explode(F.flatten(F.array_compact(F.array(live, stopped)))).alias("_both"))
+    return opened.select(*own, F.col("_both.p").alias("_problem"), F.col("_both.x").alias(name))
 
 
 def emit(df: DataFrame, keys: list[str], row: Column, notes: Column | None = None) -> DataFrame:
@@ -77,8 +78,8 @@ def dispatch(pages: DataFrame, family: str, parsers: dict[str, Callable[[DataFra
         fields |= {f.name: f.dataType.simpleString() for f in df.schema["row"].dataType}
     unknown = start(pages.where(F.col(family).isNull() | ~F.col(family).isin(list(parsers))))
     wrong = problem("error", "UNKNOWN_FAMILY", F.col(family), F.lit("no parser reads pages of this family"))
-    empty = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in fields.items()])
-    out = emit(halt(unknown, wrong).withColumn("family", F.col(family)), ["source", "family"], F.when(F.lit(False), empty))
+    row = f"struct<{', '.join(f'`{n}`: {t}' for n, t in fields.items())}>"
+    out = emit(halt(unknown, wrong).withColumn("family", F.col(family)), ["source", "family"], F.lit(None).cast(row))
     for _, df in made:
         has = df.schema["row"].dataType.names
         wide = F.struct(*[(F.col(f"row.{n}") if n in has else F.lit(None)).cast(t).alias(n) for n, t in fields.items()])

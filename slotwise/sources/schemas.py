@@ -13,15 +13,7 @@ PARSED = f"""kind string, sourcePath string, layoutFamily string, extractionMeth
  diagnostics array<{DIAGNOSTIC}>"""
 
 VISION_TIMETABLE = """kind string, source string, grids array<struct<semester: string, columns: array<string>, rows: array<struct<weekday: string, blocks: array<struct<name: string, start: string, `end`: string, room: string, elective: boolean>>>>>>"""
-VISION_EXAMS = "kind string, source string, exams array<struct<name: string, date: string, start: string, `end`: string, room: string>>"
 
-SOURCES = """sources array<struct<path: string, kind: string, layoutFamily: string, programme: string, semester: string, role: string, labelColumnMaxX: double, rowBandsFrom: string, slotBandsFrom: string, roomDefault: string, pages: array<int>,
- subGrids: array<struct<label: string, banner: string, xFrom: double, xTo: double, labelColumn: struct<x0: double, x1: double>, headerOverride: array<string>>>>>"""
-ALIASES = "canonical map<string, struct<label: string, variants: array<string>, note: string>>, splits map<string, array<string>>, equivalents array<array<string>>"
-PROGRAMMES = "programmes array<struct<code: string, short: string, name: string, lang: string, colour: string>>, semesters array<struct<code: string, labelEn: string, labelEs: string>>"
-FIXUPS = "examOverrides array<struct<name: string, date: string, start: string, `end`: string, why: string>>, equivalences array<array<string>>, fillerPatterns array<string>"
-EXPECTATIONS = "files map<string, struct<courses: int, filler: int, exams: int>>"
-DETAILS = "extraMatches map<string, array<string>>, preferPlans map<string, array<string>>"
 GUIDES = "year string, verified array<string>, languages map<string, array<string>>"
 BUNDLE = """schemaVersion int, builtAt string, courses array<struct<key: string, name: string, progs: array<string>, elective: boolean,
  sessions: array<struct<prog: string, sem: string, d: int, s: int, e: int, room: string, v: struct<label: string, `from`: string, `to`: string>, inferred: boolean, vision: boolean>>,
