@@ -120,7 +120,7 @@ def _lines(rows: DataFrame, min_chars: int, exact_all: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, block in slices(batch, "text", 1 << 20):
+            for part, block in slices(batch, "text", 1 << 19):
                 x = Lines(block, min_chars, exact_all)
                 doc, halves, short = pa.array(x.doc), x.halves(), x.n < min_chars
                 yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array(x.place), _i64(x.key), _i64(x.key2), *(_i64(halves[:, k], short) for k in range(4))], names)
@@ -137,8 +137,8 @@ def _near(rows: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     """(id, dkey, place) of the lines, at their earliest occurrence, that have an earlier line one edit away."""
     spark = rows.sparkSession
     halves = firsts.select("key", "key2", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("kind", "half")).where("half is not null")
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
-    kinds = runtime.join_hot(halves, shared, ["half"], "n", 4 * firsts.count()).groupBy("key", "key2").agg(F.expr("bit_or(shiftleft(1, kind))").alias("kinds"))
+    shared = runtime.materialize(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), "halves")
+    kinds = runtime.join_maybe_hot(halves, shared, ["half"], "n", 4 * firsts.count()).groupBy("key", "key2").agg(F.expr("bit_or(shiftleft(1, kind))").alias("kinds"))
     able = runtime.materialize(firsts.select("key", "key2", "at").join(kinds, ["key", "key2"]), "able")
     words = able.groupBy((_bit(F.col("key")) / 64).cast("bigint").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(key, {64 - FILTER_BITS}) % 64 as int)))").alias("bits")).collect()  # at most 2 ** FILTER_BITS / 64 rows
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
@@ -149,7 +149,7 @@ def _near(rows: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = filled.value.view(U64)
         for batch in batches:
-            for _, block in slices(batch, "text", 1 << 20):
+            for _, block in slices(batch, "text", 1 << 19):
                 x = Lines(block, min_chars)
                 bit = x.key >> U64(64 - FILTER_BITS)
                 at = np.flatnonzero(t[(bit >> U64(6)).astype(np.int64)] >> (bit & U64(63)) & U64(1))
@@ -217,7 +217,7 @@ def removed_lines(docs: DataFrame, *, bound: int = 1, min_chars: int = MIN_CHARS
     halves = [F.min(h).alias(h) for h in ("h0", "h1", "h2", "h3")]
     firsts = runtime.materialize(lines.groupBy("key", "key2").agg(F.min(F.struct("id", "dkey", "place")).alias("at"), F.count("*").alias("n"), *halves), "firsts")
     own = lines.select("key", "key2", F.struct("id", "dkey", "place").alias("own"))
-    met = runtime.join_hot(own, firsts.where("n > 1").select("key", "key2", "at", "n"), ["key", "key2"], "n", lines.count())
+    met = runtime.join_maybe_hot(own, firsts.where("n > 1").select("key", "key2", "at", "n"), ["key", "key2"], "n", lines.count())
     goes = met.where("own <> at or own is null or at is null").select("own.id", "own.dkey", "own.place").where("place is not null")
     if bound:
         goes = goes.union(_near(rows, firsts, min_chars))

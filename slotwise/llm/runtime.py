@@ -88,6 +88,13 @@ def join_hot(rows: DataFrame, info: DataFrame, on: list[str], count: str, total:
     return cold.unionByName(met.where("_hot").drop("_hot"))
 
 
+def join_maybe_hot(rows: DataFrame, info: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """``join_hot`` where there is a hot key, else a plain join in one go over ``rows``. ``info`` is looked into at once, so it must be a written table."""
+    if info.where(F.col(count) > total // HOT_PARTS).isEmpty():
+        return rows.join(info, on)
+    return join_hot(rows, info, on, count, total)
+
+
 #: Bits of the filter of ``possible``: a fixed size (2 ** 18 words of 64 bits).
 FILTER_BITS = 24
 
