@@ -47,8 +47,8 @@ def _told_apart(docs: DataFrame) -> DataFrame:
     negative one or of none are told by a hash of id and text below 0, which no id has.
     """
     rows = docs.withColumn("_print", F.xxhash64(F.lit(1), "text"))
-    texts = F.struct(F.xxhash64("text"), "_print", F.col("text").isNull())
-    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(texts).alias("a"), F.max(texts).alias("b")).where("a <> b")
+    marks = rows.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("a"), F.col("_print").alias("b"), F.col("text").isNull().cast("int").alias("c"))
+    several = marks.groupBy("doc_id").agg(*[f(x).alias(f"{x}{k}") for x in "abc" for k, f in enumerate((F.min, F.max))]).where("a0 <> a1 or b0 <> b1 or c0 <> c1")
     several = runtime.materialize(several.select("doc_id", F.lit(True).alias("_several")), "several")
     hashed = line_dedup.document_key(F.col("doc_id"), F.col("text")).bitwiseOR(F.lit(-1 << 63))
     met = rows.join(several, "doc_id", "left")
