@@ -364,3 +364,15 @@ def test_reduced_collisions_are_those_of_the_pairs(spark):
     counts = {x.date: (x.certain, x.possible) for x in intervals.collision_counts(df).collect()}
     assert counts == {d: tuple(sum(p.a_date == d and p.severity == k for p in pairs) for k in ("certain", "possible")) for d in {p.a_date for p in pairs}}
     assert {x.key for x in intervals.blocking_keys(df, df, "date").collect()} == {k for p in pairs for k in (p.a_key, p.b_key)}
+
+
+def test_overlaps_try_few_pairs_in_vain(spark):
+    rows = [(k, "x", k // 480, 30 * (k // 10 % 48), 30 * (k // 10 % 48) + 60) for k in range(4800)]
+    df = spark.createDataFrame(rows, "id int, key string, date int, s int, e int")
+    cells = intervals.CELLS_A_TASK * intervals._tasks(df)
+    a, b = intervals._dealt(df, "date", ["id"], cells)
+    cell = ["date", "_range", "_a", "_b"]
+    tried = a.groupBy(*cell).agg(F.count("*").alias("x")).join(b.groupBy(*cell).agg(F.count("*").alias("y")), cell).agg(F.sum(F.col("x") * F.col("y"))).first()[0]
+    found = intervals.overlap_pairs(df, "date", ["id"]).count()
+    assert found == sum(1 for x in rows[:480] for y in rows[:480] if (x[3], x[0]) < (y[3], y[0]) and y[3] < x[4]) * 10
+    assert tried < 2 * found + len(rows)
