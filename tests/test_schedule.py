@@ -376,3 +376,16 @@ def test_overlaps_try_few_pairs_in_vain(spark):
     found = intervals.overlap_pairs(df, "date", ["id"]).count()
     assert found == sum(1 for x in rows[:480] for y in rows[:480] if (x[3], x[0]) < (y[3], y[0]) and y[3] < x[4]) * 10
     assert tried < 2 * found + len(rows)
+
+
+def test_session_counts_are_those_of_the_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    day = lambda: date(2027, 1, rng.randint(1, 28)) if rng.random() < 0.6 else None
+    rows = [(k, rng.choice("abcdefg") if rng.random() < 0.95 else None, rng.randint(1, 7), 30 * rng.randint(0, 20), 30 * rng.randint(0, 24), day(), day()) for k in range(300)]
+    df = spark.createDataFrame(rows, "id int, key string, d int, s int, e int, v_from date, v_to date")
+    pairs = intervals.session_collisions(df, ["id"])
+    want = {tuple(r) for r in pairs.groupBy("a_d", "a_key").agg(F.count("*"), F.countDistinct("b_key")).collect()}
+    for rows_a_cell in (100_000, 20):  # one cell a weekday, and several
+        monkeypatch.setattr(intervals, "COUNTED", rows_a_cell)
+        assert {tuple(r) for r in intervals.session_counts(df, ["id"]).collect()} == want
+    assert intervals.session_counts(df.limit(0), ["id"]).count() == 0
