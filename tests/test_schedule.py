@@ -389,3 +389,9 @@ def test_session_counts_are_those_of_the_pairs(spark, monkeypatch):
         monkeypatch.setattr(intervals, "COUNTED", rows_a_cell)
         assert {tuple(r) for r in intervals.session_counts(df, ["id"]).collect()} == want
     assert intervals.session_counts(df.limit(0), ["id"]).count() == 0
+
+
+def test_bands_are_those_of_whole_brands(spark, tmp_path):
+    spark.range(4000).selectExpr("id as p_partkey", "concat('Brand#', id % 2) as p_brand", "cast(id % 50 + 1 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["rect_bands"](spark, str(tmp_path))
+    assert got.columns == ["p_brand", "bands", "widest"] and got.count() == 2
