@@ -140,10 +140,9 @@ def _placed(blocks: DataFrame) -> DataFrame:
     others = [c for c in blocks.columns if c not in band]
     members = F.array_sort(F.collect_list(F.struct("_k", "centre", "width", "_off", F.struct(*others).alias("own"))))
     groups = rows.groupBy(*band, "_group").agg(members.alias("m"), F.first("_extent").alias("e"), F.first("edges").alias("edges"), F.first("gaps").alias("gaps"))
-    bands = groups.groupBy(*band).agg(F.array_sort(F.collect_list(F.struct("_group", "m", "e"))).alias("_g"), F.first("edges").alias("_edges"), F.first("gaps").alias("_gaps"))
-
-    def spans(m: Column, extent: Column) -> Column:
-        return geo.disjoint_spans(F.transform(m, lambda x: geo.span_candidates(x["centre"], x["width"], F.col("_edges"), F.col("_gaps"), extent["a"], extent["b"])))
+    several = (F.col("_group") >= 0) & (F.size("m") > 1)
+    groups = groups.withColumn("p", geo.block_spans(F.when(several, F.col("m")), F.col("edges"), F.col("gaps"), F.col("e.a"), F.col("e.b")))
+    bands = groups.groupBy(*band).agg(F.array_sort(F.collect_list(F.struct("_group", "m", "e", "p"))).alias("_g"), F.first("edges").alias("_edges"), F.first("gaps").alias("_gaps"))
 
     def tied(m: Column, p: Column, how: str) -> Column:
         said = F.concat(F.lit(how), F.format_string("%.1f", p["margin"]), F.lit("pt worse"))
@@ -157,7 +156,7 @@ def _placed(blocks: DataFrame) -> DataFrame:
     def drawn(g: Column) -> Column:
         alone = F.struct(F.array(g["e"]).alias("spans"), F.lit(None).cast("double").alias("margin"))
         several = lambda p: placed(g["m"], p, "inferred", tied(g["m"], p, "runner-up span assignment is only "))
-        return F.when(F.size(g["m"]) == 1, placed(g["m"], alone, "rect", nothing())).otherwise(let(spans(g["m"], g["e"]), several))
+        return F.when(F.size(g["m"]) == 1, placed(g["m"], alone, "rect", nothing())).otherwise(several(g["p"]))
 
     # a band's rectangles first, then what has none in the columns that are left: all within the band's row
     bands = pin(bands, _drawn=F.transform(F.filter("_g", lambda g: g["_group"] >= 0), drawn))
@@ -165,7 +164,8 @@ def _placed(blocks: DataFrame) -> DataFrame:
     loose = F.flatten(F.transform(F.filter("_g", lambda g: g["_group"] == -1), lambda g: g["m"]))
     bands = pin(bands, _loose=loose, _free=geo.free_span(F.size("_edges") - 1, taken))
     others_said = "unfilled cell(s); runner-up span assignment is only "
-    bands = pin(bands, _rest=let(spans(F.col("_loose"), F.col("_free")), lambda p: placed(F.col("_loose"), p, "inferred", tied(F.col("_loose"), p, others_said))))
+    bands = bands.withColumn("_p", geo.block_spans(F.col("_loose"), F.col("_edges"), F.col("_gaps"), F.col("_free.a"), F.col("_free.b")))
+    bands = pin(bands, _rest=placed(F.col("_loose"), F.col("_p"), "inferred", tied(F.col("_loose"), F.col("_p"), others_said)))
     off = F.array_sort(F.array_compact(F.array_distinct(F.transform("_loose", lambda x: x["_off"]))))
     snapped = F.transform(off, lambda k: problem("warn", "RECT_SNAP_FAILED", F.array_join(F.transform(F.filter("_loose", lambda x: x["_off"] == k), lambda x: x["own"]["name"]), " | "), F.lit("the rectangle's edges snap to no column; falling back to column inference")))
     stopped = F.flatten(F.transform(F.filter("_g", lambda g: g["_group"] == -2), lambda g: F.transform(g["m"], lambda x: x["own"]["_problem"])))

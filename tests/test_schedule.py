@@ -395,3 +395,25 @@ def test_bands_are_those_of_whole_brands(spark, tmp_path):
     spark.range(4000).selectExpr("id as p_partkey", "concat('Brand#', id % 2) as p_brand", "cast(id % 50 + 1 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
     got = catalog.QUERIES["rect_bands"](spark, str(tmp_path))
     assert got.columns == ["p_brand", "bands", "widest"] and got.count() == 2
+
+
+def test_spans_of_a_batch_are_those_of_the_fold(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        columns = rng.choice((3, 7))
+        edges = [0.0]
+        for _ in range(columns):
+            edges.append(edges[-1] + rng.choice((20.0, 40.0)))
+        first = rng.randrange(columns)
+        blocks = [(float(rng.randrange(int(edges[-1]))), float(rng.randrange(5, 60))) for _ in range(rng.randrange(6))]
+        rows.append((k, sorted(blocks), edges, sorted(rng.sample(range(columns), rng.randrange(2))), first, rng.randrange(first, columns)))
+    df = spark.createDataFrame(rows, "k int, blocks array<struct<centre: double, width: double>>, edges array<double>, gaps array<int>, first int, last int")
+    fold = geometry.disjoint_spans(F.transform("blocks", lambda b: geometry.span_candidates(b["centre"], b["width"], F.col("edges"), F.col("gaps"), F.col("first"), F.col("last"))))
+    got = df.select("k", geometry.block_spans(*[F.col(c) for c in df.columns[1:]]).alias("s")).collect()
+    assert sorted(got) == sorted(df.select("k", fold.alias("s")).collect())
+
+
+def test_spans_are_not_folded_by_interpreted_steps(spark):
+    plan = catalog.QUERIES["band_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan
