@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.operators import geometry, lists, pages, parsers
-from slotwise.plans.common import table
+from slotwise.plans.common import parts, table
 
 RUN = "struct<y: double, x: double, w: double, text: string>"
 RECT = "struct<x: double, y: double, w: double, h: double, fill: string>"
@@ -25,9 +25,10 @@ def _only(when: Column, *runs: Column) -> Column:
     return F.when(when, F.array(*runs)).otherwise(F.array().cast(f"array<{RUN}>"))
 
 
-def _pages(parts: DataFrame, runs: Column, header: Column) -> DataFrame:
+def _pages(rows: DataFrame, runs: Column, header: Column) -> DataFrame:
     """(page, runs): each page's header and what its parts print."""
-    return parts.withColumn("_r", runs).groupBy("page").agg(F.concat(header, F.flatten(F.collect_list("_r"))).alias("runs"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks as asked for: few bytes of a page are long to read
+    return rows.withColumn("_r", runs).repartition(tasks, "page").groupBy("page").agg(F.concat(header, F.flatten(F.collect_list("_r"))).alias("runs"))
 
 
 def _ten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +92,7 @@ def slot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = lambda y, t: _run(F.lit(y) + F.col("up"), F.lit(20), 40.0, F.lit(t))
     rect = lambda x, y, w, h, fill=None: F.struct(F.lit(x).alias("x"), (F.lit(y) + F.col("up")).alias("y"), F.lit(w).alias("w"), F.lit(h).alias("h"), F.lit(fill).cast("string").alias("fill")).cast(RECT)
     split = F.when(F.col("p_partkey") % 3 == 0, F.array(label(400.0, "10:00 - 13:00"))).when(F.col("p_partkey") % 3 == 1, F.array(label(405.0, "10:00 to"), label(395.0, "13:00"))).otherwise(F.array(label(410.0, "10:00"), label(400.0, "to"), label(390.0, "13:00")))
-    p = table(spark, sf_dir, "part").select("p_partkey", up).withColumn("p_partkey", F.col("p_partkey"))
+    p = parts(spark, sf_dir).select("p_partkey", up).withColumn("p_partkey", F.col("p_partkey"))
     p = p.withColumn("runs", F.concat(split, F.array(label(200.0, "15:00 - 18:00"), _run(F.lit(0.0), F.lit(300), 9.0, F.lit("legend")))))
     p = p.withColumn("rects", F.array(rect(100.0, 350.0, 300.0, 100.0, "#ffcc00"), rect(100.0, 200.0, 300.0, 50.0, "#00ccff"), rect(100.0, 150.0, 300.0, 50.0), rect(0.0, 340.0, 80.0, 120.0), rect(0.0, 140.0, 80.0, 120.0)))
     args = F.col("runs"), F.col("rects"), F.lit(90.0), F.lit(470.0) + F.col("up")
@@ -102,7 +103,7 @@ def slot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grid_page(spark: SparkSession, sf_dir: str, side: bool) -> DataFrame:
     """A page for each part with two grids of three hours, a course in each, side by side or one above the other."""
-    p, left = table(spark, sf_dir, "part"), F.lit(0.0)
+    p, left = parts(spark, sf_dir), F.lit(0.0)
     k = (F.col("p_partkey") % 3).cast("int")
     runs, rects, subs = [], [], []
     for g, (name, first) in enumerate((("Morning", 9), ("Evening", 15))):
@@ -146,7 +147,7 @@ BAND_COLUMNS = 11
 
 def band_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of two blocks in one rectangle, one in its own, and three to six loose ones that get the free columns."""
-    p, size, key = table(spark, sf_dir, "part"), F.col("p_size"), F.col("p_partkey")
+    p, size, key = parts(spark, sf_dir), F.col("p_size"), F.col("p_partkey")
     loose = lambda k: F.lit(165) + (key * 37 + k * 61) % 270
     centres = [F.lit(10) + size * 3 % 40, F.lit(60) + size * 7 % 50, F.lit(140)] + [loose(k) for k in range(6)]
     block = lambda k, c: F.struct(F.lit(f"n{k}").alias("name"), c.cast("double").alias("centre"), (F.lit(10) + size * (k + 1) % 30).cast("double").alias("width"))

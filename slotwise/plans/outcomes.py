@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.operators import lists, outcomes, pages
-from slotwise.plans.common import table
+from slotwise.plans import common
 
 RUNS, RECTS = "array<struct<y: double, x: double, w: double, text: string>>", "array<struct<x: double, y: double, w: double, h: double, fill: string>>"
 LAYOUT = f"case int, family string, runs {RUNS}, rects {RECTS}, label_max_x double, rows_from string, slots_from string, room string, sub_grids array<{pages.SUB_GRID}>"
@@ -79,7 +79,7 @@ PARSERS = {
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     layouts = spark.createDataFrame([(k, *page) for k, (page, _, _) in enumerate(CASES)], LAYOUT)
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("source"), "p_name", (F.col("p_partkey") % len(CASES)).cast("int").alias("case"))
+    parts = common.parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("source"), "p_name", (F.col("p_partkey") % len(CASES)).cast("int").alias("case"))
     named = F.transform("runs", lambda r: F.struct(r["y"].alias("y"), r["x"].alias("x"), r["w"].alias("w"), F.replace(r["text"], F.lit("{}"), F.col("p_name")).alias("text")))
     return parts.join(F.broadcast(layouts), "case").withColumn("runs", named)  # a row a case
 

@@ -417,3 +417,8 @@ def test_spans_of_a_batch_are_those_of_the_fold(spark):
 def test_spans_are_not_folded_by_interpreted_steps(spark):
     plan = catalog.QUERIES["band_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan
+
+
+@pytest.mark.parametrize("name", ["slot_rows", "span_inference"])
+def test_parts_are_dealt_to_all_tasks(spark, name):
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == intervals._tasks(spark.range(1))
