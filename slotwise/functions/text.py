@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,7 +137,7 @@ def normalise_inline(c: Column, equivalences: list[tuple[str, str]] = EQUIVALENC
 
 
 def normalise(c: Column, equivalences: list[tuple[str, str]] = EQUIVALENCES) -> Column:
-    """struct(full, tokens, key, candidates): a name's canonical forms, made in one go over each Arrow batch. Not for use inside a lambda.
+    """struct(full, tokens, key, candidates): a name's canonical forms, made in one go over each Arrow batch, block by block. Not for use inside a lambda.
 
     ``full``: annotations, accents, case and punctuation gone, & and hyphens read as words and spaces, equivalent
     spellings as one (by substring). ``tokens``: its words without stopwords. ``key``: with hyphens. ``candidates``:
@@ -141,15 +145,31 @@ def normalise(c: Column, equivalences: list[tuple[str, str]] = EQUIVALENCES) ->
     """
     made = canonical_forms(equivalences)
 
-    @F.pandas_udf(FORMS)
-    def forms(texts: pd.Series) -> pd.DataFrame:
-        rows = [made(t) if isinstance(t, str) else (None, None, None, []) for t in texts]
-        return pd.DataFrame(rows, columns=["full", "tokens", "key", "candidates"])
+    def of(texts: pa.Array) -> pa.Array:
+        rows = [(None, None, None, []) if t is None else made(t) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), _FORMS.values(), strict=True)], list(_FORMS))
+
+    @F.arrow_udf(FORMS)
+    def forms(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield from map(of, blocks(batch))
 
     return forms(c)
 
 
 FORMS = "full string, tokens array<string>, key string, candidates array<string>"
+_FORMS = {"full": pa.string(), "tokens": pa.list_(pa.string()), "key": pa.string(), "candidates": pa.list_(pa.string())}
+
+#: Bytes of texts that are made into words at a time: the words of a whole Arrow batch (10,000 texts or 64 MB) would take many times its memory in each task.
+BLOCK_BYTES = 1 << 20
+
+
+def blocks(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch of texts in slices of about ``BLOCK_BYTES``, beside one text of any length each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype="int64")
+    cuts = np.flatnonzero(np.diff(ends // BLOCK_BYTES)) + 1
+    for a, b in pairwise(np.unique([0, *cuts, len(texts)]).tolist()):
+        yield texts.slice(a, b - a)
 
 
 def canonical_forms(equivalences: list[tuple[str, str]] = EQUIVALENCES) -> Callable[[str], tuple[str, list[str], str, list[str]]]:

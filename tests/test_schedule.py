@@ -3,6 +3,7 @@ import json
 import random
 from datetime import date
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,6 +330,46 @@ def test_forms_of_one_pass_are_those_of_built_in_functions(spark):
     assert df.where("a.full is null").count() == 1 and df.where("size(a.candidates) > 0").count() > 5
 
 
+def test_forms_hold_the_words_of_a_few_texts_at_a_time(spark, monkeypatch):
+    real = text.canonical_forms
+
+    def counted(equivalences):
+        made, live = real(equivalences), [0]
+
+        class Words(list):
+            def __init__(self, words):
+                super().__init__(words)
+                live[0] += len(words)
+
+            def __del__(self):
+                live[0] -= len(self)
+
+        def one(t):
+            full, tokens, _, candidates = made(t)
+            tokens = Words(tokens)
+            return full, tokens, str(live[0]), candidates
+
+        return one
+
+    monkeypatch.setattr(text, "canonical_forms", counted)
+    n = 60  # texts of 100 kB, in one Arrow batch
+    df = spark.range(0, n, 1, 1).select("id", F.concat(F.col("id").cast("string"), F.repeat(F.lit(" aa bb cc"), 11_000)).alias("t"))
+    got = df.select("id", text.normalise(F.col("t")).alias("n")).selectExpr("id", "n.full", "size(n.tokens) words", "n.tokens[0] first", "cast(n.key as long) live").collect()
+    assert [(x.id, x.words, x.first, x.full.split(" ", 1)[0]) for x in got] == [(k, 33_001, str(k), str(k)) for k in range(n)]
+    assert max(x.live for x in got) < n * 33_001 / 2
+
+
+def test_blocks_of_texts_are_the_batch(spark):
+    texts = [None, "", "a", "é" * 2_000_000, None, "", *["b" * 300_000] * 9, ""]
+    for batch in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["x", *texts]).slice(1), pa.array([None, None], pa.string()), pa.array([], pa.string())):
+        cut = list(text.blocks(batch))
+        assert [t for x in cut for t in x.to_pylist()] == batch.to_pylist() and all(len(x) for x in cut)
+        assert all(sum(sorted(len((t or "").encode()) for t in x.to_pylist())[:-1]) <= text.BLOCK_BYTES for x in cut)
+    long = spark.createDataFrame([(k, t) for k, t in enumerate(["á B", None, "a b " * 400_000, ""])], "k int, t string").coalesce(1)
+    got = {x.k: x for x in long.select("k", text.normalise(F.col("t")).alias("n")).selectExpr("k", "n.key", "coalesce(size(n.tokens), -1) words", "n.full is null none").collect()}
+    assert [(got[k].key if k != 2 else len(got[k].key), got[k].words, got[k].none) for k in range(4)] == [("a-b", 1, False), (None, -1, True), (1_599_999, 400_000, False), ("", 0, False)]
+
+
 def test_spaces_and_letters_beyond_ascii(spark):
     row = spark.range(1).select(
         times.parse_time(F.lit("\t9:00\n")).alias("time"), times.resolve_validity(F.lit("\tWeeks 1-7\u00a0"))["from"].cast("string").alias("window"), text.collapse(F.lit("a\u00a0\u2003b\u3000")).alias("line"),
