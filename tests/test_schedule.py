@@ -1,6 +1,7 @@
 import bisect
 import json
 import random
+import re
 from datetime import date
 
 import pyarrow as pa
@@ -463,3 +464,37 @@ def test_spans_are_not_folded_by_interpreted_steps(spark):
 @pytest.mark.parametrize("name", ["slot_rows", "span_inference"])
 def test_parts_are_dealt_to_all_tasks(spark, name):
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == intervals._tasks(spark.range(1))
+
+
+def test_overlaps_are_dealt_to_more_tasks_than_there_are_cores(spark):
+    rows = [(k, k // 400, 30 * (k // 10 % 40)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "id int, date int, s int").withColumn("e", F.col("s") + 120)
+    made = [x["count"] for x in intervals.overlap_pairs(df, "date", ["id"]).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(made) * 8 < sum(made) and len(made) > 4 * intervals._tasks(df)
+
+
+def test_pairs_of_short_lists_and_uncut_days_against_all_pairs(spark, monkeypatch):
+    r = random.Random(11)
+    some = lambda n: r.randrange(n) if r.random() < 0.9 else None
+    places = [(x, y) for x in (None, *range(20)) for y in (None, *range(20))]
+    r.shuffle(places)
+    # one crowded day, a few of some rows, and days of a row; places hold nulls, which come first
+    rows = [(*places[k], 0 if k < 150 else some(6) if k < 250 else k, s := some(10), None if s is None else s + r.randrange(4)) for k in range(300)]
+    df = spark.createDataFrame(rows, "x int, y int, d int, s int, e int")
+    first = lambda v: (v is not None, v or 0)
+    sound = [(d, s, e, (first(x), first(y))) for x, y, d, s, e in rows if d is not None and s is not None and s < e]
+    want = {(a[3], b[3]) for a in sound for b in sound if a[0] == b[0] and (a[1], a[3]) < (b[1], b[3]) and b[1] < a[2]}
+    for listed, cells in ((500, None), (3, 1), (7, 3), (1, 60)):
+        monkeypatch.setattr(intervals, "LISTED", listed)
+        got = [tuple((first(p[f"{c}_x"]), first(p[f"{c}_y"])) for c in "ab") for p in intervals.overlap_pairs(df, "d", ["x", "y"], cells=cells).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_only_days_of_several_cells_are_looked_up(spark):
+    # two hundred days of one row beside a crowded one: their rows are not moved to learn their cells
+    df = spark.range(1000).selectExpr("cast(id as int) as id", "cast(if(id < 800, 0, id) as int) as d", "cast(id % 50 as int) as s", "cast(id % 50 + 5 as int) as e")
+    a, b = intervals._dealt(df, "d", ["id"], 8)
+    for side in (a, b):
+        tree = side._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"Join LeftOuter.*strategy=broadcast", tree) and side.where("d > 0").selectExpr("max(_range)", "max(_a)", "max(_b)").first() == (0, 0, 0)
+    assert a.where("d = 0").select("_range", "_a", "_b").distinct().count() > 4
